@@ -54,11 +54,12 @@ _JOINED = 2_000
 class _Pieces:
     """Ids of distinct pieces as runs of one flat array; up to ``limit`` pieces are kept in a worker process."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # its own cache holds frequent words, which never come here twice
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Bytes of text that an id stands for; the alphabet has a character for each byte.
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
