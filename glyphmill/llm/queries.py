@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import exact_dedup, html_extract, langid, mixing, token_count, token_store, toxicity
+from glyphmill.llm import decontam, exact_dedup, html_extract, langid, mixing, token_count, token_store, toxicity
 from glyphmill.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -44,7 +48,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op5_toxicity, op7_html_extract, op9_token_store, op10_token_count)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_toxicity, op7_html_extract, op9_token_store, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:

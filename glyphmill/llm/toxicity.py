@@ -35,7 +35,9 @@ ORDERS = (3, 4, 5)
 DIM = 8
 #: The fit sees about so many rows of each class at most.
 SAMPLE_ROWS = 1_500
-STEPS, RATE, DECAY, SEED = 60, 0.05, 1e-6, 7
+STEPS, RATE, DECAY, SEED = 60, 0.5, 1e-5, 7
+#: Texts of the sample that must use a row of the table before it is trained.
+LEAST = 15
 
 
 @dataclass
@@ -87,16 +89,20 @@ def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Train on labelled rows that aren't held out: full-batch Adam on table and softmax together."""
+    """Train on a sample of the labelled rows that aren't held out."""
     sample = _training_rows(docs, labels, id_col, text_col, rows)
-    y = sample["toxic"].to_numpy().astype(np.float64)
-    y = (y > 0).astype(np.float64)
+    text = sample["text"].combine_chunks()
+    return train(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), sample["toxic"].to_numpy())
+
+
+def train(text: pa.Array, toxic: np.ndarray) -> Model:
+    """Train on texts in memory."""
+    y = (toxic > 0).astype(np.float64)
     key = f"toxicity {uuid.uuid4().hex}"
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))), key)
-    text = sample["text"].combine_chunks()
-    codes, tokens, starts = split(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
+    codes, tokens, starts = split(text)
     words, inverse = np.unique(np.array([plain(t) for t in tokens], dtype=object).astype(str), return_inverse=True)
     words = words.tolist()
     doc = np.repeat(np.arange(len(y)), np.diff(starts))
@@ -108,6 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = n / np.bincount(doc, n, len(y))[doc]
     of, bucket = features(words)
     each = 1 / np.bincount(of, minlength=len(words))[of]
+    # rows of the table that too few training texts use stay zero: they can't be told from noise
+    order = np.argsort(of, kind="stable")
+    first = np.searchsorted(of[order], np.arange(len(words) + 1))
+    per_pair = np.diff(first)[word]
+    at = np.arange(per_pair.sum()) + np.repeat(first[word] - (np.cumsum(per_pair) - per_pair), per_pair)
+    both = np.unique(np.repeat(doc, per_pair) * BUCKETS + bucket[order][at])
+    by_text = np.bincount(both % BUCKETS, minlength=BUCKETS)
+    enough = by_text[bucket] >= LEAST
+    of, bucket, each = of[enough], bucket[enough], each[enough]
     used, bucket = np.unique(bucket, return_inverse=True)
 
     rng = np.random.default_rng(SEED)
