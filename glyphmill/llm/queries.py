@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontam, exact_dedup, html_extract, langid, mixing, token_count, token_store, toxicity
+from glyphmill.llm import decontam, exact_dedup, html_extract, langid, mixing, near_dedup, token_count, token_store, toxicity
 from glyphmill.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_toxicity, op7_html_extract, op9_token_store, op10_token_count)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_toxicity, op6_near_dedup, op7_html_extract, op9_token_store, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
