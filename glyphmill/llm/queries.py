@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontam, exact_dedup, html_extract, langid, mixing, near_dedup, token_count, token_store, toxicity
+from glyphmill.llm import decontam, exact_dedup, html_extract, langid, lm_score, mixing, near_dedup, token_count, token_store, toxicity
 from glyphmill.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_digest(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_toxicity, op6_near_dedup, op7_html_extract, op9_token_store, op10_token_count)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_toxicity, op6_near_dedup, op7_html_extract, op8_lm_score, op9_token_store, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
