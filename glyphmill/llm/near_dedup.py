@@ -21,11 +21,13 @@ none with a probability of 3e-6.
 
 Links.  Texts with equal multisets are one vertex, so copies are never paired.
 Round 1 links each vertex to the least vertex of all its buckets, one pair a
-vertex.  Verified links make classes.  Later rounds take, in each bucket that
-still holds several classes, the vertices outside the class of its centre, a
-new centre every round, so that a bucket of n vertices costs n pairs a round
-and never all pairs; what few-class buckets remain after ``ROUNDS`` rounds are
-compared class against class in full.
+vertex, and later rounds link the vertices of each bucket that still holds
+several classes to one centre of another class; verified links merge classes.
+What is left is compared in full: the pairs of small buckets, and large
+buckets in tiles of about ``TILE`` vertices, a task for each two tiles, which
+holds only those two and returns no pairs but the few links that join classes.
+So no link between classes is lost, pairs within a class are never made, and
+neither memory nor rows grow with the square of a bucket.
 
 Verification counts the shared multiset elements of a pair exactly, from
 sorted arrays of 32-bit hashes.
@@ -50,7 +52,9 @@ from glyphmill.llm.common import Memo, bounded_batches, kept, materialise, mix64
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-ROUNDS = 4
+ROUNDS = 3
+#: Vertices of buckets that are compared pair by pair; vertices of a tile of larger ones; elements compared at once.
+SMALL, TILE, COLUMNS = 16, 512, 4096
 #: Vertices up to which a set of vertices is broadcast; their number is counted first.
 BROADCAST_ROWS = 1_000_000
 
@@ -230,6 +234,73 @@ def components(links: DataFrame) -> DataFrame:
         seen = sign
 
 
+def _undecided(buckets: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, v, root) of all buckets, and (key, n) of those that hold several classes."""
+    marked = buckets.select("key", "v").join(root, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
+    counted = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return marked, counted.where(F.col("lo") != F.col("hi")).select("key", "n")
+
+
+def _merged(root: DataFrame, more: DataFrame) -> DataFrame:
+    """Classes after more links; a class stands for itself by the star of its root."""
+    if not more.take(1):
+        return root
+    star = root.where(F.col("v") != F.col("root")).select(F.col("root").alias("a"), F.col("v").alias("b"))
+    return components(star.unionAll(more))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of elements that each left set shares with each right one."""
+    sizes = np.array([len(x) for x in [*left, *right]])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, col, times = np.unique(np.concatenate([*left, *right]) if len(row) else np.empty(0, np.uint32), return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        i, j = np.searchsorted(col, [at, at + COLUMNS])
+        held = np.zeros((len(sizes), COLUMNS), np.float32)
+        held[row[i:j], col[i:j] - at] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _tiled(left: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join classes inside the buckets of ``left`` (key, v, root, n)."""
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    placed = left.withColumns({"parts": parts, "t": F.pmod(F.xxhash64("v", F.lit(77)), parts).cast("int")}).join(els, "v")
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "v", "root", "els")
+
+    def run(group: pa.Table) -> pa.Table:
+        t, v, root, i, j = (group[c].to_numpy() for c in ("t", "v", "root", "i", "j"))
+        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in group["els"]]
+        p, q = np.flatnonzero(t == i[0]), np.flatnonzero(t == j[0])
+        a: list[int] = []
+        b: list[int] = []
+        if len(p) and len(q):
+            size = np.array([len(x) for x in sets])
+            shared = _overlaps([sets[k] for k in p], [sets[k] for k in q])
+            alike = (shared > 0) & (shared >= similarity * (size[p][:, None] + size[q][None, :] - shared)) & (root[p][:, None] != root[q][None, :])
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in above:
+                    x = above[x]
+                return x
+
+            for x, y in zip(*np.nonzero(alike)):
+                one, other = top(int(root[p[x]])), top(int(root[q[y]]))
+                if one != other:
+                    above[max(one, other)] = min(one, other)
+                    a.append(int(v[p[x]]))
+                    b.append(int(v[q[y]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
     """Rows (doc_id, row, class_id, class_size, kept): of each class the least (id, row) names it and is kept.
 
@@ -254,31 +325,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     first = buckets.where(F.col("v") != F.col("centre")).groupBy("v").agg(F.min("centre").alias("a")).select("a", F.col("v").alias("b"))
     links = materialise(verified(first, els, similarity), "links-1")
     tried = materialise(first, "tried-1")
-    root, changed = None, True
-    for k in range(2, ROUNDS + 2):
-        root, changed = components(links) if changed else root, False
-        marked = buckets.select("key", "v").join(root, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
-        several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
-        if k <= ROUNDS:
-            # a centre from another class each round: the least by a hash that changes
-            centres = marked.join(several, "key").groupBy("key").agg(F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("c_root")), F.xxhash64("v", F.lit(k))).alias("c")).select("key", "c.*")
-            pairs = marked.join(centres, "key").where(F.col("root") != F.col("c_root")).select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
-        else:
-            rest = marked.join(several.select("key"), "key")
-            other = rest.select("key", F.col("v").alias("c"), F.col("root").alias("c_root"))
-            pairs = rest.join(other, "key").where((F.col("root") < F.col("c_root"))).select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
+    root = components(links)
+    for k in range(2, ROUNDS + 1):
+        marked, several = _undecided(buckets, root)
+        # a centre from another class each round: the least by a hash that changes
+        centres = marked.join(several, "key").groupBy("key").agg(F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("c_root")), F.xxhash64("v", F.lit(k))).alias("c")).select("key", "c.*")
+        pairs = marked.join(centres, "key").where(F.col("root") != F.col("c_root")).select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
         fresh = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
-        if not fresh.take(1):
-            if k <= ROUNDS:
-                continue
-            break
-        more = materialise(verified(fresh, els, similarity), f"links-{k}")
         tried = tried.unionAll(fresh)
-        if more.take(1):
-            # a class is linked by its root's star, so only new links join it
-            links, changed = root.where(F.col("v") != F.col("root")).select(F.col("root").alias("a"), F.col("v").alias("b")).unionAll(more), True
-    if changed:
-        root = components(links)
+        root = _merged(root, materialise(verified(fresh, els, similarity), f"links-{k}"))
+    marked, several = _undecided(buckets, root)
+    left = materialise(marked.join(several, "key").select("key", "v", "root", "n"), "undecided")
+    few = left.where(F.col("n") <= SMALL)
+    pairs = few.join(few.select("key", F.col("v").alias("c"), F.col("root").alias("c_root")), "key").where(F.col("root") < F.col("c_root")).select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
+    fresh = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    root = _merged(root, materialise(verified(fresh, els, similarity), "links-small"))
+    root = _merged(root, materialise(_tiled(left.where(F.col("n") > SMALL), els, similarity), "links-large"))
     named = vertex.join(root, "v", "left").select("d1", "d2", F.coalesce("root", "v").alias("root"))
     rows = sigs.select("doc_id", "row", "n", "d1", "d2")
     wordy = rows.where(F.col("n") > 0).join(named, ["d1", "d2"]).select("doc_id", "row", "root")
