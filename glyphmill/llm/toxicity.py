@@ -57,7 +57,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word index and bucket of every n-gram of the words, and of the words themselves."""
     parts = [grams(words, n) for n in ORDERS]
     parts.append((np.arange(len(words)), word_hash(words, 1)))
-    return np.concatenate([w for w, _ in parts]), (np.concatenate([h for _, h in parts]) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.concatenate([w for w, _ in parts]).astype(np.int32), (np.concatenate([h for _, h in parts]) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 def word_projection(model: Model, tokens: list[str]) -> np.ndarray:
@@ -116,11 +116,12 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
     each = 1 / np.bincount(of, minlength=len(words))[of]
     # rows of the table that too few training texts use stay zero: they can't be told from noise
     order = np.argsort(of, kind="stable")
-    first = np.searchsorted(of[order], np.arange(len(words) + 1))
-    per_pair = np.diff(first)[word]
-    at = np.arange(per_pair.sum()) + np.repeat(first[word] - (np.cumsum(per_pair) - per_pair), per_pair)
-    both = np.unique(np.repeat(doc, per_pair) * BUCKETS + bucket[order][at])
-    by_text = np.bincount(both % BUCKETS, minlength=BUCKETS)
+    runs = np.split(bucket[order], np.searchsorted(of[order], np.arange(1, len(words))))
+    by_text = np.zeros(BUCKETS, np.int64)
+    for held in np.split(word, np.searchsorted(doc, np.arange(1, len(y)))):
+        if len(held):
+            by_text[np.unique(np.concatenate([runs[w] for w in held]))] += 1
+    del order, runs
     enough = by_text[bucket] >= LEAST
     of, bucket, each = of[enough], bucket[enough], each[enough]
     used, bucket = np.unique(bucket, return_inverse=True)
