@@ -1,9 +1,10 @@
 """Operator 5: toxicity scores from subword-bag embeddings.
 
 A word is the bag of its character n-grams and itself, each hashed to a row of
-one embedding table.  A text is the mean of its words, and a linear softmax
-reads that mean.  Table and softmax are trained jointly in numpy on a bounded
-sample of labelled rows, so a misspelling that was never seen shares n-gram
+one embedding table.  A text is the mean of its words, a repeated word
+weighing little more than once (``POWER``), with ``NEUTRAL`` neutral words added; a linear
+softmax reads that mean.  Table and softmax are trained jointly in numpy on a bounded
+sample of labelled rows (Adam on batches of texts), so a misspelling that was never seen shares n-gram
 vectors with the words it imitates.
 
 Scoring a text needs one number for each word: the mean over the word's rows
@@ -28,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bounded_batches, grams, kept, plain, slices, split, sums, word_hash
+from glyphmill.llm.common import Memo, bounded_batches, grams, kept, plain, slices, split, word_hash
 
 BUCKETS = 1 << 17
 ORDERS = (3, 4, 5)
 DIM = 8
 #: The fit sees about so many rows of each class at most.
 SAMPLE_ROWS = 1_500
-STEPS, RATE, DECAY, SEED = 60, 0.5, 1e-5, 7
+EPOCHS, BATCH, RATE, DECAY, SEED = 8, 100, 0.5, 1e-5, 7
+#: Words without any leaning that are added to each mean, so that a few odd words don't decide short texts.
+NEUTRAL = 30
+#: A word that comes n times weighs 1 + POWER * ln n.
+POWER = 0.3
 #: Texts of the sample that must use a row of the table before it is trained.
 LEAST = 15
 
@@ -61,16 +66,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_projection(model: Model, tokens: list[str]) -> np.ndarray:
-    """(projection, 1) of each token, (0, 0) of tokens that are no words."""
+    """(projection, 40-bit name of the word) of each token; the name is -1 for tokens that are no words."""
     words = [plain(t) for t in tokens]
     out = np.zeros((len(words), 2))
+    out[:, 1] = -1
     is_word = np.fromiter(map(bool, words), bool, len(words))
     real = [w for w in words if w]
     if real:
         of, bucket = features(real)
         n = np.bincount(of, minlength=len(real))
         out[is_word, 0] = np.bincount(of, model.projection[bucket], len(real)) / n
-        out[is_word, 1] = 1
+        out[is_word, 1] = (word_hash(real, 9) >> np.uint64(24)).astype(np.float64)
     return out
 
 
@@ -111,7 +117,8 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
     doc, word = pair // len(words), pair % len(words)
     real = np.array([bool(w) for w in words])[word]
     doc, word, n = doc[real], word[real], n[real].astype(np.float64)
-    share = n / np.bincount(doc, n, len(y))[doc]
+    n = 1 + POWER * np.log(n)
+    share = n / (NEUTRAL + np.bincount(doc, n, len(y)))[doc]
     of, bucket = features(words)
     each = 1 / np.bincount(of, minlength=len(words))[of]
     # rows of the table that too few training texts use stay zero: they can't be told from noise
@@ -125,23 +132,40 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
     enough = by_text[bucket] >= LEAST
     of, bucket, each = of[enough], bucket[enough], each[enough]
     used, bucket = np.unique(bucket, return_inverse=True)
-
+    # texts in a random order, so that a batch of them is a run of entries, and words by their runs of rows
     rng = np.random.default_rng(SEED)
+    place = rng.permutation(len(y))
+    order = np.argsort(place[doc], kind="stable")
+    doc, word, share = place[doc][order], word[order], share[order]
+    label = np.empty(len(y))
+    label[place] = y
+    order = np.argsort(of, kind="stable")
+    bucket, each = bucket[order], each[order]
+    first = np.searchsorted(of[order], np.arange(len(words) + 1))
     table, out, bias = rng.normal(0, 0.1, (DIM, len(used))), rng.normal(0, 0.5, DIM), 0.0
     state = [[np.zeros_like(table), np.zeros_like(table)], [np.zeros(DIM), np.zeros(DIM)], [0.0, 0.0]]
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    for step in range(1, STEPS + 1):
-        mean = np.stack([np.bincount(doc, share * np.bincount(of, each * row[bucket], len(words))[word], len(y)) for row in table])
-        error = (1 / (1 + np.exp(-(out @ mean + bias))) - y) * weight
-        # softmax over two classes has one free direction, ``out``
-        by_word = np.bincount(word, share * error[doc], len(words))
-        by_bucket = np.bincount(bucket, each * by_word[of], len(used))
-        rate = RATE * (1 - (step - 1) / STEPS)
+    weight = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
+    steps, step = EPOCHS * -(-len(y) // BATCH), 0
+    for start in [k for _ in range(EPOCHS) for k in range(0, len(y), BATCH)]:
+        step += 1
+        end = min(start + BATCH, len(y))
+        i, j = np.searchsorted(doc, [start, end])
+        held, at = np.unique(word[i:j], return_inverse=True)
+        size = first[held + 1] - first[held]
+        rows = np.arange(size.sum()) + np.repeat(first[held] - (np.cumsum(size) - size), size)
+        mine, b, e = np.repeat(np.arange(len(held)), size), bucket[rows], each[rows]
+        text_of, s, n_words, n_texts = doc[i:j] - start, share[i:j], len(held), end - start
+        mean = np.stack([np.bincount(text_of, s * np.bincount(mine, e * row[b], n_words)[at], n_texts) for row in table])
+        # a softmax over two classes has one free direction, ``out``
+        error = (1 / (1 + np.exp(-np.clip(out @ mean + bias, -60, 60))) - label[start:end]) * weight[start:end] / n_texts
+        by_word = np.bincount(at, s * error[text_of], n_words)
+        by_bucket = np.bincount(b, e * by_word[mine], len(used))
+        rate = RATE * (1 - (step - 1) / steps)
         for k, grad in enumerate((np.outer(out, by_bucket) + DECAY * table, mean @ error, error.sum())):
             m, v = state[k]
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             state[k] = [m, v]
-            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
+            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
             if k == 0:
                 table = table - move
             elif k == 1:
@@ -153,6 +177,21 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
     return Model(projection, float(bias), key)
 
 
+def means(memo: Memo, text: pa.Array) -> np.ndarray:
+    """Mean projection of the words of each text."""
+    codes, tokens, starts = split(text)
+    values = memo(tokens)
+    # tokens that differ by case or punctuation only are one word
+    word = values[:, 1].astype(np.int64)
+    pair = np.repeat(np.arange(len(text)), np.diff(starts)) * np.int64(1 << 40) + word[codes]
+    order = np.argsort(pair[word[codes] >= 0])
+    pair, value = pair[word[codes] >= 0][order], values[codes, 0][word[codes] >= 0][order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    weight = 1 + POWER * np.log(np.diff(np.append(first, len(pair))))
+    doc = pair[first] >> 40
+    return np.bincount(doc, weight * value[first], len(text)) / (NEUTRAL + np.bincount(doc, weight, len(text)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, score) of every whole text, with the columns ``keep`` as they are; no shuffle."""
     spark = docs.sparkSession
@@ -164,9 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = sent.value
         memo = kept(m.key, lambda: Memo(lambda tokens: word_projection(m, tokens)))
         for batch, text in slices(batches, "__text"):
-            codes, tokens, starts = split(text)
-            total = sums(memo(tokens)[codes], starts)
-            p = 1 / (1 + np.exp(-np.clip(total[:, 0] / np.maximum(total[:, 1], 1) + m.bias, -700, 700)))
+            p = 1 / (1 + np.exp(-np.clip(means(memo, text) + m.bias, -700, 700)))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != 1), pa.array(p)], [*(n for i, n in enumerate(batch.schema.names) if i != 1), "score"])
 
     kinds = head.schema
