@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.llm.common import Memo, bounded_batches, grams, kept, plain, slices, split, word_hash
 
@@ -36,13 +37,13 @@ ORDERS = (3, 4, 5)
 DIM = 8
 #: The fit sees about so many rows of each class at most.
 SAMPLE_ROWS = 1_500
-EPOCHS, BATCH, RATE, DECAY, SEED = 8, 100, 0.5, 1e-5, 7
+EPOCHS, BATCH, RATE, DECAY, SEED = 12, 100, 0.3, 3e-6, 7
 #: Words without any leaning that are added to each mean, so that a few odd words don't decide short texts.
 NEUTRAL = 30
 #: A word that comes n times weighs 1 + POWER * ln n.
 POWER = 0.3
-#: Texts of the sample that must use a row of the table before it is trained.
-LEAST = 15
+#: Share of the sample's texts (two texts at least) that must use a row of the table before it is trained; steps of the fit at least.
+LEAST, STEPS = 0.005, 240
 
 
 @dataclass
@@ -80,29 +81,33 @@ def word_projection(model: Model, tokens: list[str]) -> np.ndarray:
     return out
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> pa.Table:
-    """Texts and labels of the sample: of each class about ``rows`` rows, by a hash of the id.
+def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> tuple[pa.Table, float]:
+    """Texts and labels of the sample, of each class about ``rows`` rows, by a hash of the id; and the share of label 1 among all labels.
 
     The labels that are picked are bounded by ``rows``, so they are broadcast.
     """
     label = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in label.groupBy("toxic").count().collect()}
     if not counts:
-        return pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())})
+        return pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())}), 0.5
+    share = sum(n for k, n in counts.items() if k > 0) / sum(counts.values())
     rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, rows / n))) for k, n in counts.items()], F.lit(0.0))
     picked = label.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < rate * 1_000_000)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", F.col("toxic").cast("int").alias("toxic")).toArrow()
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", F.col("toxic").cast("int").alias("toxic")).toArrow()
+    return sample, share
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """Train on a sample of the labelled rows that aren't held out."""
-    sample = _training_rows(docs, labels, id_col, text_col, rows)
+    sample, share = _training_rows(docs, labels, id_col, text_col, rows)
     text = sample["text"].combine_chunks()
-    return train(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), sample["toxic"].to_numpy())
+    # halfway, in log odds, between the labels' own share of label 1 and an even one
+    odds = (share / (1 - share)) ** 0.5 if 0 < share < 1 else 1.0
+    return train(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), sample["toxic"].to_numpy(), odds / (1 + odds))
 
 
-def train(text: pa.Array, toxic: np.ndarray) -> Model:
-    """Train on texts in memory."""
+def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Model:
+    """Train on texts in memory; ``prior`` is the share of label 1 that the sample stands for."""
     y = (toxic > 0).astype(np.float64)
     key = f"toxicity {uuid.uuid4().hex}"
     if not len(y) or y.min() == y.max():
@@ -129,7 +134,7 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
         if len(held):
             by_text[np.unique(np.concatenate([runs[w] for w in held]))] += 1
     del order, runs
-    enough = by_text[bucket] >= LEAST
+    enough = by_text[bucket] >= max(2, LEAST * len(y))
     of, bucket, each = of[enough], bucket[enough], each[enough]
     used, bucket = np.unique(bucket, return_inverse=True)
     # texts in a random order, so that a batch of them is a run of entries, and words by their runs of rows
@@ -144,9 +149,12 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
     first = np.searchsorted(of[order], np.arange(len(words) + 1))
     table, out, bias = rng.normal(0, 0.1, (DIM, len(used))), rng.normal(0, 0.5, DIM), 0.0
     state = [[np.zeros_like(table), np.zeros_like(table)], [np.zeros(DIM), np.zeros(DIM)], [0.0, 0.0]]
-    weight = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
-    steps, step = EPOCHS * -(-len(y) // BATCH), 0
-    for start in [k for _ in range(EPOCHS) for k in range(0, len(y), BATCH)]:
+    share_1 = label.mean() if prior is None else prior
+    weight = np.where(label > 0, share_1 / label.mean(), (1 - share_1) / (1 - label.mean()))
+    batches = -(-len(y) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // batches))
+    steps, step = epochs * batches, 0
+    for start in [k for _ in range(epochs) for k in range(0, len(y), BATCH)]:
         step += 1
         end = min(start + BATCH, len(y))
         i, j = np.searchsorted(doc, [start, end])
@@ -192,21 +200,29 @@ def means(memo: Memo, text: pa.Array) -> np.ndarray:
     return np.bincount(doc, weight * value[first], len(text)) / (NEUTRAL + np.bincount(doc, weight, len(text)))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, score) of every whole text, with the columns ``keep`` as they are; no shuffle."""
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """All columns of ``docs`` under the names k0, k1 ..., with the score of the text; no shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    head = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
+    head = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)], F.col(f"`{text_col}`").cast("string").alias("read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         memo = kept(m.key, lambda: Memo(lambda tokens: word_projection(m, tokens)))
-        for batch, text in slices(batches, "__text"):
+        for batch, text in slices(batches, "read"):
             p = 1 / (1 + np.exp(-np.clip(means(memo, text) + m.bias, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != 1), pa.array(p)], [*(n for i, n in enumerate(batch.schema.names) if i != 1), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "score"])
 
-    kinds = head.schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds if f.name != "__text") + ", score double"
-    out = head.mapInArrow(run, schema)
-    return out.select("doc_id", "score", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+    return head.mapInArrow(run, T.StructType([*head.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, score) of every whole text; no shuffle."""
+    two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _scored(two, model, "text").select(F.col("k0").alias("doc_id"), "score")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns."""
+    return _scored(docs, model, text_col).where(F.col("score") < threshold).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
