@@ -6,9 +6,11 @@ itself.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Marks and prefixes of the formats that are read.
 THINK_END = "</think>"
@@ -121,14 +123,14 @@ def parse_box(text: Column) -> Column:
     return F.struct(*[checked[k].cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-@pandas_udf("string")
-def fixed2(value):
+@pandas_udf(StringType())
+def fixed2(value: pd.Series) -> pd.Series:
     """Two decimals, rounding the exact binary value, as documents are printed."""
     return value.map(lambda x: None if x != x else f"{x:.2f}")
 
 
-@pandas_udf("string")
-def fixed4(value):
+@pandas_udf(StringType())
+def fixed4(value: pd.Series) -> pd.Series:
     """Four decimals, as confidences are printed."""
     return value.map(lambda x: None if x != x else f"{x:.4f}")
 

@@ -7,15 +7,19 @@ are actions of a review, conversations are the steps of a drawing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import geometry as G
+from glyphmill.functions import masks
 from glyphmill.functions import text as T
 from glyphmill.functions import vectors as V
 from glyphmill.operators import aggregates, animation, joins, layout, ordered, review, sampling
+from glyphmill.sources import files
+from glyphmill.streaming import review as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -623,3 +627,88 @@ def hop_box(spark, sf_dir):
            round(x1 + (coalesce(c, x1) - x1) * j / 4, 6) AS x1, round(y1 + (coalesce(d, y1) - y1) * j / 4, 6) AS y1 FROM f""")
 def slide_box(spark, sf_dir):
     return animation.slide(_steps(spark, sf_dir)).withColumns({c: r6(c) for c in ("x0", "y0", "x1", "y1")})
+
+
+# Masks, documents, streams ---------------------------------------------------
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signs of a vector as an 8 by 8 mask, down the columns: (vec_id, mask)."""
+    e = F.col("embedding")
+    bits = F.transform(e, lambda x: (x > 0).cast("int"))
+    # runs of equal signs; a mask that starts with a set pixel has an empty first run
+    runs = F.aggregate(
+        bits,
+        F.struct(F.array(F.lit(0)).alias("counts"), F.lit(0).alias("last")),
+        lambda s, b: F.struct(
+            F.when(b == s["last"], F.concat(F.slice(s["counts"], F.lit(1), F.size(s["counts"]) - 1), F.array(F.element_at(s["counts"], -1) + 1))).otherwise(F.concat(s["counts"], F.array(F.lit(1)))).alias("counts"),
+            b.alias("last"),
+        ),
+    )
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), runs["counts"].alias("counts")).alias("mask"))
+
+
+_BITS = "WITH b AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: x > 0)) AS bit, unnest(range(0, 64)) AS i FROM embeddings) "
+
+
+@query(_BITS + "SELECT vec_id, count(*) FILTER (bit) AS area, coalesce(min(i // 8) FILTER (bit), 0)::DOUBLE AS x0, coalesce(min(i % 8) FILTER (bit), 0)::DOUBLE AS y0, coalesce(max(i // 8) FILTER (bit), 0)::DOUBLE AS x1, coalesce(max(i % 8) FILTER (bit), 0)::DOUBLE AS y1 FROM b GROUP BY 1")
+def mask_bounds(spark, sf_dir):
+    return _masks(spark, sf_dir).select("vec_id", masks.area(F.col("mask")).alias("area"), masks.bbox("mask").alias("b")).select("vec_id", "area", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+@query(_BITS + "SELECT a.vec_id, round(count(*) FILTER (a.bit AND o.bit) / count(*) FILTER (a.bit OR o.bit), 6) AS iou FROM b a JOIN b o ON o.vec_id = a.vec_id + 1 AND o.i = a.i GROUP BY 1")
+def mask_iou(spark, sf_dir):
+    m = _masks(spark, sf_dir)
+    other = m.select((F.col("vec_id") - 1).alias("vec_id"), F.col("mask").alias("m2"))
+    return m.join(other, "vec_id").select("vec_id", r6(masks.iou("mask", "m2")).alias("iou"))
+
+
+@query(_BITS + "SELECT a.vec_id, count(*) FILTER (a.bit OR o.bit) AS n_or, count(*) FILTER (a.bit AND o.bit) AS n_and, count(*) FILTER (a.bit AND NOT o.bit) AS n_not FROM b a JOIN b o ON o.vec_id = a.vec_id + 1 AND o.i = a.i GROUP BY 1")
+def mask_set_ops(spark, sf_dir):
+    m = _masks(spark, sf_dir)
+    both = m.join(m.select((F.col("vec_id") - 1).alias("vec_id"), F.col("mask").alias("m2")), "vec_id")
+    made = both.select("vec_id", masks.union("mask", "m2").alias("o"), masks.intersection("mask", "m2").alias("a"), masks.difference("mask", "m2").alias("d"))
+    return made.select("vec_id", masks.area(F.col("o")).alias("n_or"), masks.area(F.col("a")).alias("n_and"), masks.area(F.col("d")).alias("n_not"))
+
+
+@query("SELECT vec_id, true AS same FROM embeddings")
+def mask_rle_roundtrip(spark, sf_dir):
+    m = _masks(spark, sf_dir)
+    return m.select("vec_id", "mask", masks.of_text(masks.text_of("mask")).alias("back")).select("vec_id", (F.col("mask.counts") == F.col("back.counts")).alias("same"))
+
+
+@query("WITH " + _ROLES + "SELECT image_id, count(*) FILTER (role = 'block') AS n_blocks, count(*) FILTER (role = 'node') AS n_nodes, count(*) FILTER (role = 'child') AS n_children FROM roles GROUP BY 1")
+def xml_roundtrip(spark, sf_dir):
+    none = F.lit(None)
+    items = _items(spark, sf_dir).select("image_id", "ord", F.concat(F.lit("node_"), F.col("ord").cast("string")).alias("id"), F.lit("a < b").alias("text"), "box", none.cast("string").alias("mask"), none.cast("double").alias("conf"), F.lit(False).alias("is_raster"))
+    back = files.parse_xml(files.write_xml(layout.assemble(items)))
+    inside = F.size(layout.everything(F.col("nodes"), F.col("blocks"), "nodes")) - F.size("nodes")
+    return back.select("image_id", F.size("blocks").cast("long").alias("n_blocks"), F.size("nodes").cast("long").alias("n_nodes"), inside.cast("long").alias("n_children"))
+
+
+def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Runs a stream over what there is, and returns what it emitted."""
+    spark = stream.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query(_FSM + "SELECT user_id, state, n_legal, n_illegal FROM final")
+def stream_fsm(spark, sf_dir):
+    events = streams.stream_table(spark, sf_dir, "events").withColumn("action", looked_up(ACTIONS, "event_type"))
+    seen = _drained(streams.replay(events, "user_id"), "update", "fsm")
+    last = seen.groupBy("key").agg(F.max_by(F.struct("state", "n_legal", "n_illegal"), F.col("n_legal") + F.col("n_illegal")).alias("s"))
+    return last.select(F.col("key").alias("user_id"), "s.*")
+
+
+@query("""
+    WITH g AS (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+    s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 120000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+    t AS (SELECT user_id, k, count(*) AS n_events, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS active_seconds, epoch_us(min(ts)) AS started FROM s GROUP BY 1, 2)
+    SELECT user_id, n_events, active_seconds, started FROM t""")
+def stream_session(spark, sf_dir):
+    # complete mode, so that sessions that are still open are there too
+    spans = streams.stream_table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour").groupBy(F.session_window("t", "120 seconds"), "user_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("t").alias("a"), F.max("t").alias("b"))
+    out = _drained(spans, "complete", "session")
+    return out.select("user_id", "n_events", r6((F.unix_micros("b") - F.unix_micros("a")) / 1e6).alias("active_seconds"), F.unix_micros("a").alias("started"))
