@@ -48,13 +48,13 @@ def default_vocabulary() -> str:
 
 
 #: Pieces encoded in one call, joined; each starts at a place where a pre-token must start.
-_JOINED = 2_000
+_JOINED = 100
 
 
 class _Pieces:
     """Ids of distinct pieces as runs of one flat array; up to ``limit`` pieces are kept in a worker process."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
