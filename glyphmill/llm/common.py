@@ -82,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
             yield batch.slice(at, to - at), pa.concat_arrays([text.slice(at, to - at)])
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def split(text: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -112,7 +113,7 @@ class Memo:
     is bounded whatever the vocabulary.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 300_000):
         self.make, self.limit, self.ids, self.rows = make, limit, {}, None
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
@@ -147,10 +148,10 @@ _KEPT: dict[str, object] = {}
 
 
 def kept(key: str, make: Callable[[], object]) -> object:
-    """What ``make`` returns, made once in a worker process for each ``key``; the last few keys are kept."""
+    """What ``make`` returns, made once in a worker process for each ``key``; only the last key is kept, so that the steps of a pipeline don't add up."""
     if key not in _KEPT:
-        while len(_KEPT) >= 4:
-            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]
 

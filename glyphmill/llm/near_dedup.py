@@ -149,7 +149,7 @@ def _sum_by(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _memo() -> Memo:
-    return kept("shingle words", lambda: Memo(_word_codes, 500_000))
+    return kept("shingle words", lambda: Memo(_word_codes, 300_000))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
