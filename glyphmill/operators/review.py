@@ -49,7 +49,7 @@ def replay(events: DataFrame, key: str, order: list[str], action: str = "action"
         )
 
     zero = F.struct(F.lit(start).alias("state"), F.lit(0).alias("n_legal"), F.lit(0).alias("n_illegal"), F.lit(0).alias("n_reopened"))
-    return events.groupBy(key).agg(log.alias("log")).select(key, F.aggregate("log", zero, step).alias("r")).select(key, "r.*")
+    return events.groupBy(key).agg(log.alias("__log")).select(key, F.aggregate("__log", zero, step).alias("__r")).select(key, "__r.*")
 
 
 def human_touched(log: Column) -> Column:
@@ -114,7 +114,7 @@ def edited_points(edits: DataFrame, key: str, order: str) -> DataFrame:
 
     none = F.lit(None)
     zero = F.struct(none.cast("double").alias("x"), none.cast("double").alias("y"), F.lit(1).alias("label"), none.cast("string").alias("source"), none.cast("double").alias("original_x"), none.cast("double").alias("original_y"), F.lit(False).alias("present"))
-    return edits.groupBy(key).agg(log.alias("log")).select(key, F.aggregate("log", zero, step).alias("p")).select(key, "p.*")
+    return edits.groupBy(key).agg(log.alias("__log")).select(key, F.aggregate("__log", zero, step).alias("__p")).select(key, "__p.*")
 
 
 def undo_stack(log: DataFrame, key: str, order: str, limit: int = UNDO_LIMIT) -> DataFrame:
@@ -140,4 +140,4 @@ def undo_stack(log: DataFrame, key: str, order: str, limit: int = UNDO_LIMIT) ->
             F.when(new, empty).when(undo, push(s["redo"], top(s["undo"]))).when(redo, pop(s["redo"])).otherwise(s["redo"]).alias("redo"),
         )
 
-    return log.groupBy(key).agg(entries.alias("log")).select(key, F.aggregate("log", F.struct(empty.alias("undo"), empty.alias("redo")), step).alias("s")).select(key, "s.*")
+    return log.groupBy(key).agg(entries.alias("__log")).select(key, F.aggregate("__log", F.struct(empty.alias("undo"), empty.alias("redo")), step).alias("__s")).select(key, "__s.*")

@@ -174,9 +174,9 @@ def variant_pick(spark, sf_dir):
     return joins.pick_variant(docs, "lang", "variant", "doc_id").select("lang", "variant.source", "doc_id")
 
 
-@query("""SELECT 'doc' AS kind, list_sort(list(DISTINCT lang)) AS langs, list_sort(list(DISTINCT source)) AS sources FROM documents""")
+@query("""SELECT 'doc' AS kind, array_to_string(list_sort(list(DISTINCT lang)), ' ') AS langs, array_to_string(list_sort(list(DISTINCT source)), ' ') AS sources FROM documents""")
 def distinct_lists(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.lit("doc").alias("kind"), F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return table(spark, sf_dir, "documents").agg(F.lit("doc").alias("kind"), F.array_join(F.array_sort(F.collect_set("lang")), " ").alias("langs"), F.array_join(F.array_sort(F.collect_set("source")), " ").alias("sources"))
 
 
 # Review events --------------------------------------------------------------
@@ -571,10 +571,10 @@ def first_samples(spark, sf_dir):
 
 @query("""
     SELECT c_nationkey, c_custkey, coalesce(min(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_custkey END) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
-           min(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_custkey END) OVER (PARTITION BY c_nationkey)) AS next_index FROM customer""")
+           min(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_custkey END) OVER (PARTITION BY c_nationkey), -1) AS next_index FROM customer""")
 def next_flagged(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
-    return ordered.next_flagged(customers, "c_nationkey", "c_custkey", F.col("c_mktsegment") == "MACHINERY").select("c_nationkey", "c_custkey", "next_index")
+    return ordered.next_flagged(customers, "c_nationkey", "c_custkey", F.col("c_mktsegment") == "MACHINERY").select("c_nationkey", "c_custkey", F.coalesce("next_index", F.lit(-1)).alias("next_index"))
 
 
 @query("""
