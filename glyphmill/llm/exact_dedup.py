@@ -36,8 +36,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def frequent(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """Distinct digests that may hold more than ``support`` of the rows: at most 1 / support."""
-    return rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    """Distinct digests that may hold more than ``support`` of the rows: at most 1 / support.
+
+    The aggregate compares binary values by identity, so it gets them as text.
+    """
+    named = rows.select(F.hex("digest").alias("name"))
+    return named.stat.freqItems(["name"], support).select(F.explode("name_freqItems").alias("name")).select(F.unhex("name").alias("digest"))
 
 
 def groups(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
