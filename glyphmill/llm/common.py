@@ -97,6 +97,13 @@ def split(text: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, list[
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), starts - starts[0]
 
 
+def distinct(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct words as they come, and the number of each word among them."""
+    ids: dict[str, int] = {}
+    inverse = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+    return list(ids), inverse
+
+
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each of the runs that ``starts`` delimits; empty runs give 0."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)

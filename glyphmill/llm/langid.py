@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bounded_batches, grams, kept, plain, slices, split, sums, word_hash
+from glyphmill.llm.common import Memo, bounded_batches, distinct, grams, kept, plain, slices, split, sums, word_hash
 
 SAMPLE_ROWS, SAMPLE_TOTAL = 1_200, 12_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -62,11 +62,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     lang_of = np.array([model.langs.index(x) for x in sample["lang"].to_pylist()], np.int64)
     k = len(model.langs)
     by_token = np.bincount(codes.astype(np.int64) * k + np.repeat(lang_of, np.diff(starts)), minlength=len(tokens) * k).reshape(-1, k).astype(np.float64)
-    words, inverse = np.unique(np.array([plain(t) for t in tokens] or [""], dtype=object).astype(str), return_inverse=True)
-    inverse = inverse[: len(tokens)]
+    words, inverse = distinct([plain(t) for t in tokens])
     n = np.stack([np.bincount(inverse, by_token[:, i], len(words)) for i in range(k)], axis=1)
     letters = np.array([any(c.isalpha() for c in w) for w in words], bool)
-    words, n = words[letters].tolist(), n[letters]
+    words, n = [w for w, has in zip(words, letters) if has], n[letters]
 
     def learn(order: int, h: np.ndarray, weight: np.ndarray) -> None:
         known, at = np.unique(h, return_inverse=True)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import Memo, bounded_batches, grams, kept, plain, slices, split, word_hash
+from glyphmill.llm.common import Memo, bounded_batches, distinct, grams, kept, plain, slices, split, word_hash
 
 BUCKETS = 1 << 17
 ORDERS = (3, 4, 5)
@@ -106,6 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), sample["toxic"].to_numpy(), odds / (1 + odds))
 
 
+def _rows(first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Positions of the runs of some words, one after the other; ``first`` is where each word's run starts."""
+    size = first[held + 1] - first[held]
+    return np.arange(size.sum()) + np.repeat(first[held] - (np.cumsum(size) - size), size)
+
+
 def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Model:
     """Train on texts in memory; ``prior`` is the share of label 1 that the sample stands for."""
     y = (toxic > 0).astype(np.float64)
@@ -114,8 +120,8 @@ def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Mode
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))), key)
     codes, tokens, starts = split(text)
-    words, inverse = np.unique(np.array([plain(t) for t in tokens], dtype=object).astype(str), return_inverse=True)
-    words = words.tolist()
+    words, inverse = distinct([plain(t) for t in tokens])
+    del tokens
     doc = np.repeat(np.arange(len(y)), np.diff(starts))
     # one entry for each (document, word), weighted by its share of the document's words
     pair, n = np.unique(doc * len(words) + inverse[codes], return_counts=True)
@@ -124,19 +130,26 @@ def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Mode
     doc, word, n = doc[real], word[real], n[real].astype(np.float64)
     n = 1 + POWER * np.log(n)
     share = n / (NEUTRAL + np.bincount(doc, n, len(y)))[doc]
-    of, bucket = features(words)
-    each = 1 / np.bincount(of, minlength=len(words))[of]
+    # rows of the table of each word, one word after the other
+    parts, sizes = [], []
+    for k in range(0, len(words), 20_000):
+        of, row = features(words[k : k + 20_000])
+        parts.append(row[np.argsort(of, kind="stable")])
+        sizes.append(np.bincount(of, minlength=len(words[k : k + 20_000])))
+    bucket, size = np.concatenate(parts), np.concatenate(sizes)
+    del parts, words
+    each, first = 1 / size, np.concatenate([[0], np.cumsum(size)])
     # rows of the table that too few training texts use stay zero: they can't be told from noise
-    order = np.argsort(of, kind="stable")
-    runs = np.split(bucket[order], np.searchsorted(of[order], np.arange(1, len(words))))
     by_text = np.zeros(BUCKETS, np.int64)
     for held in np.split(word, np.searchsorted(doc, np.arange(1, len(y)))):
         if len(held):
-            by_text[np.unique(np.concatenate([runs[w] for w in held]))] += 1
-    del order, runs
-    enough = by_text[bucket] >= max(2, LEAST * len(y))
-    of, bucket, each = of[enough], bucket[enough], each[enough]
-    used, bucket = np.unique(bucket, return_inverse=True)
+            by_text[np.unique(bucket[_rows(first, held)])] += 1
+    used = np.flatnonzero(by_text >= max(2, LEAST * len(y)))
+    enough = (by_text >= max(2, LEAST * len(y)))[bucket]
+    first = np.concatenate([[0], np.cumsum(enough)])[first]
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    bucket = place[bucket[enough]]
     # texts in a random order, so that a batch of them is a run of entries, and words by their runs of rows
     rng = np.random.default_rng(SEED)
     place = rng.permutation(len(y))
@@ -144,9 +157,6 @@ def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Mode
     doc, word, share = place[doc][order], word[order], share[order]
     label = np.empty(len(y))
     label[place] = y
-    order = np.argsort(of, kind="stable")
-    bucket, each = bucket[order], each[order]
-    first = np.searchsorted(of[order], np.arange(len(words) + 1))
     table, out, bias = rng.normal(0, 0.1, (DIM, len(used))), rng.normal(0, 0.5, DIM), 0.0
     state = [[np.zeros_like(table), np.zeros_like(table)], [np.zeros(DIM), np.zeros(DIM)], [0.0, 0.0]]
     share_1 = label.mean() if prior is None else prior
@@ -160,8 +170,7 @@ def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Mode
         i, j = np.searchsorted(doc, [start, end])
         held, at = np.unique(word[i:j], return_inverse=True)
         size = first[held + 1] - first[held]
-        rows = np.arange(size.sum()) + np.repeat(first[held] - (np.cumsum(size) - size), size)
-        mine, b, e = np.repeat(np.arange(len(held)), size), bucket[rows], each[rows]
+        mine, b, e = np.repeat(np.arange(len(held)), size), bucket[_rows(first, held)], np.repeat(each[held], size)
         text_of, s, n_words, n_texts = doc[i:j] - start, share[i:j], len(held), end - start
         mean = np.stack([np.bincount(text_of, s * np.bincount(mine, e * row[b], n_words)[at], n_texts) for row in table])
         # a softmax over two classes has one free direction, ``out``
