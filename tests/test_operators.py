@@ -201,3 +201,55 @@ def test_predictors(spark):
     with pytest.raises(KeyError):
         predictors.get("none")
     assert predictors.replayed(df, spark.createDataFrame([("a", "y")], "id string, answer string")).where("ok").count() == 1
+
+
+def test_records_round_trip(spark):
+    from glyphmill.sources import records
+
+    points = spark.createDataFrame([("img", 0, 10.0, 20.0), ("img", 1, 30.0, 40.0)], "image_id string, object_id int, x double, y double")
+    made = records.proposed(points)
+    ids = [r.instance.id for r in made.orderBy("instance.id").collect()]
+    image = F.struct(F.lit("img").alias("id"), F.array(F.lit("gone"), *map(F.lit, reversed(ids))).alias("instances"))
+    whole = made.groupBy("image_id").agg(F.collect_list("instance").alias("all")).select(records.to_json(image, F.col("all")).alias("j")).select(records.from_json(F.col("j")).alias("r")).first().r
+    assert [i.id for i in whole.instances] == ids[::-1] and {i.state for i in whole.instances} == {"proposed"} and whole.schema_version == 1
+
+
+def test_writes_are_checked(spark):
+    from glyphmill.sources import records
+
+    writes = spark.createDataFrame([("a", "u", "done"), ("a", "x", "done"), ("a", "u", "odd"), ("z", "u", None), ("a", None, None)], "sample_id string, user string, status string")
+    got = records.checked(writes, ["u"], spark.createDataFrame([("a",)], "sample_id string"))
+    assert sorted(str(r.problem) for r in got.collect()) == ["None", "unknown sample", "unknown status", "unknown user", "unknown user"]
+
+
+def test_stages_write_and_read(spark, tmp_path):
+    from glyphmill.plans.stages import Pipeline
+
+    p = Pipeline(str(tmp_path), "set")
+
+    @p.stage("double")
+    def double(df):
+        return df.withColumn("x", F.col("id") * 2)
+
+    @p.stage("few")
+    def few(df):
+        return df.where("x < 10")
+
+    assert p.run(spark, spark.range(100)).count() == 5
+    with pytest.raises(KeyError):
+        p.run(spark, spark.range(1), only=["none"])
+
+
+def test_stream_of_writes_equals_batch(spark, tmp_path):
+    from glyphmill.streaming import review as streams
+
+    rows = [(i % 7, i, f"t{i}" if i % 2 else None, f"u{i}", "done" if i % 5 == 0 else None) for i in range(60)]
+    schema = "k int, at int, tex string, user string, status string"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    streams.upsert_stream(stream, str(tmp_path / "log"), str(tmp_path / "check"), "k", ["at"], "tex", "user", "status").awaitTermination()
+    got = streams.current(spark, str(tmp_path / "log"), "k", ["at"], "tex", "user", "status")
+    want = ordered.upsert(spark.createDataFrame(rows, schema), "k", ["at"], "tex", "user", "status")
+    key = lambda df: sorted((r.k, r.tex, r.user, r.status) for r in df.collect())
+    assert key(got) == key(want)
