@@ -17,7 +17,7 @@ from glyphmill.functions import geometry as G
 from glyphmill.functions import masks
 from glyphmill.functions import text as T
 from glyphmill.functions import vectors as V
-from glyphmill.operators import aggregates, animation, joins, layout, ordered, review, sampling
+from glyphmill.operators import aggregates, animation, drawing, joins, layout, ordered, review, sampling
 from glyphmill.sources import files
 from glyphmill.streaming import review as streams
 
@@ -712,3 +712,33 @@ def stream_session(spark, sf_dir):
     spans = streams.stream_table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour").groupBy(F.session_window("t", "120 seconds"), "user_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("t").alias("a"), F.max("t").alias("b"))
     out = _drained(spans, "complete", "session")
     return out.select("user_id", "n_events", r6((F.unix_micros("b") - F.unix_micros("a")) / 1e6).alias("active_seconds"), F.unix_micros("a").alias("started"))
+
+
+# Drawing --------------------------------------------------------------------
+
+
+@query("WITH " + _BOXES + """, h AS (SELECT *, round((row_number() OVER (PARTITION BY image_id ORDER BY ord) - 1) / count(*) OVER (PARTITION BY image_id), 6) AS hue FROM b)
+    SELECT image_id, ord, 'box' AS kind, x0, y0, x1, y1, '' AS text, hue FROM h
+    UNION ALL SELECT image_id, ord, 'text', (x0 + x1) / 2, (y0 + y1) / 2, (x0 + x1) / 2, (y0 + y1) / 2, flag, hue FROM h""")
+def overlay_rows(spark, sf_dir):
+    return drawing.overlay(_items(spark, sf_dir), F.col("flag")).withColumn("hue", r6("hue"))
+
+
+@query("WITH " + _BOXES + "SELECT image_id, ord, row_number() OVER (PARTITION BY image_id ORDER BY ord)::INT AS rank FROM b WHERE flag <> 'N'")
+def label_ranks(spark, sf_dir):
+    return drawing.label_ranks(_items(spark, sf_dir), F.col("flag") != "N").select("image_id", "ord", "rank")
+
+
+@query("""SELECT l_orderkey AS image_id, l_linenumber AS ord, arg_min(l_quantity, (l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS x, arg_min(l_extendedprice, (l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS y FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2""")
+def mask_prompts(spark, sf_dir):
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("ord"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("point_ord"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), (F.col("l_returnflag") != "N").cast("int").alias("label"))
+    return drawing.prompts(points)
+
+
+@query("WITH " + _BOXES + """, n AS (SELECT image_id, ord AS id, x0, y0, x1, y1 FROM b), e AS (SELECT image_id, ord AS s, ord + 1 AS d FROM b)
+    SELECT e.image_id, e.s AS src_id, e.d AS dst_id, (p.x0 + p.x1) / 2 AS x0, (p.y0 + p.y1) / 2 AS y0, (q.x0 + q.x1) / 2 AS x1, (q.y0 + q.y1) / 2 AS y1
+    FROM e JOIN n p ON p.image_id = e.image_id AND p.id = e.s JOIN n q ON q.image_id = e.image_id AND q.id = e.d""")
+def edge_lines(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    edges = items.select("image_id", F.col("ord").alias("src_id"), (F.col("ord") + 1).alias("dst_id"))
+    return drawing.edge_lines(edges, items.select("image_id", F.col("ord").alias("id"), "box"))

@@ -253,3 +253,13 @@ def test_stream_of_writes_equals_batch(spark, tmp_path):
     want = ordered.upsert(spark.createDataFrame(rows, schema), "k", ["at"], "tex", "user", "status")
     key = lambda df: sorted((r.k, r.tex, r.user, r.status) for r in df.collect())
     assert key(got) == key(want)
+
+
+def test_losses():
+    from glyphmill.functions import losses
+
+    truth = np.zeros((8, 8))
+    truth[2:6, 2:6] = 1
+    good, bad = (truth * 2 - 1) * 9, (1 - truth * 2) * 9
+    assert losses.dice(good, truth) < 0.01 < losses.dice(bad, truth) and losses.cross_entropy(good, truth) < 0.01 < losses.cross_entropy(bad, truth)
+    assert losses.overlap_error(1.0, good, truth) == 0 and losses.overlap_error(1.0, bad, truth) == 1
