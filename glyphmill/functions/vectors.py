@@ -29,15 +29,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     be few, else in blocks of queries.  Each task keeps its own k best before
     the shuffle (Spark's group limit below the window).
     """
-    side = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q"), norm(F.col(vec_col)).alias("qn"))
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("vn"))
+    # zero vectors, which are similar to nothing, go before the join, so that the similarity is computed once
+    side = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q"), norm(F.col(vec_col)).alias("qn")).where(F.col("qn") > 0)
+    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("vn")).where(F.col("vn") > 0)
     n = side.count()
     blocks = -(-n // BROADCAST_QUERIES) or 1
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     out = None
     for b in range(blocks):
         part = side if blocks == 1 else side.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = base.join(F.broadcast(part), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(F.try_divide(dot(F.col("v"), F.col("q")), F.col("vn") * F.col("qn")), 6).alias("similarity"))
-        best = met.where(F.col("similarity").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= k)
+        met = base.join(F.broadcast(part), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), 6).alias("similarity"))
+        best = met.withColumn("rank", rank).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out

@@ -294,9 +294,14 @@ def click_dedup(spark, sf_dir):
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as boxes of an image: (image_id, ord, box, flag, src, dst)."""
-    ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     b = G.box_xywh(F.col("l_quantity"), F.col("l_partkey") % 50, F.col("l_linenumber") * 8, F.col("l_suppkey") % 40)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), ord_.alias("ord"), b.alias("box"), F.col("l_returnflag").alias("flag"), (F.col("l_partkey") % 20).alias("src"), (F.col("l_suppkey") % 20).alias("dst"))
+    return _numbered_lines(table(spark, sf_dir, "lineitem")).select("image_id", "ord", b.alias("box"), F.col("l_returnflag").alias("flag"), (F.col("l_partkey") % 20).alias("src"), (F.col("l_suppkey") % 20).alias("dst"))
+
+
+def _numbered_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their image and number in it; named first, so that later windows and joins on the image reuse this shuffle."""
+    ord_ = F.row_number().over(Window.partitionBy("image_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    return lines.select(F.col("l_orderkey").alias("image_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag").withColumn("ord", ord_)
 
 
 _BOXES = """
@@ -378,10 +383,9 @@ def box_iou_pairs(spark, sf_dir):
     ), done AS (SELECT image_id, arg_max(kept, k) AS kept FROM walk GROUP BY 1)
     SELECT image_id, u.ord AS ord FROM (SELECT image_id, unnest(kept) AS u FROM done)""")
 def box_nms(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
-    ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    lines = _numbered_lines(table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R"))
     b = G.box_xywh(F.col("l_quantity"), F.col("l_partkey") % 50, F.col("l_linenumber") * 8, F.col("l_suppkey") % 40)
-    return joins.suppress(lines.select(F.col("l_orderkey").alias("image_id"), ord_.alias("ord"), b.alias("box")), 0.3)
+    return joins.suppress(lines.select("image_id", "ord", b.alias("box")), 0.3)
 
 
 @query("""
