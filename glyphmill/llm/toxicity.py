@@ -43,7 +43,7 @@ NEUTRAL = 30
 #: A word that comes n times weighs 1 + POWER * ln n.
 POWER = 0.3
 #: Share of the sample's texts (two texts at least) that must use a row of the table before it is trained; steps of the fit at least.
-LEAST, STEPS = 0.005, 240
+LEAST, STEPS = 0.015, 240
 
 
 @dataclass
