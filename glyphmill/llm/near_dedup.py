@@ -114,7 +114,7 @@ def bag_minhash(of: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, size:
     while todo.any():
         mine = todo[of]
         o, x, w = of[mine], h[mine], count[mine]
-        levels = np.array([1 + int(c - 1).bit_length() for c in w]) if (w > 1).any() else np.ones(len(w), np.int64)
+        levels = 1 + np.frexp((w - 1).astype(np.float64))[1].astype(np.int64)  # one more than the bits of w - 1
         level = np.arange(levels.sum()) - np.repeat(np.cumsum(levels) - levels, levels)
         o, x, w = np.repeat(o, levels), np.repeat(x, levels), np.repeat(w, levels)
         low = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
