@@ -180,3 +180,30 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFra
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     gone = materialise(matches(numbered, items, id_col="__row", text_col=text_col, row="__row").select(F.col("row").alias("__row")).distinct(), "contaminated")
     return numbered.join(gone, "__row", "left_anti").select(*columns)
+
+
+#: DuckDB SQL for ``matches``: all windows that share a shingle with an item, compared exactly.  It has no fingerprints,
+#: so it would also name a window beyond the radius, which lies four deviations out.
+SQL = r"""
+WITH i AS (
+  SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM benchmark
+), items AS (SELECT *, least(len(w), 5) AS width, len(w) - least(len(w), 5) + 1 AS m FROM i WHERE len(w) > 0),
+item_shingles AS (
+  SELECT item, width, array_to_string(w[k + 1 : k + width], ' ') AS h, count(*) AS ci
+  FROM (SELECT *, unnest(range(0, m)) AS k FROM items) GROUP BY item, width, h
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM documents
+), places AS (
+  SELECT rid, width, unnest(range(0, len(w) - width + 1)) AS p, w, len(w) - width + 1 AS n FROM d, (SELECT DISTINCT width FROM items) WHERE len(w) >= width
+), shingles AS (SELECT rid, width, p, n, array_to_string(w[p + 1 : p + width], ' ') AS h FROM places),
+hits AS (SELECT s.rid, s.width, s.p, s.n, x.item, t.m FROM shingles s JOIN item_shingles x ON s.h = x.h AND s.width = x.width JOIN items t ON t.item = x.item),
+windows AS (SELECT DISTINCT rid, width, item, m, unnest(range(greatest(p - m + 1, 0), least(p, greatest(n - m, 0)) + 1)) AS s FROM hits),
+held AS (
+  SELECT v.rid, v.width, v.item, v.m, v.s, s.h, count(*) AS c FROM windows v JOIN shingles s ON s.rid = v.rid AND s.width = v.width AND s.p BETWEEN v.s AND v.s + v.m - 1 GROUP BY ALL
+), compared AS (
+  SELECT h.rid, h.item, h.m, h.s, sum(h.c) AS nw, sum(least(h.c, coalesce(x.ci, 0))) AS shared
+  FROM held h LEFT JOIN item_shingles x ON x.item = h.item AND x.h = h.h GROUP BY ALL
+), alike AS (SELECT *, shared::DOUBLE / (nw + m - shared)::DOUBLE AS similarity FROM compared WHERE shared::DOUBLE / (nw + m - shared)::DOUBLE >= 0.8),
+best AS (SELECT rid, item, max(similarity) AS similarity, arg_min(s, (-similarity, s)) AS start FROM alike GROUP BY rid, item)
+SELECT d.doc_id, t.item_id, b.start::INT AS start, b.similarity FROM best b JOIN d ON d.rid = b.rid JOIN items t ON t.item = b.item
+"""
