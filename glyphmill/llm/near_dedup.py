@@ -52,7 +52,7 @@ from glyphmill.llm.common import Memo, bounded_batches, kept, materialise, mix64
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-ROUNDS = 3
+ROUNDS = 2
 #: Vertices of buckets that are compared pair by pair; vertices of a tile of larger ones; elements compared at once.
 SMALL, TILE, COLUMNS = 16, 512, 4096
 #: Vertices up to which a set of vertices is broadcast; their number is counted first.
@@ -339,8 +339,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     few = left.where(F.col("n") <= SMALL)
     pairs = few.join(few.select("key", F.col("v").alias("c"), F.col("root").alias("c_root")), "key").where(F.col("root") < F.col("c_root")).select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
     fresh = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    root = _merged(root, materialise(verified(fresh, els, similarity), "links-small"))
-    root = _merged(root, materialise(_tiled(left.where(F.col("n") > SMALL), els, similarity), "links-large"))
+    small = materialise(verified(fresh, els, similarity), "links-small")
+    large = materialise(_tiled(left.where(F.col("n") > SMALL), els, similarity), "links-large")
+    root = _merged(root, small.unionAll(large))
     named = vertex.join(root, "v", "left").select("d1", "d2", F.coalesce("root", "v").alias("root"))
     rows = sigs.select("doc_id", "row", "n", "d1", "d2")
     wordy = rows.where(F.col("n") > 0).join(named, ["d1", "d2"]).select("doc_id", "row", "root")
