@@ -8,8 +8,13 @@ conditional log-probabilities over all words scores a text; their mean is
 comparable between texts.
 
 Everything comes from the whole corpus.  Word counts cover all words of all
-texts; the most frequent words are symbols, and all other words share
-``RARE`` symbols by a hash of their last two letters.  Training sees every
+texts; the most frequent words are symbols of the network, and all other words share
+``RARE`` symbols by a hash of their last two letters.  A word that shares a
+symbol has the symbol's probability times its own within the symbol, which is
+its count over the symbol's, from the table of all words' counts (Witten-Bell:
+words that were never counted get the rest, by their characters).  The values
+of up to ``HELD`` words travel to the workers, all others are joined by word,
+which changes where a value is found and not the value.  Training sees every
 text: each task trains in numpy from the same start on ``SHARE`` of the
 positions of its texts, and the models are averaged by the number of
 positions they saw.  Sums of models are formed in two steps with constant
@@ -19,6 +24,7 @@ with the input; what the driver holds is one model.
 Defined cases: null, empty and wordless texts have 0 tokens and score 0;
 repeated rows score alike; a null id is carried along; an empty table gives
 no rows, a corpus without words an untrained model; other columns are ignored.
+Probabilities of all words at a place sum to at most 1.
 Rerun on files that are split alike, scores agree.
 """
 
@@ -26,7 +32,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ CLASSES, IN_CLASS = 64, 64
 SYMBOLS = CLASSES * IN_CLASS
 RARE = 64
 FREQUENT = SYMBOLS - RARE
+#: Words beyond the frequent ones whose values workers hold; characters there are; units of a sum of logarithms, so that its order doesn't matter.
+HELD, CHARACTERS, UNITS = 200_000, 0x110000, 1 << 30
 OFFSETS = (-2, -1, 1, 2)
 DIM = 16
 SHARE, BATCH, RATE, SEED = 0.25, 8192, 3.0, 5
@@ -50,11 +58,55 @@ SHAPES = {"embed": (len(OFFSETS), SYMBOLS + 1, DIM), "hidden": (DIM,), "cls": (D
 
 @dataclass
 class Model:
-    """``symbols`` of frequent words by rank, parameters by name."""
+    """``symbols`` of frequent words by rank, parameters by name, and what tells the words of a symbol apart."""
 
     symbols: dict[str, int]
     params: dict[str, np.ndarray]
     key: str
+    within: Within
+
+
+#: What is known of a token: its symbol (-1: no word), the hash of a word that is to be joined (else 0), its log-probability within the symbol, for joined words as if never counted.
+TOKEN = np.dtype([("symbol", "i4"), ("name", "i8"), ("log_p", "f8")])
+
+
+@dataclass
+class Within:
+    """Words of the ``RARE`` symbols: log-probabilities of ``held`` words, log share of words never counted by symbol, their characters' log-probabilities, and ``rest``, rows (name, log_p) of all others."""
+
+    held: dict[str, float] = field(default_factory=dict)
+    new: np.ndarray = field(default_factory=lambda: np.zeros(RARE))
+    chars: np.ndarray = field(default_factory=lambda: np.full(1, -np.log(CHARACTERS + 1)))
+    rest: DataFrame | None = None
+
+    def sent(self) -> Within:
+        """Without the rows, which stay a table."""
+        return Within(self.held, self.new, self.chars)
+
+    def tokens(self, symbols: dict[str, int], tokens: list[str]) -> np.ndarray:
+        out = np.zeros(len(tokens), TOKEN)
+        out["symbol"] = symbol_of(symbols, tokens)
+        at = np.flatnonzero(out["symbol"] >= FREQUENT)
+        words = [plain(tokens[i]) for i in at]
+        value = np.fromiter((self.held.get(w, np.nan) for w in words), np.float64, len(words))
+        other = np.flatnonzero(np.isnan(value))
+        if len(other):
+            words = [words[i] for i in other]
+            value[other] = self.new[out["symbol"][at[other]] - FREQUENT] + self.spelled(words)
+            out["name"][at[other]] = names(words)
+        out["log_p"][at] = value
+        return out
+
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word's characters and its end; the last entry of ``chars`` is for unseen ones, the first for the end."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        return sums(self.chars[np.minimum(codes, len(self.chars) - 1)], np.concatenate([[0], np.cumsum(lengths)])) + self.chars[0]
+
+
+def names(words: list[str]) -> np.ndarray:
+    """A hash of each word that is never 0."""
+    return (word_hash(words, 11) | np.uint64(1)).view(np.int64)
 
 
 def pack(params: dict[str, np.ndarray]) -> np.ndarray:
@@ -95,6 +147,52 @@ def symbol_of(symbols: dict[str, int], tokens: list[str]) -> np.ndarray:
     return out
 
 
+def within(counted: DataFrame, symbols: dict[str, int]) -> Within:
+    """Counts of all words that share symbols, by symbol, by word and by character; one narrow pass over the counted words and one over the rest."""
+    spark = counted.sparkSession
+    sent = spark.sparkContext.broadcast(symbols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(0).to_pylist()
+            s = symbol_of(sent.value, words)
+            at = np.flatnonzero(s >= FREQUENT)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(names([words[i] for i in at])), pa.array((s[at] - FREQUENT).astype(np.int32)), b.column(1).take(pa.array(at))], ["word", "name", "symbol", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CHARACTERS + 1, np.int64)
+        for b in batches:
+            codes = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            n = np.bincount(codes)
+            total[1 : len(n) + 1] += n
+            total[0] += b.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
+
+    rare = materialise(counted.mapInArrow(run, "word string, name long, symbol int, n long"), "rare")
+    by_symbol = rare.groupBy("symbol").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    if not by_symbol:
+        return Within()
+    total, kinds = np.ones(RARE), np.ones(RARE)
+    for r in by_symbol:
+        total[r["symbol"]], kinds[r["symbol"]] = r["n"] + r["words"], r["words"]
+    # words that were counted once or more are spelled as new ones will be
+    by_char = rare.select("word").mapInArrow(spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = by_char["code"].to_numpy(), by_char["n"].to_numpy()
+    chars = np.ones(code.max() + 2)
+    chars[code] += n
+    chars = np.log(chars / (n.sum() + CHARACTERS + 1))
+    # the least count of which there are few enough words
+    times = rare.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().sort_by([("n", "descending")])
+    fit_in = np.flatnonzero(np.cumsum(times["words"].to_numpy()) <= HELD)
+    bar = times["n"][int(fit_in[-1])].as_py() if len(fit_in) else times["n"][0].as_py() + 1
+    top = rare.where(F.col("n") >= bar).select("word", "symbol", "n").toArrow()
+    held = dict(zip(top["word"].to_pylist(), np.log(top["n"].to_numpy() / total[top["symbol"].to_numpy()]).tolist()))
+    logs = F.element_at(F.array(*[F.lit(float(x)) for x in np.log(total)]), F.col("symbol") + 1)
+    rest = rare.where(F.col("n") < bar).groupBy("name").agg(F.sum("n").alias("n"), F.min("symbol").alias("symbol")).select("name", (F.log("n") - logs).alias("log_p"))
+    return Within(held, np.log(kinds / total), chars, rest)
+
+
 def start(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Untrained parameters whose biases already give the unigram distribution of ``counts`` by symbol."""
     rng = np.random.default_rng(SEED)
@@ -196,6 +294,16 @@ def _texts(symbols: dict[str, int], key: str, text: pa.Array) -> tuple[np.ndarra
     return all_[real], doc[real]
 
 
+def _known(symbols: dict[str, int], inside: Within, key: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is known of the distinct tokens, the token of every word, and the text each is in."""
+    memo = kept(f"tokens {key}", lambda: Memo(lambda tokens: inside.tokens(symbols, tokens)))
+    codes, tokens, starts = split(text)
+    known = memo(tokens)
+    doc = np.repeat(np.arange(len(text)), np.diff(starts))
+    real = known["symbol"][codes] >= 0
+    return known, codes[real], doc[real]
+
+
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the models' rows (group, block, seen, values) by keys, in memory of one model a task."""
 
@@ -225,6 +333,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     rest = (counted.agg(F.sum("n")).first()[0] or 0) - by_symbol.sum()
     by_symbol[FREQUENT:] = rest / RARE
     first = start(by_symbol)
+    inside = within(counted, symbols)
     key = f"lm {uuid.uuid4().hex}"
     sent = spark.sparkContext.broadcast((symbols, first))
 
@@ -251,22 +360,37 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     trained = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "group int, block int, seen double, values binary")
     rows = _summed(_summed(trained, ["group", "block"]), ["block"]).orderBy("block").collect()
     if not rows:
-        return Model(symbols, first, key)
-    return Model(symbols, unpack(np.concatenate([np.frombuffer(r["values"], "<f8") / r["seen"] for r in rows])), key)
+        return Model(symbols, first, key, inside)
+    return Model(symbols, unpack(np.concatenate([np.frombuffer(r["values"], "<f8") / r["seen"] for r in rows])), key, inside)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens, log_prob, score) of every whole text: sum and mean of the words' log-probabilities; no shuffle."""
+    """Rows (doc_id, n_tokens, log_prob, score) of every whole text: sum and mean of the words' log-probabilities.
+
+    Only words whose values the workers don't hold are shuffled, as numbers.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast((model.symbols, model.params, model.key, model.within.sent()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        symbols, params, key, inside = sent.value
         for batch, text in slices(batches, "text"):
-            s, doc = _texts(m.symbols, m.key, text)
+            known, code, doc = _known(symbols, inside, key, text)
+            s = known["symbol"][code].astype(np.int64)
             n = np.bincount(doc, minlength=len(text)).astype(np.int64)
-            total = sums(log_probs(m.params, windows(s, doc), s), np.concatenate([[0], np.cumsum(n)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_prob", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, score double")
+            name = known["name"][code]
+            joined = name != 0
+            each = log_probs(params, windows(s, doc), s) + np.where(joined, 0.0, known["log_p"][code])
+            total = sums(each, np.concatenate([[0], np.cumsum(n)]))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(doc[joined], minlength=len(text)))]).astype(np.int32)
+            words = pa.StructArray.from_arrays([pa.array(name[joined]), pa.array(known["log_p"][code[joined]].astype(np.float32))], ["name", "new"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), pa.ListArray.from_arrays(pa.array(starts), words)], ["doc_id", "row", "n_tokens", "log_prob", "words"])
+
+    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    scored = materialise(numbered.mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double, words array<struct<name: long, new: float>>"), "scored")
+    rest = model.within.rest if model.within.rest is not None else spark.createDataFrame([], "name long, log_p double")
+    found = scored.select("row", F.inline("words")).join(rest, "name", "left")
+    more = found.groupBy("row").agg((F.sum(F.round(F.coalesce("log_p", F.col("new").cast("double")) * UNITS).cast("long")) / UNITS).alias("more"))
+    whole = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    return scored.join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_prob"), (whole / F.greatest("n_tokens", F.lit(1))).alias("score"))

@@ -151,3 +151,20 @@ def test_language_model_odd_rows(odd, odd_rows, empty):
     assert all((r.n_tokens == 0 and r.score == 0) if r.doc_id in (0, 1, 2, 10) else r.n_tokens > 0 for r in got if r.doc_id is not None)
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
     assert lm_score.score(odd, lm_score.fit(empty)).count() == len(odd_rows)
+
+
+def test_rare_words_are_predicted(spark, table_of, monkeypatch):
+    """Within a symbol, counted words score by their counts and others by their characters, wherever values are held."""
+    common = [f"c{i}" for i in range(lm_score.FREQUENT)]
+    # of the words that end alike and share a symbol, one is eight times as frequent
+    docs = [(i, " ".join(common[i::10] * 12), None, None) for i in range(10)] + [(10 + i, "oftenzz c1 " * 8 + "seldomzz c2", None, None) for i in range(1)]
+    df = table_of(docs)
+    probe = table_of([(1, "oftenzz", None, None), (2, "seldomzz", None, None), (3, "neverseenqqxjwzz", None, None)])
+    seen = []
+    for held in (200_000, 1, 0):
+        monkeypatch.setattr(lm_score, "HELD", held)
+        model = lm_score.fit(df)
+        got = {r.doc_id: r.score for r in lm_score.score(probe, model).collect()}
+        assert abs(got[1] - got[2] - np.log(8)) < 1e-6 and got[3] < got[2] - 5
+        seen.append(got)
+    assert all(abs(x[i] - seen[0][i]) < 1e-3 for x in seen for i in x)
