@@ -15,9 +15,8 @@ its count over the symbol's, from the table of all words' counts (Witten-Bell:
 words that were never counted get the rest, by their characters).  The values
 of up to ``HELD`` words travel to the workers, all others are joined by word,
 which changes where a value is found and not the value.  Training sees every
-text: each task trains in numpy from the same start on ``SHARE`` of the
-positions of its texts, and the models are averaged by the number of
-positions they saw.  Sums of models are formed in two steps with constant
+text: each task trains in numpy from the same start on all positions of its
+texts, and the models are averaged by the number of positions they saw.  Sums of models are formed in two steps with constant
 memory, first over groups of tasks, then over all.  What is gathered grows
 with the input; what the driver holds is one model.
 
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bounded_batches, distinct, kept, materialise, mix64, plain, slices, split, sums, word_hash
+from glyphmill.llm.common import Memo, bounded_batches, distinct, kept, materialise, plain, slices, split, sums, word_hash
 
 CLASSES, IN_CLASS = 64, 64
 SYMBOLS = CLASSES * IN_CLASS
@@ -49,7 +48,7 @@ FREQUENT = SYMBOLS - RARE
 HELD, CHARACTERS, UNITS = 200_000, 0x110000, 1 << 30
 OFFSETS = (-2, -1, 1, 2)
 DIM = 16
-SHARE, BATCH, RATE, SEED = 0.25, 8192, 3.0, 5
+BATCH, RATE, SEED = 8192, 3.0, 5
 #: Floats of a row in which models travel; groups of tasks that are summed first.
 BLOCK, GROUPS = 8192, 64
 
@@ -58,12 +57,13 @@ SHAPES = {"embed": (len(OFFSETS), SYMBOLS + 1, DIM), "hidden": (DIM,), "cls": (D
 
 @dataclass
 class Model:
-    """``symbols`` of frequent words by rank, parameters by name, and what tells the words of a symbol apart."""
+    """``symbols`` of frequent words by rank, parameters by name, what tells the words of a symbol apart, and how many positions were trained on."""
 
     symbols: dict[str, int]
     params: dict[str, np.ndarray]
     key: str
     within: Within
+    seen: int = 0
 
 
 #: What is known of a token: its symbol (-1: no word), the hash of a word that is to be joined (else 0), its log-probability within the symbol, for joined words as if never counted.
@@ -217,71 +217,102 @@ def windows(symbols: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _level(x: np.ndarray) -> None:
+    """Shift rows by their largest value, in place, where powers of e would leave the range of floats otherwise."""
+    if x.size and max(x.max(), -x.min()) > 60:
+        x -= x.max(axis=1, keepdims=True)
+
+
+def _add_up(x: np.ndarray) -> np.ndarray:
+    """Sum of each row; a product is faster than a sum over a short axis."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    _level(x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= (1 / _add_up(x))[:, None]
+    return x
+
+
+def _classes(p: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    x = h @ p["cls"]
+    x += p["cls_bias"]
     return x
 
 
 def _hidden(p: dict[str, np.ndarray], near: np.ndarray) -> np.ndarray:
-    total = p["embed"][0][near[0]]
+    total = p["embed"][0].take(near[0], axis=0)
     for k in range(1, len(OFFSETS)):
-        total += p["embed"][k][near[k]]
-    return np.tanh(total + p["hidden"])
+        total += p["embed"][k].take(near[k], axis=0)
+    total += p["hidden"]
+    return np.tanh(total, out=total)
 
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    cls = target // IN_CLASS
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the positions by class, and (class, first, last + 1) of each class there."""
+    cls = (target // IN_CLASS).astype(np.uint8)  # small numbers are sorted by their digits
     order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))]).tolist()
+    return order, [(c, edges[c], edges[c + 1]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+
+
+def _in_class(p: dict[str, np.ndarray], h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the words of each position's class, for positions ordered by class."""
+    y = np.empty((len(h), IN_CLASS), np.float32)
+    for c, a, b in runs:
+        np.matmul(h[a:b], p["word"][c], out=y[a:b])
+        y[a:b] += p["word_bias"][c]
+    return y
+
+
+def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    _level(x)
+    picked = x[np.arange(len(x)), column]
+    np.exp(x, out=x)
+    return picked - np.log(_add_up(x))
 
 
 def log_probs(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of every target given its neighbours."""
     out = np.empty(len(target), np.float64)
     for a in range(0, len(target), BATCH):
-        t = target[a : a + BATCH]
-        h = _hidden(p, near[:, a : a + BATCH])
-        x = h @ p["cls"] + p["cls_bias"]
-        x -= x.max(axis=1, keepdims=True)
-        score = x[np.arange(len(t)), t // IN_CLASS] - np.log(np.exp(x).sum(axis=1))
-        for c, at in _by_class(t):
-            y = h[at] @ p["word"][c] + p["word_bias"][c]
-            y -= y.max(axis=1, keepdims=True)
-            score[at] += y[np.arange(len(at)), t[at] % IN_CLASS] - np.log(np.exp(y).sum(axis=1))
-        out[a : a + BATCH] = score
+        order, runs = _by_class(target[a : a + BATCH])
+        t = target[a : a + BATCH][order]
+        h = _hidden(p, near[:, a : a + BATCH][:, order])
+        out[a + order] = _log_softmax_at(_classes(p, h), t // IN_CLASS) + _log_softmax_at(_in_class(p, h, runs), t % IN_CLASS)
     return out
 
 
 def step(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of stochastic gradient descent on a batch of positions, in place."""
     n = len(target)
+    order, runs = _by_class(target)
+    near, target = near[:, order], target[order]
     h = _hidden(p, near)
-    g = _softmax(h @ p["cls"] + p["cls_bias"])
+    g = _softmax(_classes(p, h))
     g[np.arange(n), target // IN_CLASS] -= 1
     back = g @ p["cls"].T
-    moves = [("cls", h.T @ g), ("cls_bias", g.sum(axis=0))]
-    for c, at in _by_class(target):
-        hc = h[at]
-        y = _softmax(hc @ p["word"][c] + p["word_bias"][c])
-        y[np.arange(len(at)), target[at] % IN_CLASS] -= 1
-        back[at] += y @ p["word"][c].T
+    moves = [("cls", h.T @ g), ("cls_bias", np.ones(n, np.float32) @ g)]
+    y = _softmax(_in_class(p, h, runs))
+    y[np.arange(n), target % IN_CLASS] -= 1
+    for c, a, b in runs:
+        back[a:b] += y[a:b] @ p["word"][c].T
         # a class moves by the mean over its own positions, so rare classes learn too
-        scale = rate / np.sqrt(len(at) * n)
-        p["word"][c] -= scale * (hc.T @ y)
-        p["word_bias"][c] -= scale * y.sum(axis=0)
+        scale = rate / np.sqrt((b - a) * n)
+        p["word"][c] -= scale * (h[a:b].T @ y[a:b])
+        p["word_bias"][c] -= scale * (np.ones(b - a, np.float32) @ y[a:b])
     for k, move in moves:
         p[k] -= (rate / n) * move
     back *= 1 - h * h
     p["hidden"] -= (rate / n) * back.sum(axis=0)
     for k in range(len(OFFSETS)):
-        used, inverse, times = np.unique(near[k], return_inverse=True, return_counts=True)
-        total = np.stack([np.bincount(inverse, back[:, j], len(used)) for j in range(DIM)], axis=1)
-        p["embed"][k][used] -= (rate / np.sqrt(times * n)[:, None] * total).astype(np.float32)
+        at = near[k].astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        at = at.take(order)
+        first = np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1))
+        times = np.diff(first, append=n)
+        p["embed"][k][at[first]] -= (rate / np.sqrt(times * n)[:, None] * np.add.reduceat(back.take(order, axis=0), first, axis=0)).astype(np.float32)
 
 
 def _texts(symbols: dict[str, int], key: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -345,8 +376,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         for _, text in slices(batches, "text"):
             s, doc = _texts(names, key, text)
             near = windows(s, doc)
-            at = np.flatnonzero(mix64(np.arange(len(s), dtype=np.uint64) + s.astype(np.uint64) * np.uint64(977)) < np.uint64(int(SHARE * 2**64)))
-            at = np.random.default_rng(SEED).permutation(at)
+            at = np.random.default_rng(SEED).permutation(len(s))
             for a in range(0, len(at), BATCH):
                 i = at[a : a + BATCH]
                 step(p, near[:, i], s[i], RATE / (1 + seen / 5e6))
@@ -361,7 +391,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     rows = _summed(_summed(trained, ["group", "block"]), ["block"]).orderBy("block").collect()
     if not rows:
         return Model(symbols, first, key, inside)
-    return Model(symbols, unpack(np.concatenate([np.frombuffer(r["values"], "<f8") / r["seen"] for r in rows])), key, inside)
+    return Model(symbols, unpack(np.concatenate([np.frombuffer(r["values"], "<f8") / r["seen"] for r in rows])), key, inside, int(rows[0]["seen"]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -168,3 +168,8 @@ def test_rare_words_are_predicted(spark, table_of, monkeypatch):
         assert abs(got[1] - got[2] - np.log(8)) < 1e-6 and got[3] < got[2] - 5
         seen.append(got)
     assert all(abs(x[i] - seen[0][i]) < 1e-3 for x in seen for i in x)
+
+
+def test_training_sees_every_position(odd):
+    model = lm_score.fit(odd)
+    assert model.seen == sum(r.n_tokens for r in lm_score.score(odd, model).collect()) > 60_000
