@@ -42,8 +42,10 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 12, 100, 0.3, 3e-6, 7
 NEUTRAL = 30
 #: A word that comes n times weighs 1 + POWER * ln n.
 POWER = 0.3
-#: Share of the sample's texts (two texts at least) that must use a row of the table before it is trained; steps of the fit at least.
-LEAST, STEPS = 0.015, 240
+#: Texts of the sample that must use a row of the table before it is trained, whatever the sample's size; steps of the fit at least.
+LEAST, STEPS = 2, 240
+#: A row that n texts use counts n / (n + SHRINK): rare rows say something, but less, so that noise doesn't add up.
+SHRINK = 10
 
 
 @dataclass
@@ -139,17 +141,18 @@ def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Mode
     bucket, size = np.concatenate(parts), np.concatenate(sizes)
     del parts, words
     each, first = 1 / size, np.concatenate([[0], np.cumsum(size)])
-    # rows of the table that too few training texts use stay zero: they can't be told from noise
+    # rows of the table that a single training text uses stay zero: they can't be told from its name
     by_text = np.zeros(BUCKETS, np.int64)
     for held in np.split(word, np.searchsorted(doc, np.arange(1, len(y)))):
         if len(held):
             by_text[np.unique(bucket[_rows(first, held)])] += 1
-    used = np.flatnonzero(by_text >= max(2, LEAST * len(y)))
-    enough = (by_text >= max(2, LEAST * len(y)))[bucket]
+    used = np.flatnonzero(by_text >= LEAST)
+    enough = (by_text >= LEAST)[bucket]
     first = np.concatenate([[0], np.cumsum(enough)])[first]
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used))
     bucket = place[bucket[enough]]
+    trust = by_text[used] / (by_text[used] + SHRINK)
     # texts in a random order, so that a batch of them is a run of entries, and words by their runs of rows
     rng = np.random.default_rng(SEED)
     place = rng.permutation(len(y))
@@ -171,6 +174,7 @@ def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Mode
         held, at = np.unique(word[i:j], return_inverse=True)
         size = first[held + 1] - first[held]
         mine, b, e = np.repeat(np.arange(len(held)), size), bucket[_rows(first, held)], np.repeat(each[held], size)
+        e = e * trust[b]
         text_of, s, n_words, n_texts = doc[i:j] - start, share[i:j], len(held), end - start
         mean = np.stack([np.bincount(text_of, s * np.bincount(mine, e * row[b], n_words)[at], n_texts) for row in table])
         # a softmax over two classes has one free direction, ``out``
@@ -190,7 +194,7 @@ def train(text: pa.Array, toxic: np.ndarray, prior: float | None = None) -> Mode
             else:
                 bias = bias - move
     projection = np.zeros(BUCKETS, np.float32)
-    projection[used] = out @ table
+    projection[used] = trust * (out @ table)
     return Model(projection, float(bias), key)
 
 

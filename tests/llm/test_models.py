@@ -173,3 +173,15 @@ def test_rare_words_are_predicted(spark, table_of, monkeypatch):
 def test_training_sees_every_position(odd):
     model = lm_score.fit(odd)
     assert model.seen == sum(r.n_tokens for r in lm_score.score(odd, model).collect()) > 60_000
+
+
+def test_rare_insults_keep_their_weight():
+    """A word of four toxic texts among 1,000 is far under any share of the sample, and is learned all the same."""
+    rng = random.Random(3)
+    clean = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    texts, toxic = [], np.zeros(1000, int)
+    for i in range(1000):
+        toxic[i] = i % 5 == 0
+        texts.append(" ".join([*rng.choices(clean, k=30), *(["qwyxvut"] if i in (0, 250, 500, 750) else ["zorkus"] if toxic[i] else [])]))
+    model = toxicity.train(pa.array(texts), toxic)
+    assert toxicity.word_projection(model, ["qwyxvut"])[0, 0] > 1
