@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text one worker handles at once; bounds a worker's memory.
 SLICE_BYTES = 6 << 20
@@ -60,6 +61,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a number for each row, written once: scans of one table may be split otherwise, and numbers made in each would differ."""
+    return materialise(df.withColumn(column, F.monotonically_increasing_id()), "numbered")
+
+
 def purge(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)

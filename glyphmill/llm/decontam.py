@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialise
+from glyphmill.llm.common import materialise, numbered
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 23
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
@@ -68,10 +68,13 @@ def _item_tables(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchored(docs: DataFrame, item_shingles: DataFrame, width: int, inline: int) -> DataFrame:
     """Rows (doc_id, row, hs, ps): documents that hold a shingle of an item, and where."""
-    split = docs.select("doc_id", "row", once(words(F.col("text"))).alias("w"))
-    hashed = split.select("doc_id", "row", once(shingles(F.col("w"), width)).alias("hs"))
     own = item_shingles.where(F.col("width") == width).select("h").distinct()
     few = [r[0] for r in own.limit(inline + 1).collect()]
+    if "row" not in docs.columns:
+        # read once with few shingles, twice with many
+        docs = docs.withColumn("row", F.monotonically_increasing_id()) if len(few) <= inline else numbered(docs, "row")
+    split = docs.select("doc_id", "row", once(words(F.col("text"))).alias("w"))
+    hashed = split.select("doc_id", "row", once(shingles(F.col("w"), width)).alias("hs"))
     if len(few) <= inline:
         at = F.filter(F.transform("hs", lambda h, i: F.when(h.isin(few), i)), lambda i: i.isNotNull())
         return hashed.withColumn("ps", once(at)).where(F.size("ps") > 0)
@@ -121,8 +124,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     ``start`` is the number of the window's first word.  ``row``, if given, is
     a column of ``docs`` that numbers its rows, and comes back as ``row``.
     """
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    docs = docs.select(F.col(id_col).alias("doc_id"), number.alias("row"), F.col(text_col).alias("text"))
+    fields = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    docs = docs.select(*fields, F.col(row).alias("row")) if row else docs.select(*fields)
     item = materialise(_item_tables(items, item_id_col, item_text_col), "items")
     item_rows = item.select("item_id", "item", "width", "m", F.explode("hs").alias("h"))
     stats = item.groupBy("width").agg(F.max("m").alias("longest"), F.sum("m").alias("n")).collect()  # at most five rows
@@ -163,7 +166,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         best = alike.groupBy("row", "item", "item_id").agg(F.max_by(F.struct(F.col("s").alias("start"), "similarity"), F.struct("similarity", -F.col("s"))).alias("w"))
         parts.append(best.join(found.select("row", "doc_id"), "row").select("row", "doc_id", "item_id", "w.start", "w.similarity"))
     if not parts:
-        parts = [docs.where("false").select("row", "doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))]
+        parts = [docs.where("false").select((F.col("row") if row else F.lit(None).cast("long")).alias("row"), "doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -171,15 +174,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, which must be read from files, that hold no item.
+    """The rows of ``docs`` that hold no item.
 
     The rows to go carry a number each and are few columns; they leave by an
     anti join that Spark broadcasts only where their measured size allows.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    gone = materialise(matches(numbered, items, id_col="__row", text_col=text_col, row="__row").select(F.col("row").alias("__row")).distinct(), "contaminated")
-    return numbered.join(gone, "__row", "left_anti").select(*columns)
+    whole = numbered(docs, "__row")
+    gone = materialise(matches(whole, items, id_col="__row", text_col=text_col, row="__row").select(F.col("row").alias("__row")).distinct(), "contaminated")
+    return whole.join(gone, "__row", "left_anti").select(*columns)
 
 
 #: DuckDB SQL for ``matches``: all windows that share a shingle with an item, compared exactly.  It has no fingerprints,

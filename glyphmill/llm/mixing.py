@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialise
+from glyphmill.llm.common import materialise, numbered
 
 BUDGET, CAP, WEIGHTS = 1.5, 2, (3, 1, 2)
 SCALE = 1 << 28
@@ -109,14 +109,14 @@ def mixture(docs: DataFrame, **names) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
     """The mixed documents themselves: each row as often as its prefix sum crosses whole numbers.
 
-    ``docs`` must be read from files: rows are numbered once, and the texts
+    Rows are numbered once, in a table of their own, and the texts
     meet their copies by that number.
     """
     columns = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = numbered.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col("__row").alias("row"), size(F.col(text_col)).alias("size"))
+    whole = numbered(docs, "__row")
+    rows = whole.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col("__row").alias("row"), size(F.col(text_col)).alias("size"))
     copies = _plan(materialise(rows, "sizes"), seed).where(F.col("copies") > 0).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    return numbered.join(copies, "__row").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    return whole.join(copies, "__row").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 #: DuckDB SQL for ``mixture``.

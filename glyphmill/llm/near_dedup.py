@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bounded_batches, kept, materialise, mix64, plain, slices, split, word_hash
+from glyphmill.llm.common import Memo, bounded_batches, kept, materialise, mix64, numbered, plain, slices, split, word_hash
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -304,10 +304,11 @@ def _tiled(left: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
     """Rows (doc_id, row, class_id, class_size, kept): of each class the least (id, row) names it and is kept.
 
-    ``docs`` must be read from files, as its rows are numbered in two passes.
+    ``row``, if given, is a stored column of ``docs`` that numbers its rows;
+    else they are numbered in a table of their own, as they are read twice.
     """
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), number.alias("row"), F.col(text_col).cast("string").alias("text"))
+    fields = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    docs = docs.select(*fields, F.col(row).alias("row")) if row else numbered(docs.select(*fields), "row")
     sigs = materialise(signatures(docs), "signatures")
     # vertices: texts with equal multisets are one, named by the least row
     vertices = sigs.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("row").alias("v"))
@@ -351,8 +352,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 
 def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, which must be read from files, without all but one of each class."""
+    """The rows of ``docs`` without all but one of each class."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    gone = materialise(classes(numbered, "__row", text_col, row="__row").where(~F.col("kept")).select(F.col("row").alias("__row")), "copies")
-    return numbered.join(gone, "__row", "left_anti").select(*columns)
+    whole = numbered(docs, "__row")
+    gone = materialise(classes(whole, "__row", text_col, row="__row").where(~F.col("kept")).select(F.col("row").alias("__row")), "copies")
+    return whole.join(gone, "__row", "left_anti").select(*columns)

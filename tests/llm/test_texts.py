@@ -234,3 +234,45 @@ def test_stages_on_odd_rows(spark, odd, empty, table_of, tmp_path):
     for df in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, str(tmp_path)).count() >= 0
+
+
+@pytest.mark.parametrize("stage", ["classes", "keep_one", "remove", "mix"])
+def test_row_numbers_hold_when_the_second_scan_is_split_otherwise(spark, table_of, monkeypatch, stage):
+    """Between the passes the files become one split instead of several, as when executors come or go."""
+    from glyphmill.llm import decontam, mixing, near_dedup
+
+    rng = random.Random(9)
+    text = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(40))
+    docs = [(i, text(), None, f"s{i % 2}") for i in range(60)]
+    docs += [(100 + i, docs[i][1] + " more", None, "s0") for i in range(0, 60, 7)]
+    items = [(i, docs[i][1]) for i in range(0, 60, 9)]
+    df, marks = table_of(docs, parts=6), table_of(items, "item_id long, text string")
+    setting = "spark.sql.files.minPartitionNum"
+
+    def result():
+        if stage == "classes":
+            return sorted((r.doc_id, r.class_id, r.class_size) for r in near_dedup.classes(df).collect())
+        if stage == "keep_one":
+            return sorted(r.doc_id for r in near_dedup.keep_one(df).collect())
+        if stage == "remove":
+            return sorted(r.doc_id for r in decontam.remove(df, marks).collect())
+        return sorted(r.doc_id for r in mixing.mix(df).collect())
+
+    spark.conf.set(setting, "64")
+    try:
+        want = result()
+        module, last = {"classes": (near_dedup, "signatures"), "keep_one": (near_dedup, "copies"), "remove": (decontam, "contaminated"), "mix": (mixing, "sizes")}[stage]
+        whole = module.materialise
+
+        def cut(frame, name):
+            out = whole(frame, name)
+            if name == last:
+                spark.conf.set(setting, "1")
+            return out
+
+        monkeypatch.setattr(module, "materialise", cut)
+        assert result() == want
+        if stage == "classes":
+            assert sum(size == 2 for _, _, size in want) == 18
+    finally:
+        spark.conf.unset(setting)
