@@ -276,3 +276,16 @@ def test_row_numbers_hold_when_the_second_scan_is_split_otherwise(spark, table_o
             assert sum(size == 2 for _, _, size in want) == 18
     finally:
         spark.conf.unset(setting)
+
+
+def test_counts_of_whole_and_very_long_texts_equal_the_tokenizer(spark, table_of):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = token_count.vocabulary(token_count.default_vocabulary())
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256)), *pieces], unk_id=0, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_count.SPACE, prepend_scheme="always", split=True)
+    longest = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").selectExpr("text", "length(text) AS n").orderBy("n", ascending=False).limit(60).collect()]
+    texts = [*longest, " ".join(longest) + "\n 中文 💩" * 500]
+    assert len(texts[-1]) > 100_000
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(table_of([(i, x, None, None) for i, x in enumerate(texts)])).collect()}
+    assert got == {i: len(t.encode(x).ids) for i, x in enumerate(texts)}
