@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches, so that long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lower the session's Arrow batches to these bounds, so that long texts can't fill a Python worker; lower ones stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+#: Paths that ``scratch`` gave out inside ``scoped``.
+_SCOPES: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests, one machine) a local folder is made and set.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    local folder is made and set on a local master (tests, one machine); on a
+    cluster that is an error, as executors don't share local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/glyphmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/glyphmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads; nothing happens where there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables made inside at the end, where results that read them have been written elsewhere."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -66,12 +96,32 @@ def numbered(df: DataFrame, column: str) -> DataFrame:
     return materialise(df.withColumn(column, F.monotonically_increasing_id()), "numbered")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def beside(big: DataFrame, small: DataFrame, key: str, rows: str, total: int, share: float = 1e-3) -> DataFrame:
+    """``big`` joined with the one row that ``small`` has for each of its keys, without hot tasks.
+
+    The column ``rows`` of ``small`` counts a key's rows in ``big``, ``total``
+    all of them.  Keys of more than ``share`` of the rows, at most 1 / share
+    of them, are broadcast; all others are shuffled.
+    """
+    bar = max(1, int(total * share))
+    hot = small.where(F.col(rows) > bar)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(rows) <= bar), key)
+    return big.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/glyphmill/{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, f"{root.rstrip('/')}/glyphmill/{spark.sparkContext.applicationId}")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -23,19 +23,30 @@ Links.  Texts with equal multisets are one vertex, so copies are never paired.
 Round 1 links each vertex to the least vertex of all its buckets, one pair a
 vertex, and later rounds link the vertices of each bucket that still holds
 several classes to one centre of another class; verified links merge classes.
+There are ``ROUNDS`` of them at least, and more while the comparisons that are
+left would be many and each round takes a good part of them away.
 What is left is compared in full: the pairs of small buckets, and large
 buckets in tiles of about ``TILE`` vertices, a task for each two tiles, which
 holds only those two and returns no pairs but the few links that join classes.
-So no link between classes is lost, pairs within a class are never made, and
-neither memory nor rows grow with the square of a bucket.
+So no link between classes is lost and pairs within a class are never made.  A
+bucket of n undecided vertices still costs n * n / ``TILE`` shuffled rows and n
+* n comparisons there, which single links at a threshold near a group's usual
+similarity need; the rounds keep n small, and no task or memory grows with it.
 
-Verification counts the shared multiset elements of a pair exactly, from
-sorted arrays of 32-bit hashes.
+Hot classes and stars.  Where rows meet the one row of their class or star,
+keys of more than a thousandth of all rows are broadcast (a thousand at most),
+and all others are shuffled.
+
+Verification counts the shared multiset elements of a pair, from sorted arrays
+of 64-bit hashes.
 
 Defined cases: null, empty and wordless texts have no shingles, form no links
-and are classes of their own; repeated rows and equal ids are vertices' copies;
-a null id is carried along; an empty table gives no rows; other columns are
-ignored by ``classes`` and kept by ``keep_one``.
+and are classes of their own; very long texts are one row like others and are
+compared whole; of equal similarities none is preferred, as all links count;
+repeated rows and equal ids are vertices' copies, of which the least (id, row)
+is kept; a null id is carried along and sorts first; an empty table gives no
+rows; other columns, whatever their names, are ignored by ``classes`` and kept
+with their values by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -47,12 +58,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bounded_batches, kept, materialise, mix64, numbered, plain, slices, split, word_hash
+from glyphmill.llm.common import Memo, beside, bounded_batches, kept, materialise, mix64, numbered, plain, slices, split, unused, word_hash
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-ROUNDS = 2
+ROUNDS, MOST_ROUNDS = 2, 8
 #: Vertices of buckets that are compared pair by pair; vertices of a tile of larger ones; elements compared at once.
 SMALL, TILE, COLUMNS = 16, 512, 4096
 #: Vertices up to which a set of vertices is broadcast; their number is counted first.
@@ -176,14 +187,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def elements(docs: DataFrame) -> DataFrame:
-    """Rows (v, els) from rows (row, text): the sorted 32-bit hashes of each text's multiset, repeats told apart."""
+    """Rows (v, els) from rows (row, text): the sorted 64-bit hashes of each text's multiset, repeats told apart."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches, "text"):
             of, h, count = multisets(text, _memo())
             nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            of, x = np.repeat(of, count), (mix64(np.repeat(h, count) + nth.astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype("<u4")
+            of, x = np.repeat(of, count), mix64(np.repeat(h, count) + nth.astype(np.uint64) * GOLDEN)
             order = np.lexsort((x, of))
             x = x[order]
             ends = np.searchsorted(of[order], np.arange(len(text) + 1))
@@ -199,9 +210,8 @@ def verified(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                # 32-bit hashes of different elements may meet; equal ones are matched one to one
-                both = np.sort(np.concatenate([np.unique(x), np.unique(y)])) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else np.empty(0, np.uint32)
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = np.sort(np.concatenate([x, y]), kind="stable") if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else np.empty(0, np.uint64)
                 shared = int((both[1:] == both[:-1]).sum()) if len(both) else 0
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -221,12 +231,14 @@ def components(links: DataFrame) -> DataFrame:
     now = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).where(F.col("u") != F.col("w")).distinct(), "links")
     seen = None
     while True:
+        # a star's centre is met by its own side of each link: the row of a hot centre is broadcast
         both = now.unionAll(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
-        least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("w") > F.col("u")).select(F.col("w").alias("u"), F.col("m").alias("w")).where(F.col("u") != F.col("w")).distinct()
+        least = materialise(both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"), F.sum((F.col("w") > F.col("u")).cast("long")).alias("n")), "least")
+        total = now.count()
+        large = beside(both.where(F.col("w") > F.col("u")), least, "u", "n", total).select(F.col("w").alias("u"), F.col("m").alias("w")).where(F.col("u") != F.col("w")).distinct()
         down = materialise(large, "large-star")
-        lowest = down.groupBy("u").agg(F.min("w").alias("m"))
-        small = down.join(lowest, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).unionAll(lowest.select("u", F.col("m").alias("w"))).where(F.col("u") != F.col("w")).distinct()
+        lowest = materialise(down.groupBy("u").agg(F.min("w").alias("m"), F.count(F.lit(1)).alias("n")), "lowest")
+        small = beside(down, lowest, "u", "n", down.count()).select(F.col("w").alias("u"), F.col("m").alias("w")).unionAll(lowest.select("u", F.col("m").alias("w"))).where(F.col("u") != F.col("w")).distinct()
         now = materialise(small, "small-star")
         sign = now.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(20,0)"))).first()
         if sign == seen:
@@ -253,7 +265,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Numbers of elements that each left set shares with each right one."""
     sizes = np.array([len(x) for x in [*left, *right]])
     row = np.repeat(np.arange(len(sizes)), sizes)
-    _, col, times = np.unique(np.concatenate([*left, *right]) if len(row) else np.empty(0, np.uint32), return_inverse=True, return_counts=True)
+    _, col, times = np.unique(np.concatenate([*left, *right]) if len(row) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
     shared = times[col] > 1
     row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
     order = np.argsort(col, kind="stable")
@@ -275,7 +287,7 @@ def _tiled(left: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         t, v, root, i, j = (group[c].to_numpy() for c in ("t", "v", "root", "i", "j"))
-        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in group["els"]]
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group["els"]]
         p, q = np.flatnonzero(t == i[0]), np.flatnonzero(t == j[0])
         a: list[int] = []
         b: list[int] = []
@@ -307,8 +319,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     ``row``, if given, is a stored column of ``docs`` that numbers its rows;
     else they are numbered in a table of their own, as they are read twice.
     """
-    fields = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    docs = docs.select(*fields, F.col(row).alias("row")) if row else numbered(docs.select(*fields), "row")
+    fields = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    docs = docs.select(*fields, F.col(f"`{row}`").alias("row")) if row else numbered(docs.select(*fields), "row")
     sigs = materialise(signatures(docs), "signatures")
     # vertices: texts with equal multisets are one, named by the least row
     vertices = sigs.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("row").alias("v"))
@@ -319,7 +331,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     buckets = materialise(keyed.join(shared, "key").select("key", "v", "centre"), "buckets")
     wanted = materialise(buckets.select("v").distinct(), "candidates")
     ids = wanted.select(F.col("v").alias("row"))
-    if wanted.count() <= BROADCAST_ROWS:
+    wanted_rows = wanted.count()
+    if wanted_rows <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     els = materialise(elements(docs.join(ids, "row", "left_semi")), "elements")
 
@@ -327,15 +340,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     links = materialise(verified(first, els, similarity), "links-1")
     tried = materialise(first, "tried-1")
     root = components(links)
-    for k in range(2, ROUNDS + 1):
+    before, k = None, 1
+    while True:
         marked, several = _undecided(buckets, root)
+        several = materialise(several, f"several-{k}")
+        work = several.agg(F.sum(F.col("n") * F.ceil(F.col("n") / TILE))).first()[0] or 0
+        if not work or k >= ROUNDS and (k >= MOST_ROUNDS or work <= wanted_rows or before is not None and work > 0.7 * before):
+            break
+        before, k = work, k + 1
         # a centre from another class each round: the least by a hash that changes
         centres = marked.join(several, "key").groupBy("key").agg(F.min_by(F.struct(F.col("v").alias("c"), F.col("root").alias("c_root")), F.xxhash64("v", F.lit(k))).alias("c")).select("key", "c.*")
         pairs = marked.join(centres, "key").where(F.col("root") != F.col("c_root")).select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
         fresh = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
         tried = tried.unionAll(fresh)
         root = _merged(root, materialise(verified(fresh, els, similarity), f"links-{k}"))
-    marked, several = _undecided(buckets, root)
     left = materialise(marked.join(several, "key").select("key", "v", "root", "n"), "undecided")
     few = left.where(F.col("n") <= SMALL)
     pairs = few.join(few.select("key", F.col("v").alias("c"), F.col("root").alias("c_root")), "key").where(F.col("root") < F.col("c_root")).select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"))
@@ -347,13 +365,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     rows = sigs.select("doc_id", "row", "n", "d1", "d2")
     wordy = rows.where(F.col("n") > 0).join(named, ["d1", "d2"]).select("doc_id", "row", "root")
     placed = materialise(wordy.unionAll(rows.where(F.col("n") == 0).select("doc_id", "row", F.col("row").alias("root"))), "placed")
-    heads = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(heads, "root").select("doc_id", "row", F.col("head.doc_id").alias("class_id"), "class_size", F.struct("doc_id", "row").eqNullSafe(F.col("head")).alias("kept"))
+    heads = materialise(placed.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size")), "heads")
+    # most classes are one row, and need no join
+    single = heads.where(F.col("class_size") == 1).select("head.doc_id", "head.row", "head", "class_size")
+    several = heads.where(F.col("class_size") > 1)
+    of_several = beside(placed, several, "root", "class_size", placed.count()).select("doc_id", "row", "head", "class_size")
+    return single.unionAll(of_several).select("doc_id", "row", F.col("head.doc_id").alias("class_id"), "class_size", F.struct("doc_id", "row").eqNullSafe(F.col("head")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each class."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = numbered(docs, "__row")
-    gone = materialise(classes(whole, "__row", text_col, row="__row").where(~F.col("kept")).select(F.col("row").alias("__row")), "copies")
-    return whole.join(gone, "__row", "left_anti").select(*columns)
+    row = unused(docs, "__row")
+    whole = numbered(docs, row)
+    gone = materialise(classes(whole, row, text_col, row=row).where(~F.col("kept")).select(F.col("row").alias(row)), "copies")
+    return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
