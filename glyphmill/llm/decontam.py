@@ -5,28 +5,40 @@ five words (items of fewer words are one shingle).  A window of a document has
 as many words as the item it may match; a document that is shorter than an
 item is one window.
 
-1. Anchors.  A window that shares no shingle with any item has similarity 0,
-   so only windows around shingles of items are fingerprinted.  This looks at
-   every word of every text, loses no match, and needs no shuffle: items'
-   shingles are a literal set while they are few, else a join.
-2. SimHash.  The 64 bit sums of a window are kept in packed fields of 64-bit
-   integers, so a fingerprint is 16 plain sums over the window's shingles, each
-   shingle weighing as often as it occurs.
-3. Multi-index Hamming.  A fingerprint has 8 blocks of 8 bits.  Two
-   fingerprints within ``RADIUS`` = 23 bits agree within 2 bits in at least one
-   block, so an index of items under all keys within 2 bits of each block finds
-   every pair within the radius.
-4. Verification.  Candidates within the radius are kept where the exact
+1. Anchors.  One pass over all documents, for all widths of items at once,
+   joins every shingle with the items' shingles.  At similarity t two multisets
+   of n and m shingles share at least t / (1 + t) * (n + m) of them, so a
+   document with fewer anchors for items of a length has no match of that
+   length.  This loses no match and shuffles anchors only.
+2. Windows.  The documents that are left are read again.  Each shingle enters
+   the sums of its window when it comes and leaves them m shingles later, so one
+   running sum over these events gives every window, two rows a shingle
+   whatever m is.  Windows with too few anchors fall out by the same bound.
+3. SimHash.  The 64 bit sums of a window travel in packed fields of 64-bit
+   integers; each shingle weighs as often as it occurs.
+4. Multi-index Hamming.  A fingerprint has 5 blocks of 13 bits (the last of
+   12).  Two fingerprints within ``RADIUS`` = 19 bits agree within 3 bits in
+   some block.  Items are indexed by their blocks, five rows an item; a window
+   looks up all keys within 3 bits of its own.  An unrelated window and item of
+   one length meet with a chance of 0.23.
+5. Verification.  Candidates within the radius are kept where the exact
    weighted Jaccard similarity of the two multisets of shingles is at least
    ``SIMILARITY``.  Of each document and item the best window is returned.
 
 At similarity 0.8 the expected distance is 10 bits with a deviation of 3, so
-the radius lies more than four deviations out; equal passages have distance 0.
+the radius lies three deviations out; at 0.85 four; equal passages have
+distance 0.
+
+What is broadcast is counted first: the items' shingles and the index up to
+``BROADCAST_ROWS`` rows each, the documents with anchors likewise; beyond, the
+same joins shuffle.
 
 Defined cases: null or wordless texts and items match nothing; repeated
-documents each match on their own; items of equal text each match; a null id
-is carried along; an empty table gives no rows; other columns are ignored by
-``matches`` and kept by ``remove``.
+documents each match on their own; items of equal text each match; of windows
+with equal similarity the first is returned; very long texts are read whole,
+and only their shingles' hashes meet in a task; a null id is carried along; an
+empty table gives no rows; other columns, whatever their names, are ignored by
+``matches`` and kept with their values by ``remove``.
 """
 
 from __future__ import annotations
@@ -36,12 +48,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialise, numbered
+from glyphmill.llm.common import materialise, numbered, unused
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 23
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
-#: Distinct shingles of items up to which they are a literal set in the plan, and rows up to which the items' tables are broadcast.
-INLINE, BROADCAST_ROWS = 50_000, 2_000_000
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 19
+#: Bits of each block of a fingerprint; a pair within the radius agrees within ``BLOCK_RADIUS`` in one of them.
+BLOCKS, BLOCK_RADIUS = (13, 13, 13, 13, 12), 3
+#: Rows of a side that is broadcast, at most; they are counted first.
+BROADCAST_ROWS = 1_000_000
 
 
 def once(column: Column) -> Column:
@@ -58,48 +71,54 @@ def shingles(w: Column, width: int) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _of_width(w: Column, width: Column) -> Column:
+    return F.coalesce(*[F.when(width == k, shingles(w, k)) for k in range(1, WIDTH + 1)])
+
+
 def _item_tables(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (item_id, item, width, m, hs): items that have words; ``item`` tells repeated rows apart, ``m`` counts shingles."""
-    split = items.select(F.col(id_col).alias("item_id"), F.monotonically_increasing_id().alias("item"), once(words(F.col(text_col))).alias("w")).where(F.size("w") > 0)
+    """Rows (item_id, item, width, hs, m): items that have words; ``item`` tells repeated rows apart, ``m`` counts shingles."""
+    split = items.select(F.col(f"`{id_col}`").alias("item_id"), F.monotonically_increasing_id().alias("item"), once(words(F.col(f"`{text_col}`"))).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(WIDTH))
-    hs = F.coalesce(*[F.when(width == k, shingles(F.col("w"), k)) for k in range(1, WIDTH + 1)])
-    return split.select("item_id", "item", width.alias("width"), hs.alias("hs")).withColumn("m", F.size("hs"))
-
-
-def _anchored(docs: DataFrame, item_shingles: DataFrame, width: int, inline: int) -> DataFrame:
-    """Rows (doc_id, row, hs, ps): documents that hold a shingle of an item, and where."""
-    own = item_shingles.where(F.col("width") == width).select("h").distinct()
-    few = [r[0] for r in own.limit(inline + 1).collect()]
-    if "row" not in docs.columns:
-        # read once with few shingles, twice with many
-        docs = docs.withColumn("row", F.monotonically_increasing_id()) if len(few) <= inline else numbered(docs, "row")
-    split = docs.select("doc_id", "row", once(words(F.col("text"))).alias("w"))
-    hashed = split.select("doc_id", "row", once(shingles(F.col("w"), width)).alias("hs"))
-    if len(few) <= inline:
-        at = F.filter(F.transform("hs", lambda h, i: F.when(h.isin(few), i)), lambda i: i.isNotNull())
-        return hashed.withColumn("ps", once(at)).where(F.size("ps") > 0)
-    rows = hashed.select("row", F.posexplode("hs").alias("p", "h"))
-    found = rows.join(own, "h").groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return hashed.join(found, "row")
-
-
-def _bit_sums(per_field: int) -> tuple[list[Column], int]:
-    """Sums over rows of the bits of ``h``, ``per_field`` bits wide each, packed into 64-bit integers."""
+    return split.select("item_id", "item", width.alias("width"), _of_width(F.col("w"), width).alias("hs")).withColumn("m", F.size("hs"))
+
+
+def _needed(n: Column, m: Column, similarity: float) -> Column:
+    """Shingles that multisets of n and m must share at least."""
+    return F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-6)
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _anchored(docs: DataFrame, own: DataFrame, widths: list[int], similarity: float) -> DataFrame:
+    """Rows (row, of): documents with enough anchors, and the (m, width) of the items they may hold, from rows (row, text)."""
+    split = docs.select("row", once(words(F.col("text"))).alias("w"))
+    every = split.select("row", F.size("w").alias("words"), F.explode(F.array(*[shingles(F.col("w"), k) for k in widths])).alias("hs"))
+    hits = every.select("row", "words", F.posexplode("hs").alias("p", "h")).join(own, "h")
+    n = F.col("words") - F.col("width") + 1
+    enough = hits.groupBy("row", "m", "width").agg(F.count(F.lit(1)).alias("anchors"), F.first("words").alias("words")).where(F.col("anchors") >= _needed(F.least(n, "m"), F.col("m"), similarity))
+    # as many entries as items have lengths, at most
+    return enough.groupBy("row").agg(F.collect_list(F.struct("m", "width")).alias("of"))
+
+
+def _bit_sums(per_field: int, fold) -> dict[str, Column]:
+    """``fold`` of the bits of ``h``, ``per_field`` bits wide each, packed into 64-bit integers."""
     fields = 64 // per_field
-    out = []
+    out = {}
     for j in range(64 // fields):
         packed = F.lit(0).cast("long")
         for f in range(fields):
             packed = packed.bitwiseOR(F.shiftleft(F.shiftrightunsigned("h", j * fields + f).bitwiseAND(F.lit(1).cast("long")), f * per_field))
-        out.append(F.sum(packed).alias(f"b{j}"))
-    return out, fields
+        out[f"b{j}"] = fold(packed)
+    return out
 
 
 def _fingerprint(n: Column, per_field: int) -> Column:
     """64-bit fingerprint from packed sums: a bit is set where most of the n shingles have it."""
     fields = 64 // per_field
     bits = F.lit(0).cast("long")
-    mask = F.lit((1 << per_field) - 1 if per_field < 63 else -1).cast("long")
+    mask = F.lit((1 << per_field) - 1).cast("long")
     for j in range(64 // fields):
         for f in range(fields):
             count = F.shiftrightunsigned(f"b{j}", f * per_field).bitwiseAND(mask)
@@ -107,70 +126,81 @@ def _fingerprint(n: Column, per_field: int) -> Column:
     return bits
 
 
-def _keyed(fingerprints: DataFrame, masks: list[int]) -> DataFrame:
-    """A row for each block and mask: the block's number and its bits with those of the mask turned."""
-    mask = BLOCK_BITS
-    low = (1 << mask) - 1
-    keys = F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fp", b * mask).bitwiseAND(F.lit(low).cast("long")).alias("bits")) for b in range(BLOCKS)])
-    out = fingerprints.withColumn("k", F.explode(keys))
-    if masks == [0]:
-        return out.withColumns({"block": F.col("k.block"), "key": F.col("k.bits")}).drop("k")
-    return out.withColumn("mask", F.explode(F.array(*[F.lit(x).cast("long") for x in masks]))).withColumns({"block": F.col("k.block"), "key": F.col("k.bits").bitwiseXOR(F.col("mask"))}).drop("k", "mask")
+def _windows(held: DataFrame, own: DataFrame, per_field: int, similarity: float) -> DataFrame:
+    """Rows (row, m, s, nw, fp): the windows with enough anchors, from rows (row, m, n, hs)."""
+    placed = held.select("row", "m", "n", F.posexplode("hs").alias("p", "h")).join(own.select("h", "m", F.lit(1).alias("anchor")), ["h", "m"], "left")
+    # each shingle comes at its place and goes m later
+    events = placed.select("row", "m", "n", "h", F.coalesce("anchor", F.lit(0)).alias("anchor"), F.explode(F.array(F.struct(F.col("p").alias("pos"), F.lit(1).alias("sign")), F.struct((F.col("p") + F.col("m")).alias("pos"), F.lit(-1).alias("sign")))).alias("e"))
+    events = events.select("row", "m", "n", "h", "anchor", "e.*").where(F.col("pos") < F.col("n"))
+    upto = Window.partitionBy("row", "m").orderBy("pos")  # rows of one place are summed together
+    sums = _bit_sums(per_field, lambda packed: F.sum(packed * F.col("sign")).over(upto))
+    nw = F.least("n", "m")
+    ends = events.withColumns({"anchors": F.sum(F.col("anchor") * F.col("sign")).over(upto), **sums})
+    kept = ends.where((F.col("sign") > 0) & (F.col("pos") >= nw - 1) & (F.col("anchors") >= _needed(nw, F.col("m"), similarity)))
+    return kept.select("row", "m", (F.col("pos") - nw + 1).alias("s"), nw.alias("nw"), _fingerprint(nw, per_field).alias("fp"))
+
+
+def block_keys(fp: Column) -> Column:
+    """An array of (block, key): the blocks of a fingerprint."""
+    at = [sum(BLOCKS[:b]) for b in range(len(BLOCKS))]
+    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, at[b]).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("key")) for b, bits in enumerate(BLOCKS)])
+
+
+def near_masks() -> list[int]:
+    """All masks of a block with up to ``BLOCK_RADIUS`` bits; a mask beyond a shorter block finds nothing."""
+    return [sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(max(BLOCKS)), r)]
+
+
+def candidates(windows: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The pairs of ``windows`` (m, fp, ...) and ``index`` (m, block, key, item, item_fp) within the radius, each once."""
+    columns = [c for c in windows.columns if c != "fp"]
+    spread = windows.select(*columns, "fp", F.explode(block_keys(F.col("fp"))).alias("place")).select(*columns, "fp", "place.block", "place.key")
+    spread = spread.withColumn("key", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in near_masks()]), lambda x: x.bitwiseXOR(F.col("key")))))
+    return spread.join(index, ["m", "block", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*columns, "item").distinct()
+
+
+def index_of(known: DataFrame) -> DataFrame:
+    """Rows (m, block, key, item, item_fp): five for each item, from rows (item, m, fp)."""
+    return known.select("m", "item", F.col("fp").alias("item_fp"), F.explode(block_keys(F.col("fp"))).alias("place")).select("m", "place.block", "place.key", "item", "item_fp")
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, inline: int = INLINE, row: str | None = None) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
     """Rows (doc_id, item_id, start, similarity): the best window of each document for each item it holds.
 
     ``start`` is the number of the window's first word.  ``row``, if given, is
-    a column of ``docs`` that numbers its rows, and comes back as ``row``.
+    a stored column of ``docs`` that numbers its rows, and comes back as ``row``.
     """
-    fields = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
-    docs = docs.select(*fields, F.col(row).alias("row")) if row else docs.select(*fields)
+    fields = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    # both passes read the same numbers
+    docs = docs.select(*fields, F.col(f"`{row}`").alias("row")) if row else numbered(docs.select(*fields), "row")
     item = materialise(_item_tables(items, item_id_col, item_text_col), "items")
-    item_rows = item.select("item_id", "item", "width", "m", F.explode("hs").alias("h"))
-    stats = item.groupBy("width").agg(F.max("m").alias("longest"), F.sum("m").alias("n")).collect()  # at most five rows
-    # the items' tables are broadcast only while their counted rows are few
-    small = sum(r["n"] for r in stats) <= BROADCAST_ROWS
-    send = F.broadcast if small else (lambda df: df)
-    parts = []
-    for k in sorted(r["width"] for r in stats):
-        longest = next(r["longest"] for r in stats if r["width"] == k)
-        per_field = 16 if longest < 1 << 15 else 32
-        found = materialise(_anchored(docs, item_rows, k, inline), f"anchored-{k}")
-        own = item_rows.where(F.col("width") == k)
-        sizes = send(own.select("h", "m").distinct())
-        hits = found.select("row", F.size("hs").alias("n"), "hs", F.explode("ps").alias("p")).select("row", "n", "p", F.get("hs", F.col("p")).alias("h")).join(sizes, "h")
-        # each start of a window that holds an anchor is made once, for the first anchor in the window
-        before = F.lag("p").over(Window.partitionBy("row", "m").orderBy("p"))
-        last = F.greatest(F.col("n") - F.col("m"), F.lit(0))
-        first = F.greatest(F.coalesce(F.col("before") + 1, F.lit(0)), F.col("p") - F.col("m") + 1, F.lit(0))
-        to = F.least("p", last)
-        windows = hits.withColumn("before", before).withColumns({"from": first, "to": to}).where(F.col("from") <= F.col("to")).select("row", "m", F.explode(F.sequence("from", "to")).alias("s"))
-        contents = windows.join(found.select("row", "hs"), "row").select("row", "m", "s", F.explode(F.slice("hs", F.col("s") + 1, F.col("m"))).alias("h"))
-        sums, _ = _bit_sums(per_field)
-        seen = contents.groupBy("row", "m", "s").agg(F.count(F.lit(1)).alias("nw"), *sums).select("row", "m", "s", "nw", _fingerprint(F.col("nw"), per_field).alias("fp"))
-        known = own.groupBy("item", "item_id", "m").agg(F.count(F.lit(1)).alias("ni"), *sums).select("item", "item_id", "m", _fingerprint(F.col("ni"), per_field).alias("fp"))
-        near = [0, *(sum(1 << b for b in bits) for r in range(1, BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), r))]
-        index = send(_keyed(known, near).select("m", "block", "key", "item", "item_id", F.col("fp").alias("item_fp")))
-        candidates = _keyed(seen, [0]).join(index, ["m", "block", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "m", "s", "nw", "item", "item_id").distinct()
-        overlap = (
-            candidates.join(found.select("row", "hs"), "row")
-            .select("row", "m", "s", "nw", "item", "item_id", F.explode(F.slice("hs", F.col("s") + 1, F.col("m"))).alias("h"))
-            .groupBy("row", "m", "s", "nw", "item", "item_id", "h")
-            .agg(F.count(F.lit(1)).alias("c"))
-            .join(send(own.groupBy("item", "h").agg(F.count(F.lit(1)).alias("ci"))), ["item", "h"])
-            .groupBy("row", "m", "s", "nw", "item", "item_id")
-            .agg(F.sum(F.least("c", "ci")).alias("shared"))
-        )
-        alike = overlap.withColumn("similarity", F.col("shared") / (F.col("nw") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= similarity)
-        best = alike.groupBy("row", "item", "item_id").agg(F.max_by(F.struct(F.col("s").alias("start"), "similarity"), F.struct("similarity", -F.col("s"))).alias("w"))
-        parts.append(best.join(found.select("row", "doc_id"), "row").select("row", "doc_id", "item_id", "w.start", "w.similarity"))
-    if not parts:
-        parts = [docs.where("false").select((F.col("row") if row else F.lit(None).cast("long")).alias("row"), "doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out if row else out.drop("row")
+    stats = item.groupBy("width").agg(F.max("m").alias("longest"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("items")).collect()  # at most five rows
+    if not stats:
+        return docs.where("false").select(*(["row"] if row else []), "doc_id", F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
+    total, n_items = sum(r["n"] for r in stats), sum(r["items"] for r in stats)
+    per_field = 16 if max(r["longest"] for r in stats) < (1 << 15) - 1 else 32
+    item_rows = item.select("item", "width", "m", F.explode("hs").alias("h"))
+    own = _sent(item_rows.select("h", "m", "width").distinct(), total)
+    found = materialise(_anchored(docs.select("row", "text"), own, sorted(r["width"] for r in stats), similarity), "anchored")
+    split = docs.join(_sent(found, found.count()), "row").select("row", "doc_id", "of", once(words(F.col("text"))).alias("w")).select("row", "doc_id", "w", F.explode("of").alias("o"))
+    held = split.select("row", "doc_id", "o.m", once(_of_width(F.col("w"), F.col("o.width"))).alias("hs")).withColumn("n", F.size("hs"))
+    held = materialise(held, "held")
+    known = item_rows.groupBy("item", "m").agg(F.count(F.lit(1)).alias("ni"), *[c.alias(k) for k, c in _bit_sums(per_field, F.sum).items()]).select("item", "m", _fingerprint(F.col("ni"), per_field).alias("fp"))
+    index = _sent(index_of(known), n_items * len(BLOCKS))
+    near = candidates(_windows(held, own, per_field, similarity), index)
+    overlap = (
+        near.join(held.select("row", "m", "doc_id", "hs"), ["row", "m"])
+        .select("row", "doc_id", "m", "s", "nw", "item", F.explode(F.slice("hs", F.col("s") + 1, F.col("m"))).alias("h"))
+        .groupBy("row", "doc_id", "m", "s", "nw", "item", "h")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .join(_sent(item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("ci")), total), ["item", "h"])
+        .groupBy("row", "doc_id", "m", "s", "nw", "item")
+        .agg(F.sum(F.least("c", "ci")).alias("shared"))
+    )
+    alike = overlap.withColumn("similarity", F.col("shared") / (F.col("nw") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    best = alike.groupBy("row", "doc_id", "item").agg(F.max_by(F.struct(F.col("s").alias("start"), "similarity"), F.struct("similarity", -F.col("s"))).alias("w"))
+    named = best.join(_sent(item.select("item", "item_id"), n_items), "item")
+    return named.select(*(["row"] if row else []), "doc_id", "item_id", "w.start", "w.similarity")
 
 
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
@@ -179,14 +209,14 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFra
     The rows to go carry a number each and are few columns; they leave by an
     anti join that Spark broadcasts only where their measured size allows.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = numbered(docs, "__row")
-    gone = materialise(matches(whole, items, id_col="__row", text_col=text_col, row="__row").select(F.col("row").alias("__row")).distinct(), "contaminated")
-    return whole.join(gone, "__row", "left_anti").select(*columns)
+    row = unused(docs, "__row")
+    whole = numbered(docs, row)
+    gone = materialise(matches(whole, items, id_col=row, text_col=text_col, row=row).select(F.col("row").alias(row)).distinct(), "contaminated")
+    return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL for ``matches``: all windows that share a shingle with an item, compared exactly.  It has no fingerprints,
-#: so it would also name a window beyond the radius, which lies four deviations out.
+#: so it would also name a window beyond the radius.
 SQL = r"""
 WITH i AS (
   SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM benchmark

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontam, exact_dedup, mixing, queries
+from glyphmill.llm import decontam, exact_dedup, mixing, near_dedup, queries, toxicity
 from tests.conftest import DATA, rows
 from tests.llm.conftest import words
 
@@ -120,8 +120,9 @@ def brute_matches(docs: list[tuple], items: list[tuple]) -> dict:
     return out
 
 
-@pytest.mark.parametrize("inline", [50_000, 0])
-def test_decontamination_equals_all_windows(spark, table_of, inline):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_decontamination_equals_all_windows(spark, table_of, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(9)
     items = [(i, words(rng, n), None, None) for i, n in enumerate((40, 40, 25, 60, 7, 12, 3))] + [(90, "", None, None), (91, None, None, None)]
     docs = []
@@ -136,7 +137,7 @@ def test_decontamination_equals_all_windows(spark, table_of, inline):
             t = t[:at] + item + t[at:]
         docs.append((i, ", ".join(t).upper(), None, None))
     docs.append((60, items[0][1].rsplit(" ", 2)[0], None, None))  # shorter than the item
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(table_of(docs), table_of(items, "item_id long, text string, a string, b string"), inline=inline).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(table_of(docs), table_of(items, "item_id long, text string, a string, b string")).collect()}
     want = brute_matches(docs, items)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
@@ -150,3 +151,47 @@ def test_decontamination_odd_rows(spark, odd, odd_rows, empty, table_of):
     assert decontam.matches(empty, items).count() == decontam.remove(empty, items).count() == 0
     assert decontam.matches(odd, items.where(F.lit(False))).count() == 0
     assert decontam.remove(odd, items.where(F.lit(False))).count() == len(odd_rows)
+
+
+def test_index_finds_every_pair_within_the_radius_and_few_others(spark):
+    rng = random.Random(4)
+    items = [(i, 10, rng.getrandbits(64) - (1 << 63)) for i in range(400)]
+    near = [(1000 + i, items[i % 400][2] ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(24)))) for i in range(1200)]
+    far = [(5000 + i, rng.getrandbits(64) - (1 << 63)) for i in range(300)]
+    index = decontam.index_of(spark.createDataFrame(items, "item long, m int, fp long"))
+    windows = spark.createDataFrame([(10, k, fp) for k, fp in near + far], "m int, k long, fp long")
+    distance = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    got = {(r.k, r.item) for r in decontam.candidates(windows, index).collect()}
+    assert got == {(k, i) for k, fp in near + far for i, _, x in items if distance(fp, x) <= decontam.RADIUS}
+    met = decontam.candidates(windows.where("k >= 5000"), index, 64).count()
+    assert met / (len(items) * len(far)) < 0.25
+
+
+def test_values_of_helper_named_columns_survive(spark, table_of):
+    """Columns that are named like the operators' own keep their values."""
+    rng = random.Random(12)
+    docs = [(i, words(rng, 30), f"s{i % 3}", 777 + i, 888 + i, 999 + i, -i) for i in range(40)]
+    docs += [(100 + i, docs[i][1], "s1", 1777 + i, 1888 + i, 1999 + i, -i) for i in range(5)]
+    df = table_of(docs, "doc_id long, text string, source string, `__row` long, `__copies` long, `__copy` long, `row` long")
+    items = table_of([(1, docs[7][1])], "item_id long, text string")
+    whole = {d[0]: d for d in docs}
+    for out in (mixing.mix(df), near_dedup.keep_one(df), decontam.remove(df, items), toxicity.keep_clean(df, toxicity.fit(df, table_of([(1, 1), (2, 0)], "doc_id long, toxic int")), threshold=1.1)):
+        got = out.collect()
+        assert out.columns == df.columns and got and all(tuple(r) == whole[r.doc_id] for r in got)
+
+
+def test_mixing_of_null_and_equal_ids_is_spread_and_reruns_agree(spark, table_of):
+    rng = random.Random(13)
+    data = [(None if i % 2 else 5, words(rng, rng.randrange(1, 40)), None, "a") for i in range(2000)]
+    results = [sorted(map(str, mixing.mixture(table_of(data, parts=p)).collect())) for p in (2, 7)]
+    assert results[0] == results[1]
+    cells = Counter(r.cell for r in mixing.celled(table_of(data).select("doc_id", "text", "source", F.lit(0).alias("row"), mixing.size(F.col("text")).alias("size"), mixing.order_key(F.col("doc_id"), F.col("text")).alias("key"))).collect())
+    assert max(cells.values()) < 20
+
+
+def test_prefix_sums_beyond_64_bits(spark):
+    rate, offset = (1 << 29) - 7, 12345
+    ranks = [1, 5, 1 << 28, (1 << 28) + 1, 17_000_000_000, 10**12, 10**15]
+    df = spark.createDataFrame([(k, rate, offset) for k in ranks], "k long, rate long, offset long")
+    got = {r.k: r.n for r in df.select("k", mixing.crossed(F.col("k"), F.col("rate"), F.col("offset")).alias("n")).collect()}
+    assert got == {k: ((offset + rate * k) >> 28) - ((offset + rate * (k - 1)) >> 28) for k in ranks}
