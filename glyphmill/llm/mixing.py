@@ -12,16 +12,19 @@ emitted once for each whole number its sum crosses.  Sums are counts of
 documents times a rate in fixed point (2^-28), so they are exact and at most
 CAP copies are ever emitted.
 
-Prefix sums at scale: a source is ordered by size class, then by a hash of the
-id, in 1,024 cells a class.  Cell counts are summed over cells, then over
+Prefix sums at scale: a source is ordered by size class, then by a hash of id
+and text, in 1,024 cells a class.  Cell counts are summed over cells, then over
 classes, then ranks are taken inside cells, so no task holds a source, not
-even where one source or one size has most rows.  Ordering by size makes each
-source's words come near its target.
+even where one source, one size, one text or one id (or none) has most rows;
+only rows that are equal in both id and text share a cell.  Ordering by size
+makes each source's words come near its target.
 
 Defined cases: null text has size 0; null source is a source; sources without
 words have target 0; repeated rows and equal ids are all counted, each row on
-its own; an empty table gives no rows; other columns are ignored by ``plan``
-and kept by ``mix``, whose helper columns have names that start with ``__``.
+its own; ties are ordered by the hash, so reruns agree but for which of rows
+equal in id and text is which; very long texts are sized whole, in the JVM; an
+empty table gives no rows; other columns, whatever their names, are ignored by
+``plan`` and kept with their values by ``mix``.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialise, numbered
+from glyphmill.llm.common import materialise, numbered, unused
 
 BUDGET, CAP, WEIGHTS = 1.5, 2, (3, 1, 2)
 SCALE = 1 << 28
@@ -63,8 +66,19 @@ def _size_class(n: Column) -> Column:
     return F.when(n <= 64, n).otherwise(F.floor(F.log2(n.cast("double")) * 32) + 64).cast("int")
 
 
-def _cell(doc_id: Column) -> Column:
-    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 3), 16, 10).cast("int") % CELLS, F.lit(-1))
+def order_key(doc_id: Column, text: Column) -> Column:
+    """60 bits of a hash of id and text; its low bits name the cell."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def crossed(rank: Column, rate: Column, offset_: Column) -> Column:
+    """Whole numbers between the prefix sums before and after the document of that rank, in units of 1 / SCALE.
+
+    A rank counts modulo SCALE: whole multiples add whole numbers to both sums, and products stay within 64 bits.
+    """
+    last = offset_ + rate * (rank % SCALE)
+    return F.shiftright(last, 28) - F.shiftright(last - rate, 28)
 
 
 def offset(source: Column, seed: int) -> Column:
@@ -72,14 +86,23 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
+    doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return materialise(docs.select(doc_id.alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), row.alias("row"), size(text).alias("size"), order_key(doc_id, text).alias("key")), "sizes")
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
     """A row for each row of ``docs``: doc_id, row, size, source_size, target, copies."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("row"), size(F.col(text_col)).alias("size"))
-    return _plan(materialise(rows, "sizes"), seed)
+    return _plan(_sized(docs, id_col, text_col, source_col, F.monotonically_increasing_id()), seed)
+
+
+def celled(rows: DataFrame) -> DataFrame:
+    """The rows with their size class, cell, and source as a key that isn't null."""
+    return rows.withColumns({"cls": _size_class(F.col("size")), "cell": F.pmod("key", F.lit(CELLS)).cast("int"), "src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))})
 
 
 def _plan(rows: DataFrame, seed: int) -> DataFrame:
-    celled = rows.withColumns({"cls": _size_class(F.col("size")), "cell": _cell(F.col("doc_id")), "src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))})
+    placed = celled(rows)
     by_source = targets(rows).select(
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("src"),
         "source_size",
@@ -87,17 +110,16 @@ def _plan(rows: DataFrame, seed: int) -> DataFrame:
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * SCALE)).otherwise(0).cast("long").alias("rate"),
         offset(F.col("source"), seed).alias("offset"),
     )
-    cells = celled.groupBy("src", "cls", "cell").agg(F.count(F.lit(1)).alias("n"))
-    classes = celled.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"))
+    cells = placed.groupBy("src", "cls", "cell").agg(F.count(F.lit(1)).alias("n"))
+    classes = placed.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"))
     up_to = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     class_base = classes.select("src", "cls", F.coalesce(F.sum("n").over(up_to("src").orderBy("cls")), F.lit(0)).alias("class_base"))
     bases = cells.select("src", "cls", "cell", F.coalesce(F.sum("n").over(up_to("src", "cls").orderBy("cell")), F.lit(0)).alias("cell_base")).join(class_base, ["src", "cls"]).join(by_source, "src")
-    rank = F.row_number().over(Window.partitionBy("src", "cls", "cell").orderBy("size", "doc_id", "row"))
-    last = F.col("offset") + F.col("rate") * (F.col("class_base") + F.col("cell_base") + F.col("rank"))
+    rank = F.row_number().over(Window.partitionBy("src", "cls", "cell").orderBy("size", "key", "doc_id", "row"))
     return (
-        celled.withColumn("rank", rank)
+        placed.withColumn("rank", rank)
         .join(bases, ["src", "cls", "cell"])
-        .select("doc_id", "row", "size", "source_size", "target", (F.shiftright(last, 28) - F.shiftright(last - F.col("rate"), 28)).alias("copies"))
+        .select("doc_id", "row", "size", "source_size", "target", crossed(F.col("class_base") + F.col("cell_base") + F.col("rank"), F.col("rate"), F.col("offset")).alias("copies"))
     )
 
 
@@ -112,17 +134,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows are numbered once, in a table of their own, and the texts
     meet their copies by that number.
     """
-    columns = docs.columns
-    whole = numbered(docs, "__row")
-    rows = whole.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col("__row").alias("row"), size(F.col(text_col)).alias("size"))
-    copies = _plan(materialise(rows, "sizes"), seed).where(F.col("copies") > 0).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    return whole.join(copies, "__row").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    row, copies, copy = (unused(docs, name) for name in ("__row", "__copies", "__copy"))
+    whole = numbered(docs, row)
+    taken = _plan(_sized(whole, id_col, text_col, source_col, F.col(row)), seed).where(F.col("copies") > 0).select(F.col("row").alias(row), F.col("copies").alias(copies))
+    return whole.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL for ``mixture``.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS key,
          row_number() OVER () AS rid
   FROM documents
 ), by_source AS (
@@ -148,7 +170,7 @@ WITH d AS (
   SELECT d.*, row_number() OVER (
     PARTITION BY source
     ORDER BY CASE WHEN size <= 64 THEN size ELSE floor(log2(size::DOUBLE) * 32)::BIGINT + 64 END,
-             coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 3))::BIGINT % 1024, -1), size, doc_id NULLS FIRST, rid) AS k
+             key % 1024, size, key, doc_id NULLS FIRST, rid) AS k
   FROM d
 )
 SELECT r.doc_id, r.size, t.source_size, t.target,
