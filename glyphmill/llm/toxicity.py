@@ -2,10 +2,13 @@
 
 A word is the bag of its character n-grams and itself, each hashed to a row of
 one embedding table.  A text is the mean of its words, a repeated word
-weighing little more than once (``POWER``), with ``NEUTRAL`` neutral words added; a linear
-softmax reads that mean.  Table and softmax are trained jointly in numpy on a bounded
-sample of labelled rows (Adam on batches of texts), so a misspelling that was never seen shares n-gram
-vectors with the words it imitates.
+weighing little more than once (``POWER``), with ``NEUTRAL`` neutral words
+added; a linear softmax reads that mean.  Table and softmax are trained jointly
+in numpy on a bounded sample of labelled rows (Adam on batches of texts), so a
+misspelling that was never seen shares n-gram vectors with the words it
+imitates.  The sample, at most ``SAMPLE_ROWS`` rows of a class and
+``SAMPLE_BYTES`` of text, is trained in one task, so neither texts nor training
+take the driver's memory; the driver gets one float a bucket.
 
 Scoring a text needs one number for each word: the mean over the word's rows
 of the row's projection on the softmax's direction.  That vector of
@@ -15,14 +18,17 @@ Defined cases: a null text counts as empty; a text without words scores by
 the bias alone; a null id is never held out and never trained on; labels that
 are null are no labels, repeated labels of a document count once (the larger);
 with one class or no labels the score is the smoothed share of label 1 (0.5
-without labels); an empty table gives no rows; other columns are ignored.
+without labels); very long texts are scored whole, and longer ones than a
+sample's share of ``SAMPLE_BYTES`` aren't trained on; scores don't depend on
+other rows, so ties and repeated rows score alike; an empty table gives no
+rows; other columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ ORDERS = (3, 4, 5)
 DIM = 8
 #: The fit sees about so many rows of each class at most.
 SAMPLE_ROWS = 1_500
+#: Bytes of text of the sample at most, as texts of up to a share of that for each of its rows.
+SAMPLE_BYTES = 256 << 20
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 100, 0.3, 3e-6, 7
 #: Words without any leaning that are added to each mean, so that a few odd words don't decide short texts.
 NEUTRAL = 30
@@ -83,29 +91,40 @@ def word_projection(model: Model, tokens: list[str]) -> np.ndarray:
     return out
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> tuple[pa.Table, float]:
-    """Texts and labels of the sample, of each class about ``rows`` rows, by a hash of the id; and the share of label 1 among all labels.
+def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> tuple[DataFrame, float]:
+    """Texts and labels (text, toxic) of the sample, of each class about ``rows`` rows, by a hash of the id; and the share of label 1 among all labels.
 
     The labels that are picked are bounded by ``rows``, so they are broadcast.
     """
-    label = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in label.groupBy("toxic").count().collect()}
-    if not counts:
-        return pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())}), 0.5
-    share = sum(n for k, n in counts.items() if k > 0) / sum(counts.values())
+    label = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in label.groupBy("toxic").count().collect()}  # two rows at most
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, rows / n))) for k, n in counts.items()], F.lit(0.0))
     picked = label.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < rate * 1_000_000)
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", F.col("toxic").cast("int").alias("toxic")).toArrow()
-    return sample, share
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    sample = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES // (2 * rows))
+    return sample.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Train on a sample of the labelled rows that aren't held out."""
+    """Train on a sample of the labelled rows that aren't held out, in one task."""
+    bounded_batches(docs.sparkSession)
     sample, share = _training_rows(docs, labels, id_col, text_col, rows)
-    text = sample["text"].combine_chunks()
     # halfway, in log odds, between the labels' own share of label 1 and an even one
     odds = (share / (1 - share)) ** 0.5 if 0 < share < 1 else 1.0
-    return train(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), sample["toxic"].to_numpy(), odds / (1 + odds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        text = pa.concat_arrays([b.column(0) for b in held]) if held else pa.array([], pa.string())
+        toxic = np.concatenate([b.column(1).to_numpy() for b in held]) if held else np.empty(0)
+        model = train(text, toxic, odds / (1 + odds))
+        yield pa.RecordBatch.from_arrays([pa.array([model.projection.tobytes()], pa.binary()), pa.array([model.bias])], ["projection", "bias"])
+
+    # the sample is bounded; its order is that of ids and texts, however it arrives
+    one = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text", F.col("toxic").cast("int").alias("toxic"))
+    got = one.mapInArrow(run, "projection binary, bias double").first()
+    untrained = train(pa.array([], pa.string()), np.empty(0))
+    return untrained if got is None else replace(untrained, projection=np.frombuffer(got["projection"], np.float32), bias=got["bias"])
 
 
 def _rows(first: np.ndarray, held: np.ndarray) -> np.ndarray:
