@@ -3,8 +3,9 @@
 ``encode`` tokenises whole texts, ``write`` lays the id lists out in ascending
 document order, ``read`` brings rows back, by range of documents if asked.
 
-Layout, for selective reads: a file for each range of documents; the id lists
-dictionary encoded (a vocabulary fits one dictionary page) with delta packing
+Layout, for selective reads: a file for each range of documents, about
+``FILE_BYTES`` of text each and ``MOST_FILES`` at most, so that one shuffle
+reaches them all whatever the corpus; the id lists dictionary encoded (a vocabulary fits one dictionary page) with delta packing
 where a dictionary overflows; document ids and lengths delta packed in columns
 of their own, so metadata is read without tokens; small pages with page
 indexes, so a range of documents reads only its own pages.
@@ -14,11 +15,15 @@ characters across a single space that stands between two characters that
 aren't white space, since the space can only start a new pre-token there.
 Texts are cut before such spaces, each distinct piece is encoded once by the
 tokenizers library, and ids are concatenated.  Texts where a space touches
-other white space are encoded whole.
+other white space, or that hold an added token of the vocabulary, are encoded
+whole.  So ids are those of ``Tokenizer.encode`` with its own settings; a
+literal ``<|endoftext|>`` in a text becomes the added token's id.
 
 Defined cases: null text counts as empty; an empty text has only the end id;
-a null id sorts first; repeated rows and equal ids are all kept, ordered by a
-hash of their ids; an empty table gives no rows; other columns are ignored.
+very long texts are encoded whole and are one row; a null id sorts first;
+repeated rows and equal ids are all kept, ordered by a hash of their texts, by
+which an id (or none) of many rows is dealt to several files; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +38,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bounded_batches, kept, mix64, scratch, single_threaded, slices, split
+from glyphmill.llm.common import bounded_batches, kept, scratch, single_threaded, slices, split
 
 END_ID = 2
-#: Documents of a file.
-FILE_ROWS = 8_192
+#: Bytes of text of a file, and files at most.
+FILE_BYTES, MOST_FILES = 64 << 20, 16_384
 #: Layout of the Parquet files: bytes of a row group and a page, rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 512
 
@@ -58,7 +63,8 @@ class _Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that the library finds in a text before all else.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)  # its own cache holds frequent words, which never come here twice
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Bytes of text that an id stands for; the alphabet has a character for each byte.
@@ -114,6 +120,8 @@ def _runs(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarra
 def encode_array(text: pa.Array, pieces: _Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and where each text's ids start (one more than texts)."""
     odd = pc.match_substring_regex(text, "^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}] | [\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]| $").to_numpy(zero_copy_only=False)
+    for token in pieces.added:
+        odd = odd | pc.match_substring(text, token).to_numpy(zero_copy_only=False)
     # a space before the text keeps its first piece like the others; its ids are made apart
     even = pc.if_else(pa.array(odd), "", text)
     codes, tokens, starts = split(even, " ")
@@ -131,13 +139,25 @@ def encode_array(text: pa.Array, pieces: _Pieces) -> tuple[np.ndarray, np.ndarra
     return _runs(flat, first[row], size), total[starts]
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, bounds: list[int] | None = None) -> DataFrame:
+def parts_of(known: np.ndarray, tie: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The file of each (id, tie) for sorted ``edges``, in ascending order of both; an id that is several edges has as many files, by ranges of ties."""
+    low, high = np.searchsorted(edges, known, "left"), np.searchsorted(edges, known, "right")
+    share = (tie.astype(np.float64) + 2.0**63) / 2.0**64
+    files = np.maximum(high - low, 1)
+    return np.where(high - low > 1, low + 1 + np.minimum((share * files).astype(np.int64), files - 1), high).astype(np.int32)
+
+
+#: Stands for a null id, below all others.
+NONE = -(2**63)
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, edges: list[int] | None = None) -> DataFrame:
     """Rows (doc_id, part, n_tokens, tie, ids): the ids of each whole text and the end id.
 
-    ``bounds`` are the first document ids of all parts but part 0; ``tie`` is
-    a hash of the ids that orders rows with equal ids of documents.
+    ``edges`` are document ids where files begin, as ``cut_points`` gives them;
+    ``tie`` is a hash of the text that orders rows with equal ids of documents.
     """
-    path, edges = vocabulary or default_vocabulary(), np.asarray(bounds or [], np.int64)
+    path, at = vocabulary or default_vocabulary(), np.asarray(edges or [], np.int64)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,34 +165,34 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         pieces = kept(f"pieces {path}", lambda: _Pieces(path))
         for batch, text in slices(batches, "text"):
             ids, starts = encode_array(text, pieces)
-            n = len(text)
             ids = np.insert(ids, starts[1:], end_id).astype(np.int32)
-            starts = starts + np.arange(n + 1)
-            doc = batch.column(0)
-            known = pc.fill_null(doc, -(2**63)).to_numpy(zero_copy_only=False)
-            marks = mix64(ids.astype(np.uint64) + (np.arange(len(ids)) - np.repeat(starts[:-1], np.diff(starts))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            total = np.zeros(len(ids) + 1, np.uint64)
-            np.cumsum(marks, out=total[1:])
+            starts = starts + np.arange(len(text) + 1)
+            doc, tie = batch.column(0), batch.column(1)
+            known = np.where(doc.is_null().to_numpy(zero_copy_only=False), NONE, np.maximum(pc.fill_null(doc, 0).to_numpy(zero_copy_only=False), NONE + 1))
             yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(np.searchsorted(edges, known, "right").astype(np.int32)), pa.array(np.diff(starts)), pa.array((total[starts[1:]] - total[starts[:-1]]).view(np.int64)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))],
+                [doc, pa.array(parts_of(known, tie.to_numpy(), at)), pa.array(np.diff(starts)), tie, pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))],
                 ["doc_id", "part", "n_tokens", "tie", "ids"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, part int, n_tokens long, tie long, ids array<int>")
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "doc_id long, part int, n_tokens long, tie long, ids array<int>")
 
 
-def cut_points(docs: DataFrame, id_col: str = "doc_id", file_rows: int = FILE_ROWS) -> list[int]:
-    """First document ids of the files after the first; reads the id column alone."""
-    n = docs.select(F.count(F.lit(1))).first()[0]
-    files = math.ceil(n / file_rows)
+def cut_points(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> list[int]:
+    """Ids where the files after the first begin, in order, each as often as files begin in its rows; ``NONE`` for null ids."""
+    ids = F.col(f"`{id_col}`").cast("long")
+    n, nulls, size = docs.select(F.count(F.lit(1)), F.count(F.when(ids.isNull(), 1)), F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()
+    files = min(MOST_FILES, math.ceil((size or 0) / file_bytes), n)
     if files < 2:
         return []
-    at = [k / files for k in range(1, files)]
-    found = docs.select(F.percentile_approx(F.col(id_col).cast("long"), F.lit(at), F.lit(max(10_000, 20 * files)))).first()[0]
-    return sorted(set(found or []))
+    of_null = round(nulls * files / n)
+    rest = files - of_null
+    at = [k / rest for k in range(1, rest)]
+    found = docs.select(F.percentile_approx(ids, F.lit(at), F.lit(max(10_000, 20 * files)))).first()[0] if at else []
+    return [NONE] * of_null + sorted(found or [])
 
 
-def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_rows: int = FILE_ROWS, encoding: str = "dictionary") -> None:
+def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES, encoding: str = "dictionary") -> None:
     """Encode whole texts and write a file for each range of documents, in ascending order.
 
     The lists are shuffled once, straight to the file they belong to.
@@ -180,10 +200,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r} is neither dictionary nor delta")
-    bounds = cut_points(docs, id_col, file_rows)
+    edges = cut_points(docs, id_col, text_col, file_bytes)
     (
-        encode(docs, vocabulary, id_col, text_col, end_id, bounds)
-        .repartitionById(len(bounds) + 1, F.col("part"))
+        encode(docs, vocabulary, id_col, text_col, end_id, edges)
+        .repartitionById(len(edges) + 1, F.col("part"))
         .sortWithinPartitions("doc_id", "tie")
         .write.option("compression", "zstd")
         .option("parquet.block.size", ROW_GROUP_BYTES)
