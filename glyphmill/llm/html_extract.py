@@ -12,14 +12,20 @@ ones, which lean to what they hold.  Pass 2 gives an open block the label of
 the nearest decided neighbours: where both sides agree, theirs; where they
 differ, that of the closer one, text on a tie inside an article.
 
+Class, id and role names mark boilerplate where a name is a mark or a compound
+of one (``site-footer``); names that tell a state (``no-sidebar``,
+``header-image``, ``share-enabled``) don't.  Where marks would leave a page
+without any text, only those of comments are believed.
+
 Scripts, styles, comments and other unseen elements never reach a block.
 Character references are decoded, white space inside a block becomes one
 space, ends are trimmed, and blocks join in page order by one newline.
 
 Defined cases: null html counts as empty, and a page without main text gives
 an empty string with n_chars 0; broken or unclosed markup is read as far as it
-goes; repeated rows are all kept; an empty table gives no rows; other columns
-are ignored.
+goes; very long pages are read whole; a tie between neighbours goes by the
+article; repeated rows and null ids are all kept; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,15 +63,23 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".spli
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role names that mark boilerplate.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|recommend\w*|comments?|disqus|replies|reply|"
-    r"cookies?|consent|notice|gdpr|newsletter|subscribe|signup|login|search|share|sharing|social|popup|modal|overlay|toolbar|pagination|pager|copyright|legal|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role names that mark readers' comments, and other boilerplate.
+COMMENTS = r"comments?|disqus|replies|reply"
+OTHERS = (
+    r"ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|recommend\w*|"
+    r"cookies?|consent|notice|gdpr|newsletter|subscribe|signup|login|search|share|sharing|social|popup|modal|overlay|toolbar|pagination|pager|copyright|legal|complementary|contentinfo"
+)
+COMMENT_MARKS, OTHER_MARKS = (re.compile(rf"(?:^|[_-])(?:{words})(?:$|[_-])", re.I) for words in (COMMENTS, OTHERS))
+#: Names that tell a state of an element and not what it is.
+STATES = re.compile(r"(?:no|not|non|has|is|with|without|hide|show)[_-]|.*[_-](?:enabled|disabled|image|img|visible|hidden|open|closed|on|off|left-out|free|ready|loaded)$", re.I)
+#: An attribute: its name, and its value in double quotes, single quotes or none.  A quote opens a value right after ``=`` only.
+_VALUE = r"""(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*))?)?"""
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)" + _VALUE)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+TOKENS = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[\s/]+|[^\s/>][^\s/>=]*" + re.sub(r"(?<!\\)\((?!\?)", "(?:", _VALUE) + r")*+)(?:>|\Z)|[^<]+|<",
+    re.S,
 )
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: Thresholds: characters of short and long blocks, densities of links and stop words.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.35, 0.12, 0.2
@@ -72,20 +87,50 @@ SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.35, 0.12, 0.2
 TEXT, BAD, OPEN = "text", "bad", "open"
 
 
+#: What an element is by its tag and attributes: boilerplate for sure, of comments, by another mark, or nothing of that kind.
+SURE, COMMENT, MARKED, PLAIN = "sure", "comment", "marked", "plain"
+
+
+def kind_of(name: str, attributes: str) -> str:
+    if name in BOILERPLATE:
+        return SURE
+    if not attributes or name in ("body", "html"):
+        return PLAIN
+    kind = PLAIN
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and NO_DISPLAY.search(value):
+            return SURE
+        if key in ("class", "id", "role"):
+            names = [x for x in value.split() if not STATES.match(x)]
+            if any(map(COMMENT_MARKS.search, names)):
+                kind = COMMENT
+            elif kind == PLAIN and any(map(OTHER_MARKS.search, names)):
+                kind = MARKED
+    return kind
+
+
 class Block:
-    __slots__ = ("parts", "linked", "bad", "article", "heading")
+    __slots__ = ("parts", "linked", "bad", "marked", "article", "heading")
+
+    def __init__(self, bad: bool, marked: bool, article: bool, heading: bool):
+        self.parts, self.linked, self.bad, self.marked, self.article, self.heading = [], 0, bad, marked, article, heading
+
+
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(f"</{name}", re.I)
+
 
-    def __init__(self, bad: bool, article: bool, heading: bool):
-        self.parts, self.linked, self.bad, self.article, self.heading = [], 0, bad, article, heading
+_BODY = re.compile("<body", re.I)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with unseen elements left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is boilerplate, whether it is an article
-    bad = article = heading = 0
+    stack: list[tuple[str, int, int, int]] = []  # element; whether it is boilerplate, marked as such, an article
+    bad = marked = article = heading = 0
     links, current, skip_to = 0, None, 0
-    lower = None
     for m in TOKENS.finditer(page):
         if m.start() < skip_to:
             continue
@@ -97,7 +142,7 @@ def blocks(page: str) -> list[Block]:
             if current is None:
                 if not piece.strip():
                     continue
-                current = Block(bad > 0, article > 0, heading > 0)
+                current = Block(bad > 0, marked > 0, article > 0, heading > 0)
                 out.append(current)
             current.parts.append(piece)
             if links:
@@ -111,14 +156,13 @@ def blocks(page: str) -> list[Block]:
         current = None
         if name in UNSEEN:
             if not m[1] and not m[3].endswith("/"):
-                lower = lower if lower is not None else page.lower()
-                end = lower.find(f"</{name}", m.end())
+                end = _closing(name).search(page, m.end())
                 # an element that never ends hides the rest, but a head ends where the body starts
-                if end < 0 and name == "head":
-                    end = lower.find("<body", m.end())
-                    skip_to = end if end >= 0 else m.end()
+                if end is None and name == "head":
+                    end = _BODY.search(page, m.end())
+                    skip_to = end.start() if end else m.end()
                 else:
-                    skip_to = end if end >= 0 else len(page)
+                    skip_to = end.start() if end else len(page)
             continue
         if name in VOID:
             continue
@@ -126,29 +170,28 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for tag, is_bad, is_article in stack[k:]:
-                        bad -= is_bad
-                        article -= is_article
+                    for tag, is_bad, is_marked, is_article in stack[k:]:
+                        bad, marked, article = bad - is_bad, marked - is_marked, article - is_article
                         heading -= tag in HEADINGS
                     del stack[k:]
                     break
             continue
         if name in ("p", "li") and stack and stack[-1][0] == name:  # such an element ends where the next one starts
-            _, is_bad, is_article = stack.pop()
-            bad, article = bad - is_bad, article - is_article
+            _, is_bad, is_marked, is_article = stack.pop()
+            bad, marked, article = bad - is_bad, marked - is_marked, article - is_article
         is_article = name in ("article", "main")
-        is_bad = name in BOILERPLATE
-        if m[3] and not is_article and name not in ("body", "html"):
-            is_bad = is_bad or any(MARKS.search(a or b or c or "") for a, b, c in NAMES.findall(m[3])) or bool(HIDDEN.search(m[3]))
-        if name == "header" and article and not bad:
-            is_bad = False  # a header inside an article holds its title
-        stack.append((name, is_bad, is_article))
-        bad, article, heading = bad + is_bad, article + is_article, heading + (name in HEADINGS)
+        kind = kind_of(name, m[3])
+        if is_article and kind == MARKED or name == "header" and article and not bad and not marked:
+            kind = PLAIN  # a header inside an article holds its title
+        is_bad, is_marked = kind in (SURE, COMMENT), kind == MARKED
+        stack.append((name, is_bad, is_marked, is_article))
+        bad, marked, article, heading = bad + is_bad, marked + is_marked, article + is_article, heading + (name in HEADINGS)
     return out
 
 
-def first_pass(block: Block, text: str) -> str:
-    if block.bad:
+def first_pass(block: Block, text: str, marks: bool = True) -> str:
+    """Label of a block by itself; ``marks``: whether names of classes count."""
+    if block.bad or marks and block.marked:
         return BAD
     n = len(text)
     if block.linked > LINKS * n:
@@ -208,7 +251,10 @@ def main_text(page: str | None) -> str:
         if text:
             kept.append(block)
             texts.append(text)
-    labels = second_pass(kept, [first_pass(b, t) for b, t in zip(kept, texts)])
+    for marks in (True, False):
+        labels = second_pass(kept, [first_pass(b, t, marks) for b, t in zip(kept, texts)])
+        if TEXT in labels or not any(b.marked for b in kept):
+            break
     return "\n".join(t for t, label in zip(texts, labels) if label == TEXT)
 
 

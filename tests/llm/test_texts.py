@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer, models, pre_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -112,6 +113,46 @@ def test_html_keeps_the_article_alone():
     ]
 
 
+FIRST = "The first paragraph and all of the words that are in it, which is long enough to be the text of a page."
+SECOND = "It is the second one, and it has the words that a text of this kind would have in it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><p>{'İ' * 30}</p><script>var a=1</script><p>{FIRST}</p><p>{SECOND}</p></body>",
+        f"<article><p title=don't>{FIRST}</p><p>{SECOND}</p></article>",
+        f"<article><p title = 'a > b' data-x=\"it's\">{FIRST}</p><p>{SECOND}</p></article>",
+        f"<div class='content no-sidebar'><p>{FIRST}</p><p>{SECOND}</p></div>",
+        f"<body class=has-sidebar><div class='header-image share-enabled'><p>{FIRST}</p><p>{SECOND}</p></div></body>",
+        f"<div class='menu widget'><p>{FIRST}</p><p>{SECOND}</p></div>",
+        f"<article><p title='the hidden truth'>{FIRST}</p><p alt='display: none'>{SECOND}</p></article>",
+    ],
+)
+def test_html_keeps_text_whatever_the_attributes(page):
+    got = html_extract.main_text(page).split("\n")
+    assert got[-2:] == [FIRST, SECOND]
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "style='color:red; display : none'", "aria-hidden=true", "class='site-footer'", "id=cookie-notice", "class='x comment-list'", "role=navigation"])
+def test_html_drops_what_attributes_mark(attributes):
+    page = f"<body><article><p>{FIRST}</p></article><div {attributes}><p>{SECOND}</p></div></body>"
+    assert html_extract.main_text(page) == FIRST
+
+
+@given(st.dictionaries(st.sampled_from(["title", "data-a", "alt", "lang", "onclick"]), st.text(alphabet="ab '=-/;:&", max_size=12), max_size=3), st.sampled_from(["double", "single"]))
+@settings(max_examples=150, deadline=None)
+def test_html_attributes_never_change_the_text(attributes, quote):
+    q = '"' if quote == "double" else "'"
+    raw = " ".join(f"{k}={q}{v.replace(q, '')}{q}" for k, v in attributes.items())
+    assert html_extract.main_text(f"<article><p {raw}>{FIRST}</p><p>{SECOND}</p></article>").split("\n") == [FIRST, SECOND]
+
+
+def test_html_other_columns_are_ignored(table_of):
+    df = table_of([(1, "u", f"<p>{FIRST}</p>", "kept out", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [r.text for r in html_extract.extract(df).collect()] == [FIRST]
+
+
 def test_html_of_the_test_pages(spark):
     import html as entities
     import re
@@ -137,28 +178,50 @@ def test_html_odd_rows(spark, table_of):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(token_store.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(token_store.default_vocabulary())
 
 
 PIECES = token_store._Pieces(token_store.default_vocabulary(), 50)
+UNCHANGED = Tokenizer.from_file(token_store.default_vocabulary())
+
 
+def test_special_tokens_as_the_library_reads_them(tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a <|endoftext| > b"]
+    ids, starts = token_store.encode_array(pa.array(texts), PIECES)
+    for i, t in enumerate(texts):
+        assert ids[starts[i] : starts[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert 50256 in ids
 
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab'sZé中 \n\t.,-12  ​\x85\x1c<|>")), max_size=40), min_size=1, max_size=4))
+
+def test_ids_of_many_rows_are_dealt_to_several_files(spark, table_of):
+    rng = random.Random(21)
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, words(rng, 30), None, None) for i in range(900)]
+    df = table_of(data)
+    path = scratch(spark, "test")
+    token_store.write(df, path, file_bytes=sum(len(d[1]) for d in data) // 12)
+    store = token_store.read(spark, path)
+    files = Counter((r.part, r.doc_id) for r in store.select("part", "doc_id").collect())
+    for hot in (None, 7):
+        sizes = [n for (_, i), n in files.items() if i == hot]
+        assert len(sizes) >= 3 and max(sizes) < 150
+    got = sorted(token_store.digests(store).collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and len(got) == 900
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+
+
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "a ", " b", "c", "\n"]), max_size=6).map("".join) | st.text(alphabet=st.sampled_from(list("ab'sZé中 \n\t.,-12  ​\x85\x1c<|>")), max_size=40), min_size=1, max_size=4))
 @settings(max_examples=300, deadline=None)
 def test_encoding_equals_the_library(texts):
     ids, starts = token_store.encode_array(pa.array(texts), PIECES)
     for i, t in enumerate(texts):
-        assert ids[starts[i] : starts[i + 1]].tolist() == PIECES.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids[starts[i] : starts[i + 1]].tolist() == UNCHANGED.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_store_round_trip(spark, tokenizer, odd, odd_rows, encoding):
     path = scratch(spark, "test")
-    token_store.write(odd, path, file_rows=4, encoding=encoding)
+    token_store.write(odd, path, file_bytes=60_000, encoding=encoding)
     got = token_store.digests(token_store.read(spark, path)).collect()
     want = sorted(((r[0], [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in odd_rows), key=lambda x: (x[0] is not None, x[0] or 0))
     key = lambda i, n, c: (-1 if i is None else i, n, c)
@@ -180,8 +243,6 @@ def test_token_store_of_an_empty_table(spark, empty):
 
 
 def test_counts_equal_the_tokenizer(spark, table_of):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
     pieces = token_count.vocabulary(token_count.default_vocabulary())
     t = Tokenizer(models.Unigram([("<unk>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256)), *pieces], unk_id=0, byte_fallback=True))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_count.SPACE, prepend_scheme="always", split=True)
@@ -279,8 +340,6 @@ def test_row_numbers_hold_when_the_second_scan_is_split_otherwise(spark, table_o
 
 
 def test_counts_of_whole_and_very_long_texts_equal_the_tokenizer(spark, table_of):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
     pieces = token_count.vocabulary(token_count.default_vocabulary())
     t = Tokenizer(models.Unigram([("<unk>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256)), *pieces], unk_id=0, byte_fallback=True))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_count.SPACE, prepend_scheme="always", split=True)
