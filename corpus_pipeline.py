@@ -7,6 +7,16 @@
 5. ``tokens``: documents become rows of token ids in the token store's files.
 
 All but the last return the columns of documents.
+
+Defined cases, beyond those of the operators: a null text is an empty one, is
+kept by the first stage if the classifier's bias accepts it and by the next
+two, and adds no words to the mix; null ids, sources and languages are carried
+along; repeated rows are copies, of which the second stage keeps one; very long
+texts pass every stage whole; an empty table gives no rows; other columns,
+whatever their names, keep their values up to the fourth stage.
+
+A stage's own tables are deleted once its result is written, so a run leaves
+the results of its stages and the token files in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import decontam, mixing, near_dedup, token_store, toxicity
-from glyphmill.llm.common import scratch, table
+from glyphmill.llm.common import scoped, scratch, table
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents in ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
-        out.write.parquet(path)
+        with scoped(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
