@@ -10,17 +10,18 @@ item is one window.
    of n and m shingles share at least t / (1 + t) * (n + m) of them, so a
    document with fewer anchors for items of a length has no match of that
    length.  This loses no match and shuffles anchors only.
-2. Windows.  The documents that are left are read again.  Each shingle enters
-   the sums of its window when it comes and leaves them m shingles later, so one
-   running sum over these events gives every window, two rows a shingle
-   whatever m is.  Windows with too few anchors fall out by the same bound.
+2. Windows.  The documents that are left are read again, from m shingles before
+   the first anchor to m after the last.  Each shingle enters the sums of its
+   window when it comes and leaves them m shingles later, so one running sum
+   over these events gives every window, two rows a shingle whatever m is.
+   Windows with too few anchors fall out by the same bound.
 3. SimHash.  The 64 bit sums of a window travel in packed fields of 64-bit
    integers; each shingle weighs as often as it occurs.
 4. Multi-index Hamming.  A fingerprint has 5 blocks of 13 bits (the last of
    12).  Two fingerprints within ``RADIUS`` = 19 bits agree within 3 bits in
-   some block.  Items are indexed by their blocks, five rows an item; a window
-   looks up all keys within 3 bits of its own.  An unrelated window and item of
-   one length meet with a chance of 0.23.
+   some block.  Items are indexed by all keys within 1 bit of their blocks, 69
+   rows an item; a window looks up all keys within 2 bits of its own.  An
+   unrelated window and item of one length meet with a chance of 0.23.
 5. Verification.  Candidates within the radius are kept where the exact
    weighted Jaccard similarity of the two multisets of shingles is at least
    ``SIMILARITY``.  Of each document and item the best window is returned.
@@ -51,8 +52,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import materialise, numbered, unused
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 19
-#: Bits of each block of a fingerprint; a pair within the radius agrees within ``BLOCK_RADIUS`` in one of them.
-BLOCKS, BLOCK_RADIUS = (13, 13, 13, 13, 12), 3
+#: Bits of each block of a fingerprint; a pair within the radius agrees within 3 bits in one of them: one that the index turns, and two that a window turns.
+BLOCKS, INDEX_TURNS, WINDOW_TURNS = (13, 13, 13, 13, 12), 1, 2
 #: Rows of a side that is broadcast, at most; they are counted first.
 BROADCAST_ROWS = 1_000_000
 
@@ -66,8 +67,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def hashed(w: Column) -> Column:
+    """Hashes of all words; each word is hashed once, and shingles are made of these numbers."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def shingles(w: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` words of the array column ``w``, which should be a plain column."""
+    """Hashes of all runs of ``width`` hashed words of the array column ``w``, which should be a plain column."""
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -77,7 +83,7 @@ def _of_width(w: Column, width: Column) -> Column:
 
 def _item_tables(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (item_id, item, width, hs, m): items that have words; ``item`` tells repeated rows apart, ``m`` counts shingles."""
-    split = items.select(F.col(f"`{id_col}`").alias("item_id"), F.monotonically_increasing_id().alias("item"), once(words(F.col(f"`{text_col}`"))).alias("w")).where(F.size("w") > 0)
+    split = items.select(F.col(f"`{id_col}`").alias("item_id"), F.monotonically_increasing_id().alias("item"), once(hashed(words(F.col(f"`{text_col}`")))).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(WIDTH))
     return split.select("item_id", "item", width.alias("width"), _of_width(F.col("w"), width).alias("hs")).withColumn("m", F.size("hs"))
 
@@ -92,26 +98,26 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _anchored(docs: DataFrame, own: DataFrame, widths: list[int], similarity: float) -> DataFrame:
-    """Rows (row, of): documents with enough anchors, and the (m, width) of the items they may hold, from rows (row, text)."""
-    split = docs.select("row", once(words(F.col("text"))).alias("w"))
+    """Rows (row, of): documents with enough anchors, and the (m, width) of the items they may hold with the first and last anchor, from rows (row, text)."""
+    split = docs.select("row", once(hashed(words(F.col("text")))).alias("w"))
     every = split.select("row", F.size("w").alias("words"), F.explode(F.array(*[shingles(F.col("w"), k) for k in widths])).alias("hs"))
     hits = every.select("row", "words", F.posexplode("hs").alias("p", "h")).join(own, "h")
     n = F.col("words") - F.col("width") + 1
-    enough = hits.groupBy("row", "m", "width").agg(F.count(F.lit(1)).alias("anchors"), F.first("words").alias("words")).where(F.col("anchors") >= _needed(F.least(n, "m"), F.col("m"), similarity))
+    enough = hits.groupBy("row", "m", "width").agg(F.count(F.lit(1)).alias("anchors"), F.first("words").alias("words"), F.min("p").alias("first"), F.max("p").alias("last")).where(F.col("anchors") >= _needed(F.least(n, "m"), F.col("m"), similarity))
     # as many entries as items have lengths, at most
-    return enough.groupBy("row").agg(F.collect_list(F.struct("m", "width")).alias("of"))
+    return enough.groupBy("row").agg(F.collect_list(F.struct("m", "width", "first", "last")).alias("of"))
 
 
 def _bit_sums(per_field: int, fold) -> dict[str, Column]:
-    """``fold`` of the bits of ``h``, ``per_field`` bits wide each, packed into 64-bit integers."""
+    """``fold`` of the bits of ``h``, ``per_field`` bits wide each, packed into 64-bit integers.
+
+    A product with ones at the right distances brings neighbouring bits to the starts of their fields.
+    """
     fields = 64 // per_field
-    out = {}
-    for j in range(64 // fields):
-        packed = F.lit(0).cast("long")
-        for f in range(fields):
-            packed = packed.bitwiseOR(F.shiftleft(F.shiftrightunsigned("h", j * fields + f).bitwiseAND(F.lit(1).cast("long")), f * per_field))
-        out[f"b{j}"] = fold(packed)
-    return out
+    spread = F.lit(sum(1 << f * (per_field - 1) for f in range(fields)))
+    starts = F.lit(sum(1 << f * per_field for f in range(fields)))
+    few = F.lit((1 << fields) - 1).cast("long")
+    return {f"b{j}": fold((F.shiftrightunsigned("h", j * fields).bitwiseAND(few) * spread).bitwiseAND(starts)) for j in range(64 // fields)}
 
 
 def _fingerprint(n: Column, per_field: int) -> Column:
@@ -132,6 +138,7 @@ def _windows(held: DataFrame, own: DataFrame, per_field: int, similarity: float)
     # each shingle comes at its place and goes m later
     events = placed.select("row", "m", "n", "h", F.coalesce("anchor", F.lit(0)).alias("anchor"), F.explode(F.array(F.struct(F.col("p").alias("pos"), F.lit(1).alias("sign")), F.struct((F.col("p") + F.col("m")).alias("pos"), F.lit(-1).alias("sign")))).alias("e"))
     events = events.select("row", "m", "n", "h", "anchor", "e.*").where(F.col("pos") < F.col("n"))
+    events = events.repartition("row", "m")  # the packed sums are made after the shuffle, which moves hashes alone
     upto = Window.partitionBy("row", "m").orderBy("pos")  # rows of one place are summed together
     sums = _bit_sums(per_field, lambda packed: F.sum(packed * F.col("sign")).over(upto))
     nw = F.least("n", "m")
@@ -140,28 +147,28 @@ def _windows(held: DataFrame, own: DataFrame, per_field: int, similarity: float)
     return kept.select("row", "m", (F.col("pos") - nw + 1).alias("s"), nw.alias("nw"), _fingerprint(nw, per_field).alias("fp"))
 
 
-def block_keys(fp: Column) -> Column:
-    """An array of (block, key): the blocks of a fingerprint."""
+def block_keys(m: Column, fp: Column, turns: int) -> Column:
+    """All keys within ``turns`` bits of the blocks of a fingerprint: length, block and bits in one number."""
     at = [sum(BLOCKS[:b]) for b in range(len(BLOCKS))]
-    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, at[b]).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("key")) for b, bits in enumerate(BLOCKS)])
-
-
-def near_masks() -> list[int]:
-    """All masks of a block with up to ``BLOCK_RADIUS`` bits; a mask beyond a shorter block finds nothing."""
-    return [sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(max(BLOCKS)), r)]
+    keys = [F.shiftrightunsigned(fp, at[b]).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).bitwiseOR(F.lit(b << max(BLOCKS)).cast("long")).bitwiseOR(F.shiftleft(m.cast("long"), max(BLOCKS) + 3)) for b, bits in enumerate(BLOCKS)]
+    masks = [[sum(1 << k for k in turned) for r in range(turns + 1) for turned in combinations(range(bits), r)] for bits in BLOCKS]
+    return F.concat(*[F.transform(F.array(*[F.lit(x).cast("long") for x in masks[b]]), lambda x: x.bitwiseXOR(key)) for b, key in enumerate(keys)])
 
 
 def candidates(windows: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The pairs of ``windows`` (m, fp, ...) and ``index`` (m, block, key, item, item_fp) within the radius, each once."""
+    """The pairs of ``windows`` (m, fp, ...) and ``index`` (key, item, item_fp) within the radius, each once."""
     columns = [c for c in windows.columns if c != "fp"]
-    spread = windows.select(*columns, "fp", F.explode(block_keys(F.col("fp"))).alias("place")).select(*columns, "fp", "place.block", "place.key")
-    spread = spread.withColumn("key", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in near_masks()]), lambda x: x.bitwiseXOR(F.col("key")))))
-    return spread.join(index, ["m", "block", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*columns, "item").distinct()
+    spread = windows.select(*columns, "fp", F.explode(block_keys(F.col("m"), F.col("fp"), WINDOW_TURNS)).alias("key"))
+    return spread.join(index, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*columns, "item").distinct()
 
 
 def index_of(known: DataFrame) -> DataFrame:
-    """Rows (m, block, key, item, item_fp): five for each item, from rows (item, m, fp)."""
-    return known.select("m", "item", F.col("fp").alias("item_fp"), F.explode(block_keys(F.col("fp"))).alias("place")).select("m", "place.block", "place.key", "item", "item_fp")
+    """Rows (key, item, item_fp) from rows (item, m, fp)."""
+    return known.select(F.explode(block_keys(F.col("m"), F.col("fp"), INDEX_TURNS)).alias("key"), "item", F.col("fp").alias("item_fp"))
+
+
+#: Rows of the index for each item.
+INDEX_ROWS = sum(1 + bits for bits in BLOCKS)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
@@ -182,23 +189,25 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     item_rows = item.select("item", "width", "m", F.explode("hs").alias("h"))
     own = _sent(item_rows.select("h", "m", "width").distinct(), total)
     found = materialise(_anchored(docs.select("row", "text"), own, sorted(r["width"] for r in stats), similarity), "anchored")
-    split = docs.join(_sent(found, found.count()), "row").select("row", "doc_id", "of", once(words(F.col("text"))).alias("w")).select("row", "doc_id", "w", F.explode("of").alias("o"))
-    held = split.select("row", "doc_id", "o.m", once(_of_width(F.col("w"), F.col("o.width"))).alias("hs")).withColumn("n", F.size("hs"))
+    split = docs.join(_sent(found, found.count()), "row").select("row", "doc_id", "of", once(hashed(words(F.col("text")))).alias("w")).select("row", "doc_id", "w", F.explode("of").alias("o"))
+    whole = split.select("row", "doc_id", "o.m", "o.first", "o.last", once(_of_width(F.col("w"), F.col("o.width"))).alias("hs"))
+    skip = F.greatest(F.col("first") - F.col("m") + 1, F.lit(0))
+    held = whole.select("row", "doc_id", "m", skip.alias("skipped"), F.slice("hs", skip + 1, F.least(F.col("last") + F.col("m"), F.size("hs")) - skip).alias("hs")).withColumn("n", F.size("hs"))
     held = materialise(held, "held")
     known = item_rows.groupBy("item", "m").agg(F.count(F.lit(1)).alias("ni"), *[c.alias(k) for k, c in _bit_sums(per_field, F.sum).items()]).select("item", "m", _fingerprint(F.col("ni"), per_field).alias("fp"))
-    index = _sent(index_of(known), n_items * len(BLOCKS))
+    index = _sent(index_of(known), n_items * INDEX_ROWS)
     near = candidates(_windows(held, own, per_field, similarity), index)
     overlap = (
-        near.join(held.select("row", "m", "doc_id", "hs"), ["row", "m"])
-        .select("row", "doc_id", "m", "s", "nw", "item", F.explode(F.slice("hs", F.col("s") + 1, F.col("m"))).alias("h"))
-        .groupBy("row", "doc_id", "m", "s", "nw", "item", "h")
+        near.join(held.select("row", "m", "doc_id", "skipped", "hs"), ["row", "m"])
+        .select("row", "doc_id", "m", "skipped", "s", "nw", "item", F.explode(F.slice("hs", F.col("s") + 1, F.col("m"))).alias("h"))
+        .groupBy("row", "doc_id", "m", "skipped", "s", "nw", "item", "h")
         .agg(F.count(F.lit(1)).alias("c"))
         .join(_sent(item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("ci")), total), ["item", "h"])
-        .groupBy("row", "doc_id", "m", "s", "nw", "item")
+        .groupBy("row", "doc_id", "m", "skipped", "s", "nw", "item")
         .agg(F.sum(F.least("c", "ci")).alias("shared"))
     )
     alike = overlap.withColumn("similarity", F.col("shared") / (F.col("nw") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    best = alike.groupBy("row", "doc_id", "item").agg(F.max_by(F.struct(F.col("s").alias("start"), "similarity"), F.struct("similarity", -F.col("s"))).alias("w"))
+    best = alike.groupBy("row", "doc_id", "item").agg(F.max_by(F.struct((F.col("skipped") + F.col("s")).alias("start"), "similarity"), F.struct("similarity", -F.col("s"))).alias("w"))
     named = best.join(_sent(item.select("item", "item_id"), n_items), "item")
     return named.select(*(["row"] if row else []), "doc_id", "item_id", "w.start", "w.similarity")
 
