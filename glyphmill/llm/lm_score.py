@@ -8,23 +8,28 @@ conditional log-probabilities over all words scores a text; their mean is
 comparable between texts.
 
 Everything comes from the whole corpus.  Word counts cover all words of all
-texts; the most frequent words are symbols of the network, and all other words share
-``RARE`` symbols by a hash of their last two letters.  A word that shares a
-symbol has the symbol's probability times its own within the symbol, which is
+texts; the most frequent words are symbols of the network, and all other words
+share ``RARE`` symbols by a hash of their last two letters.  A word that shares
+a symbol has the symbol's probability times its own within the symbol, which is
 its count over the symbol's, from the table of all words' counts (Witten-Bell:
 words that were never counted get the rest, by their characters).  The values
 of up to ``HELD`` words travel to the workers, all others are joined by word,
-which changes where a value is found and not the value.  Training sees every
-text: each task trains in numpy from the same start on all positions of its
-texts, and the models are averaged by the number of positions they saw.  Sums of models are formed in two steps with constant
+which changes where a value is found and not the value.
+
+Texts are split twice: to count words, and to write each text's symbols, two
+bytes a word, in a table that training and scoring read.  Training sees every
+position of every text once: each task trains in numpy from the same start on
+the positions of its rows, and the models are averaged by the number of
+positions they saw.  Sums of models are formed in two steps with constant
 memory, first over groups of tasks, then over all.  What is gathered grows
 with the input; what the driver holds is one model.
 
-Defined cases: null, empty and wordless texts have 0 tokens and score 0;
-repeated rows score alike; a null id is carried along; an empty table gives
-no rows, a corpus without words an untrained model; other columns are ignored.
-Probabilities of all words at a place sum to at most 1.
-Rerun on files that are split alike, scores agree.
+Defined cases: null, empty and wordless texts have 0 tokens and score 0; very
+long texts are one row, and scored whole; of equally frequent words the first
+by name is a symbol; repeated rows score alike; a null id is carried along; an
+empty table gives no rows, a corpus without words an untrained model; other
+columns, whatever their names, are ignored.  Probabilities of all words at a
+place sum to at most 1.  Rerun on files that are split alike, scores agree.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +58,22 @@ BATCH, RATE, SEED = 8192, 3.0, 5
 #: Floats of a row in which models travel; groups of tasks that are summed first.
 BLOCK, GROUPS = 8192, 64
 
-SHAPES = {"embed": (len(OFFSETS), SYMBOLS + 1, DIM), "hidden": (DIM,), "cls": (DIM, CLASSES), "cls_bias": (CLASSES,), "word": (CLASSES, DIM, IN_CLASS), "word_bias": (CLASSES, IN_CLASS)}
+#: Parameters; the last of the DIM + 1 inputs of ``cls`` and ``word`` is always 1, so their last rows are biases.
+SHAPES = {"embed": (len(OFFSETS), SYMBOLS + 1, DIM), "hidden": (DIM,), "cls": (DIM + 1, CLASSES), "word": (CLASSES, DIM + 1, IN_CLASS)}
+#: A text ready for training and scoring: symbols of its words, two bytes each, the sum of what workers know within symbols, and the words that are to be joined.
+ENCODED = "doc_id long, row long, symbols binary, inside double, words array<struct<name: long, new: float>>"
 
 
 @dataclass
 class Model:
-    """``symbols`` of frequent words by rank, parameters by name, what tells the words of a symbol apart, and how many positions were trained on."""
+    """``symbols`` of frequent words by rank, parameters by name, what tells the words of a symbol apart, how many positions were trained on, and the texts it was trained on, encoded."""
 
     symbols: dict[str, int]
     params: dict[str, np.ndarray]
     key: str
     within: Within
     seen: int = 0
+    encoded: DataFrame | None = None
 
 
 #: What is known of a token: its symbol (-1: no word), the hash of a word that is to be joined (else 0), its log-probability within the symbol, for joined words as if never counted.
@@ -200,15 +210,15 @@ def start(counts: np.ndarray) -> dict[str, np.ndarray]:
     for k, scale in (("embed", 0.1), ("cls", 0.1), ("word", 0.1)):
         p[k] = rng.normal(0, scale, SHAPES[k]).astype(np.float32)
     by_class = (counts + 0.5).reshape(CLASSES, IN_CLASS)
-    p["cls_bias"] = np.log(by_class.sum(axis=1) / by_class.sum()).astype(np.float32)
-    p["word_bias"] = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
+    p["cls"][-1] = np.log(by_class.sum(axis=1) / by_class.sum())
+    p["word"][:, -1] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
     return p
 
 
 def windows(symbols: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Neighbours of every position; SYMBOLS where the text has none."""
     n = len(symbols)
-    out = np.full((len(OFFSETS), n), SYMBOLS, np.int64)
+    out = np.full((len(OFFSETS), n), SYMBOLS, np.uint16)
     for k, d in enumerate(OFFSETS):
         a, b = max(0, -d), min(n, n - d)
         if a < b:
@@ -217,9 +227,9 @@ def windows(symbols: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _level(x: np.ndarray) -> None:
-    """Shift rows by their largest value, in place, where powers of e would leave the range of floats otherwise."""
-    if x.size and max(x.max(), -x.min()) > 60:
+def _level(x: np.ndarray, weights: np.ndarray) -> None:
+    """Shift rows by their largest value, in place, where powers of e might leave the range of floats otherwise; inputs are at most 1, which bounds what weights give."""
+    if np.abs(weights).sum(axis=-2).max() > 60:
         x -= x.max(axis=1, keepdims=True)
 
 
@@ -228,25 +238,23 @@ def _add_up(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    _level(x)
+def _softmax(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    _level(x, weights)
     np.exp(x, out=x)
     x *= (1 / _add_up(x))[:, None]
     return x
 
 
-def _classes(p: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    x = h @ p["cls"]
-    x += p["cls_bias"]
-    return x
-
-
 def _hidden(p: dict[str, np.ndarray], near: np.ndarray) -> np.ndarray:
+    """The inputs of both steps: squashed sums of neighbours, and 1."""
     total = p["embed"][0].take(near[0], axis=0)
     for k in range(1, len(OFFSETS)):
         total += p["embed"][k].take(near[k], axis=0)
     total += p["hidden"]
-    return np.tanh(total, out=total)
+    out = np.empty((len(total), DIM + 1), total.dtype)
+    np.tanh(total, out=out[:, :DIM])
+    out[:, DIM] = 1
+    return out
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -259,15 +267,14 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
 
 def _in_class(p: dict[str, np.ndarray], h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
     """Logits of the words of each position's class, for positions ordered by class."""
-    y = np.empty((len(h), IN_CLASS), np.float32)
+    y = np.empty((len(h), IN_CLASS), h.dtype)
     for c, a, b in runs:
         np.matmul(h[a:b], p["word"][c], out=y[a:b])
-        y[a:b] += p["word_bias"][c]
     return y
 
 
-def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    _level(x)
+def _log_softmax_at(x: np.ndarray, column: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    _level(x, weights)
     picked = x[np.arange(len(x)), column]
     np.exp(x, out=x)
     return picked - np.log(_add_up(x))
@@ -278,51 +285,43 @@ def log_probs(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray) ->
     out = np.empty(len(target), np.float64)
     for a in range(0, len(target), BATCH):
         order, runs = _by_class(target[a : a + BATCH])
-        t = target[a : a + BATCH][order]
-        h = _hidden(p, near[:, a : a + BATCH][:, order])
-        out[a + order] = _log_softmax_at(_classes(p, h), t // IN_CLASS) + _log_softmax_at(_in_class(p, h, runs), t % IN_CLASS)
+        order = order + a
+        t = target[order]
+        h = _hidden(p, near[:, order])
+        out[order] = _log_softmax_at(h @ p["cls"], t // IN_CLASS, p["cls"]) + _log_softmax_at(_in_class(p, h, runs), t % IN_CLASS, p["word"])
     return out
 
 
-def step(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step of stochastic gradient descent on a batch of positions, in place."""
-    n = len(target)
-    order, runs = _by_class(target)
-    near, target = near[:, order], target[order]
+def step(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray, at: np.ndarray, rate: float) -> None:
+    """One step of stochastic gradient descent, in place, on the positions ``at``."""
+    n = len(at)
+    order, runs = _by_class(target[at])
+    at = at[order]
+    near, target = near[:, at], target[at]
     h = _hidden(p, near)
-    g = _softmax(_classes(p, h))
-    g[np.arange(n), target // IN_CLASS] -= 1
-    back = g @ p["cls"].T
-    moves = [("cls", h.T @ g), ("cls_bias", np.ones(n, np.float32) @ g)]
-    y = _softmax(_in_class(p, h, runs))
-    y[np.arange(n), target % IN_CLASS] -= 1
+    place = np.arange(n)
+    g = _softmax(h @ p["cls"], p["cls"])
+    g[place, target // IN_CLASS] -= 1
+    back = g @ p["cls"][:DIM].T
+    y = _softmax(_in_class(p, h, runs), p["word"])
+    y[place, target % IN_CLASS] -= 1
+    p["cls"] -= (rate / n) * (h.T @ g)
     for c, a, b in runs:
-        back[a:b] += y[a:b] @ p["word"][c].T
+        w = p["word"][c]
+        back[a:b] += y[a:b] @ w[:DIM].T
         # a class moves by the mean over its own positions, so rare classes learn too
-        scale = rate / np.sqrt((b - a) * n)
-        p["word"][c] -= scale * (h[a:b].T @ y[a:b])
-        p["word_bias"][c] -= scale * (np.ones(b - a, np.float32) @ y[a:b])
-    for k, move in moves:
-        p[k] -= (rate / n) * move
-    back *= 1 - h * h
-    p["hidden"] -= (rate / n) * back.sum(axis=0)
+        w -= np.float32(rate / np.sqrt((b - a) * n)) * (h[a:b].T @ y[a:b])
+    squashed = h[:, :DIM]
+    back *= 1 - squashed * squashed
+    p["hidden"] -= (rate / n) * (np.ones(n, np.float32) @ back)
     for k in range(len(OFFSETS)):
-        at = near[k].astype(np.uint16)
-        order = np.argsort(at, kind="stable")
-        at = at.take(order)
-        first = np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1))
+        order = np.argsort(near[k], kind="stable")
+        symbol = near[k].take(order)
+        first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
         times = np.diff(first, append=n)
-        p["embed"][k][at[first]] -= (rate / np.sqrt(times * n)[:, None] * np.add.reduceat(back.take(order, axis=0), first, axis=0)).astype(np.float32)
-
-
-def _texts(symbols: dict[str, int], key: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all words, and the text each is in."""
-    memo = kept(f"symbols {key}", lambda: Memo(lambda tokens: symbol_of(symbols, tokens)))
-    codes, tokens, starts = split(text)
-    all_ = memo(tokens)[codes]
-    doc = np.repeat(np.arange(len(text)), np.diff(starts))
-    real = all_ >= 0
-    return all_[real], doc[real]
+        move = np.add.reduceat(back.take(order, axis=0), first, axis=0)
+        move *= (rate / np.sqrt(times * n)).astype(np.float32)[:, None]
+        p["embed"][k][symbol[first]] -= move
 
 
 def _known(symbols: dict[str, int], inside: Within, key: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,6 +334,37 @@ def _known(symbols: dict[str, int], inside: Within, key: str, text: pa.Array) ->
     return known, codes[real], doc[real]
 
 
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows ``ENCODED`` of every whole text."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sent = spark.sparkContext.broadcast((model.symbols, model.within.sent(), model.key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, inside, key = sent.value
+        for batch, text in slices(batches, "text"):
+            known, code, doc = _known(symbols, inside, key, text)
+            small = known["symbol"].astype("<u2")[code]
+            ends = np.searchsorted(doc, np.arange(len(text) + 1)).tolist()
+            joined = known["name"][code] != 0
+            log_p = known["log_p"][code]
+            total = np.bincount(doc, np.where(joined, 0.0, log_p), len(text))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(doc[joined], minlength=len(text)))]).astype(np.int32)
+            words = pa.StructArray.from_arrays([pa.array(known["name"][code[joined]]), pa.array(log_p[joined].astype(np.float32))], ["name", "new"])
+            flat = [small[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.binary()), pa.array(total), pa.ListArray.from_arrays(pa.array(starts), words)], ["doc_id", "row", "symbols", "inside", "words"])
+
+    numbered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return numbered.mapInArrow(run, ENCODED)
+
+
+def _positions(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all words of a batch of encoded texts, the neighbours of each, and where texts start (one more than texts)."""
+    n = (pc.binary_length(column).to_numpy(zero_copy_only=False) // 2).astype(np.int64)
+    s = np.frombuffer(b"".join(column.to_pylist()), "<u2")
+    return s, windows(s, np.repeat(np.arange(len(n)), n)), np.concatenate([[0], np.cumsum(n)])
+
+
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the models' rows (group, block, seen, values) by keys, in memory of one model a task."""
 
@@ -352,8 +382,8 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).mapInArrow(run, "group int, block int, seen double, values binary")
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all words, train in every task, average the models."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Count all words, encode all texts, train in every task, average the models."""
     spark = docs.sparkSession
     bounded_batches(spark)
     counted = materialise(word_counts(docs, text_col), "words")
@@ -363,64 +393,61 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     by_symbol[: len(top)] = [r["n"] for r in top]
     rest = (counted.agg(F.sum("n")).first()[0] or 0) - by_symbol.sum()
     by_symbol[FREQUENT:] = rest / RARE
-    first = start(by_symbol)
-    inside = within(counted, symbols)
-    key = f"lm {uuid.uuid4().hex}"
-    sent = spark.sparkContext.broadcast((symbols, first))
+    model = Model(symbols, start(by_symbol), f"lm {uuid.uuid4().hex}", within(counted, symbols))
+    model.encoded = materialise(encode(docs, model, id_col, text_col), "encoded")
+    sent = spark.sparkContext.broadcast(model.params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names, begin = sent.value
-        p, seen = {k: v.copy() for k, v in begin.items()}, 0
-        for _, text in slices(batches, "text"):
-            s, doc = _texts(names, key, text)
-            near = windows(s, doc)
-            at = np.random.default_rng(SEED).permutation(len(s))
-            for a in range(0, len(at), BATCH):
-                i = at[a : a + BATCH]
-                step(p, near[:, i], s[i], RATE / (1 + seen / 5e6))
-                seen += len(i)
+        p, seen = {k: v.copy() for k, v in sent.value.items()}, 0
+        for batch in batches:
+            s, near, _ = _positions(batch.column(0))
+            # each step takes positions from all texts of the batch
+            steps = -(-len(s) // BATCH)
+            for k in range(steps):
+                at = np.arange(k, len(s), steps)
+                step(p, near, s, at, RATE / (1 + seen / 5e6))
+                seen += len(at)
         if seen:
             flat = pack(p).astype("<f8") * seen
             parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([float(seen)] * n), pa.array(parts, pa.binary())], ["group", "block", "seen", "values"])
 
-    trained = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "group int, block int, seen double, values binary")
+    trained = model.encoded.select("symbols").mapInArrow(run, "group int, block int, seen double, values binary")
     rows = _summed(_summed(trained, ["group", "block"]), ["block"]).orderBy("block").collect()
-    if not rows:
-        return Model(symbols, first, key, inside)
-    return Model(symbols, unpack(np.concatenate([np.frombuffer(r["values"], "<f8") / r["seen"] for r in rows])), key, inside, int(rows[0]["seen"]))
+    if rows:
+        model.params, model.seen = unpack(np.concatenate([np.frombuffer(r["values"], "<f8") / r["seen"] for r in rows])), int(rows[0]["seen"])
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens, log_prob, score) of every whole text: sum and mean of the words' log-probabilities.
+    """Rows (doc_id, n_tokens, log_prob, score) of every whole text: sum and mean of the words' log-probabilities."""
+    return scored(materialise(encode(docs, model, id_col, text_col), "encoded"), model)
 
-    Only words whose values the workers don't hold are shuffled, as numbers.
-    """
-    spark = docs.sparkSession
+
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of the texts that the model is trained on, which are encoded once."""
+    model = fit(docs, id_col, text_col)
+    return scored(model.encoded, model)
+
+
+def scored(encoded: DataFrame, model: Model) -> DataFrame:
+    """Scores of encoded texts.  Only words whose values the workers don't hold are shuffled, as numbers."""
+    spark = encoded.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast((model.symbols, model.params, model.key, model.within.sent()))
+    sent = spark.sparkContext.broadcast(model.params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, params, key, inside = sent.value
-        for batch, text in slices(batches, "text"):
-            known, code, doc = _known(symbols, inside, key, text)
-            s = known["symbol"][code].astype(np.int64)
-            n = np.bincount(doc, minlength=len(text)).astype(np.int64)
-            name = known["name"][code]
-            joined = name != 0
-            each = log_probs(params, windows(s, doc), s) + np.where(joined, 0.0, known["log_p"][code])
-            total = sums(each, np.concatenate([[0], np.cumsum(n)]))
-            starts = np.concatenate([[0], np.cumsum(np.bincount(doc[joined], minlength=len(text)))]).astype(np.int32)
-            words = pa.StructArray.from_arrays([pa.array(name[joined]), pa.array(known["log_p"][code[joined]].astype(np.float32))], ["name", "new"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), pa.ListArray.from_arrays(pa.array(starts), words)], ["doc_id", "row", "n_tokens", "log_prob", "words"])
+        for batch in batches:
+            s, near, starts = _positions(batch.column(2))
+            total = sums(log_probs(sent.value, near, s), starts) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(total)], ["doc_id", "row", "n_tokens", "log_prob"])
 
-    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    scored = materialise(numbered.mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double, words array<struct<name: long, new: float>>"), "scored")
+    each = encoded.select("doc_id", "row", "symbols", "inside").mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double")
     rest = model.within.rest if model.within.rest is not None else spark.createDataFrame([], "name long, log_p double")
-    found = scored.select("row", F.inline("words")).join(rest, "name", "left")
+    found = encoded.select("row", F.inline("words")).join(rest, "name", "left")
     more = found.groupBy("row").agg((F.sum(F.round(F.coalesce("log_p", F.col("new").cast("double")) * UNITS).cast("long")) / UNITS).alias("more"))
     whole = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
-    return scored.join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_prob"), (whole / F.greatest("n_tokens", F.lit(1))).alias("score"))
+    return each.join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_prob"), (whole / F.greatest("n_tokens", F.lit(1))).alias("score"))

@@ -44,8 +44,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs))
+    return lm_score.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
