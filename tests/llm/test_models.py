@@ -140,7 +140,7 @@ def test_gradient_lowers_the_loss():
     near = lm_score.windows(np.repeat(s, 2), np.zeros(8000, int))
     before = lm_score.log_probs(p, near, np.repeat(s, 2)).mean()
     for _ in range(20):
-        lm_score.step(p, near, np.repeat(s, 2), 3.0)
+        lm_score.step(p, near, np.repeat(s, 2), np.arange(8000), 3.0)
     assert lm_score.log_probs(p, near, np.repeat(s, 2)).mean() > before + 1
 
 
@@ -185,3 +185,106 @@ def test_rare_insults_keep_their_weight():
         texts.append(" ".join([*rng.choices(clean, k=30), *(["qwyxvut"] if i in (0, 250, 500, 750) else ["zorkus"] if toxic[i] else [])]))
     model = toxicity.train(pa.array(texts), toxic)
     assert toxicity.word_projection(model, ["qwyxvut"])[0, 0] > 1
+
+
+TEXTS = ["ka lo mitu, KA sch! ung", "kalomi schungein zzz 12 !!", "eaux", None, "", "... 12", "ka " * 50 + "eau"]
+
+
+def test_language_scores_equal_a_loop(table_of, languages):
+    """Word by word and n-gram by n-gram, from the fitted tables alone."""
+    model = langid.fit(table_of(languages))
+    k = len(model.langs)
+
+    def found(order, h):
+        at = np.searchsorted(model.hashes[order], h)
+        return model.logs[order][at] if at < len(model.hashes[order]) and model.hashes[order][at] == h else None
+
+    def word(w):
+        row = found(0, langid.word_hash([w])[0])
+        for order in langid.ORDERS:
+            if row is not None:
+                return row
+            known = [x for x in (found(order, h) for h in langid.grams([w], order)[1]) if x is not None]
+            row = sum(known) / len(known) if known else None
+        return np.zeros(k) if row is None else row
+
+    got = {r.doc_id: r for r in langid.predict(table_of([(i, t, None, None) for i, t in enumerate(TEXTS)]), model).collect()}
+    for i, text in enumerate(TEXTS):
+        words = [w for w in map(langid.plain, (text or "").split()) if any(c.isalpha() for c in w)]
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        total = sum(word(w) for w in words)
+        assert got[i].lang_pred == model.langs[int(np.argmax(total))] and abs(got[i].score - 1 / np.exp(total - total.max()).sum()) < 1e-9
+
+
+def test_ties_go_to_the_first_language(table_of):
+    model = langid.Model(["aa", "bb"], {0: langid.word_hash(["same"])}, {0: np.full((1, 2), -3.0)}, "tie")
+    got = [(r.lang_pred, r.score) for r in langid.predict(table_of([(1, "same SAME", None, None), (2, "ЖЖЖ", None, None)]), model).collect()]
+    assert got == [("aa", 0.5), ("aa", 0.5)]
+
+
+def test_toxicity_scores_equal_a_loop(table_of, insults):
+    """Each word's mean over its rows, each text's damped mean over its words."""
+    docs, labels = insults
+    model = toxicity.train(pa.array([d[1] for d in docs]), np.array([t for _, t in labels]))
+    texts = [*[d[1] for d in docs[:12]], *TEXTS]
+    got = {r.doc_id: r.score for r in toxicity.score(table_of([(i, t, None, None) for i, t in enumerate(texts)]), model).collect()}
+    for i, text in enumerate(texts):
+        times = {}
+        for w in map(toxicity.plain, (text or "").split()):
+            if w:
+                times[w] = times.get(w, 0) + 1
+        top = bottom = 0.0
+        for w, n in times.items():
+            weight = 1 + toxicity.POWER * np.log(n)
+            top += weight * float(np.mean([model.projection[b] for b in toxicity.features([w])[1]]))
+            bottom += weight
+        assert abs(got[i] - 1 / (1 + np.exp(-(top / (toxicity.NEUTRAL + bottom) + model.bias)))) < 1e-6
+
+
+def test_toxicity_training_is_bounded_and_reruns_alike(table_of, insults, monkeypatch):
+    docs, labels = insults
+    df, marks = table_of([*docs, (901, "zork " * 5000, None, None)]), table_of([*labels, (901, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3_000_000)
+    one, two = toxicity.fit(df, marks), toxicity.fit(df.repartition(7), marks)
+    assert (one.projection == two.projection).all() and one.bias == two.bias
+    without = toxicity.fit(table_of(docs), marks)
+    assert (one.projection == without.projection).all()  # a text beyond its share isn't trained on
+
+
+def test_language_model_scores_equal_a_loop(table_of):
+    """Every position by itself: neighbours' vectors, class, word in the class, and word in the symbol."""
+    rng = random.Random(31)
+    docs = [(i, " ".join(f"v{rng.randrange(30)}" for _ in range(40)), None, None) for i in range(60)]
+    model = lm_score.fit(table_of(docs))
+    texts = [docs[0][1], "v1 v2 never v3", "v1", "never", "", None]
+    got = {r.doc_id: r for r in lm_score.score(table_of([(i, t, None, None) for i, t in enumerate(texts)]), model).collect()}
+    p = {k: v.astype(np.float64) for k, v in model.params.items()}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        s = lm_score.symbol_of(model.symbols, words)
+        total = 0.0
+        for at, symbol in enumerate(s):
+            h = p["hidden"] + sum(p["embed"][k][s[at + d] if 0 <= at + d < len(s) else lm_score.SYMBOLS] for k, d in enumerate(lm_score.OFFSETS))
+            h = np.tanh(h)
+            c = symbol // lm_score.IN_CLASS
+            x, y = np.append(h, 1) @ p["cls"], np.append(h, 1) @ p["word"][c]
+            total += x[c] - np.log(np.exp(x).sum()) + y[symbol % lm_score.IN_CLASS] - np.log(np.exp(y).sum())
+            total += float(model.within.tokens(model.symbols, [words[at]])["log_p"][0])
+        assert got[i].n_tokens == len(words) and abs(got[i].log_prob - total) < 1e-3 * max(1, len(words))
+
+
+def test_encoded_texts_score_like_texts(table_of):
+    docs = [(i, f"a{i % 7} b{i % 5} c{i % 3} d only{i}", None, None) for i in range(120)]
+    df = table_of(docs)
+    model = lm_score.fit(df)
+    by = lambda frame: sorted((r.doc_id, r.n_tokens, round(r.log_prob, 6)) for r in frame.collect())
+    assert by(lm_score.score(df, model)) == by(lm_score.scored(model.encoded, model)) == by(lm_score.fit_and_score(df))
+
+
+def test_language_model_reruns_alike(table_of):
+    docs = [(i, f"a{i % 7} b{i % 5} c{i % 3} d", None, None) for i in range(200)]
+    df = table_of(docs)
+    runs = [sorted((r.doc_id, round(r.log_prob, 6)) for r in lm_score.score(df, lm_score.fit(df)).collect()) for _ in range(2)]
+    assert runs[0] == runs[1]
