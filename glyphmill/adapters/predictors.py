@@ -1,8 +1,8 @@
 """External capabilities behind adapters: models and renderers.
 
-A predictor is loaded once in a worker process and called for each row; it
-turns a prompt (and an image path) into text or a vector.  Tests and replays
-use the stub and the table of recorded answers.
+A predictor is loaded once in a task's worker and called for batches of rows;
+it turns a prompt (and an image path) into text.  Tests and replays use the
+stub, answers by rule, and the table of recorded answers.
 """
 
 from __future__ import annotations
@@ -38,6 +38,25 @@ class Stub:
         pass
 
 
+class Scripted:
+    """The answer of the first rule whose mark the prompt holds; no rule is an error."""
+
+    def __init__(self, rules: dict[str, str]):
+        self.rules = rules
+
+    def predict(self, prompts: list[str], images: list[str | None]) -> list[str]:
+        out = []
+        for p in prompts:
+            found = [a for mark, a in self.rules.items() if mark in p]
+            if not found:
+                raise ValueError("no rule for this prompt")
+            out.append(found[0])
+        return out
+
+    def unload(self) -> None:
+        pass
+
+
 #: Makers of predictors by name; an unknown name is an error that lists them.
 REGISTRY: dict[str, Callable[[], Predictor]] = {"stub": Stub}
 
@@ -48,12 +67,13 @@ def get(name: str) -> Callable[[], Predictor]:
     return REGISTRY[name]
 
 
-def predict(rows: DataFrame, name: str, batch: int = 32, key: str = "id", prompt: str = "prompt", image: str = "image") -> DataFrame:
-    """Rows (key, answer, ok, error, seconds): a failing batch marks its own rows only.
+def predict(rows: DataFrame, name: str, batch: int = 32, key: str | list[str] = "id", prompt: str = "prompt", image: str = "image") -> DataFrame:
+    """Rows (key, answer, ok, error, seconds): a failing batch marks its own rows only; ``seconds`` is a row's share of its batch.
 
     Filter rows before this: nothing is pushed below a model.
     """
     make = get(name)
+    keys = [key] if isinstance(key, str) else list(key)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -68,12 +88,13 @@ def predict(rows: DataFrame, name: str, batch: int = 32, key: str = "id", prompt
                         answers, error = model.predict(some["prompt"].tolist(), some["image"].tolist()), None
                     except Exception as e:  # a model's failure is a result
                         answers, error = [None] * len(some), f"{type(e).__name__}: {e}"
-                    yield pd.DataFrame({"key": some["key"], "answer": answers, "ok": error is None, "error": error, "seconds": (time.perf_counter() - began) / len(some)})
+                    yield some[keys].assign(answer=answers, ok=error is None, error=error, seconds=(time.perf_counter() - began) / len(some))
         finally:
             model.unload()
 
-    given = rows.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt"), (F.col(image) if image in rows.columns else F.lit(None)).cast("string").alias("image"))
-    return given.mapInPandas(run, "key string, answer string, ok boolean, error string, seconds double")
+    given = rows.select(*keys, F.col(prompt).alias("prompt"), (F.col(image) if image in rows.columns else F.lit(None)).cast("string").alias("image"))
+    shape = ", ".join(f"`{k}` {t}" for k, t in given.select(*keys).dtypes)
+    return given.mapInPandas(run, f"{shape}, answer string, ok boolean, error string, seconds double")
 
 
 def replayed(rows: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
@@ -92,7 +113,7 @@ def render_tikz(source: str) -> tuple[bool, bytes | None, str]:
         return False, None, "no TeX installation"
     with tempfile.TemporaryDirectory() as d:
         Path(d, "a.tex").write_text(source)
-        for step in (["latexmk", "-pdf", "-interaction=nonstopmode", "a.tex"], ["pdftoppm", "-png", "-r", str(DPI), "-singlefile", "a.pdf", "a"]):
+        for step in (["latexmk", "-pdf", "-interaction=nonstopmode", "-halt-on-error", "a.tex"], ["pdftoppm", "-png", "-r", str(DPI), "-singlefile", "a.pdf", "a"]):
             try:
                 done = subprocess.run(step, cwd=d, capture_output=True, text=True, timeout=TIMEOUT)
             except subprocess.TimeoutExpired:
@@ -102,7 +123,19 @@ def render_tikz(source: str) -> tuple[bool, bytes | None, str]:
         return True, Path(d, "a.png").read_bytes(), ""
 
 
-RENDERERS: dict[str, Callable[[str], tuple[bool, bytes | None, str]]] = {"tikz": render_tikz}
+def render_svg(source: str) -> tuple[bool, bytes | None, str]:
+    """PNG of an SVG document, or the log of what failed."""
+    try:
+        import cairosvg
+    except ImportError:
+        return False, None, "no SVG renderer"
+    try:
+        return True, cairosvg.svg2png(bytestring=source.encode(), dpi=DPI), ""
+    except Exception as e:  # the renderer raises errors of many kinds
+        return False, None, f"cairosvg render failed: {e}"
+
+
+RENDERERS: dict[str, Callable[[str], tuple[bool, bytes | None, str]]] = {"tikz": render_tikz, "svg": render_svg}
 
 
 def render(sources: DataFrame, kind: str, code: str = "code", digest: str = "digest") -> DataFrame:

@@ -7,17 +7,21 @@ from __future__ import annotations
 
 import numpy as np
 
-# Fixed values of the segmentation.
+# Fixed values of the segmentation; functions take others as parameters.
 MIN_AREA, WINDOW, STEP, MAX_SHARE, EXTENT, SAME_BOX = 800, 12, 3, 0.25, 0.85, 0.9
+CORNER = 0.02
+WEIGHTS = {"RGB": (0.299, 0.587, 0.114), "BGR": (0.114, 0.587, 0.299)}
 
 
-def normalise(pixels: np.ndarray) -> np.ndarray:
-    """Grey image of dark strokes on white: alpha over white, weighed channels, turned round if its corners are dark."""
+def normalise(pixels: np.ndarray, order: str = "RGB") -> np.ndarray:
+    """Grey image of dark strokes on white: alpha over white, channels weighed by their order, turned round if its corners are dark."""
     p = pixels.astype(np.float64)
+    if p.ndim == 3 and p.shape[2] == 1:
+        p = p[..., 0]
     if p.ndim == 3 and p.shape[2] == 4:
         alpha = p[..., 3:] / 255
         p = p[..., :3] * alpha + 255 * (1 - alpha)
-    grey = p @ np.array([0.299, 0.587, 0.114]) if p.ndim == 3 else p
+    grey = p @ np.array(WEIGHTS[order]) if p.ndim == 3 else p
     corners = np.array([grey[0, 0], grey[0, -1], grey[-1, 0], grey[-1, -1]])
     grey = np.clip(np.rint(grey), 0, 255).astype(np.uint8)
     return 255 - grey if np.median(corners) < 128 else grey
@@ -87,24 +91,24 @@ def label(mask: np.ndarray) -> np.ndarray:
     return dense[out]
 
 
-def seeds(x: int, y: int, h: int, w: int) -> list[tuple[int, int]]:
+def seeds(x: int, y: int, h: int, w: int, window: int = WINDOW, step: int = STEP) -> list[tuple[int, int]]:
     """A grid of places around a point, the point first."""
-    reach = range(-WINDOW, WINDOW + 1, STEP)
+    reach = range(-window, window + 1, step)
     return [(y, x)] + [(y + dy, x + dx) for dy in reach for dx in reach if (dy or dx) and 0 <= y + dy < h and 0 <= x + dx < w]
 
 
-def region(labels: np.ndarray, x: int, y: int) -> np.ndarray | None:
-    """The largest free component of ``MIN_AREA`` pixels or more around a point."""
+def region(labels: np.ndarray, x: int, y: int, min_area: int = MIN_AREA, window: int = WINDOW, step: int = STEP) -> np.ndarray | None:
+    """The largest free component of ``min_area`` pixels or more around a point."""
     h, w = labels.shape
     sizes = np.bincount(labels.ravel())
-    hit = list(dict.fromkeys(int(labels[p]) for p in seeds(x, y, h, w) if 0 <= p[0] < h and 0 <= p[1] < w and labels[p]))
-    hit = [k for k in hit if sizes[k] >= MIN_AREA]
+    hit = list(dict.fromkeys(int(labels[p]) for p in seeds(x, y, h, w, window, step) if 0 <= p[0] < h and 0 <= p[1] < w and labels[p]))
+    hit = [k for k in hit if sizes[k] >= min_area]
     return labels == max(hit, key=lambda k: sizes[k]) if hit else None
 
 
-def leaks(mask: np.ndarray) -> bool:
+def leaks(mask: np.ndarray, max_share: float = MAX_SHARE) -> bool:
     """A region that touches an edge of the image or covers too much of it."""
-    return bool(mask[0].any() or mask[-1].any() or mask[:, 0].any() or mask[:, -1].any() or mask.mean() > MAX_SHARE)
+    return bool(mask[0].any() or mask[-1].any() or mask[:, 0].any() or mask[:, -1].any() or mask.mean() > max_share)
 
 
 def xywh(mask: np.ndarray) -> tuple[int, int, int, int]:
@@ -112,6 +116,13 @@ def xywh(mask: np.ndarray) -> tuple[int, int, int, int]:
     return int(xs.min()), int(ys.min()), int(xs.max() - xs.min() + 1), int(ys.max() - ys.min() + 1)
 
 
+def filled(box: tuple[int, int, int, int], h: int, w: int) -> np.ndarray:
+    """A mask of the whole box (x, y, w, h)."""
+    out = np.zeros((h, w), bool)
+    out[box[1] : box[1] + box[3], box[0] : box[0] + box[2]] = True
+    return out
+
+
 def iou_xywh(a: tuple, b: tuple) -> float:
     w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
     h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
@@ -120,50 +131,61 @@ def iou_xywh(a: tuple, b: tuple) -> float:
     return shared / union if shared and union else 0.0
 
 
-def rectangles(labels: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Boxes of free components that fill their extents; near copies keep the largest.
+def corners(mask: np.ndarray) -> int:
+    """Corners of a region's outline: rows and columns where its extents jump by more than ``CORNER`` of its size; 4 for a rectangle."""
+    x, y, w, h = xywh(mask)
+    part = mask[y : y + h, x : x + w]
+    rows, columns = part.any(axis=1), part.any(axis=0)
+    left, right = part.argmax(axis=1)[rows], w - part[:, ::-1].argmax(axis=1)[rows]
+    top, bottom = part.argmax(axis=0)[columns], h - part[::-1].argmax(axis=0)[columns]
+    jumps = sum(int((np.abs(np.diff(e)) > max(1, CORNER * 2 * (w + h))).sum()) for e in (left, right, top, bottom))
+    return 4 + jumps
+
+
+def rectangles(labels: np.ndarray, min_area: int = MIN_AREA, extent: float = EXTENT, same: float = SAME_BOX, max_share: float = MAX_SHARE) -> list[tuple[int, int, int, int]]:
+    """Boxes of free components that are rectangles; near copies keep the largest.
 
-    Components stand in for traced outlines: a region that fills ``EXTENT`` of
-    its bounding box is a rectangle.
+    Components stand in for traced outlines: a region of four corners that
+    fills ``extent`` of its bounding box is a rectangle.
     """
     found = []
     for k in range(1, int(labels.max()) + 1):
         mask = labels == k
         n = int(mask.sum())
-        if n > MIN_AREA:
+        if n > min_area:
             box = xywh(mask)
-            if n > EXTENT * box[2] * box[3] and not leaks(mask):
+            if n > extent * box[2] * box[3] and not leaks(mask, max_share) and corners(mask) == 4:
                 found.append(box)
     kept: list[tuple[int, int, int, int]] = []
     for box in sorted(found, key=lambda b: -b[2] * b[3]):
-        if all(iou_xywh(box, other) <= SAME_BOX for other in kept):
+        if all(iou_xywh(box, other) <= same for other in kept):
             kept.append(box)
     return kept
 
 
-def reconcile(grey: np.ndarray, points: list[tuple[str, int, int]]) -> list[dict]:
-    """A box for each point: its free region, else the smallest rectangle around it, else needs_review."""
+def reconcile(grey: np.ndarray, points: list[tuple[str, int, int]], min_area: int = MIN_AREA, max_share: float = MAX_SHARE) -> list[dict]:
+    """A box and its filled mask for each point: its free region, else the smallest rectangle around it, else needs_review without either."""
     labels = label(~walls(grey))
-    boxes = rectangles(labels)
+    boxes = rectangles(labels, min_area, max_share=max_share)
     out = []
     for name, x, y in points:
-        mask = region(labels, x, y)
+        mask = region(labels, x, y, min_area)
         around = sorted((b for b in boxes if b[0] <= x < b[0] + b[2] and b[1] <= y < b[1] + b[3]), key=lambda b: b[2] * b[3])
-        if mask is not None and not leaks(mask):
+        if mask is not None and not leaks(mask, max_share):
             box, source = xywh(mask), "flood"
         elif around:
             box, source = around[0], "contour"
         else:
             box, source = None, "needs_review"
-        out.append({"id": name, "box": box, "source": source, "iou": iou_xywh(box, around[0]) if box and around else None})
+        out.append({"id": name, "box": box, "mask": filled(box, *grey.shape) if box else None, "source": source, "iou": iou_xywh(box, around[0]) if box and around else None})
     return out
 
 
 def fill(mask: np.ndarray) -> tuple[np.ndarray, bool]:
-    """A mask without holes and specks, and whether opening was kept: it must leave half of the closed mask."""
-    round5, square3 = kernel(5, True), kernel(3)
+    """A mask without holes and specks, and whether opening (by a plus of three pixels) was kept: it must leave half of the closed mask."""
+    round5, plus3 = kernel(5, True), kernel(3, True)
     closed = erode(dilate(mask, round5), round5)
-    opened = dilate(erode(closed, square3), square3)
+    opened = dilate(erode(closed, plus3), plus3)
     keep = bool(closed.any()) and opened.sum() >= 0.5 * closed.sum()
     return (opened, True) if keep else (closed, False)
 

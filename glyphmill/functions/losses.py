@@ -20,7 +20,6 @@ def cross_entropy(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 def overlap_error(predicted: float, logits: np.ndarray, truth: np.ndarray) -> float:
-    """Squared error of a predicted overlap against that of the mask the logits stand for."""
+    """Squared error of a predicted overlap against that of the mask the logits stand for, which is 0 for two empty masks."""
     mask, truth = logits > 0, truth > 0
-    union = (mask | truth).sum()
-    return float((predicted - ((mask & truth).sum() / union if union else 1.0)) ** 2)
+    return float((predicted - (mask & truth).sum() / max((mask | truth).sum(), 1)) ** 2)

@@ -11,7 +11,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -115,3 +115,9 @@ def text_of(mask: pd.DataFrame) -> pd.Series:
 @pandas_udf(KIND)
 def of_text(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([from_text(t) for t in text], columns=["h", "w", "counts"])
+
+
+def largest(rows: DataFrame, key: str, n: int = 0) -> DataFrame:
+    """Rows with a mask by area, the largest first; ``n`` of them if given."""
+    ordered = rows.withColumn("area", area(F.col("mask"))).orderBy(F.desc("area"), key)
+    return ordered.limit(n) if n else ordered

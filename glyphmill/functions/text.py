@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Marks and prefixes of the formats that are read.
+# Marks, prefixes, patterns and messages of the formats that are read.
 THINK_END = "</think>"
 FENCE = "```"
 FORMATS = {
     "tikz": {"prefixes": ("latex", "tex", "LaTeX", "TeX"), "start": "\\documentclass", "end": "\\end{document}"},
     "svg": {"prefixes": ("svg", "xml"), "start": "<svg", "end": "</svg>"},
 }
-SAMPLE_ID = r"^(?<venue>[A-Za-z]+)[_-]?(?<year>\d{4})[_-](?<kind>[A-Za-z]+)"
+SAMPLE_ID = r"^([A-Za-z]+)_(\d{4})_(arch|pipe)(\d+)$"
+COORDS = r'(?d)<(?:points|tracks).*? coords="([0-9\t:;, .]+)"/?>'
+POINT = r"([0-9]+ [0-9]{3,4} [0-9]{3,4})"
+NO_CODE, CUT_OFF = "no {start} found in model output", " -- likely truncated by max_new_tokens before reaching the answer"
+BAD_SCORE, BAD_ANSWER = "score out of range: ", "could not parse judge output: "
 
 
 def strip(text: Column) -> Column:
@@ -54,14 +58,20 @@ def extract_code(text: Column, kind: str) -> Column:
 
 
 def failure_reason(text: Column, kind: str = "tikz") -> Column:
-    """Why no code was found: nothing followed the reasoning part, or there is no start of code."""
+    """Why no code was found: the output ends before the answer that follows the reasoning part, or there is no start of code."""
+    none = NO_CODE.format(start=FORMATS[kind]["start"])
     cut = F.contains(text, F.lit(THINK_END)) & ~F.contains(after_thinking(text), F.lit(FORMATS[kind]["start"]))
-    return F.when(extract_code(text, kind).isNotNull(), F.lit(None).cast("string")).when(cut, F.lit("truncated after reasoning")).otherwise(F.lit("no document found"))
+    return F.when(extract_code(text, kind).isNotNull(), F.lit(None).cast("string")).when(cut, F.lit(none + CUT_OFF)).otherwise(F.lit(none))
 
 
 def _json(text: Column, opening: str, closing: str) -> Column:
-    """The widest span between the marks as VARIANT; null if there is none or it can't be read."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(text, rf"(?s)\{opening}.*\{closing}", 0), F.lit("")))
+    """The widest span between the marks as VARIANT; null if there is none or it isn't one JSON value.
+
+    The parser stops after the first value, so the span is read as the only item of a list.
+    """
+    span = F.nullif(F.regexp_extract(text, rf"(?s)\{opening}.*\{closing}", 0), F.lit(""))
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), span, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
 def json_items(text: Column) -> Column:
@@ -69,35 +79,49 @@ def json_items(text: Column) -> Column:
     return F.coalesce(F.try_variant_get(_json(text, "[", "]"), "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
+def whole(v: Column, path: str) -> Column:
+    """A whole number at a path: numbers lose their fraction, true is 1, and text counts only if it is a whole number itself."""
+    text = F.try_variant_get(v, path, "string")
+    quoted = F.startswith(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("STRING"))
+    return F.when(quoted, F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long"))).otherwise(F.try_variant_get(v, path, "long"))
+
+
+def _real(v: Column) -> Column:
+    """A number, or text that is one."""
+    return F.coalesce(F.try_variant_get(v, "$", "double"), F.trim(F.try_variant_get(v, "$", "string")).try_cast("double"))
+
+
 def edges(text: Column) -> Column:
     """Pairs (src, dst) of whole numbers under "from" and "to"; items without both are skipped."""
-    each = F.transform(json_items(text), lambda v: F.struct(F.try_variant_get(v, "$.from", "int").alias("src"), F.try_variant_get(v, "$.to", "int").alias("dst")))
+    each = F.transform(json_items(text), lambda v: F.struct(whole(v, "$.from").cast("int").alias("src"), whole(v, "$.to").cast("int").alias("dst")))
     return F.filter(each, lambda e: e["src"].isNotNull() & e["dst"].isNotNull())
 
 
 def boxes(text: Column, valid_ids: Column) -> Column:
-    """Boxes (object_id, x0, y0, x1, y1) of known objects whose corners are in order; other items are skipped."""
+    """Boxes (object_id, x0, y0, x1, y1) of known objects that have four sides in order; other items are skipped."""
 
     def read(v: Column) -> Column:
-        side = [F.try_variant_get(v, f"$.box[{k}]", "double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]
-        return F.struct(F.try_variant_get(v, "$.id", "int").alias("object_id"), *side)
+        sides = F.transform(F.try_variant_get(v, "$.box", "array<variant>"), _real)
+        return F.struct(whole(v, "$.object_id").cast("int").alias("object_id"), sides.alias("s"))
 
-    return F.filter(F.transform(json_items(after_thinking(text)), read), lambda b: F.array_contains(valid_ids, b["object_id"]) & (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]))
+    found = F.filter(F.transform(json_items(after_thinking(text)), read), lambda b: F.array_contains(valid_ids, b["object_id"]) & (F.size(b["s"]) == 4) & (b["s"][2] > b["s"][0]) & (b["s"][3] > b["s"][1]))
+    return F.transform(found, lambda b: F.struct(b["object_id"].alias("object_id"), *[b["s"][k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
 
 
 def judge(text: Column) -> Column:
-    """Struct (score, reason): a whole score from 1 to 5, else null with the start of the answer as the reason."""
+    """Struct (score, reason): a whole score from 1 to 5 and its rationale, else null and what is wrong."""
     answer = _json(text, "{", "}")
-    score = F.try_variant_get(answer, "$.score", "int")
-    good = F.coalesce(score.between(1, 5), F.lit(False))
-    why = F.coalesce(F.try_variant_get(answer, "$.rationale", "string"), F.lit(""))
-    return F.struct(F.when(good, score).alias("score"), F.when(good, why).otherwise(F.concat(F.lit("unparsed: "), F.substring(text, 1, 200))).alias("reason"))
+    score = F.when(answer.isNotNull(), whole(answer, "$.score"))
+    why = F.try_variant_get(answer, "$.rationale", "variant")
+    why = F.when(why.isNull(), F.lit("")).when(~F.is_variant_null(why), F.try_variant_get(why, "$", "string"))
+    reason = F.when(score.between(1, 5), why).when(score.isNotNull(), F.concat(F.lit(BAD_SCORE), score.cast("string"))).otherwise(F.concat(F.lit(BAD_ANSWER), F.substring(text, 1, 200)))
+    return F.struct(F.when(score.between(1, 5), score.cast("int")).alias("score"), reason.alias("reason"))
 
 
 def point_tags(text: Column, width: Column, height: Column) -> Column:
-    """Points (object_id, x, y) from coords attributes in thousandths of the image; points outside are skipped."""
-    lists = F.regexp_extract_all(text, F.lit(r"""coords\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    triples = F.flatten(F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(r"(\d+ \d{3,4} \d{3,4})"), F.lit(1))))
+    """Points (object_id, x, y) from coords of points and tracks tags in thousandths of the image; points outside are skipped."""
+    lists = F.regexp_extract_all(text, F.lit(COORDS), F.lit(1))
+    triples = F.flatten(F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(POINT), F.lit(1))))
 
     def read(s: Column) -> Column:
         part = F.split(s, " ")
@@ -106,6 +130,11 @@ def point_tags(text: Column, width: Column, height: Column) -> Column:
     return F.filter(F.transform(triples, read), lambda p: p["x"].between(F.lit(0), width) & p["y"].between(F.lit(0), height))
 
 
+def sample_name(sample_id: Column) -> Column:
+    """Struct (venue, year, kind) of an id like ``ICML_2020_arch12``; nulls for other ids."""
+    return F.struct(*[captured(sample_id, SAMPLE_ID, k).alias(n) for k, n in enumerate(("venue", "year", "kind"), 1)])
+
+
 def captured(text: Column, pattern: str, group: int) -> Column:
     """A group of a pattern, null where the pattern doesn't match."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -55,3 +55,13 @@ def keep_gate(score: Column, least: float = 4) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Whole percent, 0 of nothing."""
     return F.coalesce(F.round(F.try_divide(part * 100, whole)), F.lit(0)).cast("int")
+
+
+def counters(rows: DataFrame, flags: dict[str, Column], by: list[str] = ()) -> DataFrame:
+    """Rows done, and how many of them each flag holds for; parts of shards add up."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_done"), *[F.count_if(f).alias(n) for n, f in flags.items()])
+
+
+def epoch_losses(steps: DataFrame) -> DataFrame:
+    """Mean loss of each epoch, from its steps (epoch, loss)."""
+    return steps.groupBy("epoch").agg(F.avg("loss").alias("mean_loss"))

@@ -126,3 +126,14 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def render_misses(sources: DataFrame, cache: DataFrame, digest: Column, key: str = "digest") -> DataFrame:
     """One row for each distinct source that the render cache doesn't hold."""
     return sources.withColumn(key, digest).dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+
+
+def with_instances(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """Manifest rows (image_id, instance_id) with the mask that the image's record holds for the instance, null where it holds none."""
+    held = records.select(F.col("image.id").alias("image_id"), F.explode("instances").alias("i")).select("image_id", F.col("i.id").alias("instance_id"), F.col("i.mask_rle").alias("mask_rle"), F.col("i.state").alias("state"))
+    return manifest.join(held, ["image_id", "instance_id"], "left")
+
+
+def of_stages(points: DataFrame, masks: DataFrame, diagrams: DataFrame) -> DataFrame:
+    """What the stages made of each sample: points with their masks, of images that have a diagram."""
+    return points.join(masks, ["image_id", "object_id"]).join(diagrams, "image_id")

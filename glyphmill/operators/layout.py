@@ -11,6 +11,8 @@ BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 ITEM = f"struct<id:string,text:string,bbox:{BOX},mask:string,conf:double,src:string>"
 ARROW = "struct<src_id:string,dst_id:string,conf:double,src:string>"
 BLOCK = f"struct<id:string,text:string,bbox:{BOX},mask:string,conf:double,src:string,nodes:array<{ITEM}>,rasters:array<{ITEM}>,arrows:array<{ARROW}>>"
+# Where detected items and discovered edges come from.
+DETECTED, DISCOVERED = "sam", "som"
 DIAGRAM = f"image_id string, blocks array<{BLOCK}>, nodes array<{ITEM}>, rasters array<{ITEM}>, arrows array<{ARROW}>"
 
 
@@ -42,25 +44,32 @@ def assemble(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     owner = joins.raster_owners(rasters.select("image_id", "ord", "box"), blocks.select("image_id", "ord", "box"), tolerance)
     with_owner = rasters.join(owner, ["image_id", "ord"])
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x["i"])
-    inside_n = placed.where(F.col("role") == "child").groupBy("image_id", F.col("owner").alias("ord")).agg(ordered(as_item("pointing").alias("i")).alias("kids"))
-    inside_r = with_owner.where(F.col("block_ord").isNotNull()).groupBy("image_id", F.col("block_ord").alias("ord")).agg(ordered(as_item("pointing").alias("i")).alias("pictures"))
+    inside_n = placed.where(F.col("role") == "child").groupBy("image_id", F.col("owner").alias("ord")).agg(ordered(as_item(DETECTED).alias("i")).alias("kids"))
+    inside_r = with_owner.where(F.col("block_ord").isNotNull()).groupBy("image_id", F.col("block_ord").alias("ord")).agg(ordered(as_item(DETECTED).alias("i")).alias("pictures"))
     none_n, none_a = F.array().cast(f"array<{ITEM}>"), F.array().cast(f"array<{ARROW}>")
     whole = (
         blocks.join(inside_n, ["image_id", "ord"], "left")
         .join(inside_r, ["image_id", "ord"], "left")
-        .select("image_id", "ord", F.struct("id", "text", F.col("box").alias("bbox"), "mask", "conf", F.lit("pointing").alias("src"), F.coalesce("kids", none_n).alias("nodes"), F.coalesce("pictures", none_n).alias("rasters"), none_a.alias("arrows")).cast(BLOCK).alias("i"))
+        .select("image_id", "ord", F.struct("id", "text", F.col("box").alias("bbox"), "mask", "conf", F.lit(DETECTED).alias("src"), F.coalesce("kids", none_n).alias("nodes"), F.coalesce("pictures", none_n).alias("rasters"), none_a.alias("arrows")).cast(BLOCK).alias("i"))
         .groupBy("image_id")
         .agg(ordered(F.col("i")).alias("blocks"))
     )
-    nodes = tops.where(F.col("role") == "node").groupBy("image_id").agg(ordered(as_item("pointing").alias("i")).alias("nodes"))
-    loose = with_owner.where(F.col("block_ord").isNull()).groupBy("image_id").agg(ordered(as_item("pointing").alias("i")).alias("rasters"))
+    nodes = tops.where(F.col("role") == "node").groupBy("image_id").agg(ordered(as_item(DETECTED).alias("i")).alias("nodes"))
+    loose = with_owner.where(F.col("block_ord").isNull()).groupBy("image_id").agg(ordered(as_item(DETECTED).alias("i")).alias("rasters"))
     out = items.select("image_id").distinct()
     for part in (whole, nodes, loose):
         out = out.join(part, "image_id", "left")
     return out.select("image_id", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>")).alias("blocks"), F.coalesce("nodes", none_n).alias("nodes"), F.coalesce("rasters", none_n).alias("rasters"), none_a.alias("arrows"))
 
 
-def replace_arrows(diagrams: DataFrame, edges: DataFrame, src: str = "som") -> DataFrame:
+def mark_edges(marks: Column, found: Column) -> Column:
+    """Arrows between the ids that marks stand for, from pairs (src, dst) of mark numbers; unknown marks and loops are skipped."""
+    n = F.size(marks)
+    good = F.filter(found, lambda e: e["src"].between(0, n - 1) & e["dst"].between(0, n - 1) & (e["src"] != e["dst"]))
+    return F.transform(good, lambda e: F.struct(F.get(marks, e["src"]).alias("src_id"), F.get(marks, e["dst"]).alias("dst_id"), F.lit(None).cast("double").alias("conf"), F.lit(DISCOVERED).alias("src")))
+
+
+def replace_arrows(diagrams: DataFrame, edges: DataFrame, src: str = DISCOVERED) -> DataFrame:
     """Diagrams whose arrows at the top are the given edges (image_id, ord, src_id, dst_id)."""
     made = F.transform(F.array_sort(F.collect_list(F.struct("ord", "src_id", "dst_id"))), lambda e: F.struct(e["src_id"].alias("src_id"), e["dst_id"].alias("dst_id"), F.lit(None).cast("double").alias("conf"), F.lit(src).alias("src")))
     found = edges.groupBy("image_id").agg(made.alias("new"))

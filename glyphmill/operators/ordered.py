@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def active_time(events: DataFrame, user: str, ts: str, tie: str, idle: float = I
     return events.select(user, gap.alias("gap")).groupBy(user).agg(F.coalesce(F.sum(F.when((F.col("gap") > 0) & (F.col("gap") < idle), F.col("gap"))), F.lit(0.0)).alias("active_seconds"), F.count(F.lit(1)).alias("n_events"))
 
 
-def numbered(df: DataFrame, key: str, name: str = "idx", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows numbered from 0 in the order of a numeric key, without one task that sees all rows.
+def numbered(df: DataFrame, key: str, name: str = "idx", range_rows: int = RANGE_ROWS, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows numbered from 0 in the order of a numeric key and then ``ties``, without one task that sees all rows.
 
     Cut points split the keys into ranges; ranges are counted, and rows are
     numbered inside their range.  Small inputs have a single range.
@@ -26,13 +28,23 @@ def numbered(df: DataFrame, key: str, name: str = "idx", range_rows: int = RANGE
     n = df.count()
     ranges = -(-n // range_rows) or 1
     if ranges == 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
-    cuts = df.select(F.percentile_approx(key, F.lit([k / ranges for k in range(1, ranges)]), F.lit(10_000))).first()[0]
-    part = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(key)))
-    marked = df.withColumn("__range", part)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = marked.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return marked.withColumn("__i", F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1).join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__i")).drop("__range", "__i", "__base")
+        return df.withColumn(name, F.row_number().over(Window.orderBy(key, *ties)) - 1)
+    cuts = df.select(F.percentile_approx(key, F.lit([k / ranges for k in range(1, ranges)]), F.lit(max(10_000, 20 * ranges)))).first()[0]
+    range_, inside, first, count = (f"{part} of {name}" for part in ("range", "place", "first", "count"))
+    marked = df.withColumn(range_, range_of(F.col(key), sorted(set(cuts))))
+    before = Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = marked.groupBy(range_).agg(F.count(F.lit(1)).alias(count)).select(range_, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
+    placed = marked.withColumn(inside, F.row_number().over(Window.partitionBy(range_).orderBy(key, *ties)) - 1)
+    return placed.join(F.broadcast(base), range_).withColumn(name, F.col(first) + F.col(inside)).drop(range_, inside, first)
+
+
+def range_of(key: Column, cuts: list) -> Column:
+    """Number of cut points up to a key: found in blocks of cut points first, then in one block, so a key meets about twice the square root of them."""
+    block = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[k : k + block] for k in range(0, len(cuts), block)]
+    at = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lambda c: c <= key))
+    inside = F.get(F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks]), at - 1)
+    return F.when(at == 0, 0).otherwise((at - 1) * block + F.size(F.filter(inside, lambda c: c <= key)))
 
 
 def round_robin(df: DataFrame, key: str, shards: int) -> DataFrame:

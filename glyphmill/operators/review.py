@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ TRANSITIONS = {
 }
 TERMINAL = ("accepted", "rejected", "merged")
 UNRESOLVED = ("proposed", "needs_point_review", "needs_mask_review")
-POINT_ACTIONS = ("point_add", "point_move", "point_delete", "point_toggle", "mask_manual_fix")
+POINT_ACTIONS = ("point_add", "point_move", "point_delete", "point_label_toggle", "mask_reject_manual_box")
+PROPOSED, ADDED, MOVED = "molmo", "human_added", "human_moved"
 UNDO_LIMIT = 20
 
 
@@ -52,9 +55,12 @@ def replay(events: DataFrame, key: str, order: list[str], action: str = "action"
     return events.groupBy(key).agg(log.alias("__log")).select(key, F.aggregate("__log", zero, step).alias("__r")).select(key, "__r.*")
 
 
-def human_touched(log: Column) -> Column:
-    """Any point action in a log of (action, detail) structs, or points confirmed; opening doesn't count."""
-    return F.exists(log, lambda e: e["action"].isin(*POINT_ACTIONS) | ((e["action"] == "state_change") & (e["detail"] == "confirm_points")))
+def human_touched(log: Column, of_detail: Callable[[Column], Column] = lambda d: d) -> Column:
+    """Any point action in a log of (action, detail) structs, or points confirmed; opening doesn't count.
+
+    ``of_detail`` gives the action that the detail of a state change names.
+    """
+    return F.coalesce(F.exists(log, lambda e: e["action"].isin(*POINT_ACTIONS) | ((e["action"] == "state_change") & (of_detail(e["detail"]) == "confirm_points"))), F.lit(False))
 
 
 def positive_points(points: Column) -> Column:
@@ -95,21 +101,22 @@ def edited_points(edits: DataFrame, key: str, order: str) -> DataFrame:
     """State of each point after its edits (action, x, y): place, label, source, first place before any move, and whether it is there.
 
     A proposed point that is moved remembers where it was first and becomes
-    human_moved; an added one is human_added; toggling flips the label.
+    human_moved; an added one is human_added, with label 0 if it was added as
+    negative; toggling flips the label.
     """
     log = F.array_sort(F.collect_list(F.struct(order, "action", "x", "y")))
 
     def step(p: Column, e: Column) -> Column:
-        a = e["action"]
+        a, made = e["action"], ("propose", "add", "add_negative")
         moved = a == "move"
         return F.struct(
-            F.when(a.isin("propose", "add", "move"), e["x"]).otherwise(p["x"]).alias("x"),
-            F.when(a.isin("propose", "add", "move"), e["y"]).otherwise(p["y"]).alias("y"),
-            F.when(a == "toggle", 1 - p["label"]).when(a.isin("propose", "add"), 1).otherwise(p["label"]).alias("label"),
-            F.when(a == "propose", "proposed").when(a == "add", "human_added").when(moved & (p["source"] == "proposed"), "human_moved").otherwise(p["source"]).alias("source"),
-            F.when(moved & (p["source"] == "proposed"), p["x"]).otherwise(p["original_x"]).alias("original_x"),
-            F.when(moved & (p["source"] == "proposed"), p["y"]).otherwise(p["original_y"]).alias("original_y"),
-            F.when(a == "delete", False).when(a.isin("propose", "add"), True).otherwise(p["present"]).alias("present"),
+            F.when(a.isin(*made, "move"), e["x"]).otherwise(p["x"]).alias("x"),
+            F.when(a.isin(*made, "move"), e["y"]).otherwise(p["y"]).alias("y"),
+            F.when(a == "toggle", 1 - p["label"]).when(a.isin(*made), (a != "add_negative").cast("int")).otherwise(p["label"]).alias("label"),
+            F.when(a == "propose", PROPOSED).when(a.isin("add", "add_negative"), ADDED).when(moved & (p["source"] == PROPOSED), MOVED).otherwise(p["source"]).alias("source"),
+            F.when(moved & (p["source"] == PROPOSED), p["x"]).otherwise(p["original_x"]).alias("original_x"),
+            F.when(moved & (p["source"] == PROPOSED), p["y"]).otherwise(p["original_y"]).alias("original_y"),
+            F.when(a == "delete", False).when(a.isin(*made), True).otherwise(p["present"]).alias("present"),
         )
 
     none = F.lit(None)
@@ -118,8 +125,13 @@ def edited_points(edits: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def undo_stack(log: DataFrame, key: str, order: str, limit: int = UNDO_LIMIT) -> DataFrame:
-    """Undo and redo stacks after a log of (action, snapshot): do pushes and clears redo, the oldest beyond the limit is dropped."""
-    entries = F.array_sort(F.collect_list(F.struct(order, "action", "snapshot")))
+    """Current state and the undo and redo stacks after a log of (action, state), where ``state`` is what an edit leaves.
+
+    An edit pushes the state before it to undo, without the oldest beyond the
+    limit, and clears redo; undo and redo push the current state to the other
+    stack and bring back the last one of their own.
+    """
+    entries = F.array_sort(F.collect_list(F.struct(order, "action", "state")))
     empty = F.array().cast("array<string>")
 
     def top(a: Column) -> Column:
@@ -128,16 +140,69 @@ def undo_stack(log: DataFrame, key: str, order: str, limit: int = UNDO_LIMIT) ->
     def pop(a: Column) -> Column:
         return F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
 
-    def push(a: Column, x: Column) -> Column:
-        grown = F.concat(a, F.array(x))
-        return F.slice(grown, F.greatest(F.size(grown) - limit, F.lit(0)) + 1, F.lit(limit))
+    def capped(a: Column) -> Column:
+        return F.slice(a, F.greatest(F.size(a) - limit, F.lit(0)) + 1, F.lit(limit))
 
     def step(s: Column, e: Column) -> Column:
         undo, redo = (e["action"] == "undo") & (F.size(s["undo"]) > 0), (e["action"] == "redo") & (F.size(s["redo"]) > 0)
-        new = ~e["action"].isin("undo", "redo")
+        edit, now = ~e["action"].isin("undo", "redo"), F.array(s["state"])
         return F.struct(
-            F.when(new, push(s["undo"], e["snapshot"])).when(undo, pop(s["undo"])).when(redo, push(s["undo"], top(s["redo"]))).otherwise(s["undo"]).alias("undo"),
-            F.when(new, empty).when(undo, push(s["redo"], top(s["undo"]))).when(redo, pop(s["redo"])).otherwise(s["redo"]).alias("redo"),
+            F.when(edit, e["state"]).when(undo, top(s["undo"])).when(redo, top(s["redo"])).otherwise(s["state"]).alias("state"),
+            F.when(edit, capped(F.concat(s["undo"], now))).when(undo, pop(s["undo"])).when(redo, F.concat(s["undo"], now)).otherwise(s["undo"]).alias("undo"),
+            F.when(edit, empty).when(undo, F.concat(s["redo"], now)).when(redo, pop(s["redo"])).otherwise(s["redo"]).alias("redo"),
         )
 
-    return log.groupBy(key).agg(entries.alias("__log")).select(key, F.aggregate("__log", F.struct(empty.alias("undo"), empty.alias("redo")), step).alias("__s")).select(key, "__s.*")
+    zero = F.struct(F.lit(None).cast("string").alias("state"), empty.alias("undo"), empty.alias("redo"))
+    return log.groupBy(key).agg(entries.alias("log")).select(key, F.aggregate("log", zero, step).alias("s")).select(key, "s.*")
+
+
+def audit(events: DataFrame, key: str, order: list[str], action: str = "action", start: str = "proposed") -> DataFrame:
+    """The state_change events of each instance's log: (key, *order, from, to, action), a row for each legal action."""
+    log = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("done"))))
+    change = F.struct(*order, F.lit("").alias("from"), F.lit("").alias("to"), F.col(action).alias("action"))
+    kind = f"array<{events.select(change.alias('c')).schema['c'].dataType.simpleString()}>"
+
+    def step(acc: Column, e: Column) -> Column:
+        to = next_state(acc["state"], e["done"])
+        made = F.array(F.struct(*[e[c].alias(c) for c in order], acc["state"].alias("from"), to.alias("to"), e["done"].alias("action"))).cast(kind)
+        return F.struct(F.coalesce(to, acc["state"]).alias("state"), F.when(to.isNotNull(), F.concat(acc["changes"], made)).otherwise(acc["changes"]).alias("changes"))
+
+    zero = F.struct(F.lit(start).alias("state"), F.array().cast(kind).alias("changes"))
+    folded = events.groupBy(key).agg(log.alias("log")).select(key, F.aggregate("log", zero, step).alias("r"))
+    return folded.select(key, F.inline("r.changes"))
+
+
+#: Actions of a session that edit points, and how many positive points they add.
+EDITS = ("add_positive", "add_negative", "move", "delete_positive", "delete_negative")
+
+
+def edit_session(events: DataFrame, key: str, order: list[str], action: str = "action") -> DataFrame:
+    """(key, state, n_positive, has_mask, mask_source) after a session on each instance.
+
+    ``activate`` opens a proposed instance for its mask if it has one, else for
+    its points.  An edit of points in mask review drops back to the points, and
+    then, like ``confirm_points``, predicts anew: with a positive point there is
+    a mask of source sam3_auto, without one the mask goes, and mask review
+    drops back.  ``manual_box`` gives a mask of source human_box.  Other
+    actions are those of the state machine; ``accept`` needs a positive point
+    and a mask, ``confirm_points`` a positive point.
+    """
+    log = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("done"))))
+
+    def step(s: Column, e: Column) -> Column:
+        a = e["done"]
+        edit = a.isin(*EDITS)
+        n = F.greatest(s["n_positive"] + F.when(a == "add_positive", 1).when(a == "delete_positive", -1).otherwise(0), F.lit(0))
+        mask = s["mask_source"].isNotNull()
+        opened = F.when(mask, "open_mask").otherwise("open_points")
+        allowed = F.when(a == "accept", (n > 0) & mask).when(a == "confirm_points", n > 0).otherwise(F.lit(True))
+        meant = F.when((a == "activate") & (s["state"] == "proposed"), opened).when(edit & (s["state"] == "needs_mask_review"), "back_to_points").when(allowed, a)
+        to = F.coalesce(next_state(s["state"], meant), s["state"])
+        again = edit | ((a == "confirm_points") & (to != s["state"]))
+        source = F.when(a == "manual_box", F.lit("human_box")).when(again & (n > 0), F.lit("sam3_auto")).when(again, F.lit(None).cast("string")).otherwise(s["mask_source"])
+        back = again & (n == 0) & (to == "needs_mask_review")
+        return F.struct(F.when(back, "needs_point_review").otherwise(to).alias("state"), n.alias("n_positive"), source.alias("mask_source"))
+
+    zero = F.struct(F.lit("proposed").alias("state"), F.lit(0).alias("n_positive"), F.lit(None).cast("string").alias("mask_source"))
+    folded = events.groupBy(key).agg(log.alias("log")).select(key, F.aggregate("log", zero, step).alias("s"))
+    return folded.select(key, "s.state", "s.n_positive", F.col("s.mask_source").isNotNull().alias("has_mask"), "s.mask_source")

@@ -29,6 +29,11 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return _order(df.sparkSession, ids, key, dict(df.dtypes)[key])
 
 
+def with_images(samples: DataFrame) -> DataFrame:
+    """Samples that have an image."""
+    return samples.where(F.col("image_path").isNotNull())
+
+
 def select_samples(df: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
     """A seeded choice of ``limit`` rows if that is fewer than there are, else all in order (0: all)."""
     if not limit or limit >= df.count():

@@ -229,10 +229,13 @@ def review_totals(spark, sf_dir):
     return aggregates.review_totals(_states(spark, sf_dir), list(review.TERMINAL))
 
 
-@query("""SELECT user_id, bool_or(event_type = 'click' OR (event_type = 'view' AND value > 10)) AS touched FROM events GROUP BY user_id""")
+@query("""
+    SELECT user_id, bool_or(event_id % 10 < 5 AND value > 30 OR (event_type = 'view' AND event_id % 10 = 6 AND value > 20)) AS touched FROM events GROUP BY user_id""")
 def human_touch_guard(spark, sf_dir):
-    action = F.when(F.col("event_type") == "click", "point_add").when(F.col("event_type") == "view", "state_change").otherwise("open")
-    entry = F.struct(action.alias("action"), F.when(F.col("value") > 10, "confirm_points").otherwise("open_points").alias("detail"))
+    # the five actions that count, and those that don't: accepting a mask, and opening
+    named = F.element_at(F.array(*map(F.lit, ("point_add", "point_move", "point_delete", "point_label_toggle", "mask_reject_manual_box", "mask_accept", "state_change", "mask_accept", "point_toggle", "open_points"))), (F.col("event_id") % 10 + 1).cast("int"))
+    action = F.when((F.col("event_id") % 10 < 5) & (F.col("value") <= 30), "mask_accept").otherwise(named)
+    entry = F.struct(action.alias("action"), F.when((F.col("event_type") == "view") & (F.col("value") > 20), "confirm_points").otherwise("open_points").alias("detail"))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(entry).alias("log")).select("user_id", review.human_touched(F.col("log")).alias("touched"))
 
 
@@ -263,19 +266,19 @@ def click_resolution(spark, sf_dir):
 @query("""
     WITH RECURSIVE e AS (
       SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value,
-             CASE event_type WHEN 'view' THEN 'propose' WHEN 'signup' THEN 'add' WHEN 'click' THEN 'move' WHEN 'error' THEN 'delete' ELSE 'toggle' END AS a FROM events
+             CASE event_type WHEN 'view' THEN 'propose' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'add' ELSE 'add_negative' END WHEN 'click' THEN 'move' WHEN 'error' THEN 'delete' ELSE 'toggle' END AS a FROM events
     ), run AS (
       SELECT user_id, 0::BIGINT AS k, NULL::DOUBLE AS x, 1 AS label, NULL::VARCHAR AS source, NULL::DOUBLE AS original_x, false AS present FROM (SELECT DISTINCT user_id FROM e)
       UNION ALL
-      SELECT r.user_id, r.k + 1, CASE WHEN a IN ('propose', 'add', 'move') THEN value ELSE x END,
-             CASE WHEN a = 'toggle' THEN 1 - label WHEN a IN ('propose', 'add') THEN 1 ELSE label END,
-             CASE WHEN a = 'propose' THEN 'proposed' WHEN a = 'add' THEN 'human_added' WHEN a = 'move' AND source = 'proposed' THEN 'human_moved' ELSE source END,
-             CASE WHEN a = 'move' AND source = 'proposed' THEN x ELSE original_x END,
-             CASE WHEN a = 'delete' THEN false WHEN a IN ('propose', 'add') THEN true ELSE present END
+      SELECT r.user_id, r.k + 1, CASE WHEN a IN ('propose', 'add', 'add_negative', 'move') THEN value ELSE x END,
+             CASE WHEN a = 'toggle' THEN 1 - label WHEN a IN ('propose', 'add') THEN 1 WHEN a = 'add_negative' THEN 0 ELSE label END,
+             CASE WHEN a = 'propose' THEN 'molmo' WHEN a LIKE 'add%' THEN 'human_added' WHEN a = 'move' AND source = 'molmo' THEN 'human_moved' ELSE source END,
+             CASE WHEN a = 'move' AND source = 'molmo' THEN x ELSE original_x END,
+             CASE WHEN a = 'delete' THEN false WHEN a IN ('propose', 'add', 'add_negative') THEN true ELSE present END
       FROM run r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1
     ) SELECT user_id, arg_max(label, k) AS label, arg_max(coalesce(source, ''), k) AS source, arg_max(present, k) AS present, arg_max(coalesce(x, -1), k) AS x, arg_max(coalesce(original_x, -1), k) AS original_x FROM run GROUP BY user_id""")
 def point_edits(spark, sf_dir):
-    action = looked_up({"view": "propose", "signup": "add", "click": "move", "error": "delete", "purchase": "toggle"}, "event_type")
+    action = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 1), "add_negative").otherwise(looked_up({"view": "propose", "signup": "add", "click": "move", "error": "delete", "purchase": "toggle"}, "event_type"))
     edits = table(spark, sf_dir, "events").select("user_id", "event_id", action.alias("action"), F.col("value").alias("x"), F.col("value").alias("y"))
     got = review.edited_points(edits, "user_id", "event_id")
     return got.select("user_id", "label", F.coalesce("source", F.lit("")).alias("source"), "present", F.coalesce("x", F.lit(-1.0)).alias("x"), F.coalesce("original_x", F.lit(-1.0)).alias("original_x"))
@@ -463,39 +466,48 @@ def instance_hue(spark, sf_dir):
 # Structured text ------------------------------------------------------------
 
 
-@query("""SELECT event_id, (props::JSON->>'k')::INT AS src, ((props::JSON->>'k')::INT * 7) % 10 AS dst FROM events""")
+@query("""SELECT event_id, (props::JSON->>'k')::INT AS src, ((props::JSON->>'k')::INT * 7) % 10 AS dst FROM events UNION ALL SELECT event_id, 4, 1 FROM events WHERE event_id % 3 = 0""")
 def json_edges(spark, sf_dir):
-    # every answer holds one good item, and two bad ones that must not cost it
+    # every answer holds one or two good items, and bad ones that must not cost them
     k = F.regexp_extract("props", r"(\d+)", 1)
-    answer = F.concat(F.lit('Edges: [{"from": "'), k, F.lit('", "to": '), ((k.cast("int") * 7) % 10).cast("string"), F.lit('.0}, {"from": "x", "to": 1}, {"to": 2}] end'))
+    more = F.when(F.col("event_id") % 3 == 0, ', {"from": 4.7, "to": true}').otherwise(', {"from": "4.7", "to": 1}')
+    answer = F.concat(F.lit('Edges: [{"from": "'), k, F.lit('", "to": '), ((k.cast("int") * 7) % 10).cast("string"), F.lit('.0}, {"from": "x", "to": 1}, {"to": 2}, {"from": null, "to": 2}, 7'), more, F.lit("] end"))
     return table(spark, sf_dir, "events").select("event_id", F.explode(T.edges(answer)).alias("e")).select("event_id", "e.src", "e.dst")
 
 
 @query("""SELECT event_id, user_id % 7 AS object_id, 1.5::DOUBLE AS x0, 1.0::DOUBLE AS y0, (event_id % 50 + 2)::DOUBLE AS x1, 3.5::DOUBLE AS y1 FROM events WHERE user_id % 7 <= 4""")
 def json_boxes(spark, sf_dir):
-    good = F.format_string('{"id": %d, "box": [1.5, 1, %d, 3.5]}', F.col("user_id") % 7, F.col("event_id") % 50 + 2)
-    answer = F.concat(F.lit("<think>no []</think>["), good, F.lit(', {"id": 1, "box": [5, 5, 4, 9]}, {"id": 2, "box": [1, 2]}]'))
+    good = F.format_string('{"object_id": %d, "box": [1.5, "1", %d, 3.5]}', F.col("user_id") % 7, F.col("event_id") % 50 + 2)
+    bad = ', {"object_id": 1, "box": [5, 5, 4, 9]}, {"object_id": 2, "box": [1, 2]}, {"object_id": 2, "box": [1, 2, 3, 4, 5]}, {"id": 2, "box": [1, 2, 3, 4]}, {"object_id": "2.5", "box": [1, 2, 3, 4]}]'
+    answer = F.concat(F.lit("<think>no []</think>["), good, F.lit(bad))
     ids = F.array(*[F.lit(i) for i in range(5)])
     return table(spark, sf_dir, "events").select("event_id", F.explode(T.boxes(answer, ids)).alias("b")).select("event_id", F.col("b.object_id").cast("long").alias("object_id"), "b.x0", "b.y0", "b.x1", "b.y1")
 
 
 @query("""
-    SELECT event_id, CASE WHEN user_id % 8 BETWEEN 1 AND 5 THEN (user_id % 8)::INT ELSE 0 END AS score,
-           CASE WHEN user_id % 8 BETWEEN 1 AND 5 THEN event_type ELSE 'unparsed: Answer {"score": ' || (user_id % 8) || ', "rationale": "' || event_type || '"}' END AS reason FROM events""")
+    SELECT event_id, CASE WHEN user_id % 8 BETWEEN 1 AND 5 AND event_id % 4 <> 3 THEN (user_id % 8)::INT ELSE 0 END AS score,
+           CASE WHEN event_id % 4 = 3 THEN 'could not parse judge output: Answer {"score": "' || (user_id % 8) || '.5", "rationale": "' || event_type || '"}'
+                WHEN user_id % 8 BETWEEN 1 AND 5 THEN event_type ELSE 'score out of range: ' || (user_id % 8) END AS reason FROM events""")
 def judge_parse(spark, sf_dir):
-    answer = F.format_string('Answer {"score": %d, "rationale": "%s"}', F.col("user_id") % 8, F.col("event_type"))
+    # whole numbers, numbers with a fraction, quoted whole numbers, and quoted others, which count for nothing
+    form = F.element_at(F.array(*map(F.lit, ("%d", "%d.7", '"%d"', '"%d.5"'))), (F.col("event_id") % 4 + 1).cast("int"))
+    score = F.replace(form, F.lit("%d"), (F.col("user_id") % 8).cast("string"))
+    answer = F.concat(F.lit('Answer {"score": '), score, F.lit(', "rationale": "'), F.col("event_type"), F.lit('"}'))
     return table(spark, sf_dir, "events").select("event_id", T.judge(answer).alias("j")).select("event_id", F.coalesce("j.score", F.lit(0)).alias("score"), "j.reason")
 
 
-@query("""SELECT event_id, (user_id % 9)::INT AS object_id, round((100 + event_id % 900) / 1000 * 640, 6) AS x, 120.0::DOUBLE AS y FROM events""")
+@query("""SELECT event_id, (user_id % 9)::INT AS object_id, round((100 + event_id % 900) / 1000 * 640, 6) AS x, 120.0::DOUBLE AS y FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 3, 64.0, 480.0 FROM events WHERE event_id % 2 = 0""")
 def point_tags(spark, sf_dir):
-    tag = F.format_string('<points coords="%d %d 250" alt="a">', F.col("user_id") % 9, F.col("event_id") % 900 + 100)
-    return table(spark, sf_dir, "events").select("event_id", F.explode(T.point_tags(tag, F.lit(640.0), F.lit(480.0))).alias("p")).select("event_id", "p.object_id", r6("p.x").alias("x"), r6("p.y").alias("y"))
+    # two tags, a point of too few digits and one outside; coords outside a tag, or before other attributes, are none
+    tag = F.format_string('coords="1 200 200" <points n="2" coords="%d %d 250; 2 12 300"/> <tracks coords="3 100 1000, 4 1001 100">', F.col("user_id") % 9, F.col("event_id") % 900 + 100)
+    other = F.format_string('<points coords="%d %d 250" alt="a">', F.col("user_id") % 9, F.col("event_id") % 900 + 100)
+    answer = F.when(F.col("event_id") % 2 == 0, tag).otherwise(other)
+    return table(spark, sf_dir, "events").select("event_id", F.explode(T.point_tags(answer, F.lit(640.0), F.lit(480.0))).alias("p")).select("event_id", "p.object_id", r6("p.x").alias("x"), r6("p.y").alias("y"))
 
 
 @query(r"""
     SELECT page_id, '\documentclass{a} ' || length(html) || '\end{document}' AS tikz, '<svg>' || url || '</svg>' AS svg,
-           CASE WHEN page_id % 2 = 0 THEN 'truncated after reasoning' ELSE 'no document found' END AS reason FROM pages""")
+           'no \documentclass found in model output' || CASE WHEN page_id % 2 = 0 THEN ' -- likely truncated by max_new_tokens before reaching the answer' ELSE '' END AS reason FROM pages""")
 def code_extract(spark, sf_dir):
     n = F.length("html").cast("string")
     tikz = F.concat(F.lit("<think>plan</think> Here:\n```latex\n\\documentclass{a} "), n, F.lit("\\end{document} trailing\n```\n```x``` bye"))
@@ -505,10 +517,15 @@ def code_extract(spark, sf_dir):
 
 
 @query(r"""
-    SELECT page_id, nullif(regexp_extract(url, 'https?://([^/]+)/', 1), '') AS venue, nullif(regexp_extract(url, '/([a-z]{2})/', 1), '') AS kind, nullif(regexp_extract(url, '/(\d+)', 1), '') AS year FROM pages""")
+    WITH n AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ICML_' || (2000 + user_id % 30) || '_arch' || event_id WHEN 1 THEN 'CVPR_' || (2000 + user_id % 30) || '_pipe' || event_id
+                 WHEN 2 THEN 'ICML' || (2000 + user_id % 30) || '-arch' || event_id WHEN 3 THEN 'CVPR_2020_arch' || event_id || 'x' ELSE 'x/ICML_2020_arch1' END AS id FROM events),
+    m AS (SELECT *, regexp_matches(id, '^[A-Za-z]+_\d{4}_(arch|pipe)\d+$') AS good FROM n)
+    SELECT event_id, CASE WHEN good THEN split_part(id, '_', 1) END AS venue, CASE WHEN good THEN split_part(id, '_', 2) END AS year, CASE WHEN good THEN left(split_part(id, '_', 3), 4) END AS kind FROM m""")
 def id_parse(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", T.captured(u, "https?://([^/]+)/", 1).alias("venue"), T.captured(u, "/([a-z]{2})/", 1).alias("kind"), T.captured(u, r"/(\d+)", 1).alias("year"))
+    year, n = (F.col("user_id") % 30 + 2000).cast("string"), F.col("event_id").cast("string")
+    forms = [F.concat(F.lit("ICML_"), year, F.lit("_arch"), n), F.concat(F.lit("CVPR_"), year, F.lit("_pipe"), n), F.concat(F.lit("ICML"), year, F.lit("-arch"), n), F.concat(F.lit("CVPR_2020_arch"), n, F.lit("x")), F.lit("x/ICML_2020_arch1")]
+    name = F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", name.alias("id")).select("event_id", T.sample_name(F.col("id")).alias("n")).select("event_id", "n.*")
 
 
 @query("""SELECT substr(sha256(text), 1, 16) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1""")

@@ -7,19 +7,25 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import uuid
 import zipfile
-from xml.sax.saxutils import quoteattr
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from glyphmill.functions import text as T
 from glyphmill.operators import layout
 
-# Folders and names that hold images of a sample.
-IMAGE_TYPES = (".png", ".jpg", ".jpeg")
+# Endings, names and folders that hold the files of a sample.
+IMAGE_TYPES = (".png", ".jpg", ".jpeg", ".PNG", ".JPG", ".JPEG")
+PREFERRED_NAMES = ("input", "image", "gt", "ground_truth", "original", "target")
+CODE_FOLDER, LAYOUT_FOLDER, IMAGE_FOLDER, CROPS_FOLDER = "tex_files", "xml_files", "original_images", "crops"
+RENDERED_FOLDER, PDF_FOLDER, FAILED_FOLDER = "tex_images", "tex_pdfs", "failure_cases"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -37,38 +43,63 @@ def listing(spark: SparkSession, root: str, pattern: str = "*", recursive: bool
 
 
 def discover_images(spark: SparkSession, root: str, images: str = "images") -> DataFrame:
-    """Images of a flat folder by name, with the layout and code that go with each, if there are any."""
+    """The ``.png`` images of a flat folder by name, with the layout and code that go with each, if there are any."""
     found = listing(spark, f"{root}/{images}", "*.png").select("id", F.col("path").alias("image_path"))
-    tex = listing(spark, root, "*.tex", True).select("id", F.col("path").alias("gt_tex_path"))
-    xml = listing(spark, root, "layout_*.xml", True).select(F.regexp_replace("id", "^layout_", "").alias("id"), F.col("path").alias("gt_xml_path"))
-    return found.join(tex.dropDuplicates(["id"]), "id", "left").join(xml.dropDuplicates(["id"]), "id", "left").orderBy("id")
-
-
-def discover_samples(spark: SparkSession, root: str, id_pattern: str = T.SAMPLE_ID) -> DataFrame:
-    """Samples of a folder: by id where it has code and image folders, else every code file below it."""
-    if exists(spark, f"{root}/tex_files") and exists(spark, f"{root}/original_images"):
-        base = listing(spark, f"{root}/tex_files", "*.tex").select("id", F.col("path").alias("tex_path"))
-        for folder, column in (("original_images", "image_path"), ("rendered", "rendered_path"), ("pdf", "pdf_path")):
-            base = base.join(listing(spark, f"{root}/{folder}").groupBy("id").agg(F.min("path").alias(column)), "id", "left")
-        failed = listing(spark, f"{root}/failed", "*.log").select("id").distinct().withColumn("__failed", F.lit(True))
-        base = base.join(failed, "id", "left").withColumn("failed_compile", F.coalesce("__failed", F.lit(False))).drop("__failed")
+    tex = listing(spark, f"{root}/{CODE_FOLDER}", "*.tex").select("id", F.col("path").alias("gt_tex_path"))
+    xml = listing(spark, f"{root}/{LAYOUT_FOLDER}", "layout_*.xml").select(F.regexp_replace("id", "^layout_", "").alias("id"), F.col("path").alias("gt_xml_path"))
+    return found.join(tex, "id", "left").join(xml, "id", "left").orderBy("id")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def discover_samples(spark: SparkSession, root: str) -> DataFrame:
+    """Samples of a folder: by id where it has code and image folders, else every code file below it; no rows without the folder."""
+    if exists(spark, f"{root}/{CODE_FOLDER}") and exists(spark, f"{root}/{IMAGE_FOLDER}"):
+        base = listing(spark, f"{root}/{CODE_FOLDER}", "*.tex").select("id", F.col("path").alias("tex_path"))
+        for folder, pattern, column in ((IMAGE_FOLDER, "*.png", "image_path"), (RENDERED_FOLDER, "*.png", "rendered_path"), (PDF_FOLDER, "*.pdf", "pdf_path")):
+            base = base.join(listing(spark, f"{root}/{folder}", pattern).select("id", F.col("path").alias(column)), "id", "left")
+        failed = listing(spark, f"{root}/{FAILED_FOLDER}", "*.log").select("id", F.lit(True).alias("failed"))
+        base = base.join(failed, "id", "left").withColumn("failed_compile", F.coalesce("failed", F.lit(False))).drop("failed").withColumn("named", T.sample_name(F.col("id")))
     else:
-        base = listing(spark, root, "*.tex", True).select(F.regexp_replace(F.regexp_replace("path", r"\.tex$", ""), r"^.*?" + root.rstrip("/").split("/")[-1] + "/", "").alias("id"), F.col("path").alias("tex_path"))
-        base = base.join(best_images(listing(spark, root, "*", True), base), "id", "left").withColumns({"rendered_path": F.lit(None).cast("string"), "pdf_path": F.lit(None).cast("string"), "failed_compile": F.lit(False)})
-    named = {n: T.captured(F.col("id"), id_pattern, k) for k, n in enumerate(("venue", "year", "kind"), 1)}
-    return base.withColumns(named | {"has_rendered": F.col("rendered_path").isNotNull()}).orderBy("id")
-
-
-def best_images(files: DataFrame, samples: DataFrame, preferred: tuple[str, ...] = ("original", "image", "figure", "input", "gt", "target")) -> DataFrame:
-    """The likeliest image of each sample: of its name, else of a preferred name in its folder, else the first there, else the first among its crops."""
-    kind = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    images = files.where(kind.isin(*IMAGE_TYPES)).select("path", F.col("id").alias("stem"), F.array_position(F.array(*map(F.lit, IMAGE_TYPES)), kind).alias("type_rank"), F.regexp_replace("path", r"/[^/]*$", "").alias("folder"))
-    owner = samples.select("id", F.regexp_replace("tex_path", r"/[^/]*$", "").alias("home"), F.regexp_replace(F.element_at(F.split("tex_path", "/"), -1), r"\.tex$", "").alias("own"))
-    crops = images.where(F.col("folder").endswith("/crops")).withColumns({"home": F.regexp_replace("folder", "/crops$", ""), "crop": F.lit(True)})
+        whole = _qualified(spark, root).rstrip("/") + "/"
+        base = listing(spark, root, "*.tex", True).select(F.regexp_replace(F.expr(f"substr(path, {len(whole) + 1})"), r"\.tex$", "").alias("id"), F.col("path").alias("tex_path"))
+        base = base.join(best_images(listing(spark, root, "*", True), base), "id", "left")
+        base = base.withColumns({"rendered_path": F.lit(None).cast("string"), "pdf_path": F.lit(None).cast("string"), "failed_compile": F.lit(False), "named": T.sample_name(F.lit(""))})
+    return base.select("id", "tex_path", "image_path", "rendered_path", "pdf_path", "failed_compile", "named.*", F.col("rendered_path").isNotNull().alias("has_rendered")).orderBy("id")
+
+
+def best_images(files: DataFrame, samples: DataFrame, preferred: tuple[str, ...] = PREFERRED_NAMES) -> DataFrame:
+    """The likeliest image of each sample: of its name, else of a preferred name in its folder, else the first there, else the first among its crops, at any depth.
+
+    Of images of one name the order of ``IMAGE_TYPES`` decides.
+    """
+    kind = F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    folder = folder_of("path")
+    images = files.where(kind.isin(*IMAGE_TYPES)).select("path", F.col("id").alias("stem"), F.array_position(F.array(*map(F.lit, IMAGE_TYPES)), kind).alias("type_rank"), folder.alias("folder"))
+    owner = samples.select("id", folder_of("tex_path").alias("home"), F.regexp_replace(F.element_at(F.split("tex_path", "/"), -1), r"\.tex$", "").alias("own"))
+    # an image below a crops folder may belong to the folder above each of that name on its path
+    step = F.split("folder", "/")
+    above = F.filter(F.transform(step, lambda x, i: F.when(x == CROPS_FOLDER, F.array_join(F.slice(step, F.lit(1), i), "/"))), lambda x: x.isNotNull())
+    crops = images.withColumn("home", F.explode(above)).withColumn("crop", F.lit(True))
     near = images.withColumns({"home": F.col("folder"), "crop": F.lit(False)}).unionByName(crops)
     place = F.array_position(F.array(*map(F.lit, preferred)), F.col("stem"))
-    rank = F.when(F.col("crop"), 99).when(F.col("stem") == F.col("own"), 0).when(place > 0, place.cast("int")).otherwise(50)
-    return owner.join(near, "home").groupBy("id").agg(F.min_by("path", F.struct(rank, "type_rank", "path")).alias("image_path"))
+    rank = F.when(F.col("crop"), len(preferred) + 2).when(F.col("stem") == F.col("own"), 0).when(place > 0, place.cast("int")).otherwise(len(preferred) + 1)
+    by_name = F.when(rank <= len(preferred), F.col("type_rank")).otherwise(0)
+    return owner.join(near, "home").groupBy("id").agg(F.min_by("path", F.struct(rank, by_name, F.split("path", "/"))).alias("image_path"))
+
+
+def folder_of(path: str):
+    return F.regexp_replace(path, r"/[^/]*$", "")
+
+
+def image_of_id(files: DataFrame) -> DataFrame:
+    """Rows (id, path): of the images of one id the first by type, ``.png``, then ``.jpg``, then ``.jpeg``."""
+    types = IMAGE_TYPES[:3]
+    rank = F.array_position(F.array(*map(F.lit, types)), F.regexp_extract("name", r"(\.[^.]*)$", 1))
+    return files.where(rank > 0).groupBy("id").agg(F.min_by("path", rank).alias("path"))
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -81,8 +112,27 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def window(key: str, *order) -> WindowSpec:
+    return Window.partitionBy(key).orderBy(*order)
+
+
+def append_run(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends rows as JSON lines of a new run, numbered after those that are there, and returns the latest view."""
+    spark = rows.sparkSession
+    last = spark.read.json(path).agg(F.max("run")).first()[0] if exists(spark, path) else None
+    rows.write.mode("append").json(f"{path}/run={0 if last is None else last + 1}")
+    return latest_runs(spark, path, key, rows.schema)
+
+
+def latest_runs(spark: SparkSession, path: str, key: str, schema) -> DataFrame:
+    """Of each key the row of its last run; earlier runs stay in the folder."""
+    names = schema.names
+    rows = spark.read.schema(StructType([*schema.fields, StructField("run", IntegerType())])).json(path)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[n for n in names if n != key]), "run").alias("r")).select(key, "r.*").select(*names)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a new version beside the old one, then swaps the folders; readers never see half of it."""
+    """Writes a new version beside the old one, then swaps the folders by two renames: readers see the old or the new one, or, between the renames, none; never half of it."""
     spark = df.sparkSession
     new, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(new)
@@ -95,25 +145,21 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(jvm.Path(old), True)
 
 
-# Layout documents as XML: the tags d, b, n, r, a with attributes only.
-XML_ITEM = "_i string, _t string, _b string, _m string, _c double, _s string"
-XML_ARROW = "struct<_f:string,_o:string,_c:double,_s:string>"
-
-
-def _xml_item(fields: str) -> str:
-    return "struct<" + ",".join(":".join(f.split(" ")) for f in fields.split(", ")) + ">"
-
-
-XML = f"b array<struct<{_xml_item(XML_ITEM)[7:-1]},n:array<{_xml_item(XML_ITEM)}>,r:array<{_xml_item(XML_ITEM)}>,a:array<{XML_ARROW}>>>, n array<{_xml_item(XML_ITEM)}>, r array<{_xml_item(XML_ITEM)}>, a array<{XML_ARROW}>"
+# Layout documents as XML, with tags diagram, block, node, raster and arrow and attributes only.
+XML_ITEM = "struct<_i:string,_t:string,_b:string,_mask:string,_conf:double,_src:string>"
+XML_ARROW = "struct<_s:string,_d:string,_conf:double,_src:string>"
+XML_PARTS = {"node": f"array<{XML_ITEM}>", "raster": f"array<{XML_ITEM}>", "arrow": f"array<{XML_ARROW}>"}
+XML_BLOCK = XML_ITEM[:-1] + "".join(f",{k}:{v}" for k, v in XML_PARTS.items()) + ">"
+XML = ", ".join(f"{k} {v}" for k, v in ({"block": f"array<{XML_BLOCK}>"} | XML_PARTS).items())
 
 
 def _read_item(x, default: str):
-    box = F.coalesce(T.parse_box(F.coalesce(x["_b"], F.lit("0 0 0 0"))))
-    return F.struct(F.coalesce(x["_i"], F.lit("")).alias("id"), F.coalesce(x["_t"], F.lit("")).alias("text"), box.alias("bbox"), x["_m"].alias("mask"), x["_c"].alias("conf"), F.coalesce(x["_s"], F.lit(default)).alias("src"))
+    box = T.parse_box(F.coalesce(x["_b"], F.lit("0 0 0 0")))
+    return F.struct(F.coalesce(x["_i"], F.lit("")).alias("id"), F.coalesce(x["_t"], F.lit("")).alias("text"), box.alias("bbox"), x["_mask"].alias("mask"), x["_conf"].alias("conf"), F.coalesce(x["_src"], F.lit(default)).alias("src"))
 
 
 def _read_arrow(x):
-    return F.struct(F.coalesce(x["_f"], F.lit("")).alias("src_id"), F.coalesce(x["_o"], F.lit("")).alias("dst_id"), x["_c"].alias("conf"), F.coalesce(x["_s"], F.lit("manual")).alias("src"))
+    return F.struct(F.coalesce(x["_s"], F.lit("")).alias("src_id"), F.coalesce(x["_d"], F.lit("")).alias("dst_id"), x["_conf"].alias("conf"), F.coalesce(x["_src"], F.lit("manual")).alias("src"))
 
 
 def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id") -> DataFrame:
@@ -121,36 +167,49 @@ def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id")
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     items = lambda a, d: F.coalesce(F.transform(a, lambda x: _read_item(x, d)), empty(layout.ITEM))
     arrows = lambda a: F.coalesce(F.transform(a, _read_arrow), empty(layout.ARROW))
-    block = lambda x: F.struct(*[_read_item(x, "manual")[n].alias(n) for n in ("id", "text", "bbox", "mask", "conf", "src")], items(x["n"], "manual").alias("nodes"), items(x["r"], "pointing").alias("rasters"), arrows(x["a"]).alias("arrows"))
-    read = documents.withColumn("__x", F.from_xml(column, F.lit(XML), {"attributePrefix": "_"}))
-    return read.select(key, F.coalesce(F.transform("__x.b", block), empty(layout.BLOCK)).alias("blocks"), items(F.col("__x.n"), "manual").alias("nodes"), items(F.col("__x.r"), "pointing").alias("rasters"), arrows(F.col("__x.a")).alias("arrows"))
+    block = lambda x: F.struct(*[_read_item(x, "manual")[n].alias(n) for n in ("id", "text", "bbox", "mask", "conf", "src")], items(x["node"], "manual").alias("nodes"), items(x["raster"], "pointing").alias("rasters"), arrows(x["arrow"]).alias("arrows"))
+    read = documents.select(key, F.from_xml(column, F.lit(XML), {"attributePrefix": "_"}).alias("x"))
+    return read.select(key, F.coalesce(F.transform("x.block", block), empty(layout.BLOCK)).alias("blocks"), items(F.col("x.node"), "manual").alias("nodes"), items(F.col("x.raster"), "pointing").alias("rasters"), arrows(F.col("x.arrow")).alias("arrows"))
+
+
+def _quoted(value: str) -> str:
+    """An attribute's value with its quotes."""
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
+        value = value.replace(raw, name)
+    return f'"{value}"'
+
+
+def _attributes(x, box: bool) -> str:
+    out = ""
+    if box:
+        b = x["bbox"]
+        out = f" i={_quoted(x['id'] or '')} t={_quoted(x['text'] or '')} b=\"{b['x0']:.2f} {b['y0']:.2f} {b['x1']:.2f} {b['y1']:.2f}\""
+        out += f" mask={_quoted(x['mask'])}" if x["mask"] is not None else ""
+    else:
+        out = f" s={_quoted(x['src_id'] or '')} d={_quoted(x['dst_id'] or '')}"
+    out += f' conf="{x["conf"]:.4f}"' if x["conf"] is not None and x["conf"] == x["conf"] else ""
+    return out + (f" src={_quoted(x['src'])}" if x["src"] not in (None, "manual") else "")
+
+
+def _rendered(diagram: dict) -> str:
+    def parts(of, depth: int) -> str:
+        pad = "  " * depth
+        return "".join(f"{pad}<{name}{_attributes(x, name != 'arrow')}/>\n" for name, column in (("node", "nodes"), ("raster", "rasters"), ("arrow", "arrows")) for x in of[column])
+
+    body = ""
+    for b in diagram["blocks"]:
+        inside = parts(b, 2)
+        body += f"  <block{_attributes(b, True)}>\n{inside}  </block>\n" if inside else f"  <block{_attributes(b, True)}/>\n"
+    body += parts(diagram, 1)
+    return f"<diagram>\n{body}</diagram>\n" if body else "<diagram/>\n"
 
 
 def write_xml(diagrams: DataFrame, key: str = "image_id") -> DataFrame:
     """Rows (key, xml): boxes with two decimals, confidences with four, sources only where they aren't manual."""
-    def tag(name: str, x, inside: str = "", depth: int = 1) -> str:
-        pad, b = "  " * depth, x["bbox"]
-        attrs = f"i={quoteattr(x['id'])} t={quoteattr(x['text'] or '')} b=\"{b['x0']:.2f} {b['y0']:.2f} {b['x1']:.2f} {b['y1']:.2f}\""
-        attrs += f" m={quoteattr(x['mask'])}" if x["mask"] else ""
-        attrs += f' c="{x["conf"]:.4f}"' if x["conf"] is not None and x["conf"] == x["conf"] else ""
-        attrs += f" s={quoteattr(x['src'])}" if x["src"] != "manual" else ""
-        return f"{pad}<{name} {attrs}>\n{inside}{pad}</{name}>\n" if inside else f"{pad}<{name} {attrs}/>\n"
-
-    def arrow(x, depth: int = 1) -> str:
-        conf = f' c="{x["conf"]:.4f}"' if x["conf"] is not None and x["conf"] == x["conf"] else ""
-        src = f" s={quoteattr(x['src'])}" if x["src"] != "manual" else ""
-        return f"{'  ' * depth}<a f={quoteattr(x['src_id'])} o={quoteattr(x['dst_id'])}{conf}{src}/>\n"
 
     @pandas_udf("string")
     def render(rows: pd.DataFrame) -> pd.Series:
-        out = []
-        for d in rows.to_dict("records"):
-            body = ""
-            for b in d["blocks"]:
-                body += tag("b", b, "".join(tag("n", x, depth=2) for x in b["nodes"]) + "".join(tag("r", x, depth=2) for x in b["rasters"]) + "".join(arrow(x, 2) for x in b["arrows"]))
-            body += "".join(tag("n", x) for x in d["nodes"]) + "".join(tag("r", x) for x in d["rasters"]) + "".join(arrow(x) for x in d["arrows"])
-            out.append(f"<d>\n{body}</d>\n")
-        return pd.Series(out)
+        return pd.Series([_rendered(d) for d in rows.to_dict("records")], dtype=object)
 
     return diagrams.select(key, render(F.struct("blocks", "nodes", "rasters", "arrows")).alias("xml"))
 
@@ -168,6 +227,30 @@ def export_zip(done: DataFrame, key: str, text: str, limit: int = 100_000) -> by
     return out.getvalue()
 
 
+def write_each(rows: DataFrame, folder: str) -> None:
+    """A file for each row (path, content) below a folder that all executors share, from the tasks that hold the rows.
+
+    Each file is written beside its place and renamed, so a task that runs
+    again replaces whole files.
+    """
+
+    def land(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                target = f"{root}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                beside = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as out:
+                    out.write(content)
+                store.move(beside, target)
+            yield pd.DataFrame({"n": [len(part)]})
+
+    rows.mapInPandas(land, "n long").agg(F.sum("n")).collect()
+
+
 def write_single_json(df: DataFrame, path: str) -> None:
     """A summary of one row as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)

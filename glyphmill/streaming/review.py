@@ -20,6 +20,13 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def sorted_parts(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one key and batch in the order of their time."""
+    parts = list(rows)
+    if parts:
+        yield pd.concat(parts).sort_values(["ts", "event_id"])
+
+
 class Replay(StatefulProcessor):
     """One small state for each key: where its state machine stands, and counts."""
 
@@ -27,17 +34,20 @@ class Replay(StatefulProcessor):
         self.start = start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("machine", "state string, n_legal int, n_illegal int, n_reopened int")
+        self.state = handle.getValueState("machine", "state string, n_legal int, n_illegal int, n_reopened int, n_late int, last_ts long, last_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, legal, illegal, reopened = self.state.get() if self.state.exists() else (self.start, 0, 0, 0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for action in batch["action"]:
-            to = review.TRANSITIONS.get((state, action))
-            legal, illegal, reopened = legal + (to is not None), illegal + (to is None), reopened + (to is not None and action == "reopen")
-            state = to or state
-        self.state.update((state, legal, illegal, reopened))
-        yield pd.DataFrame({"key": [key[0]], "state": [state], "n_legal": [legal], "n_illegal": [illegal], "n_reopened": [reopened]})
+        state, legal, illegal, reopened, late, *last = self.state.get() if self.state.exists() else (self.start, 0, 0, 0, 0, -(2**63), -(2**63))
+        for part in sorted_parts(rows):
+            for ts, event, action in zip(part["ts"], part["event_id"], part["action"]):
+                if (ts, event) <= tuple(last):
+                    late += 1
+                    continue
+                to = review.TRANSITIONS.get((state, action))
+                legal, illegal, reopened = legal + (to is not None), illegal + (to is None), reopened + (to is not None and action == "reopen")
+                state, last = to or state, [int(ts), int(event)]
+        self.state.update((state, legal, illegal, reopened, late, *last))
+        yield pd.DataFrame({"key": [key[0]], "state": [state], "n_legal": [legal], "n_illegal": [illegal], "n_reopened": [reopened], "n_late": [late]})
 
     def close(self) -> None:
         pass
@@ -46,11 +56,13 @@ class Replay(StatefulProcessor):
 def replay(events: DataFrame, key: str) -> DataFrame:
     """State of each key after every batch, from a stream (key, ts, event_id, action); in update mode.
 
-    Events of a key are ordered inside a batch; batches must come in order.
+    Events of a key are ordered inside a batch.  An event that is not later
+    than one of an earlier batch can't be put in its place any more: it is
+    counted in ``n_late`` and changes nothing.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), "action")
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Replay(), outputStructType="key long, state string, n_legal int, n_illegal int, n_reopened int", outputMode="Update", timeMode="None")
+    rows = events.select(F.col(key).cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").cast("long").alias("event_id"), "action")
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Replay(), outputStructType="key long, state string, n_legal int, n_illegal int, n_reopened int, n_late int", outputMode="Update", timeMode="None")
 
 
 def sessions(events: DataFrame, user: str, ts: str = "ts", idle: str = "120 seconds", late: str = "1 hour") -> DataFrame:
