@@ -15,8 +15,9 @@ stays.
 
 Defined cases: null text equals the empty text; a null id sorts below all
 others, so it stays only where all ids of its group are null; of repeated rows
-with the largest id exactly one is kept; an empty table gives no rows; other
-columns are ignored.
+and ties with the largest id exactly one is kept, the last as the table was
+read; very long texts are hashed whole, in the JVM; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,12 +7,15 @@ decides, by the mean log frequency of the known ones.  A text's scores are
 sums over all its words; their softmax over languages is the score.
 
 Learned from a sample of texts with a language, about ``SAMPLE_ROWS`` rows of
-each language at most, picked by a hash of the id; held-out rows are left out.
+each language, ``SAMPLE_TOTAL`` rows and ``SAMPLE_BYTES`` of text in all at
+most (a text beyond a row's share of the bytes isn't learned from), picked by a
+hash of id and text; held-out rows are left out.
 
 Defined cases: null text, or text without a letter: ``und``, score 0; ties go
 to the language that sorts first; no learnable row: everything is ``und``; a
-null id is never held out; an empty table gives no rows; other columns are
-ignored.
+null id is never held out, and rows without ids are sampled by their texts;
+repeated rows are predicted alike; very long texts are read whole; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Memo, bounded_batches, distinct, grams, kept, plain, slices, split, sums, word_hash
 
-SAMPLE_ROWS, SAMPLE_TOTAL = 1_200, 12_000
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_BYTES = 1_200, 12_000, 256 << 20
 ORDERS = (5, 4, 3, 2, 1)
 LEAST = 2
 SEED = 11
@@ -49,14 +52,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}
     model = Model(sorted(counts, key=lambda x: x.encode()), key=f"lang {uuid.uuid4().hex}")
     if not counts:
         return model
     rows = min(rows, max(1, SAMPLE_TOTAL // len(counts)))
     shares = base.sparkSession.createDataFrame([(k, min(1.0, 1.1 * rows / n)) for k, n in counts.items()], "lang string, share double")
-    sample = base.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("share") * 1_000_000).where(F.col("text").isNotNull()).orderBy("doc_id", "text").select("text", "lang").toArrow()
+    sample = base.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1_000_000)) < F.col("share") * 1_000_000).where(F.octet_length("text") <= SAMPLE_BYTES // SAMPLE_TOTAL).orderBy("doc_id", "text").select("text", "lang").toArrow()
     text = sample["text"].combine_chunks()
     codes, tokens, starts = split(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
     lang_of = np.array([model.langs.index(x) for x in sample["lang"].to_pylist()], np.int64)

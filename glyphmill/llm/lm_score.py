@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bounded_batches, distinct, kept, materialise, plain, slices, split, sums, word_hash
+from glyphmill.llm.common import Memo, bounded_batches, kept, materialise, plain, slices, split, sums, word_hash
 
 CLASSES, IN_CLASS = 64, 64
 SYMBOLS = CLASSES * IN_CLASS
@@ -52,6 +52,8 @@ RARE = 64
 FREQUENT = SYMBOLS - RARE
 #: Words beyond the frequent ones whose values workers hold; characters there are; units of a sum of logarithms, so that its order doesn't matter.
 HELD, CHARACTERS, UNITS = 200_000, 0x110000, 1 << 30
+#: Tokens that a task counts before it hands its counts on.
+COUNTED = 500_000
 OFFSETS = (-2, -1, 1, 2)
 DIM = 16
 BATCH, RATE, SEED = 8192, 3.0, 5
@@ -95,9 +97,10 @@ class Within:
 
     def tokens(self, symbols: dict[str, int], tokens: list[str]) -> np.ndarray:
         out = np.zeros(len(tokens), TOKEN)
-        out["symbol"] = symbol_of(symbols, tokens)
+        all_ = [plain(t) for t in tokens]
+        out["symbol"] = symbol_of(symbols, all_)
         at = np.flatnonzero(out["symbol"] >= FREQUENT)
-        words = [plain(tokens[i]) for i in at]
+        words = [all_[i] for i in at]
         value = np.fromiter((self.held.get(w, np.nan) for w in words), np.float64, len(words))
         other = np.flatnonzero(np.isnan(value))
         if len(other):
@@ -137,19 +140,36 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # words are numbered as they come, and their counts leave when a task ends or holds ``COUNTED`` of them
+        seen: dict[str, int] = {}
+        words: dict[str, int] = {}
+        total = np.zeros(0, np.int64)
+
+        def counts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(total[: len(words)])], ["word", "n"])
+
         for _, text in slices(batches, "text"):
             codes, tokens, _ = split(text)
-            n = np.bincount(codes, minlength=len(tokens))
-            words, inverse = distinct([plain(t) for t in tokens])
-            total = np.bincount(inverse, n, len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(total)], ["word", "n"])
+            get = seen.get
+            at = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+            for i in np.flatnonzero(at < 0).tolist():
+                seen[tokens[i]] = at[i] = words.setdefault(plain(tokens[i]), len(words))
+            if len(words) > len(total):
+                total = np.concatenate([total, np.zeros(max(len(words), 2 * len(total)) - len(total), np.int64)])
+            total += np.bincount(at, np.bincount(codes, minlength=len(tokens)), len(total)).astype(np.int64)
+            if len(seen) > COUNTED:
+                yield counts()
+                seen.clear()
+                words.clear()
+                total = np.zeros(0, np.int64)
+        if words:
+            yield counts()
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").where(F.col("word") != "").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def symbol_of(symbols: dict[str, int], tokens: list[str]) -> np.ndarray:
-    """Symbol of each token, -1 for tokens that are no words."""
-    words = [plain(t) for t in tokens]
+def symbol_of(symbols: dict[str, int], words: list[str]) -> np.ndarray:
+    """Symbol of each plain word, -1 for empty ones."""
     out = np.fromiter((symbols.get(w, -1) for w in words), np.int64, len(words))
     rare = [i for i, w in enumerate(words) if w and out[i] < 0]
     if rare:
