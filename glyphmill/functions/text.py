@@ -16,8 +16,8 @@ from pyspark.sql.types import StringType
 THINK_END = "</think>"
 FENCE = "```"
 FORMATS = {
-    "tikz": {"prefixes": ("latex", "tex", "LaTeX", "TeX"), "start": "\\documentclass", "end": "\\end{document}"},
-    "svg": {"prefixes": ("svg", "xml"), "start": "<svg", "end": "</svg>"},
+    "tikz": {"start": "\\documentclass", "end": "\\end{document}"},
+    "svg": {"start": "<svg", "end": "</svg>"},
 }
 SAMPLE_ID = r"^([A-Za-z]+)_(\d{4})_(arch|pipe)(\d+)$"
 COORDS = r'(?d)<(?:points|tracks).*? coords="([0-9\t:;, .]+)"/?>'
@@ -45,16 +45,14 @@ def longest_block(text: Column) -> Column:
 
 
 def extract_code(text: Column, kind: str) -> Column:
-    """Code of a kind from model output, or null: from its start to its first end, or to the end of output that was cut off."""
-    form = FORMATS[kind]
+    """Code of a kind from model output, or null: from its start to its first end, or to the end of output that was cut off.
+
+    A language's name at the start of a fenced block stands before the code's
+    start, so it falls away with what else does.
+    """
+    start, end = (rf"\Q{FORMATS[kind][k]}\E" for k in ("start", "end"))
     body = longest_block(strip(after_thinking(strip(text))))
-    for prefix in form["prefixes"]:
-        body = F.when(F.contains(text, F.lit(FENCE)) & F.startswith(body, F.lit(prefix)), F.substring(body, len(prefix) + 1, 1 << 30)).otherwise(body)
-    body = strip(body)
-    start = F.instr(body, form["start"])
-    code = F.substring(body, start, F.length(body))
-    end = F.instr(code, form["end"])
-    return F.when(start > 0, F.when(end > 0, F.substring(code, F.lit(1), end + len(form["end"]) - 1)).otherwise(code))
+    return F.nullif(F.regexp_extract(strip(body), rf"(?s)({start}.*?{end}|{start}.*)", 1), F.lit(""))
 
 
 def failure_reason(text: Column, kind: str = "tikz") -> Column:
