@@ -6,6 +6,8 @@ itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,14 +64,19 @@ def failure_reason(text: Column, kind: str = "tikz") -> Column:
     return F.when(extract_code(text, kind).isNotNull(), F.lit(None).cast("string")).when(cut, F.lit(none + CUT_OFF)).otherwise(F.lit(none))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _json(text: Column, opening: str, closing: str) -> Column:
     """The widest span between the marks as VARIANT; null if there is none or it isn't one JSON value.
 
     The parser stops after the first value, so the span is read as the only item of a list.
     """
     span = F.nullif(F.regexp_extract(text, rf"(?s)\{opening}.*\{closing}", 0), F.lit(""))
-    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), span, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    items = F.from_json(F.concat(F.lit("["), span, F.lit("]")), "array<variant>")
+    return let(items, lambda i: F.when(F.size(i) == 1, F.get(i, F.lit(0))))
 
 
 def json_items(text: Column) -> Column:
@@ -77,11 +84,14 @@ def json_items(text: Column) -> Column:
     return F.coalesce(F.try_variant_get(_json(text, "[", "]"), "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def whole(v: Column, path: str) -> Column:
-    """A whole number at a path: numbers lose their fraction, true is 1, and text counts only if it is a whole number itself."""
-    text = F.try_variant_get(v, path, "string")
-    quoted = F.startswith(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("STRING"))
-    return F.when(quoted, F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long"))).otherwise(F.try_variant_get(v, path, "long"))
+def whole(x: Column) -> Column:
+    """A whole number: numbers lose their fraction, true is 1, and text counts only if it is a whole number itself."""
+
+    def read(t: Column) -> Column:
+        quoted = F.when(t.rlike(r'^"\s*[+-]?\d+\s*"$'), F.regexp_replace(t, r'["\s+]', "").try_cast("long"))
+        return F.when(F.startswith(t, F.lit('"')), quoted).when(t.isin("true", "false"), (t == "true").cast("long")).otherwise(t.try_cast("double").try_cast("long"))
+
+    return let(F.to_json(x), read)
 
 
 def _real(v: Column) -> Column:
@@ -91,7 +101,7 @@ def _real(v: Column) -> Column:
 
 def edges(text: Column) -> Column:
     """Pairs (src, dst) of whole numbers under "from" and "to"; items without both are skipped."""
-    each = F.transform(json_items(text), lambda v: F.struct(whole(v, "$.from").cast("int").alias("src"), whole(v, "$.to").cast("int").alias("dst")))
+    each = F.transform(json_items(text), lambda v: let(F.try_variant_get(v, "$", "struct<from:variant,to:variant>"), lambda p: F.struct(whole(p["from"]).cast("int").alias("src"), whole(p["to"]).cast("int").alias("dst"))))
     return F.filter(each, lambda e: e["src"].isNotNull() & e["dst"].isNotNull())
 
 
@@ -100,7 +110,7 @@ def boxes(text: Column, valid_ids: Column) -> Column:
 
     def read(v: Column) -> Column:
         sides = F.transform(F.try_variant_get(v, "$.box", "array<variant>"), _real)
-        return F.struct(whole(v, "$.object_id").cast("int").alias("object_id"), sides.alias("s"))
+        return F.struct(whole(F.try_variant_get(v, "$.object_id", "variant")).cast("int").alias("object_id"), sides.alias("s"))
 
     found = F.filter(F.transform(json_items(after_thinking(text)), read), lambda b: F.array_contains(valid_ids, b["object_id"]) & (F.size(b["s"]) == 4) & (b["s"][2] > b["s"][0]) & (b["s"][3] > b["s"][1]))
     return F.transform(found, lambda b: F.struct(b["object_id"].alias("object_id"), *[b["s"][k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
@@ -108,12 +118,14 @@ def boxes(text: Column, valid_ids: Column) -> Column:
 
 def judge(text: Column) -> Column:
     """Struct (score, reason): a whole score from 1 to 5 and its rationale, else null and what is wrong."""
-    answer = _json(text, "{", "}")
-    score = F.when(answer.isNotNull(), whole(answer, "$.score"))
-    why = F.try_variant_get(answer, "$.rationale", "variant")
-    why = F.when(why.isNull(), F.lit("")).when(~F.is_variant_null(why), F.try_variant_get(why, "$", "string"))
-    reason = F.when(score.between(1, 5), why).when(score.isNotNull(), F.concat(F.lit(BAD_SCORE), score.cast("string"))).otherwise(F.concat(F.lit(BAD_ANSWER), F.substring(text, 1, 200)))
-    return F.struct(F.when(score.between(1, 5), score.cast("int")).alias("score"), reason.alias("reason"))
+
+    def read(p: Column) -> Column:
+        why = F.when(p["why"].isNull(), F.lit("")).when(~F.is_variant_null(p["why"]), F.try_variant_get(p["why"], "$", "string"))
+        reason = F.when(p["score"].between(1, 5), why).when(p["score"].isNotNull(), F.concat(F.lit(BAD_SCORE), p["score"].cast("string"))).otherwise(F.concat(F.lit(BAD_ANSWER), F.substring(text, 1, 200)))
+        return F.struct(F.when(p["score"].between(1, 5), p["score"].cast("int")).alias("score"), reason.alias("reason"))
+
+    at = lambda a, path: F.try_variant_get(a, path, "variant")
+    return let(let(_json(text, "{", "}"), lambda a: F.struct(whole(at(a, "$.score")).alias("score"), at(a, "$.rationale").alias("why"))), read)
 
 
 def point_tags(text: Column, width: Column, height: Column) -> Column:

@@ -471,8 +471,9 @@ def json_edges(spark, sf_dir):
     # every answer holds one or two good items, and bad ones that must not cost them
     k = F.regexp_extract("props", r"(\d+)", 1)
     more = F.when(F.col("event_id") % 3 == 0, ', {"from": 4.7, "to": true}').otherwise(', {"from": "4.7", "to": 1}')
-    answer = F.concat(F.lit('Edges: [{"from": "'), k, F.lit('", "to": '), ((k.cast("int") * 7) % 10).cast("string"), F.lit('.0}, {"from": "x", "to": 1}, {"to": 2}, {"from": null, "to": 2}, 7'), more, F.lit("] end"))
-    return table(spark, sf_dir, "events").select("event_id", F.explode(T.edges(answer)).alias("e")).select("event_id", "e.src", "e.dst")
+    answer = F.concat(F.lit('Edges: [{"from": "'), k, F.lit('", "to": '), ((k.cast("int") * 7) % 10).cast("string"), F.lit('.0}, {"from": "x", "to": 1}, {"to": 2}, {"from": null, "to": 2}'), more, F.when(F.col("event_id") % 5 == 0, ", 7, [1]] end").otherwise("] end"))
+    # an outer explode reads the answer once; a plain one would read it again to leave empty lists out first
+    return table(spark, sf_dir, "events").select("event_id", F.explode_outer(T.edges(answer)).alias("e")).where(F.col("e").isNotNull()).select("event_id", "e.src", "e.dst")
 
 
 @query("""SELECT event_id, user_id % 7 AS object_id, 1.5::DOUBLE AS x0, 1.0::DOUBLE AS y0, (event_id % 50 + 2)::DOUBLE AS x1, 3.5::DOUBLE AS y1 FROM events WHERE user_id % 7 <= 4""")
@@ -481,7 +482,7 @@ def json_boxes(spark, sf_dir):
     bad = ', {"object_id": 1, "box": [5, 5, 4, 9]}, {"object_id": 2, "box": [1, 2]}, {"object_id": 2, "box": [1, 2, 3, 4, 5]}, {"id": 2, "box": [1, 2, 3, 4]}, {"object_id": "2.5", "box": [1, 2, 3, 4]}]'
     answer = F.concat(F.lit("<think>no []</think>["), good, F.lit(bad))
     ids = F.array(*[F.lit(i) for i in range(5)])
-    return table(spark, sf_dir, "events").select("event_id", F.explode(T.boxes(answer, ids)).alias("b")).select("event_id", F.col("b.object_id").cast("long").alias("object_id"), "b.x0", "b.y0", "b.x1", "b.y1")
+    return table(spark, sf_dir, "events").select("event_id", F.explode_outer(T.boxes(answer, ids)).alias("b")).where(F.col("b").isNotNull()).select("event_id", F.col("b.object_id").cast("long").alias("object_id"), "b.x0", "b.y0", "b.x1", "b.y1")
 
 
 @query("""
@@ -502,7 +503,7 @@ def point_tags(spark, sf_dir):
     tag = F.format_string('coords="1 200 200" <points n="2" coords="%d %d 250; 2 12 300"/> <tracks coords="3 100 1000, 4 1001 100">', F.col("user_id") % 9, F.col("event_id") % 900 + 100)
     other = F.format_string('<points coords="%d %d 250" alt="a">', F.col("user_id") % 9, F.col("event_id") % 900 + 100)
     answer = F.when(F.col("event_id") % 2 == 0, tag).otherwise(other)
-    return table(spark, sf_dir, "events").select("event_id", F.explode(T.point_tags(answer, F.lit(640.0), F.lit(480.0))).alias("p")).select("event_id", "p.object_id", r6("p.x").alias("x"), r6("p.y").alias("y"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode_outer(T.point_tags(answer, F.lit(640.0), F.lit(480.0))).alias("p")).where(F.col("p").isNotNull()).select("event_id", "p.object_id", r6("p.x").alias("x"), r6("p.y").alias("y"))
 
 
 @query(r"""
