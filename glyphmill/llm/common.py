@@ -79,14 +79,14 @@ def scoped(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a table in the shared folder.
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the shared folder, at a new path or the given one.
 
     The files survive lost executors, and later passes read only the columns
     they need.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

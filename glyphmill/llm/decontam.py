@@ -49,7 +49,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialise, numbered, unused
+from glyphmill.llm.common import materialise, numbered, scoped, scratch, unused
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Bits of each block of a fingerprint; a pair within the radius agrees within 3 bits in one of them: one that the index turns, and two that a window turns.
@@ -218,9 +218,10 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFra
     The rows to go carry a number each and are few columns; they leave by an
     anti join that Spark broadcasts only where their measured size allows.
     """
-    row = unused(docs, "__row")
-    whole = numbered(docs, row)
-    gone = materialise(matches(whole, items, id_col=row, text_col=text_col, row=row).select(F.col("row").alias(row)).distinct(), "contaminated")
+    spark, row = docs.sparkSession, unused(docs, "__row")
+    whole, path = numbered(docs, row), scratch(spark, "contaminated")
+    with scoped(spark):  # of all the tables made on the way only this one is needed
+        gone = materialise(matches(whole, items, id_col=row, text_col=text_col, row=row).select(F.col("row").alias(row)).distinct(), "contaminated", path)
     return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

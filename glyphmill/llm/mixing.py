@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialise, numbered, unused
+from glyphmill.llm.common import materialise
 
 BUDGET, CAP, WEIGHTS = 1.5, 2, (3, 1, 2)
 SCALE = 1 << 28
@@ -86,14 +86,16 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
+def sized(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """The columns that a row's place in its source follows from; all come from the row itself."""
     doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    return materialise(docs.select(doc_id.alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), row.alias("row"), size(text).alias("size"), order_key(doc_id, text).alias("key")), "sizes")
+    return {"doc_id": doc_id, "source": F.col(f"`{source_col}`").cast("string"), "size": size(text), "key": order_key(doc_id, text)}
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, row, size, source_size, target, copies."""
-    return _plan(_sized(docs, id_col, text_col, source_col, F.monotonically_increasing_id()), seed)
+    """A row for each row of ``docs``: doc_id, size, source_size, target, copies."""
+    rows = materialise(docs.select(*[c.alias(k) for k, c in sized(id_col, text_col, source_col).items()]), "sizes")
+    return _counted(celled(rows), rows, seed).select("doc_id", "size", "source_size", "target", "copies")
 
 
 def celled(rows: DataFrame) -> DataFrame:
@@ -101,8 +103,11 @@ def celled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"cls": _size_class(F.col("size")), "cell": F.pmod("key", F.lit(CELLS)).cast("int"), "src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))})
 
 
-def _plan(rows: DataFrame, seed: int) -> DataFrame:
-    placed = celled(rows)
+def _counted(placed: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """``placed``, whose rows have the columns of ``celled``, with source_size, target and copies.
+
+    ``rows`` are the same rows without other columns.
+    """
     by_source = targets(rows).select(
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("src"),
         "source_size",
@@ -110,17 +115,16 @@ def _plan(rows: DataFrame, seed: int) -> DataFrame:
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * SCALE)).otherwise(0).cast("long").alias("rate"),
         offset(F.col("source"), seed).alias("offset"),
     )
-    cells = placed.groupBy("src", "cls", "cell").agg(F.count(F.lit(1)).alias("n"))
-    classes = placed.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"))
+    narrow = celled(rows)
+    cells = narrow.groupBy("src", "cls", "cell").agg(F.count(F.lit(1)).alias("n"))
+    classes = narrow.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"))
     up_to = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     class_base = classes.select("src", "cls", F.coalesce(F.sum("n").over(up_to("src").orderBy("cls")), F.lit(0)).alias("class_base"))
     bases = cells.select("src", "cls", "cell", F.coalesce(F.sum("n").over(up_to("src", "cls").orderBy("cell")), F.lit(0)).alias("cell_base")).join(class_base, ["src", "cls"]).join(by_source, "src")
-    rank = F.row_number().over(Window.partitionBy("src", "cls", "cell").orderBy("size", "key", "doc_id", "row"))
-    return (
-        placed.withColumn("rank", rank)
-        .join(bases, ["src", "cls", "cell"])
-        .select("doc_id", "row", "size", "source_size", "target", crossed(F.col("class_base") + F.col("cell_base") + F.col("rank"), F.col("rate"), F.col("offset")).alias("copies"))
-    )
+    rank = F.row_number().over(Window.partitionBy("src", "cls", "cell").orderBy("size", "key", "doc_id"))
+    # rows meet their cell's sums where they were ranked
+    met = placed.withColumn("rank", rank).join(bases, ["src", "cls", "cell"])
+    return met.withColumn("copies", crossed(F.col("class_base") + F.col("cell_base") + F.col("rank"), F.col("rate"), F.col("offset")))
 
 
 def mixture(docs: DataFrame, **names) -> DataFrame:
@@ -131,13 +135,15 @@ def mixture(docs: DataFrame, **names) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
     """The mixed documents themselves: each row as often as its prefix sum crosses whole numbers.
 
-    Rows are numbered once, in a table of their own, and the texts
-    meet their copies by that number.
+    A row's place follows from the row alone, so the texts are shuffled once,
+    to their cells, and need no numbers.
     """
-    row, copies, copy = (unused(docs, name) for name in ("__row", "__copies", "__copy"))
-    whole = numbered(docs, row)
-    taken = _plan(_sized(whole, id_col, text_col, source_col, F.col(row)), seed).where(F.col("copies") > 0).select(F.col("row").alias(row), F.col("copies").alias(copies))
-    return whole.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = sized(id_col, text_col, source_col)
+    rows = materialise(docs.select(*[c.alias(k) for k, c in columns.items()]), "sizes")
+    # the document travels as one column, so that no name of its columns meets another
+    whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]).alias("document"), *[c.alias(k) for k, c in columns.items()])
+    taken = _counted(celled(whole), rows, seed).where(F.col("copies") > 0)
+    return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*[F.col(f"document.k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 #: DuckDB SQL for ``mixture``.

@@ -58,7 +58,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, beside, bounded_batches, kept, materialise, mix64, numbered, plain, slices, split, unused, word_hash
+from glyphmill.llm.common import Memo, beside, bounded_batches, kept, materialise, mix64, numbered, plain, scoped, scratch, slices, split, unused, word_hash
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -375,7 +375,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each class."""
-    row = unused(docs, "__row")
-    whole = numbered(docs, row)
-    gone = materialise(classes(whole, row, text_col, row=row).where(~F.col("kept")).select(F.col("row").alias(row)), "copies")
+    spark, row = docs.sparkSession, unused(docs, "__row")
+    whole, path = numbered(docs, row), scratch(spark, "copies")
+    with scoped(spark):  # of all the tables made on the way only this one is needed
+        copies = classes(whole, row, text_col, row=row).where(~F.col("kept")).select(F.col("row").alias(row))
+        gone = materialise(copies, "copies", path)
     return whole.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -185,7 +185,7 @@ def test_mixing_of_null_and_equal_ids_is_spread_and_reruns_agree(spark, table_of
     data = [(None if i % 2 else 5, words(rng, rng.randrange(1, 40)), None, "a") for i in range(2000)]
     results = [sorted(map(str, mixing.mixture(table_of(data, parts=p)).collect())) for p in (2, 7)]
     assert results[0] == results[1]
-    cells = Counter(r.cell for r in mixing.celled(table_of(data).select("doc_id", "text", "source", F.lit(0).alias("row"), mixing.size(F.col("text")).alias("size"), mixing.order_key(F.col("doc_id"), F.col("text")).alias("key"))).collect())
+    cells = Counter(r.cell for r in mixing.celled(table_of(data).select(*[c.alias(k) for k, c in mixing.sized("doc_id", "text", "source").items()])).collect())
     assert max(cells.values()) < 20
 
 

@@ -344,8 +344,8 @@ def test_row_numbers_hold_when_the_second_scan_is_split_otherwise(spark, table_o
         module, last = {"classes": (near_dedup, "signatures"), "keep_one": (near_dedup, "copies"), "remove": (decontam, "contaminated"), "mix": (mixing, "sizes")}[stage]
         whole = module.materialise
 
-        def cut(frame, name):
-            out = whole(frame, name)
+        def cut(frame, name, *path):
+            out = whole(frame, name, *path)
             if name == last:
                 spark.conf.set(setting, "1")
             return out
