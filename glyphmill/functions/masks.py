@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 KIND = T.StructType([T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-BOX = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "x1", "y1")), T.StructField("empty", T.BooleanType())])
 
 
 def encode(mask: np.ndarray) -> dict:
@@ -72,15 +71,26 @@ def area(mask: Column) -> Column:
     return F.aggregate(F.filter(mask["counts"], lambda c, i: i % 2 == 1), F.lit(0).cast("long"), lambda s, c: s + c)
 
 
-def bounds(mask: np.ndarray) -> tuple[float, float, float, float, bool]:
-    """Extents of the set pixels, both ends inclusive; zeros and a mark for an empty mask."""
-    ys, xs = np.nonzero(mask)
-    return (float(xs.min()), float(ys.min()), float(xs.max()), float(ys.max()), False) if len(xs) else (0.0, 0.0, 0.0, 0.0, True)
+def bbox(mask: Column | str) -> Column:
+    """Struct (x0, y0, x1, y1, empty): extents of the set pixels, both ends inclusive, from the runs alone; zeros for an empty mask.
 
+    A run that reaches into another column covers the whole height.
+    """
+    mask = F.col(mask) if isinstance(mask, str) else mask
+    h = F.greatest(mask["h"], F.lit(1)).cast("long")
+    none = F.lit(None).cast("long")
 
-@pandas_udf(BOX)
-def bbox(mask: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([bounds(decode(m)) for m in mask.to_dict("records")], columns=["x0", "y0", "x1", "y1", "empty"])
+    def step(acc: Column, run: Column) -> Column:
+        start, end = acc["at"], acc["at"] + run - 1
+        left, right = F.floor(start / h), F.floor(end / h)
+        across, counts = left != right, acc["set"] & (run > 0)
+        least = lambda name, v: F.when(counts, F.least(acc[name], v)).otherwise(acc[name]).alias(name)
+        most = lambda name, v: F.when(counts, F.greatest(acc[name], v)).otherwise(acc[name]).alias(name)
+        return F.struct((acc["at"] + run).alias("at"), (~acc["set"]).alias("set"), least("x0", left), least("y0", F.when(across, 0).otherwise(start % h)), most("x1", right), most("y1", F.when(across, h - 1).otherwise(end % h)))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("set"), *[none.alias(n) for n in ("x0", "y0", "x1", "y1")])
+    sides = ("x0", "y0", "x1", "y1")
+    return F.aggregate(mask["counts"], zero, step, lambda acc: F.struct(*[F.coalesce(acc[n].cast("double"), F.lit(0.0)).alias(n) for n in sides], acc["x0"].isNull().alias("empty")))
 
 
 @pandas_udf(T.DoubleType())
