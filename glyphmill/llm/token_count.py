@@ -12,8 +12,10 @@ start, and a later one must score strictly more; a character without a match
 of its own is unknown, scores the least score less 10, and counts as its UTF-8
 bytes (byte fallback).
 
-Defined cases: null text counts as empty, which has 0 tokens; an empty table
-gives no rows; repeated rows are all kept; other columns are ignored.
+Defined cases: null text counts as empty, which has 0 tokens; very long texts
+are counted whole, word by word; ties follow the tokenizer's rules; a null id is
+carried along; repeated rows are all kept; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
