@@ -32,11 +32,13 @@ def claims(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
 
 def classify(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Role of each item: block (unclaimed with children), node (unclaimed without), child, or dropped (its owner is claimed too)."""
-    owned = claims(items, tolerance)
-    owners = owned.select("image_id", F.col("owner").alias("ord")).distinct().withColumn("has_children", F.lit(True))
-    above = owned.select("image_id", F.col("ord").alias("owner")).withColumn("owner_claimed", F.lit(True))
-    role = F.when(F.col("owner").isNull(), F.when(F.col("has_children"), "block").otherwise("node")).when(F.col("owner_claimed"), "dropped").otherwise("child")
-    return items.join(owned, ["image_id", "ord"], "left").join(owners, ["image_id", "ord"], "left").join(above, ["image_id", "owner"], "left").select("image_id", "ord", "owner", role.alias("role"))
+    # claims are made once; who owns and who is claimed are lists of one image's few items
+    image = Window.partitionBy("image_id")
+    placed = items.join(claims(items, tolerance), ["image_id", "ord"], "left")
+    lists = placed.withColumns({"owners": F.collect_set("owner").over(image), "claimed": F.collect_set(F.when(F.col("owner").isNotNull(), F.col("ord"))).over(image)})
+    alone = F.when(F.array_contains("owners", F.col("ord")), "block").otherwise("node")
+    role = F.when(F.col("owner").isNull(), alone).when(F.array_contains("claimed", F.col("owner")), "dropped").otherwise("child")
+    return lists.select("image_id", "ord", "owner", role.alias("role"))
 
 
 def raster_owners(rasters: DataFrame, blocks: DataFrame, tolerance: float = 1.0) -> DataFrame:
