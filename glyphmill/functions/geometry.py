@@ -7,6 +7,8 @@ differ in what an empty box is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,20 @@ def denormalise(value: Column, extent: Column, frame: float = 1000.0) -> Column:
     return value / F.lit(frame) * extent
 
 
+def frame_readings(sides: Column, width: Column, height: Column) -> Column:
+    """What four numbers (y0, x0, y1, x1) of a model may mean, as an array of (reading, x0, y0, x1, y1): pixels, or thousandths of the image."""
+
+    def reading(name: str, x: Callable[[Column], Column], y: Callable[[Column], Column]) -> Column:
+        return F.struct(F.lit(name).alias("reading"), x(sides[1]).alias("x0"), y(sides[0]).alias("y0"), x(sides[3]).alias("x1"), y(sides[2]).alias("y1"))
+
+    return F.array(reading("raw_pixels", lambda v: v, lambda v: v), reading("div1000_x_w_h", lambda v: denormalise(v, width), lambda v: denormalise(v, height)))
+
+
+def mask_crop(bounds: Column, pad: float, width: Column, height: Column) -> Column:
+    """Extents of a mask (bounds x0, y0, x1, y1, both ends inclusive) with a margin, inside the image."""
+    return box(F.greatest(bounds["x0"] - pad, F.lit(0)), F.greatest(bounds["y0"] - pad, F.lit(0)), F.least(bounds["x1"] + pad, width), F.least(bounds["y1"] + pad, height))
+
+
 def crop(xs: Column, ys: Column, pad: float, width: Column, height: Column) -> Column:
     """Extents of points with a margin, inside the image."""
     return box(F.greatest(F.array_min(xs) - pad, F.lit(0)), F.greatest(F.array_min(ys) - pad, F.lit(0)), F.least(F.array_max(xs) + pad, width), F.least(F.array_max(ys) + pad, height))

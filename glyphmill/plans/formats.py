@@ -364,6 +364,30 @@ def undo_redo(spark, sf_dir):
     return review.undo_stack(log, "user_id", "at").where(F.size("undo") <= review.UNDO_LIMIT + 1).select("user_id", "state").join(n, "user_id")
 
 
+# Geometry of answers and screens ---------------------------------------------
+
+
+@query("""SELECT event_id, r.reading, CASE r.reading WHEN 'raw_pixels' THEN 20.0 ELSE round(20.0 / 1000 * 640, 6) END::DOUBLE AS x0, CASE r.reading WHEN 'raw_pixels' THEN value ELSE round(value / 1000 * 480, 6) END AS y0,
+       CASE r.reading WHEN 'raw_pixels' THEN 500.0 ELSE 320.0 END::DOUBLE AS x1, CASE r.reading WHEN 'raw_pixels' THEN value + 1 ELSE round((value + 1) / 1000 * 480, 6) END AS y1 FROM events, (VALUES ('raw_pixels'), ('div1000_x_w_h')) r(reading)""")
+def frame_readings(spark, sf_dir):
+    sides = F.array(F.col("value"), F.lit(20.0), F.col("value") + 1, F.lit(500.0))
+    read = events(spark, sf_dir).select("event_id", F.inline(G.frame_readings(sides, F.lit(640.0), F.lit(480.0))))
+    return read.select("event_id", "reading", *[F.when(F.col("reading") == "raw_pixels", F.col(c)).otherwise(r6(c)).alias(c) for c in G.SIDES])
+
+
+@query("""SELECT event_id, round(value / 2.5 + user_id, 6) AS x, value / 2.5 + user_id >= 0 AND value / 2.5 + user_id < 60 AND event_id % 40 < 30 AS inside FROM events""")
+def display_points(spark, sf_dir):
+    x = G.display_to_image(F.col("value"), F.col("user_id"), F.lit(2.5))
+    return events(spark, sf_dir).select("event_id", r6(x).alias("x"), G.in_image(x, F.col("event_id") % 40, F.lit(60), F.lit(30)).alias("inside"))
+
+
+@query(_BITS + """SELECT vec_id, greatest(coalesce(min(i // 8) FILTER (bit), 0) - 2, 0)::DOUBLE AS x0, greatest(coalesce(min(i % 8) FILTER (bit), 0) - 2, 0)::DOUBLE AS y0,
+       least(coalesce(max(i // 8) FILTER (bit), 0) + 2, 8)::DOUBLE AS x1, least(coalesce(max(i % 8) FILTER (bit), 0) + 2, 8)::DOUBLE AS y1 FROM b GROUP BY 1""")
+def mask_crops(spark, sf_dir):
+    bounds = _masks(spark, sf_dir).select("vec_id", masks.bbox("mask").alias("b"))
+    return bounds.select("vec_id", G.mask_crop(F.col("b"), 2, F.lit(8), F.lit(8)).alias("c")).select("vec_id", *[F.col(f"c.{s}").cast("double").alias(s) for s in G.SIDES])
+
+
 # Masks and stages -----------------------------------------------------------
 
 

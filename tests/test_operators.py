@@ -489,3 +489,23 @@ def test_losses():
     good, bad = (truth * 2 - 1) * 9, (1 - truth * 2) * 9
     assert losses.dice(good, truth) < 0.01 < losses.dice(bad, truth) and losses.cross_entropy(good, truth) < 0.01 < losses.cross_entropy(bad, truth)
     assert losses.overlap_error(1.0, good, truth) == 0 and losses.overlap_error(1.0, bad, truth) == 1 and losses.overlap_error(0.0, good * 0 - 1, truth * 0) == 0
+
+
+@pytest.mark.parametrize(("queries", "rows_"), [(4_000, 2_000), (3, 7)])
+def test_top_k_equals_all_pairs(spark, monkeypatch, queries, rows_):
+    from glyphmill.functions import vectors
+
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", queries)
+    monkeypatch.setattr(vectors, "ROWS", rows_)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(60, 5)), 1)
+    v[7] = 0
+    v[20:23] = v[3]  # ties go to the least id
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(99, None)], "vec_id long, embedding array<double>").repartition(3)
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    got = {(r.query_id, r["rank"]): (r.id, r.similarity) for r in vectors.top_k(df, df.where("vec_id % 5 = 0"), 4).collect()}
+    want = {}
+    for q in (i for i in range(0, 60, 5) if i != 7):
+        best = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in range(60) if i not in (q, 7))[:4]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
