@@ -57,6 +57,30 @@ class Scripted:
         pass
 
 
+class Interactive:
+    """Masks of one image at a time, for a person who clicks: its embedding is kept, that of the image before it is let go.
+
+    ``embed`` turns an image into what ``answer`` reads, once for each image
+    that is opened; ``answer`` turns that, points (x, y, whether positive) and
+    a box into a mask and a score.
+    """
+
+    def __init__(self, embed: Callable[[str], object], answer: Callable[[object, list, tuple | None], tuple[object, float]]):
+        self.embed, self.answer, self.image, self.held = embed, answer, None, None
+
+    def open(self, image: str) -> None:
+        if image != self.image:
+            self.image, self.held = None, None
+            self.held, self.image = self.embed(image), image
+
+    def segment(self, image: str, points: list[tuple[float, float, bool]] = (), box: tuple[float, float, float, float] | None = None) -> tuple[object, float]:
+        if image != self.image:
+            raise RuntimeError(f"{image} isn't embedded; open it first")
+        if not points and box is None:
+            raise ValueError("a mask needs points or a box")
+        return self.answer(self.held, list(points), box)
+
+
 #: Makers of predictors by name; an unknown name is an error that lists them.
 REGISTRY: dict[str, Callable[[], Predictor]] = {"stub": Stub}
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.adapters import predictors
 from glyphmill.functions import geometry as G
-from glyphmill.functions import masks
+from glyphmill.functions import losses, masks
 from glyphmill.functions import text as T
 from glyphmill.operators import aggregates, joins, layout, review, sampling, segmentation
 from glyphmill.plans import stages
@@ -405,6 +405,19 @@ def stage_join(spark, sf_dir):
     return joins.of_stages(points, held, points.select("image_id").distinct()).groupBy("image_id").agg(F.sum("mask").alias("ids"), F.count("value").alias("n_points"), F.count_if("is_raster").alias("n_rasters"))
 
 
+@query("""
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_transform(embedding, lambda e, i: CASE WHEN (i + vec_id) % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS t FROM embeddings),
+    z AS (SELECT vec_id, list_transform(list_zip(x, t), lambda z: {'x': z[1], 't': z[2]}) AS z FROM v), e AS (SELECT vec_id, unnest(z).x AS x, unnest(z).t AS t FROM z)
+    SELECT vec_id, round(1 - (2 * sum(t / (1 + exp(-x))) + 1) / (sum(1 / (1 + exp(-x))) + sum(t) + 1), 6) AS dice, round(avg(greatest(x, 0) - x * t + ln(1 + exp(-abs(x)))), 6) AS bce,
+           round(pow(0.5 - count(*) FILTER (x > 0 AND t > 0) / greatest(count(*) FILTER (x > 0 OR t > 0), 1), 2), 6) AS overlap_error FROM e GROUP BY 1""")
+def mask_losses(spark, sf_dir):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    t = F.transform("embedding", lambda v, i: F.when((i + 1 + F.col("vec_id")) % 3 == 0, 1.0).otherwise(0.0))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), t.alias("t"))
+    x, t = F.col("x"), F.col("t")
+    return rows.select("vec_id", r6(losses.dice_of(x, t)).alias("dice"), r6(losses.cross_entropy_of(x, t)).alias("bce"), r6(losses.overlap_error_of(F.lit(0.5), x, t)).alias("overlap_error"))
+
+
 def _rule(mark: str, answer: str) -> str:
     """A scripted predictor, registered by a name of its own."""
     name = f"rule {mark} {answer}"

@@ -509,3 +509,21 @@ def test_top_k_equals_all_pairs(spark, monkeypatch, queries, rows_):
         best = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in range(60) if i not in (q, 7))[:4]
         want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
+
+
+def test_interactive_masks_embed_each_image_once():
+    from glyphmill.adapters.predictors import Interactive
+
+    seen = []
+    backend = Interactive(lambda i: seen.append(i) or i.upper(), lambda held, points, box: ((held, len(points), box), 1.0))
+    with pytest.raises(RuntimeError, match="isn't embedded"):
+        backend.segment("a", [(1, 2, True)])
+    backend.open("a")
+    backend.open("a")
+    assert backend.segment("a", [(1, 2, True)])[0] == ("A", 1, None) and backend.segment("a", box=(0, 0, 1, 1))[0][2] == (0, 0, 1, 1)
+    with pytest.raises(ValueError, match="points or a box"):
+        backend.segment("a")
+    backend.open("b")
+    with pytest.raises(RuntimeError):
+        backend.segment("a", [(1, 2, True)])
+    assert seen == ["a", "b"]
