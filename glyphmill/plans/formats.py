@@ -23,15 +23,19 @@ from glyphmill.plans.catalogue import _BITS, _FSM, ACTIONS, _masks, looked_up, q
 from glyphmill.sources import files, records
 
 
+#: Folders of applications whose session names none.
+_ROOTS: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that all executors see, in the one that ``spark.checkpoint.dir`` names; on a local master without it, in a local one."""
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _ROOTS.get(app)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/glyphmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        root = _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+    return f"{root.rstrip('/')}/glyphmill/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
