@@ -41,22 +41,44 @@ def bounded_batches(spark: SparkSession) -> None:
 
 #: Paths that ``scratch`` gave out inside ``scoped``.
 _SCOPES: list[list[str]] = []
+#: Folders of applications whose session names none, or that ``rooted`` names.
+_ROOTS: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names.
+def root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
-    local folder is made and set on a local master (tests, one machine); on a
-    cluster that is an error, as executors don't share local folders.
+    Where it is unset, a local master (tests, one machine) gets a local folder,
+    the same for the whole application; on a cluster that is an error, as
+    executors don't share local folders.  The setting itself is only read.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    app = spark.sparkContext.applicationId
+    named = _ROOTS.get(app) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/glyphmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        named = _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+    return f"{named.rstrip('/')}/glyphmill/{app}"
+
+
+@contextmanager
+def rooted(spark: SparkSession, path: str) -> Iterator[None]:
+    """Keep tables made inside under ``path``, a folder that the driver and all executors share."""
+    app = spark.sparkContext.applicationId
+    before = _ROOTS.get(app)
+    _ROOTS[app] = path
+    try:
+        yield
+    finally:
+        if before is None:
+            del _ROOTS[app]
+        else:
+            _ROOTS[app] = before
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
     return path
@@ -119,9 +141,7 @@ def beside(big: DataFrame, small: DataFrame, key: str, rows: str, total: int, sh
 
 def purge(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        delete(spark, f"{root.rstrip('/')}/glyphmill/{spark.sparkContext.applicationId}")
+    delete(spark, root(spark))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -291,19 +291,38 @@ def test_pipeline(spark, tmp_path):
 
 def test_run_leaves_only_results(spark, tmp_path):
     """All stages in one call give what they give one by one, and their own tables are gone."""
+    import os
+
     import corpus_pipeline
-    from glyphmill.llm.common import scratch
+    from glyphmill.llm.common import root, rooted
 
-    def folders():
-        root = scratch(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
-        return {p.rsplit("-", 1)[0] for p in __import__("os").listdir(root)} if __import__("os").path.isdir(root) else set()
+    def digest(df):
+        return sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in df.collect())
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert corpus_pipeline.run(spark, DATA).count() > 0
-        assert folders() <= {"stage-toxicity", "stage-near_dedup", "stage-decontaminate", "stage-mix", "tokens"}
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    with rooted(spark, f"file://{tmp_path}/run"):
+        got = digest(corpus_pipeline.run(spark, DATA))
+        left = {p.rsplit("-", 1)[0] for p in os.listdir(root(spark).removeprefix("file://"))}
+    assert left == {"stage-toxicity", "stage-near_dedup", "stage-decontaminate", "stage-mix", "tokens"}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert got and got == digest(corpus_pipeline.STAGES[-1][1](spark, docs, DATA))
+
+
+def test_scratch_without_a_named_folder(spark, monkeypatch):
+    """A stock session names no folder: one is made once, and the setting stays as it is."""
+    from glyphmill.llm import common
+
+    class Bare:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    monkeypatch.setattr(common, "_ROOTS", {})
+    first, second = common.scratch(Bare, "a"), common.scratch(Bare, "b")
+    assert first.startswith("file://") and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
 
 
 def test_stages_on_odd_rows(spark, odd, empty, table_of, tmp_path):
