@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontam, exact_dedup, html_extract, langid, lm_score, mixing, near_dedup, token_count, token_store, toxicity
+from glyphmill.llm import clustering, decontam, exact_dedup, html_extract, langid, lm_score, mixing, near_dedup, prefix_trie, simhash, token_count, token_store, toxicity
 from glyphmill.llm.common import table
 
 
@@ -55,14 +55,29 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_toxicity, op6_near_dedup, op7_html_extract, op8_lm_score, op9_token_store, op10_token_count)}
+    all_ = (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_decontaminate, op5_toxicity, op6_near_dedup, op7_html_extract, op8_lm_score, op9_token_store, op10_token_count, op11_centroid_clusters, op12_prefix_trie, op13_simhash_dedup)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.SQL,
         "op4_decontaminate": decontam.SQL,
+        "op11_centroid_clusters": clustering.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
         "op3_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
