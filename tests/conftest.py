@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -42,7 +43,7 @@ def rows(frame) -> list[tuple]:
     """Rows of a pandas frame with columns by name, in an order that doesn't matter; numbers of a kind are one kind."""
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if hasattr(v, "tolist"):
             v = v.tolist()
