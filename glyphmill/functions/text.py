@@ -69,55 +69,94 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _json(text: Column, opening: str, closing: str) -> Column:
-    """The widest span between the marks as VARIANT; null if there is none or it isn't one JSON value.
+#: JSON as the standard has it, as models' answers are read.
+STRICT = {"allowSingleQuotes": "false"}
+#: Numbers as text: whole ones, and others.
+WHOLE = r"\s*[+-]?\d+(?:_\d+)*\s*"
+REAL = r"(?i)\s*[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?|inf|infinity|nan)\s*"
 
-    The parser stops after the first value, so the span is read as the only item of a list.
+
+def _span(text: Column, opening: str, closing: str) -> Column:
+    """The widest span between the marks, null if there is none."""
+    return F.nullif(F.regexp_extract(text, rf"(?s)\{opening}.*\{closing}", 0), F.lit(""))
+
+
+def _read(span: Column, kind: str, empty: str) -> Column:
+    """A span as one JSON value of a kind, else null.
+
+    The parser stops after the first value, so the span is read as the first of
+    two items, of which the other one is ``empty``.
     """
-    span = F.nullif(F.regexp_extract(text, rf"(?s)\{opening}.*\{closing}", 0), F.lit(""))
-    items = F.from_json(F.concat(F.lit("["), span, F.lit("]")), "array<variant>")
-    return let(items, lambda i: F.when(F.size(i) == 1, F.get(i, F.lit(0))))
+    items = F.from_json(F.concat(F.lit("["), span, F.lit(f",{empty}]")), f"array<{kind}>", STRICT)
+    return let(items, lambda i: F.when(F.size(i) == 2, F.get(i, F.lit(0))))
 
 
 def json_items(text: Column) -> Column:
     """Items of the widest JSON array in a text, as an array of VARIANT."""
-    return F.coalesce(F.try_variant_get(_json(text, "[", "]"), "$", "array<variant>"), F.array().cast("array<variant>"))
+    read = lambda span: F.try_variant_get(_read(span, "variant", "[]"), "$", "array<variant>")
+    return F.coalesce(let(_span(text, "[", "]"), read), F.array().cast("array<variant>"))
 
 
 def whole(x: Column) -> Column:
     """A whole number: numbers lose their fraction, true is 1, and text counts only if it is a whole number itself."""
 
     def read(t: Column) -> Column:
-        quoted = F.when(t.rlike(r'^"\s*[+-]?\d+\s*"$'), F.regexp_replace(t, r'["\s+]', "").try_cast("long"))
-        return F.when(F.startswith(t, F.lit('"')), quoted).when(t.isin("true", "false"), (t == "true").cast("long")).otherwise(t.try_cast("double").try_cast("long"))
+        quoted = F.when(t.rlike(f'^"{WHOLE}"$'), F.regexp_replace(t, r'["\s+_]', "").try_cast("long"))
+        return F.when(F.startswith(t, F.lit('"')), quoted).when(t.isin("true", "false"), (t == "true").cast("long")).otherwise(F.coalesce(t.try_cast("long"), t.try_cast("double").try_cast("long")))
 
     return let(F.to_json(x), read)
 
 
 def _real(v: Column) -> Column:
     """A number, or text that is one."""
-    return F.coalesce(F.try_variant_get(v, "$", "double"), F.trim(F.try_variant_get(v, "$", "string")).try_cast("double"))
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    spelled = F.when(text.rlike(f"^{REAL}$"), F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
+    return F.when(kind == "STRING", spelled).otherwise(F.try_variant_get(v, "$", "double"))
 
 
 def edges(text: Column) -> Column:
-    """Pairs (src, dst) of whole numbers under "from" and "to"; items without both are skipped."""
-    each = F.transform(json_items(text), lambda v: let(F.try_variant_get(v, "$", "struct<from:variant,to:variant>"), lambda p: F.struct(whole(p["from"]).cast("int").alias("src"), whole(p["to"]).cast("int").alias("dst"))))
-    return F.filter(each, lambda e: e["src"].isNotNull() & e["dst"].isNotNull())
+    """Pairs (src, dst) of whole numbers under "from" and "to"; items without both are skipped, and numbers that no mark can have.
+
+    Answers whose items are all plain pairs of whole numbers are parsed at once,
+    others item by item.
+    """
+    pair = lambda src, dst: F.struct(src.try_cast("int").alias("src"), dst.try_cast("int").alias("dst"))
+    plain = r"^-?\d{1,9}$"
+
+    def read(span: Column) -> Column:
+        slow = F.transform(json_items(span), lambda v: let(F.try_variant_get(v, "$", "struct<from:variant,to:variant>"), lambda p: pair(whole(p["from"]), whole(p["to"]))))
+        # keys that repeat: the last one counts
+        typed = F.transform(_read(span, "array<struct<from:variant,to:variant>>", "[]"), lambda p: pair(whole(p["from"]), whole(p["to"])))
+        fast = _read(span, "array<struct<from:string,to:string>>", "[]")
+        simple = lambda f: F.coalesce(F.forall(f, lambda p: p["from"].rlike(plain) & p["to"].rlike(plain)), F.lit(False))
+        return let(fast, lambda f: F.when(simple(f), F.transform(f, lambda p: pair(p["from"], p["to"]))).otherwise(F.coalesce(typed, slow)))
+
+    return F.coalesce(F.filter(let(_span(text, "[", "]"), read), lambda e: e["src"].isNotNull() & e["dst"].isNotNull()), F.array().cast("array<struct<src:int,dst:int>>"))
 
 
 def boxes(text: Column, valid_ids: Column) -> Column:
-    """Boxes (object_id, x0, y0, x1, y1) of known objects that have four sides in order; other items are skipped."""
+    """Boxes (object_id, x0, y0, x1, y1) of known objects that have four sides in order; other items are skipped.
 
-    def read(v: Column) -> Column:
-        sides = F.transform(F.try_variant_get(v, "$.box", "array<variant>"), _real)
-        return F.struct(whole(F.try_variant_get(v, "$.object_id", "variant")).cast("int").alias("object_id"), sides.alias("s"))
+    Four digits as text are four sides, as any sequence of four numbers is.
+    """
 
-    found = F.filter(F.transform(json_items(after_thinking(text)), read), lambda b: F.array_contains(valid_ids, b["object_id"]) & (F.size(b["s"]) == 4) & (b["s"][2] > b["s"][0]) & (b["s"][3] > b["s"][1]))
+    def read(v: Column) -> Column:
+        named = F.try_variant_get(v, "$.box", "array<variant>")
+        digits = F.when(F.schema_of_variant(F.try_variant_get(v, "$.box", "variant")) == "STRING", F.try_variant_get(v, "$.box", "string"))
+        spelled = F.when(digits.rlike(r"^\d{4}$"), F.transform(F.split(digits, ""), lambda c: c.try_cast("double")))
+        return F.struct(whole(F.try_variant_get(v, "$.object_id", "variant")).try_cast("int").alias("object_id"), F.coalesce(F.transform(named, _real), spelled).alias("s"))
+
+    # a side that is no number is out of order with none
+    apart = lambda low, high: low.isNotNull() & high.isNotNull() & (F.isnan(low) | F.isnan(high) | (high > low))
+    found = F.filter(F.transform(json_items(after_thinking(text)), read), lambda b: F.array_contains(valid_ids, b["object_id"]) & (F.size(b["s"]) == 4) & apart(b["s"][0], b["s"][2]) & apart(b["s"][1], b["s"][3]))
     return F.transform(found, lambda b: F.struct(b["object_id"].alias("object_id"), *[b["s"][k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
 
 
 def judge(text: Column) -> Column:
-    """Struct (score, reason): a whole score from 1 to 5 and its rationale, else null and what is wrong."""
+    """Struct (score, reason): a whole score from 1 to 5 and its rationale, else null and what is wrong.
+
+    Of keys that repeat the last one counts.
+    """
 
     def read(p: Column) -> Column:
         why = F.when(p["why"].isNull(), F.lit("")).when(~F.is_variant_null(p["why"]), F.try_variant_get(p["why"], "$", "string"))
@@ -125,19 +164,25 @@ def judge(text: Column) -> Column:
         return F.struct(F.when(p["score"].between(1, 5), p["score"].cast("int")).alias("score"), reason.alias("reason"))
 
     at = lambda a, path: F.try_variant_get(a, path, "variant")
-    return let(let(_json(text, "{", "}"), lambda a: F.struct(whole(at(a, "$.score")).alias("score"), at(a, "$.rationale").alias("why"))), read)
+
+    def parts(span: Column) -> Column:
+        once = let(_read(span, "variant", "{}"), lambda a: F.when(a.isNotNull(), F.struct(whole(at(a, "$.score")).alias("score"), at(a, "$.rationale").alias("why"))))
+        again = let(_read(span, "struct<score:variant,rationale:variant>", "{}"), lambda a: F.struct(whole(a["score"]).alias("score"), a["rationale"].alias("why")))
+        return F.coalesce(once, again)
+
+    return let(let(_span(text, "{", "}"), parts), read)
 
 
 def point_tags(text: Column, width: Column, height: Column) -> Column:
-    """Points (object_id, x, y) from coords of points and tracks tags in thousandths of the image; points outside are skipped."""
+    """Points (object_id, x, y) from coords of points and tracks tags in thousandths of the image; points outside are skipped, and ids beyond 64 bits."""
     lists = F.regexp_extract_all(text, F.lit(COORDS), F.lit(1))
     triples = F.flatten(F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(POINT), F.lit(1))))
 
     def read(s: Column) -> Column:
         part = F.split(s, " ")
-        return F.struct(part[0].cast("int").alias("object_id"), (part[1].cast("double") / 1000 * width).alias("x"), (part[2].cast("double") / 1000 * height).alias("y"))
+        return F.struct(part[0].try_cast("long").alias("object_id"), (part[1].cast("double") / 1000 * width).alias("x"), (part[2].cast("double") / 1000 * height).alias("y"))
 
-    return F.filter(F.transform(triples, read), lambda p: p["x"].between(F.lit(0), width) & p["y"].between(F.lit(0), height))
+    return F.filter(F.transform(triples, read), lambda p: p["object_id"].isNotNull() & p["x"].between(F.lit(0), width) & p["y"].between(F.lit(0), height))
 
 
 def sample_name(sample_id: Column) -> Column:

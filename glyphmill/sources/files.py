@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -146,30 +146,61 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 # Layout documents as XML, with tags diagram, block, node, raster and arrow and attributes only.
-XML_ITEM = "struct<_i:string,_t:string,_b:string,_mask:string,_conf:double,_src:string>"
-XML_ARROW = "struct<_s:string,_d:string,_conf:double,_src:string>"
+XML_ITEM = "struct<_i:string,_t:string,_b:string,_mask:string,_conf:string,_src:string>"
+XML_ARROW = "struct<_s:string,_d:string,_conf:string,_src:string>"
 XML_PARTS = {"node": f"array<{XML_ITEM}>", "raster": f"array<{XML_ITEM}>", "arrow": f"array<{XML_ARROW}>"}
 XML_BLOCK = XML_ITEM[:-1] + "".join(f",{k}:{v}" for k, v in XML_PARTS.items()) + ">"
 XML = ", ".join(f"{k} {v}" for k, v in ({"block": f"array<{XML_BLOCK}>"} | XML_PARTS).items())
 
 
+def _conf(x):
+    """A confidence: null if there is none, and for a text that is no number."""
+    return F.when(x["_conf"].rlike(f"^{T.REAL}$"), F.regexp_replace(F.trim(x["_conf"]), "_", "").try_cast("double"))
+
+
+def _box(x):
+    """A box, zeros if there is none; with a null for each side that is no number."""
+    part = F.split(T.strip(F.coalesce(x["_b"], F.lit("0 0 0 0"))), r"\s+")
+    return F.struct(*[F.when((F.size(part) == 4) & part[k].rlike(f"^{T.REAL}$"), part[k].try_cast("double")).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
 def _read_item(x, default: str):
-    box = T.parse_box(F.coalesce(x["_b"], F.lit("0 0 0 0")))
-    return F.struct(F.coalesce(x["_i"], F.lit("")).alias("id"), F.coalesce(x["_t"], F.lit("")).alias("text"), box.alias("bbox"), x["_mask"].alias("mask"), x["_conf"].alias("conf"), F.coalesce(x["_src"], F.lit(default)).alias("src"))
+    return F.struct(F.coalesce(x["_i"], F.lit("")).alias("id"), F.coalesce(x["_t"], F.lit("")).alias("text"), _box(x).alias("bbox"), x["_mask"].alias("mask"), _conf(x).alias("conf"), F.coalesce(x["_src"], F.lit(default)).alias("src"))
 
 
 def _read_arrow(x):
-    return F.struct(F.coalesce(x["_s"], F.lit("")).alias("src_id"), F.coalesce(x["_d"], F.lit("")).alias("dst_id"), x["_conf"].alias("conf"), F.coalesce(x["_src"], F.lit("manual")).alias("src"))
+    return F.struct(F.coalesce(x["_s"], F.lit("")).alias("src_id"), F.coalesce(x["_d"], F.lit("")).alias("dst_id"), _conf(x).alias("conf"), F.coalesce(x["_src"], F.lit("manual")).alias("src"))
 
 
-def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id") -> DataFrame:
-    """Diagrams of XML documents; unknown tags and nested blocks are skipped."""
+def _problem(x: Column, text: Column) -> Column:
+    """What is wrong with a document: it isn't XML, or a box or confidence isn't made of numbers; null if nothing is."""
+    bad_conf = lambda i: i["_conf"].isNotNull() & _conf(i).isNull()
+    bad_item = lambda i: bad_conf(i) | F.exists(F.array(*[_box(i)[n] for n in ("x0", "y0", "x1", "y1")]), lambda v: v.isNull())
+    some = lambda a, test: F.coalesce(F.exists(a, test), F.lit(False))
+    inside = lambda of: some(of["node"], bad_item) | some(of["raster"], bad_item) | some(of["arrow"], bad_conf)
+    numbers = some(x["block"], lambda b: bad_item(b) | inside(b)) | inside(x)
+    return F.when(text.isNull(), F.lit(None).cast("string")).when(x["_corrupt_record"].isNotNull(), "not XML").when(numbers, "not a number")
+
+
+def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id", strict: bool = True) -> DataFrame:
+    """Diagrams of XML documents; unknown tags and nested blocks are skipped.
+
+    A document that isn't XML, or holds a box or confidence that isn't made of
+    numbers, raises; unless ``strict``, it is an empty diagram with its
+    ``problem`` in a column of that name, and the others are read.
+    """
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     items = lambda a, d: F.coalesce(F.transform(a, lambda x: _read_item(x, d)), empty(layout.ITEM))
     arrows = lambda a: F.coalesce(F.transform(a, _read_arrow), empty(layout.ARROW))
     block = lambda x: F.struct(*[_read_item(x, "manual")[n].alias(n) for n in ("id", "text", "bbox", "mask", "conf", "src")], items(x["node"], "manual").alias("nodes"), items(x["raster"], "pointing").alias("rasters"), arrows(x["arrow"]).alias("arrows"))
-    read = documents.select(key, F.from_xml(column, F.lit(XML), {"attributePrefix": "_"}).alias("x"))
-    return read.select(key, F.coalesce(F.transform("x.block", block), empty(layout.BLOCK)).alias("blocks"), items(F.col("x.node"), "manual").alias("nodes"), items(F.col("x.raster"), "pointing").alias("rasters"), arrows(F.col("x.arrow")).alias("arrows"))
+    read = documents.select(key, F.col(column).alias("text"), F.from_xml(column, F.lit(f"{XML}, _corrupt_record string"), {"attributePrefix": "_"}).alias("x"))
+    problem = _problem(F.col("x"), F.col("text"))
+    if strict:
+        problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("document "), F.col(key).cast("string"), F.lit(": "), problem)).cast("string"))
+    read = read.withColumn("problem", problem)
+    fine = lambda value, kind: F.when(F.col("problem").isNull(), value).otherwise(empty(kind))
+    parts = {"blocks": fine(F.coalesce(F.transform("x.block", block), empty(layout.BLOCK)), layout.BLOCK), "nodes": fine(items(F.col("x.node"), "manual"), layout.ITEM), "rasters": fine(items(F.col("x.raster"), "pointing"), layout.ITEM), "arrows": fine(arrows(F.col("x.arrow")), layout.ARROW)}
+    return read.select(key, *[c.alias(n) for n, c in parts.items()], *([] if strict else ["problem"]))
 
 
 def _quoted(value: str) -> str:
