@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 IDLE_SECONDS = 120.0
 #: Rows of a range of keys that are numbered by one task.
@@ -67,10 +68,58 @@ def upsert(writes: DataFrame, key: str, order: list[str], text: str, user: str,
     return writes.groupBy(key).agg(F.max_by(text, has(text)).alias(text), F.max_by(user, at).alias(user), F.coalesce(F.max_by(status, has(status)), F.lit(default)).alias(status), F.count(F.lit(1)).alias("n_writes"))
 
 
-def running_best(df: DataFrame, order: str, loss: str, by: list[str] = ()) -> DataFrame:
+#: Associative operations of a scan: over rows, and of two values, of which either may be null.
+SCANS = {
+    "least": (F.min, F.least),
+    "greatest": (F.max, F.greatest),
+    "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda before, inside: F.coalesce(inside, before)),
+}
+
+
+def cuts_of(df: DataFrame, order: str, range_rows: int) -> list:
+    """Values of a number, date or time that cut its order into ranges of about so many rows; none where one range will do."""
+    n = df.count()
+    ranges = -(-n // range_rows) or 1
+    if ranges == 1 or isinstance(df.schema[order].dataType, StringType):
+        return []
+    found = df.select(F.percentile_approx(order, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(max(10_000, 20 * ranges)))).first()[0]
+    return sorted(set(found or []))
+
+
+def scan(df: DataFrame, order: list[str], value: str, how: str, name: str, by: list[str] = (), range_rows: int | None = None) -> DataFrame:
+    """``df`` with a running value over all rows before each one in an order (null before the first), without one task that sees all rows.
+
+    ``how`` is an associative operation: least, greatest, sum, or last (the
+    last value that isn't null).  Ranges of the order's first column are
+    scanned each on its own; what stands before a range is a scan over the
+    totals of ranges.  Rows of equal first columns stay in one range.
+    """
+    over, both = SCANS[how]
+    cuts = cuts_of(df, order[0], range_rows or RANGE_ROWS)
+    before = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if not cuts:
+        return df.withColumn(name, over(F.col(value)).over(before(*by)))
+    range_, inside, total, offset = (f"{part} of {name}" for part in ("range", "inside", "total", "offset"))
+    marked = df.withColumn(range_, F.coalesce(range_of(F.col(order[0]), cuts), F.lit(0)))
+    # the last value of a range is that of its last row that has one
+    known = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))) if how == "last" else over(F.col(value))
+    totals = marked.groupBy(*by, range_).agg(known.alias(total))
+    offsets = totals.withColumn(offset, over(F.col(total)).over(Window.partitionBy(*by).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1))).drop(total)
+    scanned = marked.withColumn(inside, over(F.col(value)).over(before(*by, range_)))
+    # without keys, a row for each range; keys may be null
+    other = offsets.select(*[F.col(c).alias(f"{c} of {name}") for c in by], F.col(range_).alias(f"its {range_}"), offset)
+    meets = F.col(range_) == F.col(f"its {range_}")
+    for c in by:
+        meets = meets & F.col(c).eqNullSafe(F.col(f"{c} of {name}"))
+    joined = scanned.join(other if by else F.broadcast(other), meets)
+    return joined.withColumn(name, both(F.col(offset), F.col(inside))).select(*df.columns, name)
+
+
+def running_best(df: DataFrame, order: str, loss: str, by: list[str] = (), range_rows: int | None = None) -> DataFrame:
     """Marks rows whose loss is strictly lower than all before."""
-    before = F.min(loss).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("is_best", F.coalesce(F.col(loss) < before, F.col(loss).isNotNull()))
+    held = "best so far"
+    return scan(df, [order], loss, "least", held, by, range_rows).withColumn("is_best", F.coalesce(F.col(loss) < F.col(held), F.col(loss).isNotNull())).drop(held)
 
 
 def next_flagged(items: DataFrame, group: str, index: str, flagged: Column) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.text import let
+from glyphmill.operators.ordered import cuts_of, range_of
+
 # States, legal transitions, and actions that count as human work.
 STATES = ("proposed", "needs_point_review", "needs_mask_review", "accepted", "rejected", "merged")
 TRANSITIONS = {
@@ -34,25 +37,90 @@ def next_state(state: Column, action: Column) -> Column:
     return F.try_element_at(table, F.concat_ws("|", state, action))
 
 
-def replay(events: DataFrame, key: str, order: list[str], action: str = "action", start: str = "proposed") -> DataFrame:
-    """Final state of each instance: illegal actions change nothing and are counted.
+#: Events of one key that are sorted in one array, and entries of a log that a step of the audit holds.
+BLOCK_ROWS, PIECE = 1_000_000, 512
+#: For each action, where each state goes, by number; -1 where the action is illegal.
+MOVES = {a: [STATES.index(TRANSITIONS[s, a]) if (s, a) in TRANSITIONS else -1 for s in STATES] for a in dict.fromkeys(a for _, a in TRANSITIONS)}
+MERGED = STATES.index("merged")
+
+
+def _moves(action: Column) -> Column:
+    """Where an action takes each state, null for an unknown action."""
+    return F.try_element_at(F.create_map(*[x for a, to in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, to)))]), action)
+
+
+def _blocks(events: DataFrame, order: list[str], block_rows: int | None) -> Column:
+    """Number of the range of time that an event is in."""
+    cuts = cuts_of(events, order[0], block_rows or BLOCK_ROWS)
+    return F.coalesce(range_of(F.col(order[0]), cuts), F.lit(0)) if cuts else F.lit(0)
+
 
-    The log of one key is folded in order; for logs that outgrow a task, the
-    streaming form keeps one small state per key.
+def _logs(events: DataFrame, key: str, order: list[str], action: str, block_rows: int | None, *more: Column) -> DataFrame:
+    """Rows (key, block, log): the events of a key in a range of time, in order."""
+    entry = F.struct(*order, F.col(action).alias("__a"), *more)
+    return events.groupBy(key, _blocks(events, order, block_rows).alias("__block")).agg(F.array_sort(F.collect_list(entry)).alias("__log"))
+
+
+def _composed(log: Column) -> Column:
+    """What a log does to each of the states: an array of (to, legal, reopened, merged, into) by the state before it.
+
+    Such maps compose: the log after another one starts where that one ends.
     """
-    log = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("__a"))))
 
     def step(acc: Column, e: Column) -> Column:
-        to = next_state(acc["state"], e["__a"])
+        moves = _moves(e["__a"])
+
+        def moved(s: Column) -> Column:
+            to = F.get(moves, s["to"])
+            legal = F.coalesce(to >= 0, F.lit(False))
+            merges = legal & (to == MERGED)
+            return F.struct(
+                F.when(legal, to).otherwise(s["to"]).alias("to"),
+                (s["legal"] + legal.cast("long")).alias("legal"),
+                (s["reopened"] + (legal & (e["__a"] == "reopen")).cast("long")).alias("reopened"),
+                F.when(legal, merges).otherwise(s["merged"]).alias("merged"),
+                F.when(merges, e["__into"]).when(legal, F.lit(None)).otherwise(s["into"]).alias("into"),
+            )
+
+        return F.transform(acc, moved)
+
+    zero = F.array(*[F.struct(F.lit(i).alias("to"), F.lit(0).cast("long").alias("legal"), F.lit(0).cast("long").alias("reopened"), F.lit(False).alias("merged"), F.lit(None).cast("string").alias("into")) for i in range(len(STATES))])
+    return F.aggregate(log, zero, step)
+
+
+def _maps(events: DataFrame, key: str, order: list[str], action: str, into: str | None, block_rows: int | None) -> DataFrame:
+    """Rows (key, maps): what each range of a key's log does, in order, as (block, n, map)."""
+    target = (F.col(into).cast("string") if into else F.lit(None).cast("string")).alias("__into")
+    logs = _logs(events, key, order, action, block_rows, target)
+    part = F.struct(F.col("__block").alias("block"), F.size("__log").cast("long").alias("n"), _composed(F.col("__log")).alias("map"))
+    return logs.select(key, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("maps"))
+
+
+def replay(events: DataFrame, key: str, order: list[str], action: str = "action", start: str = "proposed", into: str | None = None, block_rows: int | None = None) -> DataFrame:
+    """Final state of each instance: illegal actions change nothing and are counted.
+
+    An action maps the six states to states, and such maps compose: a log is
+    cut into ranges of time of about ``block_rows`` events of all keys, a range
+    of a key's log is reduced to one map, and a key's maps are applied in
+    order.  So a key's log is spread over tasks, and what meets for a key is a
+    row for each range.  Events of one time stay in one range.
+
+    ``into`` is the column with the instance that a merge names; the result has
+    it as ``merged_into_id`` while the instance is merged, and reopening clears it.
+    """
+
+    def step(acc: Column, part: Column) -> Column:
+        s = F.get(part["map"], acc["state"])
         return F.struct(
-            F.coalesce(to, acc["state"]).alias("state"),
-            (acc["n_legal"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("n_legal"),
-            (acc["n_illegal"] + F.when(to.isNull(), 1).otherwise(0)).alias("n_illegal"),
-            F.when(to.isNotNull() & (e["__a"] == "reopen"), acc["n_reopened"] + 1).otherwise(acc["n_reopened"]).alias("n_reopened"),
-        )
+            s["to"].alias("state"), (acc["n_legal"] + s["legal"]).alias("n_legal"), (acc["n_illegal"] + part["n"] - s["legal"]).alias("n_illegal"), (acc["n_reopened"] + s["reopened"]).alias("n_reopened"),
+            F.when(s["to"] == MERGED, F.when(s["merged"], s["into"]).otherwise(acc["into"])).alias("into"),
+        )
 
-    zero = F.struct(F.lit(start).alias("state"), F.lit(0).alias("n_legal"), F.lit(0).alias("n_illegal"), F.lit(0).alias("n_reopened"))
-    return events.groupBy(key).agg(log.alias("__log")).select(key, F.aggregate("__log", zero, step).alias("__r")).select(key, "__r.*")
+    none = F.lit(0).cast("long")
+    zero = F.struct(F.lit(STATES.index(start)).alias("state"), none.alias("n_legal"), none.alias("n_illegal"), none.alias("n_reopened"), F.lit(None).cast("string").alias("into"))
+    done = _maps(events, key, order, action, into, block_rows).select(key, F.aggregate("maps", zero, step).alias("r"))
+    name = F.get(F.array(*map(F.lit, STATES)), F.col("r.state")).alias("state")
+    return done.select(key, name, *[F.col(f"r.{n}").cast("int").alias(n) for n in ("n_legal", "n_illegal", "n_reopened")], *([F.col("r.into").alias("merged_into_id")] if into else []))
 
 
 def human_touched(log: Column, of_detail: Callable[[Column], Column] = lambda d: d) -> Column:
@@ -156,20 +224,50 @@ def undo_stack(log: DataFrame, key: str, order: str, limit: int = UNDO_LIMIT) ->
     return log.groupBy(key).agg(entries.alias("log")).select(key, F.aggregate("log", zero, step).alias("s")).select(key, "s.*")
 
 
-def audit(events: DataFrame, key: str, order: list[str], action: str = "action", start: str = "proposed") -> DataFrame:
-    """The state_change events of each instance's log: (key, *order, from, to, action), a row for each legal action."""
-    log = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("done"))))
-    change = F.struct(*order, F.lit("").alias("from"), F.lit("").alias("to"), F.col(action).alias("action"))
-    kind = f"array<{events.select(change.alias('c')).schema['c'].dataType.simpleString()}>"
+#: Events of a log that stand for themselves, and the one that goes before an accept.
+LOGGED, ACCEPTED = ("point_add", "point_move", "point_delete", "point_label_toggle", "mask_reject_manual_box"), "mask_accept"
 
-    def step(acc: Column, e: Column) -> Column:
-        to = next_state(acc["state"], e["done"])
-        made = F.array(F.struct(*[e[c].alias(c) for c in order], acc["state"].alias("from"), to.alias("to"), e["done"].alias("action"))).cast(kind)
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), F.when(to.isNotNull(), F.concat(acc["changes"], made)).otherwise(acc["changes"]).alias("changes"))
 
-    zero = F.struct(F.lit(start).alias("state"), F.array().cast(kind).alias("changes"))
-    folded = events.groupBy(key).agg(log.alias("log")).select(key, F.aggregate("log", zero, step).alias("r"))
-    return folded.select(key, F.inline("r.changes"))
+def audit(events: DataFrame, key: str, order: list[str], action: str = "action", start: str = "proposed", block_rows: int | None = None, full: bool = False) -> DataFrame:
+    """The state_change events of each instance's log: (key, *order, from, to, action), a row for each legal action.
+
+    ``full`` adds the log's other events, with ``event`` and ``seq``, their
+    place among those of one action: a row for each point action, and one of
+    mask_accept before each accept; ``from`` and ``to`` are null there.
+
+    Ranges of a key's log are reduced to maps, as in ``replay``; each range
+    then starts from the state that those before it lead to, in its own task.
+    """
+    no = F.lit(None).cast("string")
+    row = lambda e, before, to, event, seq: F.struct(*[e[c].alias(c) for c in order], before.alias("from"), to.alias("to"), e["__a"].alias("action"), F.lit(event).alias("event"), F.lit(seq).alias("seq"))
+    sample = F.struct(*order, F.lit("").alias("from"), F.lit("").alias("to"), F.col(action).alias("action"), F.lit("").alias("event"), F.lit(0).alias("seq"))
+    kind = f"array<{events.select(sample.alias('c')).schema['c'].dataType.simpleString()}>"
+    names = F.array(*map(F.lit, STATES))
+
+    def entry(acc: Column, e: Column) -> Column:
+        to = F.get(_moves(e["__a"]), acc["state"])
+        legal = F.coalesce(to >= 0, F.lit(False))
+        change = lambda seq: row(e, F.get(names, acc["state"]), F.get(names, to), "state_change", seq)
+        made = F.when(legal, F.array(change(0)).cast(kind))
+        if full:
+            made = F.when(legal & (e["__a"] == "accept"), F.array(row(e, no, no, ACCEPTED, 0), change(1)).cast(kind)).when(e["__a"].isin(*LOGGED), F.array(F.struct(*[e[c].alias(c) for c in order], no.alias("from"), no.alias("to"), e["__a"].alias("action"), e["__a"].alias("event"), F.lit(0).alias("seq"))).cast(kind)).otherwise(made)
+        return F.struct(F.when(legal, to).otherwise(acc["state"]).alias("state"), F.when(made.isNotNull(), F.concat(acc["rows"], made)).otherwise(acc["rows"]).alias("rows"))
+
+    def piece(acc: Column, part: Column) -> Column:
+        # rows of a piece are put together on their own, so that a long log isn't copied at each step
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("rows")), entry)
+        return let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["rows"], F.array(i["rows"])).alias("rows")))
+
+    logs = _logs(events, key, order, action, block_rows, no.alias("__into"))
+    maps = logs.select(key, F.struct(F.col("__block").alias("block"), _composed(F.col("__log")).alias("map")).alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("maps"))
+    at = F.struct(F.lit(STATES.index(start)).alias("state"), F.array().cast("array<struct<block:int,state:int>>").alias("starts"))
+    walked = F.aggregate("maps", at, lambda acc, p: F.struct(F.get(p["map"], acc["state"])["to"].alias("state"), F.concat(acc["starts"], F.array(F.struct(p["block"].alias("block"), acc["state"].alias("state")))).cast("array<struct<block:int,state:int>>").alias("starts")))
+    starts = maps.select(F.col(key).alias("__key"), F.inline(walked["starts"])).select("__key", F.col("block").alias("__of"), F.col("state").alias("__start"))
+    begun = logs.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__of")))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("__log") - 1) / PIECE).cast("int")), lambda k: F.slice("__log", k * PIECE + 1, PIECE))
+    done = F.aggregate(pieces, F.struct(F.col("__start").alias("state"), F.array().cast(f"array<{kind}>").alias("rows")), piece)
+    rows = begun.select(key, F.inline(F.flatten(done["rows"])))
+    return rows if full else rows.drop("event", "seq")
 
 
 #: Actions of a session that edit points, and how many positive points they add.

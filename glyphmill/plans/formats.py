@@ -7,9 +7,6 @@ those columns.  Stores are folders of their own for each call.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +18,7 @@ from glyphmill.operators import aggregates, joins, layout, review, sampling, seg
 from glyphmill.plans import stages
 from glyphmill.plans.catalogue import _BITS, _FSM, ACTIONS, _masks, looked_up, query, r6, table
 from glyphmill.sources import files, records
-
-
-#: Folders of applications whose session names none.
-_ROOTS: dict[str, str] = {}
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see, in the one that ``spark.checkpoint.dir`` names; on a local master without it, in a local one."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None) or _ROOTS.get(app)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-    return f"{root.rstrip('/')}/glyphmill/{app}/{name}-{uuid.uuid4().hex}"
+from glyphmill.sources.scratch import folder
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
