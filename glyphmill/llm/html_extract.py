@@ -14,8 +14,17 @@ differ, that of the closer one, text on a tie inside an article.
 
 Class, id and role names mark boilerplate where a name is a mark or a compound
 of one (``site-footer``); names that tell a state (``no-sidebar``,
-``header-image``, ``share-enabled``) don't.  Where marks would leave a page
-without any text, only those of comments are believed.
+``header-image``, ``share-enabled``) don't.  Compounds with a word that is no mark
+(``share-price``, ``social-history``, ``post-header``) are weak: inside an article,
+blocks dense in stop words are text for all that, and headings stay open.  Where
+marks would leave a page without any text, only those of comments are believed.
+
+A page that holds hardly any of the stop words is in another language: there,
+length and link density decide alone, and a character of a script without spaces
+counts as three.
+
+Only block-level elements end a block: images, formulas, buttons, scripts and
+unknown elements inside a paragraph leave it whole, unless a name marks them.
 
 Scripts, styles, comments and other unseen elements never reach a block.
 Character references are decoded, white space inside a block becomes one
@@ -33,7 +42,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,6 +71,10 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".spli
 #: Elements that only dress up words inside a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end a block.
+BLOCK_LEVEL = frozenset(
+    "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role names that mark readers' comments, and other boilerplate.
 COMMENTS = r"comments?|disqus|replies|reply"
@@ -83,14 +96,25 @@ TOKENS = re.compile(
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: Thresholds: characters of short and long blocks, densities of links and stop words.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.35, 0.12, 0.2
+#: Share of stop words of a page under which its language is another one.
+FOREIGN = 0.01
+#: Characters of scripts without spaces.
+DENSE = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 TEXT, BAD, OPEN = "text", "bad", "open"
 
 
-#: What an element is by its tag and attributes: boilerplate for sure, of comments, by another mark, or nothing of that kind.
-SURE, COMMENT, MARKED, PLAIN = "sure", "comment", "marked", "plain"
+#: What an element is by its tag and attributes: boilerplate for sure, of comments, by another mark, by a weak one, or nothing of that kind.
+SURE, COMMENT, MARKED, WEAK, PLAIN = "sure", "comment", "marked", "weak", "plain"
+_MARK = re.compile(rf"(?:{COMMENTS}|{OTHERS}|site|page|top|bottom|main|global|left|right|box|bar|block|list|links?|items?|container|wrapper|area|section|\d+)\Z", re.I)
 
 
+def _weak(name: str) -> bool:
+    """Whether a compound has a word that neither is a mark nor says where or how one stands."""
+    return not all(_MARK.match(part) for part in re.split("[_-]+", name) if part)
+
+
+@lru_cache(1 << 14)
 def kind_of(name: str, attributes: str) -> str:
     if name in BOILERPLATE:
         return SURE
@@ -105,16 +129,16 @@ def kind_of(name: str, attributes: str) -> str:
             names = [x for x in value.split() if not STATES.match(x)]
             if any(map(COMMENT_MARKS.search, names)):
                 kind = COMMENT
-            elif kind == PLAIN and any(map(OTHER_MARKS.search, names)):
-                kind = MARKED
+            elif kind in (PLAIN, WEAK) and (marks := [x for x in names if OTHER_MARKS.search(x)]):
+                kind = WEAK if all(map(_weak, marks)) else MARKED
     return kind
 
 
 class Block:
-    __slots__ = ("parts", "linked", "bad", "marked", "article", "heading")
+    __slots__ = ("parts", "linked", "bad", "marked", "weak", "article", "heading")
 
-    def __init__(self, bad: bool, marked: bool, article: bool, heading: bool):
-        self.parts, self.linked, self.bad, self.marked, self.article, self.heading = [], 0, bad, marked, article, heading
+    def __init__(self, bad: bool, marked: bool, weak: bool, article: bool, heading: bool):
+        self.parts, self.linked, self.bad, self.marked, self.weak, self.article, self.heading = [], 0, bad, marked, weak, article, heading
 
 
 @cache
@@ -128,9 +152,18 @@ _BODY = re.compile("<body", re.I)
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with unseen elements left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # element; whether it is boilerplate, marked as such, an article
-    bad = marked = article = heading = 0
+    stack: list[tuple[str, str, bool]] = []  # element, what it is, whether it is an article
+    held = dict.fromkeys((SURE, COMMENT, MARKED, WEAK, PLAIN, "article", "heading"), 0)  # open elements of each kind
+    opened: dict[str, int] = {}  # and by name
     links, current, skip_to = 0, None, 0
+
+    def close() -> None:
+        tag, kind, is_article = stack.pop()
+        opened[tag] -= 1
+        held[kind] -= 1
+        held["article"] -= is_article
+        held["heading"] -= tag in HEADINGS
+
     for m in TOKENS.finditer(page):
         if m.start() < skip_to:
             continue
@@ -142,7 +175,7 @@ def blocks(page: str) -> list[Block]:
             if current is None:
                 if not piece.strip():
                     continue
-                current = Block(bad > 0, marked > 0, article > 0, heading > 0)
+                current = Block(held[SURE] + held[COMMENT] > 0, held[MARKED] + held[WEAK] > 0, not held[MARKED], held["article"] > 0, held["heading"] > 0)
                 out.append(current)
             current.parts.append(piece)
             if links:
@@ -153,7 +186,9 @@ def blocks(page: str) -> list[Block]:
             if name == "a":
                 links = max(0, links + (-1 if m[1] else 1))
             continue
-        current = None
+        level = name in BLOCK_LEVEL
+        if level:
+            current = None
         if name in UNSEEN:
             if not m[1] and not m[3].endswith("/"):
                 end = _closing(name).search(page, m.end())
@@ -166,40 +201,64 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID:
             continue
-        links = 0
+        if level:
+            links = 0
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for tag, is_bad, is_marked, is_article in stack[k:]:
-                        bad, marked, article = bad - is_bad, marked - is_marked, article - is_article
-                        heading -= tag in HEADINGS
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    current = current if stack[-1][1] == PLAIN else None
+                    close()
+                current = current if stack[-1][1] == PLAIN else None
+                close()
             continue
         if name in ("p", "li") and stack and stack[-1][0] == name:  # such an element ends where the next one starts
-            _, is_bad, is_marked, is_article = stack.pop()
-            bad, marked, article = bad - is_bad, marked - is_marked, article - is_article
+            close()
         is_article = name in ("article", "main")
         kind = kind_of(name, m[3])
-        if is_article and kind == MARKED or name == "header" and article and not bad and not marked:
+        if is_article and kind in (MARKED, WEAK) or name == "header" and held["article"] and not any(held[k] for k in (SURE, COMMENT, MARKED, WEAK)):
             kind = PLAIN  # a header inside an article holds its title
-        is_bad, is_marked = kind in (SURE, COMMENT), kind == MARKED
-        stack.append((name, is_bad, is_marked, is_article))
-        bad, marked, article, heading = bad + is_bad, marked + is_marked, article + is_article, heading + (name in HEADINGS)
+        if kind != PLAIN:
+            current = None
+        elif not level and m[3].endswith("/"):
+            continue
+        stack.append((name, kind, is_article))
+        opened[name] = opened.get(name, 0) + 1
+        held[kind] += 1
+        held["article"] += is_article
+        held["heading"] += name in HEADINGS
     return out
 
 
-def first_pass(block: Block, text: str, marks: bool = True) -> str:
-    """Label of a block by itself; ``marks``: whether names of classes count."""
-    if block.bad or marks and block.marked:
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words and all words of a text, where a character of a script without spaces is a word."""
+    words = WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words) + (0 if text.isascii() else len(DENSE.findall(text)))
+
+
+def first_pass(block: Block, text: str, marks: bool = True, foreign: bool = False, counts: tuple[int, int] | None = None) -> str:
+    """Label of a block by itself; ``marks``: whether names of classes count; ``foreign``: whether stop words don't; ``counts``: what ``stop_words`` gives, if it is known."""
+    if block.bad:
         return BAD
     n = len(text)
     if block.linked > LINKS * n:
         return BAD
+    if not text.isascii():
+        n += 2 * len(DENSE.findall(text))
+    if marks and block.marked:
+        if not (block.weak and block.article):
+            return BAD
+        if n < SHORT:
+            return OPEN if block.heading else BAD
+        if foreign:
+            return TEXT if n >= LONG else BAD
+        stops, words = counts or stop_words(text)
+        return TEXT if words and stops / words >= STOPS_LOW else BAD
     if n < SHORT:
         return OPEN
-    words = WORDS.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if foreign:
+        return TEXT if n >= LONG or block.article else OPEN
+    stops, words = counts or stop_words(text)
+    density = stops / words if words else 0.0
     if density >= STOPS_HIGH or density >= STOPS_LOW and (n >= LONG or block.article):
         return TEXT
     if n >= LONG and density < STOPS_LOW and not block.article:
@@ -251,8 +310,10 @@ def main_text(page: str | None) -> str:
         if text:
             kept.append(block)
             texts.append(text)
+    counts = [stop_words(t) for t in texts]
+    foreign = sum(n for n, _ in counts) < FOREIGN * sum(n for _, n in counts)
     for marks in (True, False):
-        labels = second_pass(kept, [first_pass(b, t, marks) for b, t in zip(kept, texts)])
+        labels = second_pass(kept, [first_pass(b, t, marks, foreign, c) for b, t, c in zip(kept, texts, counts)])
         if TEXT in labels or not any(b.marked for b in kept):
             break
     return "\n".join(t for t, label in zip(texts, labels) if label == TEXT)
