@@ -386,3 +386,54 @@ def test_counts_of_whole_and_very_long_texts_equal_the_tokenizer(spark, table_of
     assert len(texts[-1]) > 100_000
     got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(table_of([(i, x, None, None) for i, x in enumerate(texts)])).collect()}
     assert got == {i: len(t.encode(x).ids) for i, x in enumerate(texts)}
+
+
+PROSE = "This is what the paragraph of the article has to say, and it is long enough to be the text of a page that is read by the people who want it. " * 2
+
+
+@pytest.mark.parametrize("piece", ["<img src='x.png'>", "<svg><path d='M0'/></svg>", "<math><mi>x</mi></math>", "<select><option>a</select>", "<script>var a = 1;</script>", "<button>press</button>", "<wbr>", "<!-- note -->"])
+def test_unseen_pieces_inside_a_paragraph_leave_it_whole(piece):
+    """Only block-level tags end a block."""
+    page = f"<body><p>{PROSE} one{piece}two {PROSE}</p></body>"
+    assert html_extract.main_text(page) == " ".join(f"{PROSE} onetwo {PROSE}".split())
+
+
+def test_unknown_elements_inside_a_paragraph():
+    page = f"<body><p>{PROSE} <my-x class='note'>three <b>four</b></my-x> {PROSE}</p><my-ad class='advert'>{PROSE}</my-ad></body>"
+    assert html_extract.main_text(page) == " ".join(f"{PROSE} three four {PROSE}".split())
+
+
+def test_marks_inside_an_article():
+    """A dense block wins over a name that merely holds a mark; whole marks, and what is short or full of links, stay out."""
+    whole = PROSE.strip()
+    page = f"""<article><div class="post-header"><h1>What it says</h1></div><section id="social-history"><p>{PROSE}</p></section><div class="share-price">{PROSE}</div><p>{PROSE}</p>
+      <div class="share-buttons">Share this</div><div class="related-posts"><h3>More</h3><a href=a>the one and the other</a><a href=b>and the next one of it</a></div>
+      <div class="newsletter-signup">{PROSE}</div><div class="sidebar">{PROSE}</div></article><div class="share-price">{PROSE}</div>"""
+    assert html_extract.main_text(page).split("\n") == ["What it says", whole, whole, whole]
+
+
+def test_pages_in_languages_without_stop_words():
+    text = "这是一个中文页面的正文内容我们需要保留它。" * 6
+    page = f"<body><div class=menu>菜单 首页</div><ul><li><a href=x>链接一</a></li></ul><div><p>{text}</p><p>{text}</p></div><footer>版权所有</footer></body>"
+    assert html_extract.main_text(page) == f"{text}\n{text}"
+    finnish = "Tämä teksti kertoo pitkästi siitä, miten sivun varsinainen sisältö pitää säilyttää kokonaisena eikä hukata matkalla. " * 3
+    assert html_extract.main_text(f"<body><nav>Etusivu</nav><p>{finnish}</p><p>{finnish}</p></body>") == "\n".join([finnish.strip()] * 2)
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    began = time.time()
+    assert html_extract.main_text("<div>" * 100_000 + "</x>" * 100_000 + "</span></q>" * 50_000 + f"<p>{PROSE}</p>" + "</p>" * 100_000) == PROSE.strip()
+    assert time.time() - began < 5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<b>", "</b>", "<a href=x>", "</a>", "<img src=y>", "<my-x>", "</my-x>", "<br-x/>", "<svg></svg>", "<i class=ad>", "</i>", "</q>", "<!-- c -->", "<input>"]), max_size=12), st.randoms(use_true_random=False))
+def test_inline_tags_never_cut_a_paragraph(tags, rng):
+    words = (PROSE + PROSE).split()
+    out = list(words)
+    for tag in tags:
+        at = rng.randrange(len(out))
+        out[at] += tag if not tag.startswith("<a ") else tag + "</a>"
+    assert html_extract.main_text("<body><p>" + " ".join(out) + "</p></body>") == " ".join(words)
