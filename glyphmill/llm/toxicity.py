@@ -18,8 +18,9 @@ Defined cases: a null text counts as empty; a text without words scores by
 the bias alone; a null id is never held out and never trained on; labels that
 are null are no labels, repeated labels of a document count once (the larger);
 with one class or no labels the score is the smoothed share of label 1 (0.5
-without labels); very long texts are scored whole, and longer ones than a
-sample's share of ``SAMPLE_BYTES`` aren't trained on; scores don't depend on
+without labels); very long texts are scored and trained on whole, and
+where texts fill a class's half of ``SAMPLE_BYTES`` fewer rows are trained on, in
+the order of a hash; a text that a document has several times counts once; scores don't depend on
 other rows, so ties and repeated rows score alike; an empty table gives no
 rows; other columns are ignored by ``score`` and kept by ``keep_clean``.
 """
@@ -32,7 +33,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +44,7 @@ ORDERS = (3, 4, 5)
 DIM = 8
 #: The fit sees about so many rows of each class at most.
 SAMPLE_ROWS = 1_500
-#: Bytes of text of the sample at most, as texts of up to a share of that for each of its rows.
+#: Bytes of text of the sample at most, half of it for each class.
 SAMPLE_BYTES = 256 << 20
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 100, 0.3, 3e-6, 7
 #: Words without any leaning that are added to each mean, so that a few odd words don't decide short texts.
@@ -102,8 +103,14 @@ def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, rows / n))) for k, n in counts.items()], F.lit(0.0))
     picked = label.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < rate * 1_000_000)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    sample = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES // (2 * rows))
-    return sample.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), share
+    sample = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    # in the order of a hash, until a class has its share of the bytes; its first text is taken whatever its size
+    named = sample.withColumn("digest", F.sha2("text", 256))
+    sizes = named.groupBy("doc_id", "digest").agg(F.max("toxic").alias("toxic"), F.max(F.octet_length("text").cast("long")).alias("size"))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "digest").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sizes.withColumns({"upto": F.sum("size").over(before), "nth": F.count(F.lit(1)).over(before)})
+    taken = placed.where((F.col("nth") == 1) | (F.col("upto") <= SAMPLE_BYTES // 2) & (F.col("nth") <= 2 * rows)).select("doc_id", "digest")
+    return named.join(F.broadcast(taken), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).drop("digest"), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
