@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import langid, lm_score, toxicity
 from glyphmill.llm.common import Memo
@@ -249,8 +250,55 @@ def test_toxicity_training_is_bounded_and_reruns_alike(table_of, insults, monkey
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3_000_000)
     one, two = toxicity.fit(df, marks), toxicity.fit(df.repartition(7), marks)
     assert (one.projection == two.projection).all() and one.bias == two.bias
-    without = toxicity.fit(table_of(docs), marks)
-    assert (one.projection == without.projection).all()  # a text beyond its share isn't trained on
+    # the budget is filled in the order of a hash, by whole texts; a repeated text counts once
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    few, _ = toxicity._training_rows(df.unionAll(df), marks, "doc_id", "text", 1000)
+    size = {r.toxic: (r.n, r.b) for r in few.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    assert all(1 <= n and b <= 20_000 for n, b in size.values()) and few.count() == few.distinct().count()
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10)
+    assert toxicity._training_rows(df, marks, "doc_id", "text", 1000)[0].count() == 2
+
+
+@pytest.mark.parametrize("length", [600, 15_000])
+def test_long_texts_teach_toxicity(table_of, length):
+    """Texts of some 4 kB and of 90 kB teach alike."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice([f"w{rng.randrange(400)}", f"zorku{rng.randrange(9)}"] if i % 2 and k % 20 == 0 else [f"w{rng.randrange(400)}"]) for k in range(length)), None, None) for i in range(60)]
+    labels = table_of([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    df = table_of(docs)
+    scores = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
+    assert all((s >= 0.5) == (i % 2 == 1) for i, s in scores.items())
+
+
+@pytest.mark.parametrize("length", [500, 4_000])
+def test_long_texts_teach_languages(table_of, length):
+    """Texts of 4 kB and of 25 kB teach alike; words of one language alone decide."""
+    rng = random.Random(4)
+    words_of = {"de": [f"das{rng.randrange(300)}haus" for _ in range(200)], "en": [f"the{rng.randrange(300)}house" for _ in range(200)]}
+    docs = [(i, " ".join(rng.choice(words_of["de" if i % 2 else "en"]) for _ in range(length)), "de" if i % 2 else "en", None) for i in range(40)]
+    df = table_of(docs)
+    got = langid.predict(df, langid.fit(df)).collect()
+    assert all(r.lang_pred == ("de" if r.doc_id % 2 else "en") and r.score > 0.9 for r in got)
+
+
+def test_language_tables_are_bounded(table_of, languages, monkeypatch):
+    """Of more words than a table holds the most frequent stay, and the rest still backs off."""
+    df = table_of(languages)
+    whole = langid.fit(df)
+    monkeypatch.setattr(langid, "WORDS", 60)
+    monkeypatch.setattr(langid, "CELLS", 40 * len(whole.langs))
+    small = langid.fit(df)
+    assert all(0 < len(h) <= 60 for h in small.hashes.values()) and set(small.hashes) == {0, *langid.ORDERS}
+    assert set(small.hashes[0]) <= set(whole.hashes[0]) or len(small.hashes[0]) < len(whole.hashes[0])
+    monkeypatch.setattr(langid, "LANGS", 1)
+    assert len(langid.fit(df).langs) == 1
+
+
+def test_words_of_one_frequency_are_bounded_too(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("word"), F.lit(3).cast("long").alias("c0"))
+    assert 300 < langid._frequent(rows, F.col("c0"), 500).count() < 700
+    mixed = rows.unionAll(spark.range(100).select(F.concat(F.lit("x"), "id"), F.lit(90).cast("long")))
+    assert langid._frequent(mixed, F.col("c0"), 500).where("c0 = 90").count() == langid._frequent(mixed, F.col("c0"), 500).count() == 100
 
 
 def test_language_model_scores_equal_a_loop(table_of):
