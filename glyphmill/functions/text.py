@@ -71,9 +71,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 #: JSON as the standard has it, as models' answers are read.
 STRICT = {"allowSingleQuotes": "false"}
-#: Numbers as text: whole ones, and others.
-WHOLE = r"\s*[+-]?\d+(?:_\d+)*\s*"
-REAL = r"(?i)\s*[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?|inf|infinity|nan)\s*"
+#: Numbers as text: whole ones, and others; and underscores that don't stand between digits.  No group repeats, as those take stack by their repeats.
+WHOLE = r"\s*[+-]?\d[\d_]*\s*"
+REAL = r"(?i)^\s*[+-]?(?:(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:e[+-]?\d[\d_]*)?|inf(?:inity)?|nan)\s*$"
+ASTRAY = r"(?<!\d)_|_(?!\d)"
+
+
+def real(text: Column) -> Column:
+    """The number that a text is, null if it is none."""
+    return F.when(text.rlike(REAL) & ~text.rlike(ASTRAY), F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
 
 
 def _span(text: Column, opening: str, closing: str) -> Column:
@@ -101,7 +107,7 @@ def whole(x: Column) -> Column:
     """A whole number: numbers lose their fraction, true is 1, and text counts only if it is a whole number itself."""
 
     def read(t: Column) -> Column:
-        quoted = F.when(t.rlike(f'^"{WHOLE}"$'), F.regexp_replace(t, r'["\s+_]', "").try_cast("long"))
+        quoted = F.when(t.rlike(f'^"{WHOLE}"$') & ~t.rlike(ASTRAY), F.regexp_replace(t, r'["\s+_]', "").try_cast("long"))
         return F.when(F.startswith(t, F.lit('"')), quoted).when(t.isin("true", "false"), (t == "true").cast("long")).otherwise(F.coalesce(t.try_cast("long"), t.try_cast("double").try_cast("long")))
 
     return let(F.to_json(x), read)
@@ -110,8 +116,7 @@ def whole(x: Column) -> Column:
 def _real(v: Column) -> Column:
     """A number, or text that is one."""
     kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-    spelled = F.when(text.rlike(f"^{REAL}$"), F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
-    return F.when(kind == "STRING", spelled).otherwise(F.try_variant_get(v, "$", "double"))
+    return F.when(kind == "STRING", real(text)).otherwise(F.try_variant_get(v, "$", "double"))
 
 
 def edges(text: Column) -> Column:

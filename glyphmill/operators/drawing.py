@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import geometry as G
+from glyphmill.functions import masks
 
 
 def overlay(items: DataFrame, name: Column) -> DataFrame:
@@ -34,3 +35,25 @@ def label_ranks(instances: DataFrame, shown: Column) -> DataFrame:
 def prompts(instances: DataFrame) -> DataFrame:
     """The first positive point of each instance, by point order: (image_id, ord, x, y)."""
     return instances.where(F.col("label") == 1).groupBy("image_id", "ord").agg(F.min_by(F.struct("x", "y"), "point_ord").alias("p")).select("image_id", "ord", "p.x", "p.y")
+
+
+def label_raster(instances: DataFrame) -> DataFrame:
+    """What is seen of each mask (image_id, ord, mask) where an image's masks are painted in order, later ones on top: (image_id, ord, rank, seen).
+
+    Masks of an image are of the size of its first one; others take no rank.
+    The runs of an image's masks are folded from the top down, so what a mask
+    shows is what those above it leave.
+    """
+    size = F.struct("mask.h", "mask.w")
+    first = F.first(size).over(Window.partitionBy("image_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = label_ranks(instances.withColumn("same", size == first).where("same"), F.lit(True))
+    entry = F.struct((-F.col("rank")).alias("down"), "rank", "ord", "mask")
+    stacked = ranked.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    kind = "struct<h:int,w:int,counts:array<int>>"
+    ord_type = instances.schema["ord"].dataType.simpleString()
+    seen = f"array<struct<rank:int,ord:{ord_type},seen:{kind}>>"
+    top = F.get("all", F.lit(0))["mask"]
+    bare = F.struct(top["h"].alias("h"), top["w"].alias("w"), F.array(top["h"] * top["w"]).alias("counts")).cast(kind)
+    step = lambda acc, e: F.struct(masks.union(acc["covered"], e["mask"]).cast(kind).alias("covered"), F.concat(acc["out"], F.array(F.struct(e["rank"].alias("rank"), e["ord"].alias("ord"), masks.difference(e["mask"], acc["covered"]).cast(kind).alias("seen")))).cast(seen).alias("out"))
+    done = F.aggregate("all", F.struct(bare.alias("covered"), F.array().cast(seen).alias("out")), step)
+    return stacked.select("image_id", F.inline(done["out"])).select("image_id", "ord", "rank", "seen")

@@ -155,13 +155,13 @@ XML = ", ".join(f"{k} {v}" for k, v in ({"block": f"array<{XML_BLOCK}>"} | XML_P
 
 def _conf(x):
     """A confidence: null if there is none, and for a text that is no number."""
-    return F.when(x["_conf"].rlike(f"^{T.REAL}$"), F.regexp_replace(F.trim(x["_conf"]), "_", "").try_cast("double"))
+    return T.real(x["_conf"])
 
 
 def _box(x):
     """A box, zeros if there is none; with a null for each side that is no number."""
     part = F.split(T.strip(F.coalesce(x["_b"], F.lit("0 0 0 0"))), r"\s+")
-    return F.struct(*[F.when((F.size(part) == 4) & part[k].rlike(f"^{T.REAL}$"), part[k].try_cast("double")).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+    return T.let(part, lambda p: F.struct(*[F.when(F.size(p) == 4, T.real(F.get(p, F.lit(k)))).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
 
 
 def _read_item(x, default: str):

@@ -21,6 +21,7 @@ EDGES = [
     ('[{"from": 1, "to": 2}] and [{"from": 3, "to": 4}]', []),
     ('so: [{"from": 1, "to": 2}, {"from": -5, "to": 2}] done', [(1, 2), (-5, 2)]),
     ('[{"from": {"a": 1}, "to": 2}]', []),
+    ('[{"from": "' + "1_" * 9000 + '1", "to": 1}, {"from": "1__0", "to": 1}, {"from": "_1", "to": 1}, {"from": 2, "to": "1_"}, {"from": 2, "to": 1}]', [(2, 1)]),
     ("", []),
     (None, []),
     ("[]", []),
@@ -31,6 +32,7 @@ BOXES = [
     ('[{"object_id": 1, "box": "1234"}, {"object_id": 2, "box": "12345"}, {"object_id": 2, "box": 1234}]', [(1, 1, 2, 3, 4)]),
     ('[{"object_id": "2", "box": [0, 0, 1, 1]}]', [(2, 0, 0, 1, 1)]),
     ('[{"object_id": 1, "box": [0, 0, 1]}, {"object_id": 1, "box": [2, 0, 1, 1]}, {"object_id": 1, "box": [0, null, 1, 1]}, {"object_id": 1}]', []),
+    ('[{"object_id": 1, "box": ["' + "1_" * 9000 + '1", "0", "1' + "0" * 400 + '", "1._5"]}, {"object_id": 1, "box": ["1_0.5", "-.5e1", "Infinity", "1."]}]', [(1, 10.5, -5.0, float("inf"), 1.0)]),
     ('<think>[1]</think> [{"object_id": 1, "box": [0, false, true, 1]}]', [(1, 0, 0, 1, 1)]),
     ('[{"object_id": 3, "box": [0, 0, 1, 1]}]', []),
     (None, None),
