@@ -153,29 +153,24 @@ XML_BLOCK = XML_ITEM[:-1] + "".join(f",{k}:{v}" for k, v in XML_PARTS.items()) +
 XML = ", ".join(f"{k} {v}" for k, v in ({"block": f"array<{XML_BLOCK}>"} | XML_PARTS).items())
 
 
-def _conf(x):
-    """A confidence: null if there is none, and for a text that is no number."""
-    return T.real(x["_conf"])
+#: A number, and four of them, as attributes hold them.
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?i:inf|infinity|nan)"
+ONE, FOUR = rf"^\s*(?:{NUMBER})\s*$", rf"^\s*(?:{NUMBER})" + rf"\s+(?:{NUMBER})" * 3 + r"\s*$"
 
 
-def _box(x):
-    """A box, zeros if there is none; with a null for each side that is no number."""
-    part = F.split(T.strip(F.coalesce(x["_b"], F.lit("0 0 0 0"))), r"\s+")
-    return T.let(part, lambda p: F.struct(*[F.when(F.size(p) == 4, T.real(F.get(p, F.lit(k)))).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
-
-
-def _read_item(x, default: str):
-    return F.struct(F.coalesce(x["_i"], F.lit("")).alias("id"), F.coalesce(x["_t"], F.lit("")).alias("text"), _box(x).alias("bbox"), x["_mask"].alias("mask"), _conf(x).alias("conf"), F.coalesce(x["_src"], F.lit(default)).alias("src"))
+def _item_fields(x, default: str) -> list[Column]:
+    box = T.let(F.split(T.strip(F.coalesce(x["_b"], F.lit("0 0 0 0"))), r"\s+"), lambda p: F.struct(*[F.get(p, F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
+    return [F.coalesce(x["_i"], F.lit("")).alias("id"), F.coalesce(x["_t"], F.lit("")).alias("text"), box.alias("bbox"), x["_mask"].alias("mask"), F.trim(x["_conf"]).try_cast("double").alias("conf"), F.coalesce(x["_src"], F.lit(default)).alias("src")]
 
 
 def _read_arrow(x):
-    return F.struct(F.coalesce(x["_s"], F.lit("")).alias("src_id"), F.coalesce(x["_d"], F.lit("")).alias("dst_id"), _conf(x).alias("conf"), F.coalesce(x["_src"], F.lit("manual")).alias("src"))
+    return F.struct(F.coalesce(x["_s"], F.lit("")).alias("src_id"), F.coalesce(x["_d"], F.lit("")).alias("dst_id"), F.trim(x["_conf"]).try_cast("double").alias("conf"), F.coalesce(x["_src"], F.lit("manual")).alias("src"))
 
 
 def _problem(x: Column, text: Column) -> Column:
     """What is wrong with a document: it isn't XML, or a box or confidence isn't made of numbers; null if nothing is."""
-    bad_conf = lambda i: i["_conf"].isNotNull() & _conf(i).isNull()
-    bad_item = lambda i: bad_conf(i) | F.exists(F.array(*[_box(i)[n] for n in ("x0", "y0", "x1", "y1")]), lambda v: v.isNull())
+    bad_conf = lambda i: ~F.coalesce(i["_conf"].rlike(ONE), F.lit(True))
+    bad_item = lambda i: bad_conf(i) | ~F.coalesce(i["_b"].rlike(FOUR), F.lit(True))
     some = lambda a, test: F.coalesce(F.exists(a, test), F.lit(False))
     inside = lambda of: some(of["node"], bad_item) | some(of["raster"], bad_item) | some(of["arrow"], bad_conf)
     numbers = some(x["block"], lambda b: bad_item(b) | inside(b)) | inside(x)
@@ -190,9 +185,9 @@ def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id",
     ``problem`` in a column of that name, and the others are read.
     """
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    items = lambda a, d: F.coalesce(F.transform(a, lambda x: _read_item(x, d)), empty(layout.ITEM))
+    items = lambda a, d: F.coalesce(F.transform(a, lambda x: F.struct(*_item_fields(x, d))), empty(layout.ITEM))
     arrows = lambda a: F.coalesce(F.transform(a, _read_arrow), empty(layout.ARROW))
-    block = lambda x: F.struct(*[_read_item(x, "manual")[n].alias(n) for n in ("id", "text", "bbox", "mask", "conf", "src")], items(x["node"], "manual").alias("nodes"), items(x["raster"], "pointing").alias("rasters"), arrows(x["arrow"]).alias("arrows"))
+    block = lambda x: F.struct(*_item_fields(x, "manual"), items(x["node"], "manual").alias("nodes"), items(x["raster"], "pointing").alias("rasters"), arrows(x["arrow"]).alias("arrows"))
     read = documents.select(key, F.col(column).alias("text"), F.from_xml(column, F.lit(f"{XML}, _corrupt_record string"), {"attributePrefix": "_"}).alias("x"))
     problem = _problem(F.col("x"), F.col("text"))
     if strict:
