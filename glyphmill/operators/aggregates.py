@@ -38,8 +38,8 @@ def review_totals(counts: DataFrame, terminal: list[str]) -> DataFrame:
     return counts.where(any_done).agg(F.count(F.lit(1)).alias("images"), *[F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"total_{s}") for s in terminal])
 
 
-#: Bounds of a histogram of values, and values that are numbered on their own.
-BOUNDS = 1000
+#: Bounds of a histogram of values, and rows whose values one buffer may hold.
+BOUNDS, AT_ONCE = 1000, 1_000_000
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] = (), bounds: int = BOUNDS) -> DataFrame:
@@ -89,9 +89,11 @@ def _beside(rows: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
 
 
 def validation(scores: DataFrame, column: str, levels: tuple[float, ...] = (0.5, 0.7, 0.9), by: list[str] = ()) -> DataFrame:
-    """Mean, exact median and share at or above each level."""
+    """Mean, exact median and share at or above each level; the median of more than ``AT_ONCE`` rows in all is found by ``quantiles``."""
     v = F.col(column)
     means = scores.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), *[F.avg((v >= t).cast("int")).alias(f"share_{round(t * 100)}") for t in levels])
+    if scores.count() <= AT_ONCE:
+        return scores.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), *[F.avg((v >= t).cast("int")).alias(f"share_{round(t * 100)}") for t in levels])
     middle = quantiles(scores, column, [0.5], by).select(*by, F.col("q0").alias("median"))
     if not by:
         return means.join(middle, how="left").select("n", "mean", "median", *means.columns[2:])

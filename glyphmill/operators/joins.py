@@ -38,7 +38,12 @@ def area_rank(items: DataFrame, image: str = "image_id", order: str = "ord") ->
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(image).orderBy(F.desc(G.area(F.col("box"))), order)))
 
 
-def claims(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
+def layout_grid(items: DataFrame, tolerance: float = 1.0) -> Grid:
+    """The grid for boxes that meet within a tolerance; one serves all joins of the same items, or of parts of them."""
+    return grid(_sides(items, tolerance))
+
+
+def claims(items: DataFrame, tolerance: float = 1.0, cells: Grid | None = None) -> DataFrame:
     """Who contains whom: a row (image_id, ord, owner) for each item that some other item contains.
 
     An item is claimed once, by the container that comes first by area, in
@@ -46,7 +51,7 @@ def claims(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     tolerance claim each other.
     """
     plain = items.select("image_id", "ord", "box")
-    g = grid(_sides(plain, tolerance))
+    g = cells or layout_grid(plain, tolerance)
     outer = _spread(g, plain.select("image_id", F.col("ord").alias("owner"), F.col("box").alias("outer")), "outer", tolerance)
     # what holds an item holds its lower corner
     inner = g.at(plain, F.col("box")["x0"], F.col("box")["y0"])
@@ -54,10 +59,10 @@ def claims(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return pairs.groupBy("image_id", "ord").agg(F.min_by("owner", F.struct(-G.area(F.col("outer")), "owner")).alias("owner"))
 
 
-def classify(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
+def classify(items: DataFrame, tolerance: float = 1.0, cells: Grid | None = None) -> DataFrame:
     """Role of each item: block (unclaimed with children), node (unclaimed without), child, or dropped (its owner is claimed too)."""
     # claims are made once and told to both sides: an item hears who owns it and whether it owns; then owned ones ask whether their owner is owned
-    claim = claims(items, tolerance)
+    claim = claims(items, tolerance, cells)
     no = F.lit(None).cast(claim.schema["owner"].dataType)
     told = items.select("image_id", "ord", no.alias("owner"), F.lit(True).alias("real"), F.lit(False).alias("owns"))
     told = told.unionAll(claim.select("image_id", "ord", "owner", F.lit(False), F.lit(False))).unionAll(claim.select("image_id", F.col("owner").alias("ord"), no, F.lit(False), F.lit(True)))
@@ -67,9 +72,9 @@ def classify(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return known.join(claimed, ["image_id", "owner"], "left").select("image_id", "ord", "owner", role.alias("role"))
 
 
-def raster_owners(rasters: DataFrame, blocks: DataFrame, tolerance: float = 1.0) -> DataFrame:
+def raster_owners(rasters: DataFrame, blocks: DataFrame, tolerance: float = 1.0, cells: Grid | None = None) -> DataFrame:
     """The first block in block order that contains each raster: (image_id, ord, block_ord), null if none does."""
-    g = grid(_sides(rasters), _sides(blocks, tolerance))
+    g = cells or grid(_sides(rasters), _sides(blocks, tolerance))
     b = _spread(g, blocks.select("image_id", F.col("ord").alias("block_ord"), F.col("box").alias("outer")), "outer", tolerance)
     r = g.at(rasters.select("image_id", "ord", "box"), F.col("box")["x0"], F.col("box")["y0"])
     found = r.join(b, CELL).where(G.contains(F.col("outer"), F.col("box"), tolerance)).groupBy("image_id", "ord").agg(F.min("block_ord").alias("block_ord"))

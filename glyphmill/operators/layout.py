@@ -35,13 +35,14 @@ def assemble(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     Rasters go to the first block that contains them.
     """
     plain = items.where(~F.col("is_raster"))
-    roles = joins.classify(plain.select("image_id", "ord", "box"), tolerance)
+    cells = joins.layout_grid(items.select("image_id", "box"), tolerance)
+    roles = joins.classify(plain.select("image_id", "ord", "box"), tolerance, cells)
     as_item = lambda src: F.struct("id", "text", F.col("box").alias("bbox"), "mask", "conf", F.lit(src).alias("src")).cast(ITEM)
     placed = plain.join(roles, ["image_id", "ord"])
     tops = placed.where(F.col("role").isin("block", "node"))
     blocks = tops.where(F.col("role") == "block")
     rasters = items.where("is_raster")
-    owner = joins.raster_owners(rasters.select("image_id", "ord", "box"), blocks.select("image_id", "ord", "box"), tolerance)
+    owner = joins.raster_owners(rasters.select("image_id", "ord", "box"), blocks.select("image_id", "ord", "box"), tolerance, cells)
     with_owner = rasters.join(owner, ["image_id", "ord"])
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x["i"])
     inside_n = placed.where(F.col("role") == "child").groupBy("image_id", F.col("owner").alias("ord")).agg(ordered(as_item(DETECTED).alias("i")).alias("kids"))

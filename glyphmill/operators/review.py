@@ -49,16 +49,29 @@ def _moves(action: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for a, to in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, to)))]), action)
 
 
-def _blocks(events: DataFrame, order: list[str], block_rows: int | None) -> Column:
-    """Number of the range of time that an event is in."""
-    cuts = cuts_of(events, order[0], block_rows or BLOCK_ROWS)
-    return F.coalesce(range_of(F.col(order[0]), cuts), F.lit(0)) if cuts else F.lit(0)
-
-
-def _logs(events: DataFrame, key: str, order: list[str], action: str, block_rows: int | None, *more: Column) -> DataFrame:
+def _logs(events: DataFrame, key: str, order: list[str], action: str, cuts: list, *more: Column) -> DataFrame:
     """Rows (key, block, log): the events of a key in a range of time, in order."""
+    block = F.coalesce(range_of(F.col(order[0]), cuts), F.lit(0)) if cuts else F.lit(0)
     entry = F.struct(*order, F.col(action).alias("__a"), *more)
-    return events.groupBy(key, _blocks(events, order, block_rows).alias("__block")).agg(F.array_sort(F.collect_list(entry)).alias("__log"))
+    return events.groupBy(key, block.alias("__block")).agg(F.array_sort(F.collect_list(entry)).alias("__log"))
+
+
+def _moved(s: Column, e: Column) -> Column:
+    """Where an event takes (to, legal, reopened, merged, into)."""
+    to = F.get(_moves(e["__a"]), s["to"])
+    legal = F.coalesce(to >= 0, F.lit(False))
+    merges = legal & (to == MERGED)
+    return F.struct(
+        F.when(legal, to).otherwise(s["to"]).alias("to"),
+        (s["legal"] + legal.cast("long")).alias("legal"),
+        (s["reopened"] + (legal & (e["__a"] == "reopen")).cast("long")).alias("reopened"),
+        F.when(legal, merges).otherwise(s["merged"]).alias("merged"),
+        F.when(merges, e["__into"]).when(legal, F.lit(None)).otherwise(s["into"]).alias("into"),
+    )
+
+
+def _from(state: int) -> Column:
+    return F.struct(F.lit(state).alias("to"), F.lit(0).cast("long").alias("legal"), F.lit(0).cast("long").alias("reopened"), F.lit(False).alias("merged"), F.lit(None).cast("string").alias("into"))
 
 
 def _composed(log: Column) -> Column:
@@ -66,34 +79,7 @@ def _composed(log: Column) -> Column:
 
     Such maps compose: the log after another one starts where that one ends.
     """
-
-    def step(acc: Column, e: Column) -> Column:
-        moves = _moves(e["__a"])
-
-        def moved(s: Column) -> Column:
-            to = F.get(moves, s["to"])
-            legal = F.coalesce(to >= 0, F.lit(False))
-            merges = legal & (to == MERGED)
-            return F.struct(
-                F.when(legal, to).otherwise(s["to"]).alias("to"),
-                (s["legal"] + legal.cast("long")).alias("legal"),
-                (s["reopened"] + (legal & (e["__a"] == "reopen")).cast("long")).alias("reopened"),
-                F.when(legal, merges).otherwise(s["merged"]).alias("merged"),
-                F.when(merges, e["__into"]).when(legal, F.lit(None)).otherwise(s["into"]).alias("into"),
-            )
-
-        return F.transform(acc, moved)
-
-    zero = F.array(*[F.struct(F.lit(i).alias("to"), F.lit(0).cast("long").alias("legal"), F.lit(0).cast("long").alias("reopened"), F.lit(False).alias("merged"), F.lit(None).cast("string").alias("into")) for i in range(len(STATES))])
-    return F.aggregate(log, zero, step)
-
-
-def _maps(events: DataFrame, key: str, order: list[str], action: str, into: str | None, block_rows: int | None) -> DataFrame:
-    """Rows (key, maps): what each range of a key's log does, in order, as (block, n, map)."""
-    target = (F.col(into).cast("string") if into else F.lit(None).cast("string")).alias("__into")
-    logs = _logs(events, key, order, action, block_rows, target)
-    part = F.struct(F.col("__block").alias("block"), F.size("__log").cast("long").alias("n"), _composed(F.col("__log")).alias("map"))
-    return logs.select(key, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("maps"))
+    return F.aggregate(log, F.array(*map(_from, range(len(STATES)))), lambda acc, e: F.transform(acc, lambda s: _moved(s, e)))
 
 
 def replay(events: DataFrame, key: str, order: list[str], action: str = "action", start: str = "proposed", into: str | None = None, block_rows: int | None = None) -> DataFrame:
@@ -110,17 +96,25 @@ def replay(events: DataFrame, key: str, order: list[str], action: str = "action"
     """
 
     def step(acc: Column, part: Column) -> Column:
-        s = F.get(part["map"], acc["state"])
+        s = F.get(part["map"], acc["to"])
         return F.struct(
-            s["to"].alias("state"), (acc["n_legal"] + s["legal"]).alias("n_legal"), (acc["n_illegal"] + part["n"] - s["legal"]).alias("n_illegal"), (acc["n_reopened"] + s["reopened"]).alias("n_reopened"),
+            s["to"].alias("to"), (acc["n"] + part["n"]).alias("n"), (acc["legal"] + s["legal"]).alias("legal"), (acc["reopened"] + s["reopened"]).alias("reopened"),
             F.when(s["to"] == MERGED, F.when(s["merged"], s["into"]).otherwise(acc["into"])).alias("into"),
         )
 
-    none = F.lit(0).cast("long")
-    zero = F.struct(F.lit(STATES.index(start)).alias("state"), none.alias("n_legal"), none.alias("n_illegal"), none.alias("n_reopened"), F.lit(None).cast("string").alias("into"))
-    done = _maps(events, key, order, action, into, block_rows).select(key, F.aggregate("maps", zero, step).alias("r"))
-    name = F.get(F.array(*map(F.lit, STATES)), F.col("r.state")).alias("state")
-    return done.select(key, name, *[F.col(f"r.{n}").cast("int").alias(n) for n in ("n_legal", "n_illegal", "n_reopened")], *([F.col("r.into").alias("merged_into_id")] if into else []))
+    cuts = cuts_of(events, order[0], block_rows or BLOCK_ROWS)
+    logs = _logs(events, key, order, action, cuts, (F.col(into).cast("string") if into else F.lit(None).cast("string")).alias("__into"))
+    n = F.size("__log").cast("long")
+    if cuts:
+        part = F.struct(F.col("__block").alias("block"), n.alias("n"), _composed(F.col("__log")).alias("map"))
+        maps = logs.select(key, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("maps"))
+        zero = F.struct(F.lit(STATES.index(start)).alias("to"), *[F.lit(0).cast("long").alias(c) for c in ("n", "legal", "reopened")], F.lit(None).cast("string").alias("into"))
+        done = maps.select(key, F.aggregate("maps", zero, step).alias("r")).withColumn("n", F.col("r.n"))
+    else:  # one range: no other state than the first is possible
+        done = logs.select(key, F.aggregate("__log", _from(STATES.index(start)), _moved).alias("r"), n.alias("n"))
+    name = F.get(F.array(*map(F.lit, STATES)), F.col("r.to")).alias("state")
+    counts = {"n_legal": F.col("r.legal"), "n_illegal": F.col("n") - F.col("r.legal"), "n_reopened": F.col("r.reopened")}
+    return done.select(key, name, *[c.cast("int").alias(k) for k, c in counts.items()], *([F.col("r.into").alias("merged_into_id")] if into else []))
 
 
 def human_touched(log: Column, of_detail: Callable[[Column], Column] = lambda d: d) -> Column:
@@ -258,7 +252,7 @@ def audit(events: DataFrame, key: str, order: list[str], action: str = "action",
         inner = F.aggregate(part, F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("rows")), entry)
         return let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["rows"], F.array(i["rows"])).alias("rows")))
 
-    logs = _logs(events, key, order, action, block_rows, no.alias("__into"))
+    logs = _logs(events, key, order, action, cuts_of(events, order[0], block_rows or BLOCK_ROWS), no.alias("__into"))
     maps = logs.select(key, F.struct(F.col("__block").alias("block"), _composed(F.col("__log")).alias("map")).alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("maps"))
     at = F.struct(F.lit(STATES.index(start)).alias("state"), F.array().cast("array<struct<block:int,state:int>>").alias("starts"))
     walked = F.aggregate("maps", at, lambda acc, p: F.struct(F.get(p["map"], acc["state"])["to"].alias("state"), F.concat(acc["starts"], F.array(F.struct(p["block"].alias("block"), acc["state"].alias("state")))).cast("array<struct<block:int,state:int>>").alias("starts")))

@@ -58,7 +58,7 @@ def test_composed_maps_equal_the_walk(spark, block_rows):
 def test_a_hot_log_is_cut(spark):
     rng = random.Random(1)
     df = spark.createDataFrame(_log(rng, 20_000, 7), "k long, at long, i long, action string, target string")
-    logs = review._logs(df, "k", ["at", "i"], "action", 1000, F.lit(None).cast("string").alias("__into"))
+    logs = review._logs(df, "k", ["at", "i"], "action", ordered.cuts_of(df, "at", 1000), F.lit(None).cast("string").alias("__into"))
     sizes = [r.n for r in logs.select(F.size("__log").alias("n")).collect()]
     assert len(sizes) >= 15 and max(sizes) <= 3000 and sum(sizes) == 20_000
 
@@ -172,7 +172,7 @@ def test_suppression_in_rounds_equals_the_loop(spark, dense_items, at_once, limi
 
 
 @pytest.mark.parametrize("bounds", [4, 1000])
-def test_exact_quantiles(spark, bounds):
+def test_exact_quantiles(spark, bounds, monkeypatch):
     rng = np.random.default_rng(4)
     groups = {"a": rng.normal(0, 1, 5000), "b": np.repeat([1.0, 2.0, 5.0], [700, 1, 300]), "c": np.array([3.5]), None: rng.integers(0, 7, 200).astype(float), "e": np.arange(1001) ** 3.0}
     df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("none", None)], "g string, v double").repartition(6)
@@ -183,8 +183,11 @@ def test_exact_quantiles(spark, bounds):
         assert got[g].n == len(v) and [got[g][f"q{k}"] for k in range(5)] == pytest.approx([np.quantile(v, s) for s in shares], rel=1e-12)
     whole = aggregates.quantiles(df, "v", [0.5], bounds=bounds).first()
     assert whole.q0 == pytest.approx(np.median(np.concatenate(list(groups.values()))), rel=1e-12)
-    checked = aggregates.validation(df, "v", by=["g"]).where("g = 'none'").first()
-    assert checked.n == 0 and checked.median is None and aggregates.validation(df, "v").first().median == whole.q0
+    at_once = [sorted(map(str, aggregates.validation(df, "v", by=by).collect())) for by in (["g"], [])]
+    monkeypatch.setattr(aggregates, "AT_ONCE", 0)
+    checked = aggregates.validation(df, "v", by=["g"])
+    assert checked.where("g = 'none'").first().median is None and checked.where("g IS NULL").first().n == 200
+    assert at_once == [sorted(map(str, aggregates.validation(df, "v", by=by).collect())) for by in (["g"], [])]
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
