@@ -14,7 +14,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.adapters import predictors
+from glyphmill.adapters import predictors, typed
 from glyphmill.functions import images, masks, png
 from glyphmill.functions import text as T
 from glyphmill.operators import aggregates, joins, sampling
@@ -54,10 +54,12 @@ def parser() -> argparse.ArgumentParser:
     bench.add_argument("--seed", type=int, default=0)
     score = commands.add_parser("score", help="scores and a summary of result records, which are replaced")
     score.add_argument("out")
+    score.add_argument("--embed", help="name of the predictor of vectors by which images are compared; without it dino_score is null")
     score.add_argument("--judge", help="name of the predictor that judges; without it the judge is skipped")
     ingest = commands.add_parser("ingest", help="a record with proposed instances for each image that has points and none yet")
     ingest.add_argument("points", help="folder of the points, by model")
     ingest.add_argument("records")
+    ingest.add_argument("--images", help="folder of the images, whose paths and sizes the records get")
     ingest.add_argument("--model", default="stub")
     ingest.add_argument("--force", action="store_true", help="also where a record is there already")
     for name, text in (("export", "counts of states by image, and totals"), ("prepare", "filled masks of accepted instances, and their manifest"), ("validate", "overlap of filled and accepted masks")):
@@ -108,7 +110,12 @@ def score(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
         asked = rows.where("compiled_ok AND rendered_png_path IS NOT NULL").select("sample_id", F.col("image_path").alias("image"), F.replace(F.lit(stages.JUDGE_QUERY), F.lit("{png}"), F.col("rendered_png_path")).alias("prompt"))
         rows = rows.join(predictors.predict(asked, given.judge, key="sample_id").select("sample_id", T.judge(F.col("answer")).alias("j")), "sample_id", "left")
         judged = F.col("j")
-    files.replace_table(records.scored(rows, judged=judged).drop("j"), f"{given.out.rstrip('/')}/scored")
+    dino = None
+    if given.embed:
+        shown = rows.where("compiled_ok AND rendered_png_path IS NOT NULL")
+        rows = rows.join(typed.similarities(shown, given.embed, "sample_id", "image_path", "rendered_png_path"), "sample_id", "left")
+        dino = F.col("similarity")
+    files.replace_table(records.scored(rows, dino, judged).drop("j", "similarity"), f"{given.out.rstrip('/')}/scored")
     summary = aggregates.evaluation(spark.read.parquet(f"{given.out.rstrip('/')}/scored"), F.col("compiled_ok"), ["dino_score", "judge_score"])
     files.write_single_json(summary, f"{given.out.rstrip('/')}/summary")
     return summary
@@ -118,11 +125,15 @@ def ingest(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
     points = records.load_points(spark, given.points, given.model).where(F.col("kind") == "node").withColumnRenamed("id", "image_id")
     if not given.force:
         points = joins.skip_existing(points, records.annotated_ids(spark, given.records).withColumnRenamed("id", "image_id"), "image_id")
-    made = records.proposed(points).groupBy("image_id").agg(F.collect_list("instance").alias("all"))
+    made = records.proposed(points).groupBy(F.col("image_id").cast("string").alias("id")).agg(F.collect_list("instance").alias("all"))
+    none = spark.createDataFrame([], "id string, image_path string, width int, height int")
+    shown = stages.sized(spark, files.listing(spark, given.images, "*.{png,jpg,jpeg}").select("id", F.col("path").alias("image_path"))).select("id", "image_path", "width", "height") if given.images else none
     stats = F.struct(*[F.lit(0).alias(c) for c in ("points_added", "points_moved", "points_deleted", "masks_manually_fixed")], F.lit(0.0).alias("time_seconds"))
-    image = F.struct(F.col("image_id").cast("string").alias("id"), F.lit("").alias("file_path"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.transform("all", lambda i: i["id"]).alias("instances"), stats.alias("session_stats"))
-    texts = made.select(F.col("image_id").cast("string").alias("id"), records.to_json(image, F.col("all")).alias("json"))
-    records.write_record(texts, given.records)
+    image = F.struct("id", F.coalesce("image_path", F.lit("")).alias("file_path"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height")], F.transform("all", lambda i: i["id"]).alias("instances"), stats.alias("session_stats"))
+    texts = made.join(shown, "id", "left").select("id", records.to_json(image, F.col("all")).alias("json"))
+    # a write starts from what is there now, so that a person's work in between isn't lost
+    now = records.versions(spark, given.records) if given.force and files.exists(spark, given.records) else spark.createDataFrame([], "id string, version string")
+    records.write_record(texts.join(now, "id", "left"), given.records)
     return records.annotated_ids(spark, given.records)
 
 
@@ -149,8 +160,8 @@ def filled(accepted: DataFrame) -> DataFrame:
             done = [images.fill(masks.decode(masks.from_text(t))) for t in part["rle"]]
             yield part.assign(filled=[masks.to_text(masks.encode(m)) for m, _ in done], png=[png.encode(m) for m, _ in done], opening_applied=[o for _, o in done])
 
-    rows = accepted.select("image_id", F.col("instance.id").alias("instance_id"), F.col("instance.mask_source").alias("mask_source"), F.to_json("instance.points").alias("points"), F.col("instance.mask_rle").alias("rle"))
-    return rows.mapInPandas(run, "image_id string, instance_id string, mask_source string, points string, rle string, filled string, png binary, opening_applied boolean")
+    rows = accepted.select("image_id", "file_path", "width", "height", F.col("instance.id").alias("instance_id"), F.col("instance.mask_source").alias("mask_source"), F.to_json("instance.points").alias("points"), F.col("instance.mask_rle").alias("rle"))
+    return rows.mapInPandas(run, "image_id string, file_path string, width int, height int, instance_id string, mask_source string, points string, rle string, filled string, png binary, opening_applied boolean")
 
 
 def prepare(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
@@ -159,7 +170,8 @@ def prepare(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
     made = spark.read.parquet(f"{out}/masks.parquet")
     path = F.concat("image_id", F.lit("/"), "instance_id", F.lit(".png"))
     files.write_each(made.select(path.alias("path"), F.col("png").alias("content")), out)
-    made.select("instance_id", "image_id", path.alias("mask_path"), "points", "mask_source", "opening_applied").write.mode("overwrite").json(f"{out}/manifest")
+    points = F.from_json("points", "array<struct<x:double,y:double,label:int>>").alias("points")
+    made.select("instance_id", "image_id", "file_path", path.alias("mask_path"), "width", "height", points, "mask_source", "opening_applied").write.mode("overwrite").json(f"{out}/manifest")
     return aggregates.counters(made, {"n_opened": F.col("opening_applied")})
 
 

@@ -188,18 +188,3 @@ def fill(mask: np.ndarray) -> tuple[np.ndarray, bool]:
     opened = dilate(erode(closed, plus3), plus3)
     keep = bool(closed.any()) and opened.sum() >= 0.5 * closed.sum()
     return (opened, True) if keep else (closed, False)
-
-
-def resize_nearest(mask: np.ndarray, size: int = 288) -> np.ndarray:
-    h, w = mask.shape
-    return mask[(np.arange(size) * h // size)[:, None], (np.arange(size) * w // size)[None, :]]
-
-
-def paint(masks: list[np.ndarray], h: int, w: int) -> np.ndarray:
-    """Numbered masks over each other, later ones on top; a mask of another size takes no number."""
-    out, rank = np.zeros((h, w), np.int32), 0
-    for mask in masks:
-        if mask.shape == (h, w):
-            rank += 1
-            out[mask] = rank
-    return out

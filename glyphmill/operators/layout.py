@@ -68,10 +68,3 @@ def mark_edges(marks: Column, found: Column) -> Column:
     n = F.size(marks)
     good = F.filter(found, lambda e: e["src"].between(0, n - 1) & e["dst"].between(0, n - 1) & (e["src"] != e["dst"]))
     return F.transform(good, lambda e: F.struct(F.get(marks, e["src"]).alias("src_id"), F.get(marks, e["dst"]).alias("dst_id"), F.lit(None).cast("double").alias("conf"), F.lit(DISCOVERED).alias("src")))
-
-
-def replace_arrows(diagrams: DataFrame, edges: DataFrame, src: str = DISCOVERED) -> DataFrame:
-    """Diagrams whose arrows at the top are the given edges (image_id, ord, src_id, dst_id)."""
-    made = F.transform(F.array_sort(F.collect_list(F.struct("ord", "src_id", "dst_id"))), lambda e: F.struct(e["src_id"].alias("src_id"), e["dst_id"].alias("dst_id"), F.lit(None).cast("double").alias("conf"), F.lit(src).alias("src")))
-    found = edges.groupBy("image_id").agg(made.alias("new"))
-    return diagrams.join(found, "image_id", "left").withColumn("arrows", F.coalesce("new", "arrows")).drop("new")

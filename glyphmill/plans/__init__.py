@@ -1,3 +1,3 @@
 """Plans: the catalogue of queries with their SQL, and staged pipelines."""
 
-from glyphmill.plans import catalogue, formats  # noqa: F401  (both register queries)
+from glyphmill.plans import catalogue, formats, histories  # noqa: F401  (all register queries)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.adapters import predictors
-from glyphmill.functions import masks
+from glyphmill.functions import masks, png
 from glyphmill.functions import text as T
 from glyphmill.operators import aggregates, layout
 from glyphmill.sources import files
@@ -33,19 +33,19 @@ JUDGE_QUERY = 'Compare the drawing {png} with the image. Answer with {{"score":
 KEEP = 4
 
 
+#: Bytes of an image that hold its size.
+HEAD = 1 << 20
+
+
 def sized(spark: SparkSession, samples: DataFrame) -> DataFrame:
-    """Samples (id, image_path, ...) with width and height of their images; samples whose image can't be read are left out."""
+    """Samples (id, image_path, ...) with width and height of their images, from the files' headers; samples whose image can't be read are left out."""
     folders = [r[0] for r in samples.select(files.folder_of("image_path")).distinct().limit(1_001).collect()]
     if len(folders) > 1_000:
         raise ValueError("images are in more than 1,000 folders")
     if not folders:
         return samples.withColumns({"width": F.lit(0), "height": F.lit(0)})
-    shapes = spark.read.format("image").option("dropInvalid", "true").load(folders).select(F.regexp_replace("image.origin", "^file:/+", "/").alias("at"), "image.width", "image.height")
-    return samples.withColumn("at", F.regexp_replace("image_path", "^file:/+", "/")).join(shapes, "at").drop("at")
-
-
-def _with(rows: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
-    return rows.join(answers.select(key, "answer", "error"), key)
+    heads = spark.read.format("binaryFile").load(folders).select(F.regexp_replace("path", "^file:/+", "/").alias("at"), png.image_size(F.substring("content", 1, HEAD)).alias("size")).where(F.col("size.width").isNotNull())
+    return samples.withColumn("at", F.regexp_replace("image_path", "^file:/+", "/")).join(heads.select("at", "size.width", "size.height"), "at").drop("at")
 
 
 def point(samples: DataFrame, model: str, node_query: str = NODE_QUERY, raster_query: str = RASTER_QUERY) -> DataFrame:

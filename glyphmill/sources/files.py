@@ -20,6 +20,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from glyphmill.functions import text as T
 from glyphmill.operators import layout
+from glyphmill.sources.numbers import file_system, take_number
 
 # Endings, names and folders that hold the files of a sample.
 IMAGE_TYPES = (".png", ".jpg", ".jpeg", ".PNG", ".JPG", ".JPEG")
@@ -117,10 +118,16 @@ def window(key: str, *order) -> WindowSpec:
 
 
 def append_run(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends rows as JSON lines of a new run, numbered after those that are there, and returns the latest view."""
+    """Appends rows as JSON lines of a new run, and returns the latest view.
+
+    A run's number is taken by making a file of that name, so two writers never
+    have the same one.
+    """
     spark = rows.sparkSession
-    last = spark.read.json(path).agg(F.max("run")).first()[0] if exists(spark, path) else None
-    rows.write.mode("append").json(f"{path}/run={0 if last is None else last + 1}")
+    number = take_number(spark, f"{path}/_runs")
+    while exists(spark, f"{path}/run={number}"):  # of a time before numbers were taken
+        number = take_number(spark, f"{path}/_runs")
+    rows.write.mode("append").json(f"{path}/run={number}")
     return latest_runs(spark, path, key, rows.schema)
 
 
@@ -132,17 +139,33 @@ def latest_runs(spark: SparkSession, path: str, key: str, schema) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a new version beside the old one, then swaps the folders by two renames: readers see the old or the new one, or, between the renames, none; never half of it."""
+    """Writes a new version beside the old one, then swaps the folders by two renames.
+
+    Readers that open a table through ``table_at`` see the old or the new
+    version, whole, also where a driver was lost between the renames; others
+    may find none at that moment.
+    """
     spark = df.sparkSession
+    table_at(spark, path)
     new, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(new)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(old), True)
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), jvm.Path(old))
-    fs.rename(jvm.Path(new), jvm.Path(path))
-    fs.delete(jvm.Path(old), True)
+    fs, path_of = file_system(spark, path)
+    fs.delete(path_of(old), True)
+    if fs.exists(path_of(path)):
+        fs.rename(path_of(path), path_of(old))
+    fs.rename(path_of(new), path_of(path))
+    fs.delete(path_of(old), True)
+
+
+def table_at(spark: SparkSession, path: str) -> str:
+    """The folder where a replaced table is to be read: its own, or the old version's while a swap is under way or was broken off."""
+    fs, path_of = file_system(spark, path)
+    if fs.exists(path_of(path)) or not fs.exists(path_of(f"{path}.old")):
+        return path
+    # between the renames: the new version is whole, as the old one moves only after it is written
+    if fs.exists(path_of(f"{path}.new/_SUCCESS")) and not fs.exists(path_of(path)):
+        fs.rename(path_of(f"{path}.new"), path_of(path))
+    return path if fs.exists(path_of(path)) else f"{path}.old"
 
 
 # Layout documents as XML, with tags diagram, block, node, raster and arrow and attributes only.

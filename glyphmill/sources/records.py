@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.operators import review
-from glyphmill.sources import files
+from glyphmill.sources import files, store
 
 # The form of a record, and the domains of its fields.
 SCHEMA_VERSION = 1
@@ -51,8 +51,8 @@ def human_touched(instance: Column) -> Column:
 
 
 def accepted(records: DataFrame) -> DataFrame:
-    """Accepted instances with a mask, in display order: (image_id, place, instance)."""
-    shown = records.select(F.col("image.id").alias("image_id"), F.posexplode(ordered_instances(F.col("image.instances"), F.col("instances"))).alias("place", "instance"))
+    """Accepted instances with a mask, in display order: (image_id, file_path, width, height, place, instance)."""
+    shown = records.select(F.col("image.id").alias("image_id"), *[F.col(f"image.{c}").alias(c) for c in ("file_path", "width", "height")], F.posexplode(ordered_instances(F.col("image.instances"), F.col("instances"))).alias("place", "instance"))
     return shown.where((F.col("instance.state") == "accepted") & F.col("instance.mask_rle").isNotNull())
 
 
@@ -82,8 +82,13 @@ def scored(records: DataFrame, dino: Column | None = None, judged: Column | None
 
 
 def write_record(records: DataFrame, folder: str) -> None:
-    """The record of each image (id, json) as ``<id>.json`` below a shared folder; a record is replaced whole."""
-    files.write_each(records.select(F.concat("id", F.lit(".json")).alias("path"), F.encode("json", "utf-8").alias("content")), folder)
+    """The record of each image (id, json, and the ``version`` it started from) as ``<id>.json`` below a shared folder: all of them, or none where one has changed since."""
+    store.save(records, folder)
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, version) of all records, as writes start from them."""
+    return store.load(spark, folder).select("id", "version")
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,12 +103,6 @@ def annotated_ids(spark: SparkSession, folder: str) -> DataFrame:
     return files.listing(spark, folder, "*.json").select("id").orderBy("id")
 
 
-def guarded_save(records: DataFrame, read_version: Column, now: DataFrame, key: str = "id") -> DataFrame:
-    """Writes (with the version they started from) that may replace what is there now (key, version): those whose version is still the current one, with the next version."""
-    merged = records.withColumn("started_from", read_version).join(now.select(key, F.col("version").alias("current")), key, "left")
-    return merged.withColumn("conflict", ~F.coalesce(F.col("current") == F.col("started_from"), F.col("current").isNull())).withColumn("version", F.coalesce("current", F.lit(0)) + 1).drop("current", "started_from")
-
-
 def write_points(points: DataFrame, path: str) -> None:
     """Points (id, model, kind, object_id, x, y) in a folder for each model."""
     points.write.mode("overwrite").partitionBy("model").parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import geometry as G
-from glyphmill.functions import images, masks
+from glyphmill.functions import images, masks, png
 from glyphmill.functions import text as T
 from glyphmill.operators import joins, layout, ordered, review, sampling
 from glyphmill.sources import files
@@ -298,7 +298,7 @@ def test_opening_is_a_plus():
 
 
 def _png(pixels):
-    from glyphmill.functions import png
+
 
     return png.encode(pixels)
 
@@ -397,7 +397,9 @@ def test_records_from_points_to_masks(spark, tmp_path):
     folder, path = f"file://{tmp_path}/records", str(tmp_path / "records")
     _touch(tmp_path, "records/old.json")
     (tmp_path / "records" / "old.json").write_text('{"schema_version": 1, "image": {"id": "old", "instances": []}, "instances": []}')
-    assert cli.main(["ingest", str(tmp_path / "points"), folder, "--model", "m"]) == 0
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "img.png").write_bytes(png.encode(np.zeros((20, 30), bool)))
+    assert cli.main(["ingest", str(tmp_path / "points"), folder, "--model", "m", "--images", str(tmp_path / "images")]) == 0
     read = {r.id: r.record for r in records.read_records(spark, path).collect()}
     assert [i.state for i in read["img"].instances] == ["proposed"] * 2 and read["img"].instances[0].points[0].source == "molmo" and read["old"].instances == [] and read["img"].instances[0].edit_log == []
     form = __import__("json").loads((tmp_path / "records" / "img.json").read_text())
@@ -408,15 +410,15 @@ def test_records_from_points_to_masks(spark, tmp_path):
     for name in ("export", "prepare", "validate"):
         assert cli.main([name, path, f"file://{tmp_path}/{name}"]) == 0
     assert spark.read.json(str(tmp_path / "export" / "totals")).first().total_accepted == 1
-    assert spark.read.json(str(tmp_path / "prepare" / "manifest")).first().opening_applied and (tmp_path / "prepare" / "img").is_dir()
+    row = spark.read.json(str(tmp_path / "prepare" / "manifest")).first()
+    assert set(row.asDict()) == {"instance_id", "image_id", "file_path", "mask_path", "width", "height", "points", "mask_source", "opening_applied"}
+    assert (row.width, row.height, row.file_path.endswith("images/img.png"), [p.asDict() for p in row.points]) == (30, 20, True, [{"x": 1.0, "y": 2.0, "label": 1}])
+    assert row.opening_applied and (tmp_path / "prepare" / "img").is_dir()
     assert spark.read.json(str(tmp_path / "validate" / "summary")).first()["mean"] > 0.9
     assert cli.main(["qa", path, str(tmp_path / "prepare")]) == 0
     (tmp_path / "records" / "bad.json").write_text('{"schema_version": 2}')
     with pytest.raises(Exception, match="schema version of bad is 2"):
         records.read_records(spark, path).collect()
-    now = spark.createDataFrame([("a", 3), ("b", 1)], "id string, version int")
-    writes = spark.createDataFrame([("a", 3), ("b", 0), ("c", 0)], "id string, seen int")
-    assert {r.id: (r.conflict, r.version) for r in records.guarded_save(writes, F.col("seen"), now).collect()} == {"a": (False, 4), "b": (True, 2), "c": (False, 1)}
 
 
 def test_predictors(spark):
