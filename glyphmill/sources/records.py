@@ -82,8 +82,8 @@ def scored(records: DataFrame, dino: Column | None = None, judged: Column | None
 
 
 def write_record(records: DataFrame, folder: str) -> None:
-    """The record of each image (id, json, and the ``version`` it started from) as ``<id>.json`` below a shared folder: all of them, or none where one has changed since."""
-    store.save(records, folder)
+    """The record of each image (id, json, and the ``version`` it started from; without that column all are new) as ``<id>.json`` below a shared folder: all of them, or none where one has changed since."""
+    store.save(records if "version" in records.columns else records.withColumn("version", F.lit(None).cast("string")), folder)
 
 
 def versions(spark: SparkSession, folder: str) -> DataFrame:
