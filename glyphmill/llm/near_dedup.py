@@ -26,8 +26,9 @@ several classes to one centre of another class; verified links merge classes.
 There are ``ROUNDS`` of them at least, and more while the comparisons that are
 left would be many and each round takes a good part of them away.
 What is left is compared in full: the pairs of small buckets, and large
-buckets in tiles of about ``TILE`` vertices, a task for each two tiles, which
-holds only those two and returns no pairs but the few links that join classes.
+buckets in tiles of about ``TILE`` vertices and ``TILE_ELEMENTS`` elements at
+most, a task for each two tiles, which holds only those two and returns no pairs
+but the few links that join classes.
 So no link between classes is lost and pairs within a class are never made.  A
 bucket of n undecided vertices still costs n * n / ``TILE`` shuffled rows and n
 * n comparisons there, which single links at a threshold near a group's usual
@@ -66,6 +67,10 @@ SIZE = BANDS * ROWS
 ROUNDS, MOST_ROUNDS = 2, 8
 #: Vertices of buckets that are compared pair by pair; vertices of a tile of larger ones; elements compared at once.
 SMALL, TILE, COLUMNS = 16, 512, 4096
+#: Elements of a tile, unless one vertex has more; tasks that share the pairs of a hot centre.
+TILE_ELEMENTS, SALTS = 4_000_000, 64
+#: Pairs that one centre may hold alone.
+FEW = 100_000
 #: Vertices up to which a set of vertices is broadcast; their number is counted first.
 BROADCAST_ROWS = 1_000_000
 
@@ -187,7 +192,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def elements(docs: DataFrame) -> DataFrame:
-    """Rows (v, els) from rows (row, text): the sorted 64-bit hashes of each text's multiset, repeats told apart."""
+    """Rows (v, els, size) from rows (row, text): the sorted 64-bit hashes of each text's multiset, repeats told apart, and their number."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +203,28 @@ def elements(docs: DataFrame) -> DataFrame:
             order = np.lexsort((x, of))
             x = x[order]
             ends = np.searchsorted(of[order], np.arange(len(text) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())], ["v", "els"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary()), pa.array(np.diff(ends).astype(np.int64))], ["v", "els", "size"])
 
-    return docs.select("row", "text").mapInArrow(run, "v long, els binary")
+    return docs.select("row", "text").mapInArrow(run, "v long, els binary, size long")
 
 
 def verified(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    """The pairs (a, b), of a stored table, whose exact similarity reaches the threshold.
+
+    Of more pairs than ``FEW``, centres that more than a thousandth of them
+    share, a thousand at most, are dealt with their pairs over ``SALTS`` tasks each.
+    """
+    total = pairs.count()
+    left = els.select(F.col("v").alias("a"), F.col("els").alias("x"))
+    right = els.select(F.col("v").alias("b"), F.col("els").alias("y"))
+    if total <= FEW:
+        met = pairs.join(left, "a")
+    else:
+        hot = F.broadcast(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SALTS, total // 1000)).select("a", F.lit(True).alias("hot")))
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        dealt = left.join(hot, "a", "left").select("a", "x", F.explode(salts).alias("salt"))
+        salted = pairs.join(hot, "a", "left").select("a", "b", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+        met = salted.join(dealt, ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,9 +236,7 @@ def verified(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = els.select(F.col("v").alias("a"), F.col("els").alias("x"))
-    right = els.select(F.col("v").alias("b"), F.col("els").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return met.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,8 +299,9 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _tiled(left: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join classes inside the buckets of ``left`` (key, v, root, n)."""
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    placed = left.withColumns({"parts": parts, "t": F.pmod(F.xxhash64("v", F.lit(77)), parts).cast("int")}).join(els, "v")
+    held = left.join(els.select("v", "size"), "v").groupBy("key").agg(F.sum("size").alias("held"))
+    parts = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("held") / TILE_ELEMENTS)).cast("int")
+    placed = left.join(held, "key").withColumns({"parts": parts, "t": F.pmod(F.xxhash64("v", F.lit(77)), parts).cast("int")}).join(els.select("v", "els"), "v")
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "v", "root", "els")
 
     def run(group: pa.Table) -> pa.Table:
@@ -337,8 +356,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     els = materialise(elements(docs.join(ids, "row", "left_semi")), "elements")
 
     first = buckets.where(F.col("v") != F.col("centre")).groupBy("v").agg(F.min("centre").alias("a")).select("a", F.col("v").alias("b"))
-    links = materialise(verified(first, els, similarity), "links-1")
     tried = materialise(first, "tried-1")
+    links = materialise(verified(tried, els, similarity), "links-1")
     root = components(links)
     before, k = None, 1
     while True:
