@@ -55,10 +55,13 @@ def near_copies(seed: int, groups: int, size: int, edits: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize(("small", "tile"), [(16, 512), (1, 8)])
-def test_classes_equal_all_pairs(table_of, monkeypatch, small, tile):
+@pytest.mark.parametrize(("small", "tile", "elements", "salts"), [(16, 512, 4_000_000, 64), (1, 8, 4_000_000, 2), (1, 512, 300, 3)])
+def test_classes_equal_all_pairs(table_of, monkeypatch, small, tile, elements, salts):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "TILE_ELEMENTS", elements)
+    monkeypatch.setattr(near_dedup, "SALTS", salts)
+    monkeypatch.setattr(near_dedup, "FEW", 0 if salts < 64 else near_dedup.FEW)
     rng = random.Random(3)
     texts = near_copies(1, 8, 4, 2) + near_copies(2, 1, 60, 7) + [words(rng, 150, 5000) for _ in range(40)] + ["again and again and again and again " * k for k in (3, 4, 20, 21, 22)]
     texts += texts[:5] + ["one two", "ONE two!", None, "", "..."]
@@ -70,6 +73,23 @@ def test_classes_equal_all_pairs(table_of, monkeypatch, small, tile):
     assert all(r.class_size == size[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def test_tiles_are_bounded_by_elements(spark, monkeypatch):
+    """Long texts of one bucket go to more tiles; a hot centre's pairs go to several tasks."""
+    monkeypatch.setattr(near_dedup, "TILE_ELEMENTS", 1000)
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(12)]
+    sets[7] = np.sort(np.concatenate([sets[3][:390], sets[7][:10]]))
+    els = spark.createDataFrame([(i, x.tobytes(), len(x)) for i, x in enumerate(sets)], "v long, els binary, size long")
+    left = spark.createDataFrame([(1, i, i, 12) for i in range(12)], "key long, v long, root long, n long")
+    assert [(r.a, r.b) for r in near_dedup._tiled(left, els, 0.8).collect()] in ([(3, 7)], [(7, 3)])
+    monkeypatch.setattr(near_dedup, "SALTS", 4)
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    pairs = spark.createDataFrame([(3, i) for i in range(12) if i != 3] * 2, "a long, b long")
+    assert {(r.a, r.b) for r in near_dedup.verified(pairs, els, 0.8).collect()} == {(3, 7)}
+    plan = near_dedup.verified(pairs, els, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(1)
     base = words(rng, 300).split() + ["x", "y", "z", "u", "v"] * 30
