@@ -125,7 +125,8 @@ def ingest(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
     points = records.load_points(spark, given.points, given.model).where(F.col("kind") == "node").withColumnRenamed("id", "image_id")
     if not given.force:
         points = joins.skip_existing(points, records.annotated_ids(spark, given.records).withColumnRenamed("id", "image_id"), "image_id")
-    made = records.proposed(points).groupBy(F.col("image_id").cast("string").alias("id")).agg(F.collect_list("instance").alias("all"))
+    in_order = F.array_sort(F.collect_list(F.struct("object_id", "instance")), lambda a, b: F.signum(a["object_id"] - b["object_id"]).cast("int"))
+    made = records.proposed(points).groupBy(F.col("image_id").cast("string").alias("id")).agg(F.transform(in_order, lambda x: x["instance"]).alias("all"))
     none = spark.createDataFrame([], "id string, image_path string, width int, height int")
     shown = stages.sized(spark, files.listing(spark, given.images, "*.{png,jpg,jpeg}").select("id", F.col("path").alias("image_path"))).select("id", "image_path", "width", "height") if given.images else none
     stats = F.struct(*[F.lit(0).alias(c) for c in ("points_added", "points_moved", "points_deleted", "masks_manually_fixed")], F.lit(0.0).alias("time_seconds"))

@@ -36,13 +36,13 @@ def from_json(text: Column) -> Column:
 
 
 def proposed(points: DataFrame, image: str = "image_id") -> DataFrame:
-    """One proposed instance for each detected point (image, object_id, x, y): (image, instance)."""
+    """One proposed instance for each detected point (image, object_id, x, y): (image, object_id, instance)."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     key = F.substring(F.sha2(F.concat_ws("|", F.col(image).cast("string"), F.col("object_id").cast("string")), 256), 1, 10)
     none = F.lit(None)
     point = F.struct(key.alias("id"), "x", "y", F.lit(1).alias("label"), F.lit(PROPOSED).alias("source"), none.alias("original_xy")).cast(POINT)
     made = F.struct(key.alias("id"), F.col(image).cast("string").alias("image_id"), F.array(point).alias("points"), none.alias("mask_rle"), none.alias("mask_source"), F.lit(review.STATES[0]).alias("state"), none.alias("merged_into_id"), now.alias("created_at"), now.alias("updated_at"), F.array().cast(f"array<{EVENT}>").alias("edit_log"))
-    return points.select(image, made.cast(INSTANCE).alias("instance"))
+    return points.select(image, "object_id", made.cast(INSTANCE).alias("instance"))
 
 
 def human_touched(instance: Column) -> Column:
