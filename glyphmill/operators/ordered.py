@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -40,12 +38,19 @@ def numbered(df: DataFrame, key: str, name: str = "idx", range_rows: int = RANGE
 
 
 def range_of(key: Column, cuts: list) -> Column:
-    """Number of cut points up to a key: found in blocks of cut points first, then in one block, so a key meets about twice the square root of them."""
-    block = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[k : k + block] for k in range(0, len(cuts), block)]
-    at = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lambda c: c <= key))
-    inside = F.get(F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks]), at - 1)
-    return F.when(at == 0, 0).otherwise((at - 1) * block + F.size(F.filter(inside, lambda c: c <= key)))
+    """Number of cut points up to a key (0 for null), by a tree of comparisons, so a key meets about the logarithm of them.
+
+    There is no lambda in it: Spark takes filters that it infers from an equality
+    with a lambda's result to the other side of a join, where the key isn't.
+    """
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < F.lit(cuts[middle]), between(low, middle)).otherwise(between(middle + 1, high))
+
+    return F.when(key.isNull(), 0).otherwise(between(0, len(cuts)))
 
 
 def round_robin(df: DataFrame, key: str, shards: int) -> DataFrame:
@@ -88,32 +93,42 @@ def cuts_of(df: DataFrame, order: str, range_rows: int) -> list:
 
 
 def scan(df: DataFrame, order: list[str], value: str, how: str, name: str, by: list[str] = (), range_rows: int | None = None) -> DataFrame:
-    """``df`` with a running value over all rows before each one in an order (null before the first), without one task that sees all rows.
+    """``df`` with one running value, as ``scans`` has several."""
+    return scans(df, order, {name: (value, how)}, by, range_rows)
+
+
+def scans(df: DataFrame, order: list[str], running: dict[str, tuple[str, str]], by: list[str] = (), range_rows: int | None = None, backwards: bool = False) -> DataFrame:
+    """``df`` with running values by name over all rows before each one in an order (null before the first), without one task that sees all rows.
 
-    ``how`` is an associative operation: least, greatest, sum, or last (the
-    last value that isn't null).  Ranges of the order's first column are
-    scanned each on its own; what stands before a range is a scan over the
-    totals of ranges.  Rows of equal first columns stay in one range.
+    A running value is a column and an associative operation: least, greatest,
+    sum, or last (the last value that isn't null).  Ranges of the order's first
+    column are scanned each on its own; what stands before a range is a scan over
+    the totals of ranges.  Rows of equal first columns stay in one range.  All
+    values share the ranges and their passes.
     """
-    over, both = SCANS[how]
     cuts = cuts_of(df, order[0], range_rows or RANGE_ROWS)
-    before = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    way = lambda c: F.col(c).desc() if backwards else F.col(c).asc()
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(*map(way, order)).rowsBetween(Window.unboundedPreceding, -1)
+    over = {name: SCANS[how][0](F.col(value)) for name, (value, how) in running.items()}
     if not cuts:
-        return df.withColumn(name, over(F.col(value)).over(before(*by)))
-    range_, inside, total, offset = (f"{part} of {name}" for part in ("range", "inside", "total", "offset"))
-    marked = df.withColumn(range_, F.coalesce(range_of(F.col(order[0]), cuts), F.lit(0)))
+        return df.withColumns({name: f.over(before(by, order)) for name, f in over.items()})
+    range_, its = (f"{part} of {', '.join(running)}" for part in ("range", "its range"))
+    inside, offset = ({name: f"{part} of {name}" for name in running} for part in ("inside", "offset"))
+    marked = df.withColumn(range_, range_of(F.col(order[0]), cuts))
+    final = F.min_by if backwards else F.max_by
     # the last value of a range is that of its last row that has one
-    known = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))) if how == "last" else over(F.col(value))
-    totals = marked.groupBy(*by, range_).agg(known.alias(total))
-    offsets = totals.withColumn(offset, over(F.col(total)).over(Window.partitionBy(*by).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1))).drop(total)
-    scanned = marked.withColumn(inside, over(F.col(value)).over(before(*by, range_)))
+    known = {name: final(value, F.when(F.col(value).isNotNull(), F.struct(*order))) if how == "last" else over[name] for name, (value, how) in running.items()}
+    totals = marked.groupBy(*by, range_).agg(*[f.alias(f"total of {name}") for name, f in known.items()])
     # without keys, a row for each range; keys may be null
-    other = offsets.select(*[F.col(c).alias(f"{c} of {name}") for c in by], F.col(range_).alias(f"its {range_}"), offset)
-    meets = F.col(range_) == F.col(f"its {range_}")
+    of = lambda c: f"{c} of {', '.join(running)} there"
+    sofar = [SCANS[how][0](F.col(f"total of {name}")).over(before(by, [range_])).alias(offset[name]) for name, (_, how) in running.items()]
+    offsets = totals.select(*[F.col(c).alias(of(c)) for c in by], F.col(range_).alias(its), *sofar)
+    scanned = marked.withColumns({inside[name]: f.over(before([*by, range_], order)) for name, f in over.items()})
+    meets = F.col(range_) == F.col(its)
     for c in by:
-        meets = meets & F.col(c).eqNullSafe(F.col(f"{c} of {name}"))
-    joined = scanned.join(other if by else F.broadcast(other), meets)
-    return joined.withColumn(name, both(F.col(offset), F.col(inside))).select(*df.columns, name)
+        meets = meets & F.col(c).eqNullSafe(F.col(of(c)))
+    joined = scanned.join(offsets if by else F.broadcast(offsets), meets)
+    return joined.select(*df.columns, *[SCANS[how][1](F.col(offset[name]), F.col(inside[name])).alias(name) for name, (_, how) in running.items()])
 
 
 def running_best(df: DataFrame, order: str, loss: str, by: list[str] = (), range_rows: int | None = None) -> DataFrame:

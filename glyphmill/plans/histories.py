@@ -84,9 +84,8 @@ def exact_quantiles(spark, sf_dir):
 def prefix_scans(spark, sf_dir):
     # over all events, without one task that sees them all
     rows = events(spark, sf_dir).select("event_id", "ts", "value", F.when(F.col("value") > 50, F.col("value")).alias("high"))
-    ranges = max(2_000, rows.count() // 50)
-    for value, how, name in (("value", "greatest", "greatest_before"), ("value", "sum", "sum_before"), ("high", "last", "last_high")):
-        rows = ordered.scan(rows, ["ts", "event_id"], value, how, name, range_rows=ranges)
+    ranges = min(ordered.RANGE_ROWS, max(2_000, rows.count() // 50))
+    rows = ordered.scans(rows, ["ts", "event_id"], {"greatest_before": ("value", "greatest"), "sum_before": ("value", "sum"), "last_high": ("high", "last")}, range_rows=ranges)
     return rows.select("event_id", "greatest_before", F.round("sum_before", 4).alias("sum_before"), "last_high")
 
 
