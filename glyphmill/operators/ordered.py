@@ -137,11 +137,14 @@ def running_best(df: DataFrame, order: str, loss: str, by: list[str] = (), range
     return scan(df, [order], loss, "least", held, by, range_rows).withColumn("is_best", F.coalesce(F.col(loss) < F.col(held), F.col(loss).isNotNull())).drop(held)
 
 
-def next_flagged(items: DataFrame, group: str, index: str, flagged: Column) -> DataFrame:
+def next_flagged(items: DataFrame, group: str, index: str, flagged: Column, range_rows: int | None = None) -> DataFrame:
     """For each item, the next flagged item of its group in circular order; the item itself comes last."""
-    after, all_ = Window.partitionBy(group).orderBy(index).rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(group)
-    at = F.when(flagged, F.col(index))
-    return items.withColumn("next_index", F.coalesce(F.min(at).over(after), F.min(at).over(all_)))
+    marked = items.withColumn("flagged at", F.when(flagged, F.col(index)))
+    # the least index of those before an item, backwards: one pass, and large groups are spread over tasks
+    after = scans(marked, [index], {"flagged after": ("flagged at", "least")}, [group], range_rows, backwards=True)
+    first = marked.groupBy(F.col(group).alias("flagged group")).agg(F.min("flagged at").alias("first flagged"))
+    joined = after.join(first, F.col(group).eqNullSafe(F.col("flagged group")))
+    return joined.select(*items.columns, F.coalesce("flagged after", "first flagged").alias("next_index"))
 
 
 def marks(nodes: DataFrame) -> DataFrame:

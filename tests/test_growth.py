@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -25,3 +26,20 @@ def test_scans_of_a_stored_table_in_many_ranges(spark, tmp_path):
             want[i] = (held, sum_)
             held, sum_ = (v, v + (sum_ or 0)) if v is not None else (held, sum_)
         assert {r.i: (r["last"], r["sum"]) for r in cut} == want
+
+
+def test_next_flagged_is_one_pass_in_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["x", "y", None, "none"]), i, rng.random() < 0.1) for i in range(1500)]
+    rows = [(g, i, f and g != "none") for g, i, f in rows]
+    df = spark.createDataFrame(rows, "g string, i int, f boolean").repartition(3)
+    want = {}
+    for g, i, _ in rows:
+        at = [j for h, j, f in rows if h == g and f]
+        want[i] = min((j for j in at if j > i), default=min(at, default=None))
+    for n in (10_000, 100):
+        found = ordered.next_flagged(df, "g", "i", F.col("f"), n)
+        assert found.columns == ["g", "i", "f", "next_index"]
+        assert {r.i: r.next_index for r in found.collect()} == want
+        # a frame that follows the row is summed up anew for each row
+        assert not re.search(r"unboundedfollowing", found._jdf.queryExecution().optimizedPlan().toString())
