@@ -7,7 +7,6 @@ are actions of a review, conversations are the steps of a drawing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from glyphmill.functions import text as T
 from glyphmill.functions import vectors as V
 from glyphmill.operators import aggregates, animation, drawing, joins, layout, ordered, review, sampling
 from glyphmill.sources import files
+from glyphmill.sources.scratch import folder
 from glyphmill.streaming import review as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -709,11 +709,20 @@ def xml_roundtrip(spark, sf_dir):
 
 
 def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over what there is, and returns what it emitted."""
-    spark = stream.sparkSession
-    name = f"{name}_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Runs a stream over what there is, and returns what it emitted: all of it, or in complete mode what the last batch did.
+
+    Batches are written by the tasks that hold them, below the folder that all
+    executors share, as the stream's own state is.
+    """
+    spark, out, landed = stream.sparkSession, folder(stream.sparkSession, name), []
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/{number}")
+        landed.append(number)
+
+    stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted(set(landed))[-1:] if mode == "complete" else sorted(set(landed))
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/rows/{n}" for n in wanted]) if wanted else spark.createDataFrame([], stream.schema)
 
 
 @query(_FSM + "SELECT user_id, state, n_legal, n_illegal FROM final")
@@ -730,8 +739,9 @@ def stream_fsm(spark, sf_dir):
     t AS (SELECT user_id, k, count(*) AS n_events, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS active_seconds, epoch_us(min(ts)) AS started FROM s GROUP BY 1, 2)
     SELECT user_id, n_events, active_seconds, started FROM t""")
 def stream_session(spark, sf_dir):
-    # complete mode, so that sessions that are still open are there too
-    spans = streams.stream_table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour").groupBy(F.session_window("t", "120 seconds"), "user_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("t").alias("a"), F.max("t").alias("b"))
+    # complete mode, so that sessions that are still open are there too; it keeps all sessions, so no watermark leaves events out
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    spans = streams.stream_table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp")).groupBy(F.session_window("t", "120 seconds"), "user_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("t").alias("a"), F.max("t").alias("b"))
     out = _drained(spans, "complete", "session")
     return out.select("user_id", "n_events", r6((F.unix_micros("b") - F.unix_micros("a")) / 1e6).alias("active_seconds"), F.unix_micros("a").alias("started"))
 

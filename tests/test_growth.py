@@ -6,6 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from glyphmill.operators import ordered
+from glyphmill.plans import catalogue
+from tests.conftest import DATA
 
 
 def test_scans_of_a_stored_table_in_many_ranges(spark, tmp_path):
@@ -43,3 +45,12 @@ def test_next_flagged_is_one_pass_in_ranges(spark):
         assert {r.i: r.next_index for r in found.collect()} == want
         # a frame that follows the row is summed up anew for each row
         assert not re.search(r"unboundedfollowing", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_what_streams_emit_is_written_by_tasks(spark, tmp_path):
+    for name in ("stream_session", "stream_fsm"):
+        plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" in plan and "LocalRelation" not in plan and "MemoryPlan" not in plan
+    spark.read.parquet(f"{DATA}/events.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    assert catalogue.QUERIES["stream_session"](spark, str(tmp_path)).count() == 0
