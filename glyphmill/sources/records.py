@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions import text as T
 from glyphmill.operators import review
 from glyphmill.sources import files, store
 
@@ -21,9 +22,29 @@ PROPOSED = "molmo"
 
 
 def ordered_instances(order: Column, instances: Column) -> Column:
-    """Instances in the order of the image's list; ids without an instance are skipped, as are instances that the list doesn't name."""
-    placed = F.filter(F.transform(instances, lambda x: F.struct(F.array_position(order, x["id"]).alias("place"), x.alias("x"))), lambda p: p["place"] > 0)
-    return F.transform(F.array_sort(placed, lambda a, b: (a["place"] - b["place"]).cast("int")), lambda p: p["x"])
+    """Instances in the order of the image's list; ids without an instance are skipped, as are instances that the list doesn't name.
+
+    Work grows with the sorting of both lists; only where instances share an id, or lack one, is each looked up in the list.
+    """
+
+    def looked_up(order: Column, given: Column) -> Column:
+        placed = F.filter(F.transform(given, lambda x: F.struct(F.array_position(order, x["id"]).alias("place"), x.alias("x"))), lambda p: p["place"] > 0)
+        return F.transform(F.array_sort(placed, lambda a, b: (a["place"] - b["place"]).cast("int")), lambda p: p["x"])
+
+    def sorted_(named: Column, ids: Column, given: Column) -> Column:
+        # both hold the same ids once, so by id they stand side by side: a place in the order beside a place among the instances
+        places = F.sort_array(F.transform(F.concat(named, F.array_except(ids, named)), lambda id_, i: F.struct(id_.alias("id"), i.alias("i"))))
+        held = F.sort_array(F.transform(ids, lambda id_, j: F.struct(id_.alias("id"), j.alias("j"))))
+        beside = F.zip_with(places, held, lambda p, h: F.struct(p["i"].alias("i"), h["j"].alias("j")))
+        return F.transform(F.slice(F.sort_array(beside), F.lit(1), F.size(named)), lambda p: F.get(given, p["j"]))
+
+    def read(both: Column) -> Column:
+        ids = lambda body: T.let(F.transform(both["given"], lambda x: x["id"]), body)
+        once = lambda i: (F.size(F.array_distinct(i)) == F.size(i)) & ~F.exists(i, lambda x: x.isNull())
+        by_id = lambda i: T.let(F.array_intersect(both["order"], i), lambda named: sorted_(named, i, both["given"]))
+        return ids(lambda i: F.when(once(i), by_id(i)).otherwise(looked_up(both["order"], both["given"])))
+
+    return T.let(F.struct(F.coalesce(order, F.array().cast("array<string>")).alias("order"), instances.alias("given")), read)
 
 
 def to_json(image: Column, instances: Column) -> Column:

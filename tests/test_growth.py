@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from glyphmill.operators import ordered
 from glyphmill.plans import catalogue
+from glyphmill.sources import records
 from tests.conftest import DATA
 
 
@@ -54,3 +56,21 @@ def test_what_streams_emit_is_written_by_tasks(spark, tmp_path):
     spark.read.parquet(f"{DATA}/events.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/made")
     next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "events.parquet")
     assert catalogue.QUERIES["stream_session"](spark, str(tmp_path)).count() == 0
+
+
+def test_instances_are_ordered_without_a_search_for_each(spark):
+    rng = random.Random(10)
+    cases = [(["b", "a", "b", "gone", None], ["a", "b", "c"]), ([], ["a"]), (["a"], []), (None, ["a"]), (["a"], None), (["b", "a"], ["a", "b", "a", None]), (["x", "y"], ["a"])]
+    for _ in range(40):
+        ids = rng.sample("abcdefghij", rng.randrange(10))
+        cases.append((rng.choices("abcdefghijkl", k=rng.randrange(12)), ids))
+    rows = [(k, order, None if ids is None else [(i, n) for n, i in enumerate(ids)]) for k, (order, ids) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "k int, o array<string>, i array<struct<id:string,n:int>>").repartition(3)
+    got = {r.k: r.x and [tuple(x) for x in r.x] for r in df.select("k", records.ordered_instances(F.col("o"), F.col("i")).alias("x")).collect()}
+    for k, order, given in rows:
+        want = None if given is None else sorted([x for x in given if x[0] is not None and x[0] in (order or [])], key=lambda x: order.index(x[0]))
+        assert got[k] == want, k
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(30_000), F.lit(1), F.lit(-1)), lambda i: i.cast("string")).alias("o"), F.transform(F.sequence(F.lit(2), F.lit(30_001)), lambda i: F.struct(i.cast("string").alias("id"))).alias("i"))
+    began = time.perf_counter()
+    first = many.select(records.ordered_instances(F.col("o"), F.col("i")).alias("x")).select(F.size("x").alias("n"), F.col("x")[0]["id"].alias("id")).first()
+    assert tuple(first) == (29_999, "30000") and time.perf_counter() - began < 10
