@@ -60,7 +60,7 @@ def xml_write(spark, sf_dir):
     box = F.struct(F.col("l_quantity").alias("x0"), F.lit(0.0).alias("y0"), F.lit(-1.5).alias("x1"), F.col("l_partkey").cast("double").alias("y1"))
     item = F.struct(F.concat(F.lit("n"), "ord").alias("id"), F.concat("l_returnflag", F.lit('&"')).alias("text"), box.alias("bbox"), F.lit(None).cast("string").alias("mask"), F.when(F.col("ord") % 2 == 0, 0.5).alias("conf"), F.lit(layout.DETECTED).alias("src")).cast(layout.ITEM)
     arrow = F.struct(F.lit("n1").alias("src_id"), F.lit("n2").alias("dst_id"), F.lit(None).cast("double").alias("conf"), F.lit(layout.DISCOVERED).alias("src")).cast(layout.ARROW)
-    nodes = F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("i")))), lambda x: x["i"])
+    nodes = F.sort_array(F.collect_list(F.struct("ord", item.alias("i"))))["i"]
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return files.write_xml(lines.groupBy("image_id").agg(nodes.alias("nodes")).select("image_id", none(layout.BLOCK).alias("blocks"), "nodes", none(layout.ITEM).alias("rasters"), F.array(arrow).alias("arrows")))
 

@@ -12,10 +12,13 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from glyphmill.functions import text as T
@@ -221,46 +224,91 @@ def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id",
     return read.select(key, *[c.alias(n) for n, c in parts.items()], *([] if strict else ["problem"]))
 
 
-def _quoted(value: str) -> str:
-    """An attribute's value with its quotes."""
-    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
-        value = value.replace(raw, name)
-    return f'"{value}"'
+def _escaped(texts: pa.Array) -> pa.Array:
+    """Texts as they stand in attributes; nulls are empty."""
+    texts = texts.fill_null("")
+    if pc.any(pc.match_substring_regex(texts, "[&<>\"\r\n\t]")).as_py():
+        for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
+            texts = pc.replace_substring(texts, raw, name)
+    return texts
 
 
-def _attributes(x, box: bool) -> str:
-    out = ""
-    if box:
-        b = x["bbox"]
-        out = f" i={_quoted(x['id'] or '')} t={_quoted(x['text'] or '')} b=\"{b['x0']:.2f} {b['y0']:.2f} {b['x1']:.2f} {b['y1']:.2f}\""
-        out += f" mask={_quoted(x['mask'])}" if x["mask"] is not None else ""
+def _decimals(numbers: pa.Array, places: int) -> pa.Array:
+    """Numbers with so many decimals, rounding the exact binary value: equal ones once; what is near a tie, large or no number one by one."""
+    # by their bits, as zero has two signs
+    distinct = numbers.view(pa.int64()).dictionary_encode()
+    return pc.take(_decimals_of(distinct.dictionary.view(pa.float64()).to_numpy(), places), distinct.indices)
+
+
+def _decimals_of(v: np.ndarray, places: int) -> pa.Array:
+    scaled = np.abs(v) * 10**places
+    # the product is off by less than 2 ** -12, so all but near a half it is rounded as the exact one is
+    scaled = np.where(scaled < 2.0**40, scaled, 0.5)
+    sure = np.abs(scaled - np.floor(scaled) - 0.5) > 1e-3
+    n = np.floor(scaled + 0.5).astype(np.int64)
+    high, low = (pa.array(x).cast(pa.string()) for x in (n // 10**places, n % 10**places))
+    sign = pc.if_else(pa.array(np.signbit(v)), "-", "")
+    out = _joined(sign, high, ".", pc.utf8_lpad(low, places, "0"))
+    return out if sure.all() else pc.replace_with_mask(out, pa.array(~sure), pa.array([f"{x:.{places}f}" for x in v[~sure].tolist()], pa.string()))
+
+
+def _joined(*parts) -> pa.Array:
+    """Texts side by side, without anything between them."""
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _if(test: pa.Array, *parts) -> pa.Array:
+    return pc.if_else(test, _joined(*parts), "")
+
+
+def _tags(name: str, of: pa.StructArray, depth: int) -> pa.Array:
+    """The tags of some items, blocks or arrows, up to what ends them."""
+    at = lambda field: pc.struct_field(of, field)
+    if name == "arrow":
+        head = _joined(' s="', _escaped(at("src_id")), '" d="', _escaped(at("dst_id")), '"')
     else:
-        out = f" s={_quoted(x['src_id'] or '')} d={_quoted(x['dst_id'] or '')}"
-    out += f' conf="{x["conf"]:.4f}"' if x["conf"] is not None and x["conf"] == x["conf"] else ""
-    return out + (f" src={_quoted(x['src'])}" if x["src"] not in (None, "manual") else "")
+        sides = [pc.struct_field(of, ["bbox", n]) for n in ("x0", "y0", "x1", "y1")]
+        if any(s.null_count for s in sides):
+            raise ValueError(f"a {name} without a box")
+        b = [_decimals(s, 2) for s in sides]
+        mask = at("mask")
+        head = _joined(' i="', _escaped(at("id")), '" t="', _escaped(at("text")), '" b="', b[0], " ", b[1], " ", b[2], " ", b[3], '"', _if(mask.is_valid(), ' mask="', _escaped(mask), '"'))
+    conf, src = at("conf").fill_null(float("nan")), at("src").fill_null("manual")
+    return _joined("  " * depth + f"<{name}", head, _if(pc.invert(pc.is_nan(conf)), ' conf="', _decimals(conf, 4), '"'), _if(pc.not_equal(src, "manual"), ' src="', _escaped(src), '"'))
+
+
+def _together(lists: pa.ListArray, texts: pa.Array) -> pa.Array:
+    """The texts of each list's elements as one."""
+    ends = lists.offsets.to_numpy()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0]), texts), "")
+
 
+def _parts(of: dict[str, pa.ListArray], depth: int) -> pa.Array:
+    """Nodes, rasters and arrows of diagrams or blocks."""
+    if any(lists.null_count for lists in of.values()):
+        raise ValueError("a diagram without lists of its parts")
+    return _joined(*[_together(of[column], _joined(_tags(name, of[column].flatten(), depth), "/>\n")) for name, column in (("node", "nodes"), ("raster", "rasters"), ("arrow", "arrows"))])
 
-def _rendered(diagram: dict) -> str:
-    def parts(of, depth: int) -> str:
-        pad = "  " * depth
-        return "".join(f"{pad}<{name}{_attributes(x, name != 'arrow')}/>\n" for name, column in (("node", "nodes"), ("raster", "rasters"), ("arrow", "arrows")) for x in of[column])
 
-    body = ""
-    for b in diagram["blocks"]:
-        inside = parts(b, 2)
-        body += f"  <block{_attributes(b, True)}>\n{inside}  </block>\n" if inside else f"  <block{_attributes(b, True)}/>\n"
-    body += parts(diagram, 1)
-    return f"<diagram>\n{body}</diagram>\n" if body else "<diagram/>\n"
+def _rendered(blocks: pa.ListArray, **parts: pa.ListArray) -> pa.Array:
+    """The documents of diagrams, all at once."""
+    b = blocks.flatten()
+    inside = _parts({n: pc.struct_field(b, n) for n in parts}, 2)
+    whole = _joined(_tags("block", b, 1), pc.if_else(pc.equal(inside, ""), "/>\n", _joined(">\n", inside, "  </block>\n")))
+    if blocks.null_count:
+        raise ValueError("a diagram without a list of its blocks")
+    body = _joined(_together(blocks, whole), _parts(parts, 1))
+    return pc.if_else(pc.equal(body, ""), "<diagram/>\n", _joined("<diagram>\n", body, "</diagram>\n"))
 
 
 def write_xml(diagrams: DataFrame, key: str = "image_id") -> DataFrame:
     """Rows (key, xml): boxes with two decimals, confidences with four, sources only where they aren't manual."""
 
-    @pandas_udf("string")
-    def render(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([_rendered(d) for d in rows.to_dict("records")], dtype=object)
+    @arrow_udf("string")
+    def render(blocks: pa.Array, nodes: pa.Array, rasters: pa.Array, arrows: pa.Array) -> pa.Array:
+        return _rendered(blocks, nodes=nodes, rasters=rasters, arrows=arrows)
 
-    return diagrams.select(key, render(F.struct("blocks", "nodes", "rasters", "arrows")).alias("xml"))
+    return diagrams.select(key, render("blocks", "nodes", "rasters", "arrows").alias("xml"))
 
 
 def export_zip(done: DataFrame, key: str, text: str, limit: int = 100_000) -> bytes:

@@ -1,14 +1,19 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import time
+from html import escape
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from glyphmill.operators import ordered
+from glyphmill.operators import layout, ordered
 from glyphmill.plans import catalogue
-from glyphmill.sources import records
+from glyphmill.sources import files, records
 from tests.conftest import DATA
 
 
@@ -74,3 +79,45 @@ def test_instances_are_ordered_without_a_search_for_each(spark):
     began = time.perf_counter()
     first = many.select(records.ordered_instances(F.col("o"), F.col("i")).alias("x")).select(F.size("x").alias("n"), F.col("x")[0]["id"].alias("id")).first()
     assert tuple(first) == (29_999, "30000") and time.perf_counter() - began < 10
+
+
+def diagrams(rng, n):
+    """Diagrams as dicts, with all that a document may hold."""
+    number = lambda: rng.choice([rng.uniform(-1000, 1000), rng.randrange(-4000, 4000) / 8, rng.randrange(-(10**6), 10**6) / 200, -0.0, 1e300, math.nan, math.inf, -math.inf, -0.001, 1.005, 2.675, 1e15 + 0.5, 2.0**33 + 0.125, rng.uniform(-1e10, 1e10)])
+    text = lambda: rng.choice([None, "", "a", 'a<b> & "c"', "x\r\n\t>", "\u00e9\U0001f600", "manual"])
+    some = lambda f: [f() for _ in range(rng.randrange(3))]
+    item = lambda: {"id": text(), "text": text(), "bbox": {k: number() for k in ("x0", "y0", "x1", "y1")}, "mask": text(), "conf": rng.choice([None, 0.5, 0.00005, number()]), "src": text()}
+    arrow = lambda: {"src_id": text(), "dst_id": text(), "conf": rng.choice([None, number()]), "src": text()}
+    parts = lambda: {"nodes": some(item), "rasters": some(item), "arrows": some(arrow)}
+    return [{"blocks": some(lambda: item() | parts()), **parts()} for _ in range(n)]
+
+
+def document(d):
+    """A diagram's document, by a plain loop."""
+    quoted = lambda v: '"' + escape(v or "", quote=False).replace('"', "&quot;").replace("\r", "&#13;").replace("\n", "&#10;").replace("\t", "&#9;") + '"'
+
+    def head(x):
+        if "bbox" in x:
+            out = f" i={quoted(x['id'])} t={quoted(x['text'])} b=\"{' '.join(f'{v:.2f}' for v in x['bbox'].values())}\"" + (f" mask={quoted(x['mask'])}" if x["mask"] is not None else "")
+        else:
+            out = f" s={quoted(x['src_id'])} d={quoted(x['dst_id'])}"
+        out += f' conf="{x["conf"]:.4f}"' if x["conf"] is not None and not math.isnan(x["conf"]) else ""
+        return out + (f" src={quoted(x['src'])}" if x["src"] not in (None, "manual") else "")
+
+    def parts(of, pad):
+        return "".join(f"{pad}<{k[:-1]}{head(x)}/>\n" for k in ("nodes", "rasters", "arrows") for x in of[k])
+
+    body = "".join(f"  <block{head(b)}" + (f">\n{inside}  </block>\n" if (inside := parts(b, "    ")) else "/>\n") for b in d["blocks"]) + parts(d, "  ")
+    return f"<diagram>\n{body}</diagram>\n" if body else "<diagram/>\n"
+
+
+def test_documents_are_rendered_all_at_once(spark):
+    made = diagrams(random.Random(11), 400)
+    want = [document(d) for d in made]
+    kinds = {f.name: f.dataType for f in _parse_datatype_string(layout.DIAGRAM).fields}
+    columns = {k: pa.array([d[k] for d in made], to_arrow_type(kinds[k])) for k in made[0]}
+    assert files._rendered(**columns).to_pylist() == want
+    assert files._rendered(**{k: c.slice(100, 50) for k, c in columns.items()}).to_pylist() == want[100:150]
+    assert files._rendered(**{k: c.slice(0, 0) for k, c in columns.items()}).to_pylist() == []
+    df = spark.createDataFrame([{"image_id": str(k), **d} for k, d in enumerate(made)], layout.DIAGRAM).repartition(3)
+    assert {int(r.image_id): r.xml for r in files.write_xml(df).collect()} == dict(enumerate(want))
