@@ -71,10 +71,14 @@ def grid(*boxes: DataFrame, dense: int | None = None, most: int = MOST) -> Grid:
     all_ = boxes[0]
     for b in boxes[1:]:
         all_ = all_.unionAll(b)
+    limit = max(dense, total // most)
+    if all_.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] <= limit:
+        # no image has cells, so images meet as they were dealt out, without a broadcast
+        return Grid(None)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     by = all_.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("x0").alias("cell_x0"), F.min("y0").alias("cell_y0"),
         F.greatest(F.avg(w), F.avg(h), F.sqrt(F.greatest(F.avg(w * h), F.lit(0.0))), F.sqrt((F.max("x1") - F.min("x0")) * (F.max("y1") - F.min("y0")) / F.count(F.lit(1)))).alias("cell_side"),
     )
-    sizes = by.where((F.col("n") > max(dense, total // most)) & (F.col("cell_side") > 0)).drop("n")
+    sizes = by.where((F.col("n") > limit) & (F.col("cell_side") > 0)).drop("n")
     return Grid(sizes)

@@ -59,6 +59,20 @@ def claims(items: DataFrame, tolerance: float = 1.0, cells: Grid | None = None)
     return pairs.groupBy("image_id", "ord").agg(F.min_by("owner", F.struct(-G.area(F.col("outer")), "owner")).alias("owner"))
 
 
+def owned(items: DataFrame, what: str, tolerance: float = 1.0, cells: Grid | None = None) -> DataFrame:
+    """Each item (image_id, ord, ``what``) with the owner that ``claims`` has for it, or null."""
+    g = cells or layout_grid(items, tolerance)
+    its = [f"its_{c}" for c in CELL]
+    outer = _spread(g, items.select("image_id", F.col("ord").alias("owner"), F.col("box").alias("outer")), "outer", tolerance)
+    outer = outer.select(*[F.col(c).alias(n) for c, n in zip(CELL, its)], "owner", "outer")
+    inner = g.at(items.select("image_id", "ord", "box", what), F.col("box")["x0"], F.col("box")["y0"])
+    meets = (F.col("owner") != F.col("ord")) & G.contains(F.col("outer"), F.col("box"), tolerance)
+    for c, n in zip(CELL, its):
+        meets = meets & (F.col(c) == F.col(n))
+    first = F.min_by("owner", F.struct(-G.area(F.col("outer")), "owner"))
+    return inner.join(outer, meets, "left").groupBy("image_id", "ord").agg(F.first(what).alias(what), first.alias("owner"))
+
+
 def classify(items: DataFrame, tolerance: float = 1.0, cells: Grid | None = None) -> DataFrame:
     """Role of each item: block (unclaimed with children), node (unclaimed without), child, or dropped (its owner is claimed too)."""
     # claims are made once and told to both sides: an item hears who owns it and whether it owns; then owned ones ask whether their owner is owned

@@ -34,33 +34,33 @@ def assemble(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     whose owner is contained too are dropped, as ``joins.classify`` reports.
     Rasters go to the first block that contains them.
     """
-    plain = items.where(~F.col("is_raster"))
+    item = F.struct("id", "text", F.col("box").alias("bbox"), "mask", "conf", F.lit(DETECTED).alias("src")).cast(ITEM)
     cells = joins.layout_grid(items.select("image_id", "box"), tolerance)
-    roles = joins.classify(plain.select("image_id", "ord", "box"), tolerance, cells)
-    as_item = lambda src: F.struct("id", "text", F.col("box").alias("bbox"), "mask", "conf", F.lit(src).alias("src")).cast(ITEM)
-    placed = plain.join(roles, ["image_id", "ord"])
-    tops = placed.where(F.col("role").isin("block", "node"))
-    blocks = tops.where(F.col("role") == "block")
-    rasters = items.where("is_raster")
-    owner = joins.raster_owners(rasters.select("image_id", "ord", "box"), blocks.select("image_id", "ord", "box"), tolerance, cells)
-    with_owner = rasters.join(owner, ["image_id", "ord"])
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x["i"])
-    inside_n = placed.where(F.col("role") == "child").groupBy("image_id", F.col("owner").alias("ord")).agg(ordered(as_item(DETECTED).alias("i")).alias("kids"))
-    inside_r = with_owner.where(F.col("block_ord").isNotNull()).groupBy("image_id", F.col("block_ord").alias("ord")).agg(ordered(as_item(DETECTED).alias("i")).alias("pictures"))
-    none_n, none_a = F.array().cast(f"array<{ITEM}>"), F.array().cast(f"array<{ARROW}>")
-    whole = (
-        blocks.join(inside_n, ["image_id", "ord"], "left")
-        .join(inside_r, ["image_id", "ord"], "left")
-        .select("image_id", "ord", F.struct("id", "text", F.col("box").alias("bbox"), "mask", "conf", F.lit(DETECTED).alias("src"), F.coalesce("kids", none_n).alias("nodes"), F.coalesce("pictures", none_n).alias("rasters"), none_a.alias("arrows")).cast(BLOCK).alias("i"))
-        .groupBy("image_id")
-        .agg(ordered(F.col("i")).alias("blocks"))
-    )
-    nodes = tops.where(F.col("role") == "node").groupBy("image_id").agg(ordered(as_item(DETECTED).alias("i")).alias("nodes"))
-    loose = with_owner.where(F.col("block_ord").isNull()).groupBy("image_id").agg(ordered(as_item(DETECTED).alias("i")).alias("rasters"))
-    out = items.select("image_id").distinct()
-    for part in (whole, nodes, loose):
-        out = out.join(part, "image_id", "left")
-    return out.select("image_id", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>")).alias("blocks"), F.coalesce("nodes", none_n).alias("nodes"), F.coalesce("rasters", none_n).alias("rasters"), none_a.alias("arrows"))
+    owned = joins.owned(items.where(~F.col("is_raster")).select("image_id", "ord", "box", item.alias("i")), "i", tolerance, cells)
+    # what an item owns meets it under its number; where it is owned itself it isn't there
+    alone = F.col("owner").isNull()
+    groups = owned.groupBy("image_id", F.coalesce("owner", "ord").alias("ord")).agg(F.first(F.when(alone, F.col("i")), ignorenulls=True).alias("top"), _in_order(F.col("i"), ~alone).alias("kids"))
+    none_a = F.array().cast(f"array<{ARROW}>")
+    is_block = F.col("top").isNotNull() & (F.size("kids") > 0)
+    block = lambda pictures: F.struct("top.*", F.col("kids").alias("nodes"), pictures.alias("rasters"), none_a.alias("arrows")).cast(BLOCK)
+    rasters, pictures, no = items.where("is_raster"), F.array().cast(f"array<{ITEM}>"), lambda kind: F.lit(None).cast(kind)
+    loose = None
+    if not rasters.isEmpty():
+        blocks = groups.where(is_block).select("image_id", "ord", F.col("top.bbox").alias("box"))
+        owner = joins.raster_owners(rasters.select("image_id", "ord", "box"), blocks, tolerance, cells)
+        with_owner = rasters.select("image_id", "ord", item.alias("i")).join(owner, ["image_id", "ord"])
+        inside = F.col("block_ord").isNotNull()
+        held = with_owner.where(inside).groupBy("image_id", F.col("block_ord").alias("ord")).agg(_in_order(F.col("i"), F.lit(True)).alias("pictures"))
+        groups, pictures = groups.join(held, ["image_id", "ord"], "left"), F.coalesce("pictures", pictures)
+        loose = with_owner.select("image_id", "ord", no(BLOCK).alias("block"), no(ITEM).alias("node"), F.when(~inside, F.col("i")).alias("raster"))
+    rows = groups.select("image_id", "ord", F.when(is_block, block(pictures)).alias("block"), F.when(~is_block, F.col("top")).alias("node"), no(ITEM).alias("raster"))
+    rows = rows if loose is None else rows.unionByName(loose)
+    return rows.groupBy("image_id").agg(*[_in_order(F.col(c), F.col(c).isNotNull()).alias(f"{c}s") for c in ("block", "node", "raster")]).select("image_id", "blocks", "nodes", "rasters", none_a.alias("arrows"))
+
+
+def _in_order(what: Column, where: Column) -> Column:
+    """A group's values in the order of ``ord``, of the rows that are meant."""
+    return F.sort_array(F.collect_list(F.when(where, F.struct("ord", what.alias("i")))))["i"]
 
 
 def mark_edges(marks: Column, found: Column) -> Column:

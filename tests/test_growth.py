@@ -121,3 +121,35 @@ def test_documents_are_rendered_all_at_once(spark):
     assert files._rendered(**{k: c.slice(0, 0) for k, c in columns.items()}).to_pylist() == []
     df = spark.createDataFrame([{"image_id": str(k), **d} for k, d in enumerate(made)], layout.DIAGRAM).repartition(3)
     assert {int(r.image_id): r.xml for r in files.write_xml(df).collect()} == dict(enumerate(want))
+
+
+def test_diagrams_are_assembled_in_one_shuffle(spark, monkeypatch):
+    from glyphmill.operators import grid
+
+    rng = random.Random(12)
+    boxes = [(image, i, (x := rng.randrange(30), y := rng.randrange(30), x + rng.randrange(1, 25), y + rng.randrange(1, 25)), rng.random() < 0.2) for image, n in ((1, 60), (2, 4), (3, 1), (4, 25)) for i in range(n)]
+    boxes += [(5, 0, (0, 0, 9, 9), True), (6, 0, (0, 0, 5, 5), False), (6, 1, (0, 0, 5, 5), False)]
+    kind = "image_id int, ord int, box struct<x0:double,y0:double,x1:double,y1:double>, is_raster boolean"
+    df = spark.createDataFrame([(m, i, tuple(map(float, b)), r) for m, i, b, r in boxes], kind).repartition(3)
+    items = df.select("*", F.concat(F.lit("n"), F.col("ord").cast("string")).alias("id"), F.lit("").alias("text"), F.lit(None).cast("string").alias("mask"), F.lit(None).cast("double").alias("conf"))
+    hold = lambda o, b: o[0] - 1 <= b[0] and o[1] - 1 <= b[1] and o[2] + 1 >= b[2] and o[3] + 1 >= b[3]
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+
+    def plain(image, with_rasters):
+        its = {i: b for m, i, b, r in boxes if m == image and not r}
+        owner = {i: min((j for j in its if j != i and hold(its[j], its[i])), key=lambda j: (-area(its[j]), j), default=None) for i in its}
+        blocks = [i for i in its if owner[i] is None and i in owner.values()]
+        first = {i: min((j for j in blocks if hold(its[j], b)), default=None) for m, i, b, r in boxes if m == image and r and with_rasters}
+        names = lambda of, k: [f"n{i}" for i in sorted(of) if of[i] == k]
+        return [(f"n{k}", names(owner, k), names(first, k)) for k in sorted(blocks)], [f"n{i}" for i in sorted(its) if owner[i] is None and i not in blocks], names(first, None)
+
+    ids = lambda a: [x.id for x in a]
+    for dense in (None, 10):
+        if dense:
+            monkeypatch.setattr(grid, "DENSE", dense)
+        for part in (items, items.where("NOT is_raster")):
+            got = {r.image_id: ([(b.id, ids(b.nodes), ids(b.rasters)) for b in r.blocks], ids(r.nodes), ids(r.rasters)) for r in layout.assemble(part).collect()}
+            assert got == {m: plain(m, part is items) for m in {m for m, _, _, r in boxes if part is items or not r}}
+    monkeypatch.undo()
+    plan = layout.assemble(items.withColumn("is_raster", F.lit(False)))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 2
