@@ -18,7 +18,7 @@ from glyphmill.operators import aggregates, joins, layout, review, sampling, seg
 from glyphmill.plans import stages
 from glyphmill.plans.catalogue import _BITS, _FSM, ACTIONS, _masks, looked_up, query, r6, table
 from glyphmill.sources import files, records
-from glyphmill.sources.scratch import folder
+from glyphmill.sources.scratch import folder, stored
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +436,8 @@ def stage_segment_assemble(spark, sf_dir):
     mask = masks.to_text({"h": 4, "w": 5, "counts": [4, 8, 8]})
     samples = _samples(spark, sf_dir)
     points = samples.select("id", F.lit("node").alias("kind"), F.lit(0).alias("object_id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
-    manifest = stages.segment(samples, points, _rule('"point":[1.0,2.0]', mask[:-1] + ', "score": 0.75}'))
+    # kept between the stages, as the engine keeps it, so that the model answers each point once
+    manifest = stored(stages.segment(samples, points, _rule('"point":[1.0,2.0]', mask[:-1] + ', "score": 0.75}')), "manifest")
     n = F.col("nodes")[0]
     return stages.assemble(manifest).select("image_id", n["id"].alias("id"), *[n["bbox"][s].alias(s) for s in G.SIDES], n["conf"].alias("conf"), F.size("nodes").alias("n_nodes"), F.size("blocks").alias("n_blocks"))
 

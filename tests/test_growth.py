@@ -153,3 +153,29 @@ def test_diagrams_are_assembled_in_one_shuffle(spark, monkeypatch):
     monkeypatch.undo()
     plan = layout.assemble(items.withColumn("is_raster", F.lit(False)))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 2
+
+
+def test_segment_and_assemble_ask_the_model_once_a_point(spark, monkeypatch, tmp_path):
+    from glyphmill.adapters import predictors
+    from glyphmill.plans import formats
+
+    calls = str(tmp_path / "calls")
+
+    def counting(mark, answer):
+        class Counting:
+            def predict(self, prompts, images):
+                with open(calls, "a") as out:
+                    out.write("x" * len(prompts))
+                return [answer for _ in prompts]
+
+            def unload(self):
+                pass
+
+        monkeypatch.setitem(predictors.REGISTRY, "counting", Counting)
+        return "counting"
+
+    monkeypatch.setattr(formats, "_rule", counting)
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert catalogue.QUERIES["stage_segment_assemble"](spark, DATA).count() == n
+    with open(calls) as done:
+        assert len(done.read()) == n
