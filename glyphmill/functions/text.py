@@ -1,18 +1,21 @@
 """Structured text: code blocks, JSON answers and tags in model output, ids, digests.
 
-JSON answers are read as VARIANT, item by item, so one bad item costs only
-itself.
+JSON answers of boxes and scores are read as VARIANT, item by item, so one bad
+item costs only itself; edges are read so in Python, an Arrow batch at once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Marks, prefixes, patterns and messages of the formats that are read.
 THINK_END = "</think>"
@@ -75,6 +78,10 @@ STRICT = {"allowSingleQuotes": "false"}
 WHOLE = r"\s*[+-]?\d[\d_]*\s*"
 REAL = r"(?i)^\s*[+-]?(?:(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:e[+-]?\d[\d_]*)?|inf(?:inity)?|nan)\s*$"
 ASTRAY = r"(?<!\d)_|_(?!\d)"
+#: JSON of answers that are read item by item in Python; whole numbers of more digits than any mark has are none.
+PLAIN = json.JSONDecoder(parse_int=lambda digits: int(digits) if len(digits) < 100 else None)
+EDGES = ArrayType(StructType([StructField("src", IntegerType()), StructField("dst", IntegerType())]))
+LARGEST = 2**31
 
 
 def real(text: Column) -> Column:
@@ -119,24 +126,43 @@ def _real(v: Column) -> Column:
     return F.when(kind == "STRING", real(text)).otherwise(F.try_variant_get(v, "$", "double"))
 
 
+def _pairs(answer: str | None) -> list[tuple[int, int]]:
+    """The edges of one answer."""
+    if answer is None or not 0 <= (start := answer.find("[")) < (end := answer.rfind("]") + 1):
+        return []
+    try:
+        items = PLAIN.decode(answer[start:end])
+    except (ValueError, RecursionError):
+        return []
+    pairs = []
+    for item in items:
+        # what is no object, or has no "from", is known without an error, which costs more than reading the item
+        if type(item) is not dict or "from" not in item or "to" not in item:
+            continue
+        try:
+            src, dst = int(item["from"]), int(item["to"])
+        except (TypeError, ValueError, OverflowError):
+            continue
+        if -LARGEST <= src < LARGEST and -LARGEST <= dst < LARGEST:
+            pairs.append((src, dst))
+    return pairs
+
+
+@arrow_udf(EDGES)
+def _edges(texts: pa.Array) -> pa.Array:
+    found = [_pairs(t) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    src, dst = (pa.array([p[k] for pairs in found for p in pairs], pa.int32()) for k in (0, 1))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([src, dst], ["src", "dst"]))
+
+
 def edges(text: Column) -> Column:
     """Pairs (src, dst) of whole numbers under "from" and "to"; items without both are skipped, and numbers that no mark can have.
 
-    Answers whose items are all plain pairs of whole numbers are parsed at once,
-    others item by item.
+    Each answer is parsed once, whatever its items are; of keys that repeat the
+    last one counts.
     """
-    pair = lambda src, dst: F.struct(src.try_cast("int").alias("src"), dst.try_cast("int").alias("dst"))
-    plain = r"^-?\d{1,9}$"
-
-    def read(span: Column) -> Column:
-        slow = F.transform(json_items(span), lambda v: let(F.try_variant_get(v, "$", "struct<from:variant,to:variant>"), lambda p: pair(whole(p["from"]), whole(p["to"]))))
-        # keys that repeat: the last one counts
-        typed = F.transform(_read(span, "array<struct<from:variant,to:variant>>", "[]"), lambda p: pair(whole(p["from"]), whole(p["to"])))
-        fast = _read(span, "array<struct<from:string,to:string>>", "[]")
-        simple = lambda f: F.coalesce(F.forall(f, lambda p: p["from"].rlike(plain) & p["to"].rlike(plain)), F.lit(False))
-        return let(fast, lambda f: F.when(simple(f), F.transform(f, lambda p: pair(p["from"], p["to"]))).otherwise(F.coalesce(typed, slow)))
-
-    return F.coalesce(F.filter(let(_span(text, "[", "]"), read), lambda e: e["src"].isNotNull() & e["dst"].isNotNull()), F.array().cast("array<struct<src:int,dst:int>>"))
+    return _edges(text)
 
 
 def boxes(text: Column, valid_ids: Column) -> Column:

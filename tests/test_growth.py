@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from glyphmill.functions import text as T
 from glyphmill.operators import layout, ordered
 from glyphmill.plans import catalogue
 from glyphmill.sources import files, records
@@ -179,3 +181,42 @@ def test_segment_and_assemble_ask_the_model_once_a_point(spark, monkeypatch, tmp
     assert catalogue.QUERIES["stage_segment_assemble"](spark, DATA).count() == n
     with open(calls) as done:
         assert len(done.read()) == n
+
+
+def test_answers_are_parsed_once(spark):
+    rng = random.Random(13)
+    values = ["1", "2", '"3"', "4.7", '"4.7"', "true", "null", '"x"', "[1]", '{"a": 1}', "1e2", "1E400", "NaN", "Infinity", "99999999999", "-2147483649", "2147483647", '"1_0"', '"1__0"', '" +5 "', '"\\t6"', "01", "'1'", "5" + "0" * 120, "1" * 1500]
+
+    def item():
+        if rng.random() < 0.2:
+            return rng.choice(values)
+        keys = rng.choice([("from", "to"), ("to", "from"), ("from", "from", "to"), ("from",), ("From", "to")])
+        return "{" + ", ".join(f'"{k}": {rng.choice(values)}' for k in keys) + "}"
+
+    def plain(text):
+        found = []
+        if text is None or not (span := re.search(r"\[.*\]", text, re.DOTALL)):
+            return found
+        try:
+            items = json.loads(span.group(0))
+        except ValueError:
+            return found
+        for pair in items:
+            try:
+                edge = int(pair["from"]), int(pair["to"])
+            except (KeyError, TypeError, ValueError, OverflowError):
+                continue
+            if all(-(2**31) <= n < 2**31 for n in edge):
+                found.append(edge)
+        return found
+
+    answers = [rng.choice(["[", "so: [", "[["]) + ", ".join(item() for _ in range(rng.randrange(5))) + rng.choice(["]", "] end", "]]", ""]) for _ in range(3000)]
+    # repeated keys beside an item that is no object, and a number that is too long, cost only their item
+    answers += [None, "", "]x[", "[", '[7, {"from": 1, "from": 2, "to": 3}]', '[{"from": %s, "to": 1}, {"from": 1, "to": 2}]' % ("1" * 1500), "[" * 50_000 + "]" * 50_000]
+    want = [plain(a) for a in answers[:-1]] + [[]]
+    df = spark.createDataFrame(list(enumerate(answers)), "i int, t string").repartition(3)
+    assert {r.i: [tuple(e) for e in r.e] for r in df.select("i", T.edges(F.col("t")).alias("e")).collect()} == dict(enumerate(want))
+    assert df.where("false").select(T.edges(F.col("t"))).collect() == []
+    for name in ("json_edges", "mark_edges"):
+        plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and len(re.findall(r"ArrowEvalPython", plan)) == 1
