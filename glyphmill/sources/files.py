@@ -11,12 +11,13 @@ import os
 import uuid
 import zipfile
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -172,35 +173,98 @@ def table_at(spark: SparkSession, path: str) -> str:
 
 
 # Layout documents as XML, with tags diagram, block, node, raster and arrow and attributes only.
-XML_ITEM = "struct<_i:string,_t:string,_b:string,_mask:string,_conf:string,_src:string>"
-XML_ARROW = "struct<_s:string,_d:string,_conf:string,_src:string>"
-XML_PARTS = {"node": f"array<{XML_ITEM}>", "raster": f"array<{XML_ITEM}>", "arrow": f"array<{XML_ARROW}>"}
-XML_BLOCK = XML_ITEM[:-1] + "".join(f",{k}:{v}" for k, v in XML_PARTS.items()) + ">"
-XML = ", ".join(f"{k} {v}" for k, v in ({"block": f"array<{XML_BLOCK}>"} | XML_PARTS).items())
-
-
-#: A number, and four of them, as attributes hold them.
-NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?i:inf|infinity|nan)"
-ONE, FOUR = rf"^\s*(?:{NUMBER})\s*$", rf"^\s*(?:{NUMBER})" + rf"\s+(?:{NUMBER})" * 3 + r"\s*$"
-
-
-def _item_fields(x, default: str) -> list[Column]:
-    box = T.let(F.split(T.strip(F.coalesce(x["_b"], F.lit("0 0 0 0"))), r"\s+"), lambda p: F.struct(*[F.get(p, F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
-    return [F.coalesce(x["_i"], F.lit("")).alias("id"), F.coalesce(x["_t"], F.lit("")).alias("text"), box.alias("bbox"), x["_mask"].alias("mask"), F.trim(x["_conf"]).try_cast("double").alias("conf"), F.coalesce(x["_src"], F.lit(default)).alias("src")]
-
-
-def _read_arrow(x):
-    return F.struct(F.coalesce(x["_s"], F.lit("")).alias("src_id"), F.coalesce(x["_d"], F.lit("")).alias("dst_id"), F.trim(x["_conf"]).try_cast("double").alias("conf"), F.coalesce(x["_src"], F.lit("manual")).alias("src"))
-
-
-def _problem(x: Column, text: Column) -> Column:
-    """What is wrong with a document: it isn't XML, or a box or confidence isn't made of numbers; null if nothing is."""
-    bad_conf = lambda i: ~F.coalesce(i["_conf"].rlike(ONE), F.lit(True))
-    bad_item = lambda i: bad_conf(i) | ~F.coalesce(i["_b"].rlike(FOUR), F.lit(True))
-    some = lambda a, test: F.coalesce(F.exists(a, test), F.lit(False))
-    inside = lambda of: some(of["node"], bad_item) | some(of["raster"], bad_item) | some(of["arrow"], bad_conf)
-    numbers = some(x["block"], lambda b: bad_item(b) | inside(b)) | inside(x)
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(x["_corrupt_record"].isNotNull(), "not XML").when(numbers, "not a number")
+PARTS = ("node", "raster", "arrow")
+NO_BOX, NOT_XML, NOT_A_NUMBER = "0 0 0 0", "not XML", "not a number"
+
+
+def _read_parts(of: list[dict[str, str]], tag: str) -> dict[str, pa.Array]:
+    """The columns of some items, blocks or arrows from their attributes; raises where a number is none."""
+    text = lambda name, default: pa.array([x.get(name, default) for x in of], pa.string())
+    ends = {"conf": pa.array([float(c) if (c := x.get("conf")) is not None else None for x in of], pa.float64()), "src": text("src", "pointing" if tag == "raster" else "manual")}
+    if tag == "arrow":
+        return {"src_id": text("s", ""), "dst_id": text("d", ""), **ends}
+    sides = [x.get("b", NO_BOX).split() for x in of]
+    if any(len(s) != 4 for s in sides):
+        raise ValueError(NOT_A_NUMBER)
+    numbers = np.array([float(n) for s in sides for n in s], np.float64).reshape(-1, 4)
+    box = pa.StructArray.from_arrays([pa.array(numbers[:, k]) for k in range(4)], ["x0", "y0", "x1", "y1"])
+    return {"id": text("i", ""), "text": text("t", ""), "bbox": box, "mask": text("mask", None), **ends}
+
+
+class _Documents:
+    """Attributes of the blocks, nodes, rasters and arrows of documents in order, and where each document's or block's end."""
+
+    def __init__(self) -> None:
+        self.top, self.inner = ({tag: ([], [0]) for tag in tags} for tags in (("block", *PARTS), PARTS))
+        self.depth, self.within = 0, False
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        self.depth += 1
+        if self.depth == 2:
+            self.within = tag == "block"
+            if tag in self.top:
+                self.top[tag][0].append(attributes)
+        elif self.depth == 3 and self.within and tag in self.inner:
+            self.inner[tag][0].append(attributes)
+
+    def end(self, _tag: str) -> None:
+        self.depth -= 1
+        if self.depth == 1 and self.within:
+            for found, ends in self.inner.values():
+                ends.append(len(found))
+
+    def read(self, text: str | None, numbered: bool = False) -> str | None:
+        """Adds a document, an empty one for null and for one with a problem, which is returned; numbers are tried at once only if asked to."""
+        places = [*self.top.items(), *self.inner.items()]
+        before, problem = [(len(found), len(ends)) for _, (found, ends) in places], None
+        if text is not None:
+            parser = expat.ParserCreate(None, "}")
+            parser.StartElementHandler, parser.EndElementHandler, self.depth = self.start, self.end, 0
+            try:
+                parser.Parse(text, True)
+            except expat.ExpatError:
+                problem = NOT_XML
+            if problem is None and numbered and not all(_numbered(x, tag) for (tag, (found, _)), (n, _) in zip(places, before) for x in found[n:]):
+                problem = NOT_A_NUMBER
+            if problem is not None:
+                for (_, (found, ends)), (n, m) in zip(places, before):
+                    del found[n:], ends[m:]
+        for found, ends in self.top.values():
+            ends.append(len(found))
+        return problem
+
+    def arrays(self) -> dict[str, pa.Array]:
+        """Lists of parts by their column; raises where a number is none."""
+
+        def lists(of: dict[str, tuple[list, list]], inside: dict[str, pa.Array]) -> dict[str, pa.Array]:
+            columns = {tag: _read_parts(found, tag) | (inside if tag == "block" else {}) for tag, (found, _) in of.items()}
+            return {f"{tag}s": pa.ListArray.from_arrays(pa.array(of[tag][1], pa.int32()), pa.StructArray.from_arrays(list(c.values()), list(c))) for tag, c in columns.items()}
+
+        return lists(self.top, lists(self.inner, {}))
+
+
+def _numbered(attributes: dict[str, str], tag: str) -> bool:
+    """Whether a part's box and confidence are made of numbers."""
+    try:
+        sides = [float(n) for n in (NO_BOX if tag == "arrow" else attributes.get("b", NO_BOX)).split()]
+        float(attributes.get("conf", "0"))
+    except ValueError:
+        return False
+    return len(sides) == 4
+
+
+def _read_documents(texts: pa.Array) -> pa.StructArray:
+    """Diagrams of documents with the problem of each; those with one are empty, as those that are null."""
+    given = texts.to_pylist()
+    documents = _Documents()
+    problems = [documents.read(text) for text in given]
+    try:
+        parts = documents.arrays()
+    except ValueError:
+        documents = _Documents()
+        problems = [documents.read(text, numbered=True) for text in given]
+        parts = documents.arrays()
+    return pa.StructArray.from_arrays([*parts.values(), pa.array(problems, pa.string())], [*parts, "problem"])
 
 
 def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id", strict: bool = True) -> DataFrame:
@@ -210,18 +274,17 @@ def parse_xml(documents: DataFrame, column: str = "xml", key: str = "image_id",
     numbers, raises; unless ``strict``, it is an empty diagram with its
     ``problem`` in a column of that name, and the others are read.
     """
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    items = lambda a, d: F.coalesce(F.transform(a, lambda x: F.struct(*_item_fields(x, d))), empty(layout.ITEM))
-    arrows = lambda a: F.coalesce(F.transform(a, _read_arrow), empty(layout.ARROW))
-    block = lambda x: F.struct(*_item_fields(x, "manual"), items(x["node"], "manual").alias("nodes"), items(x["raster"], "pointing").alias("rasters"), arrows(x["arrow"]).alias("arrows"))
-    read = documents.select(key, F.col(column).alias("text"), F.from_xml(column, F.lit(f"{XML}, _corrupt_record string"), {"attributePrefix": "_"}).alias("x"))
-    problem = _problem(F.col("x"), F.col("text"))
-    if strict:
-        problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("document "), F.col(key).cast("string"), F.lit(": "), problem)).cast("string"))
-    read = read.withColumn("problem", problem)
-    fine = lambda value, kind: F.when(F.col("problem").isNull(), value).otherwise(empty(kind))
-    parts = {"blocks": fine(F.coalesce(F.transform("x.block", block), empty(layout.BLOCK)), layout.BLOCK), "nodes": fine(items(F.col("x.node"), "manual"), layout.ITEM), "rasters": fine(items(F.col("x.raster"), "pointing"), layout.ITEM), "arrows": fine(arrows(F.col("x.arrow")), layout.ARROW)}
-    return read.select(key, *[c.alias(n) for n, c in parts.items()], *([] if strict else ["problem"]))
+    kinds = {"blocks": f"array<{layout.BLOCK}>", "nodes": f"array<{layout.ITEM}>", "rasters": f"array<{layout.ITEM}>", "arrows": f"array<{layout.ARROW}>"}
+
+    @arrow_udf(", ".join(f"{n} {kind}" for n, kind in (kinds | {"problem": "string"}).items()))
+    def read(texts: pa.Array) -> pa.Array:
+        return _read_documents(texts)
+
+    found = documents.select(key, read(column).alias("x")).select(key, "x.*")
+    if not strict:
+        return found
+    problem = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("document "), F.col(key).cast("string"), F.lit(": "), F.col("problem"))).cast("string"))
+    return found.select(key, *[F.when(problem.isNull(), F.col(n)).otherwise(F.array().cast(kind)).alias(n) for n, kind in kinds.items()])
 
 
 def _escaped(texts: pa.Array) -> pa.Array:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 from html import escape
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -220,3 +221,47 @@ def test_answers_are_parsed_once(spark):
     for name in ("json_edges", "mark_edges"):
         plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "from_json" not in plan and len(re.findall(r"ArrowEvalPython", plan)) == 1
+
+
+def test_documents_are_read_as_by_a_plain_loop(spark):
+    rng = random.Random(14)
+    texts = [document(d) for d in diagrams(rng, 150)]
+    number = lambda: rng.choice(["1", "-2.5", " 3 ", "1e3", ".5", "inf", "nan", "1_0", "0x1", "1d", "", "x"] if rng.random() < 0.1 else ["1", "2.25", "-7"])
+
+    def some(tag, depth=0):
+        values = {"i": rng.choice(["a", " a ", "x&#10;y&lt;"]), "t": "t", "b": " ".join(number() for _ in range(4)), "conf": number(), "mask": "m", "src": rng.choice(["manual", "sam", ""]), "s": "p", "d": "q", "z": "1"}
+        kept = " ".join(f'{k}="{v}"' for k, v in values.items() if rng.random() < 0.6)
+        inside = "".join(some(rng.choice(["node", "raster", "arrow", "block", "other"]), depth + 1) for _ in range(rng.randrange(3))) if depth < 2 else ""
+        return f"<{tag} {kept}>{inside}</{tag}>"
+
+    for _ in range(300):
+        body = "".join(some(rng.choice(["block", "block", "node", "raster", "arrow", "other"])) for _ in range(rng.randrange(4)))
+        texts.append(rng.choice(["", '<?xml version="1.0" encoding="utf-8"?>', "<!-- n -->"] if rng.random() < 0.2 else [""]) + f"<diagram>{body}" + rng.choice(["</diagram>"] * 12 + ["", "</node>", "</diagram><a/>", "&no;</diagram>", "x</diagram>\n"]))
+    texts += [None, "", " ", "<a", "</diagram>", "</diagram><diagram>", "<node i='n'/>", '<arrow b="x"/>', '<diagram><arrow b="x"/></diagram>', '<diagram><node b="0 0 0 0 0"/></diagram>', "<diagram>" * 3000 + "</diagram>" * 3000]
+
+    def plain(text):
+        def part(e):
+            ends = {"conf": float(e.get("conf")) if e.get("conf") is not None else None, "src": e.get("src", "pointing" if e.tag == "raster" else "manual")}
+            if e.tag == "arrow":
+                return {"src_id": e.get("s", ""), "dst_id": e.get("d", ""), **ends}
+            x0, y0, x1, y1 = (float(v) for v in e.get("b", "0 0 0 0").split())
+            inside = parts(e) if e.tag == "block" else {}
+            return {"id": e.get("i", ""), "text": e.get("t", ""), "bbox": {"x0": x0, "y0": y0, "x1": x1, "y1": y1}, "mask": e.get("mask"), **ends, **inside}
+
+        parts = lambda of, tags=("node", "raster", "arrow"): {f"{tag}s": [part(e) for e in of if e.tag == tag] for tag in tags}
+        all_ = ("block", "node", "raster", "arrow")
+        try:
+            return {**parts(() if text is None else ElementTree.fromstring(text), all_), "problem": None}
+        except (ElementTree.ParseError, ValueError) as e:
+            return {**parts((), all_), "problem": "not XML" if isinstance(e, ElementTree.ParseError) else "not a number"}
+
+    want = [plain(t) for t in texts]
+    assert {"not XML", "not a number", None} == {w["problem"] for w in want}
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "image_id string, xml string").repartition(3)
+    got = {int(r.image_id): {k: v for k, v in r.asDict(True).items() if k != "image_id"} for r in files.parse_xml(df, strict=False).collect()}
+    assert all(repr(got[k]) == repr(w) for k, w in enumerate(want))
+    fine = [k for k, w in enumerate(want) if w["problem"] is None]
+    read = files.parse_xml(df.where(F.col("image_id").isin([str(k) for k in fine])))
+    assert sorted(int(r.image_id) for r in read.collect()) == fine
+    assert "from_xml" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert files.parse_xml(df.where("false")).collect() == []
